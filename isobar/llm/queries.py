@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .chat import OP8_SQL, op8_chat
+from .embeddings import op10_embedding_graph
 from .htmltext import op6_html_text
 from .packing import op5_packing
 from .quality import op1_ngram_quality
 from .simhash import op3_simhash
+from .substrings import op2_suffix_dedup
 from .urls import op9_url_filter
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_ngram_quality": op1_ngram_quality,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
@@ -20,6 +23,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
+    "op10_embedding_graph": op10_embedding_graph,
 }
 
 ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op8_chat": OP8_SQL}
