@@ -362,18 +362,19 @@ def _merge(spans: list[dict]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, digest: bool = False) -> DataFrame:
     """``docs`` without the bytes that repeat: the columns of ``docs`` with the remaining text,
     and ``n_bytes, n_removed, n_spans, kept``, the latter the remaining bytes (with ``digest``
-    their SHA-256 in hexadecimal instead, and of ``docs`` only ``id_col``).
+    their SHA-256 in hexadecimal instead, and of ``docs`` only ``id_col``). Columns of ``docs`` that
+    have one of these names are replaced.
 
     Texts count as UTF-8 bytes, null as empty (and stays null in ``text_col``). Every byte in a
     200-byte string that also starts elsewhere, in the same row or another, is removed; equal rows
     are each other's elsewhere. Where a cut leaves part of a character, the text drops that part;
     ``kept`` does not. Null and repeated ids are rows like others: rows are told apart by id and text.
     """
-    keyed = docs.withColumns({"_id": F.col(id_col), "_rk": F.xxhash64(text_col)})
-    spans = repeated_spans(keyed.select(F.col("_id").alias("id"), F.col("_rk").alias("rk"), F.col(text_col).alias("text")), batches)
-    carried = [id_col] if digest else docs.columns
-    joined = keyed.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_rk") == F.col("rk")), "left").select(
-        F.struct(*carried).alias("row"), F.col(text_col).alias("text"), "spans")
+    made = ("n_bytes", "n_removed", "n_spans", "kept")
+    carried = [id_col] if digest else [c for c in docs.columns if c not in made]
+    keyed = docs.select(F.struct(*carried).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_rk"))
+    spans = repeated_spans(keyed.select(F.col("_id").alias("id"), F.col("_rk").alias("rk"), "text"), batches)
+    joined = keyed.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_rk") == F.col("rk")), "left").select("row", "text", "spans")
     fields = [T.StructField("row", joined.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
     fields += [T.StructField("kept", T.StringType())] if digest else [T.StructField("kept", T.BinaryType()), T.StructField("rest", T.StringType())]
     schema = T.StructType(fields)
