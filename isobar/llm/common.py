@@ -97,3 +97,34 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.frombuffer(offsets, np.int64)[wide.offset: wide.offset + len(wide) + 1]
     body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return body[ends[0]: ends[-1]], ends - ends[0]
+
+
+BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of ``BASE`` and of its inverse modulo 2**64, ``n`` at least; the worker keeps them."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(20, n.bit_length())
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64)))) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _powers
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """One to one on 64 bits, every bit in on every bit out."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(32)
+
+
+def prefix_hashes(body: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes of ``body``."""
+    out = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * _powers_to(len(body) + 1)[0][: len(body)], out=out[1:])
+    return out
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans, from the hashes of prefixes: equal spans have equal ones wherever they lie."""
+    return mix((sums[end] - sums[start]) * _powers_to(len(sums))[1][start])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, flat_bytes, stored
+from .common import discard, flat_bytes, mix, stored
 
 WINDOW, GRAM = 200, 40
 CHUNK, PLACE = 1 << 19, np.uint64((1 << 20) - 1)
@@ -52,12 +52,6 @@ def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(32)
-
-
 def _sums(body: np.ndarray, base: int) -> np.ndarray:
     out = np.zeros(len(body) + 1, np.uint64)
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * _powers()[base][0][: len(body)], out=out[1:])
@@ -80,7 +74,7 @@ def anchors(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     inverse = _powers()[0][1]
     sums = _sums(body, 0)
-    h = _mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
+    h = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
     least = h & ~PLACE | np.arange(len(h), dtype=np.uint64)
     size, width = 1, WINDOW - GRAM + 1
     while size * 2 <= width:
@@ -101,7 +95,7 @@ def anchors(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first, after = first[keep], after[keep]
     seg = _hashes(_sums(body, 1), 1, first, after - 1 + WINDOW)
     place = (at[first] - first).astype(np.uint64) << np.uint64(32) | (after - first).astype(np.uint64)
-    return first, after - first, h[at[first]], _mix(seg ^ _mix(place))
+    return first, after - first, h[at[first]], mix(seg ^ mix(place))
 
 
 def _chunks(bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -196,7 +190,7 @@ def _bit_sets(hits: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Bits of the grams that recur and of those that do with different surroundings: at most
     ``2**MOST_BITS`` each. More grams than bits only send more anchors to the exact comparison."""
     bits = min(MOST_BITS, max(16, int(16 * hits.count()).bit_length()))
-    slot = F.shiftrightunsigned("key", 64 - bits)
+    slot = F.col("key").bitwiseAND((1 << bits) - 1)  # the low bits: anchors' hashes are small, being least
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
     rows = hits.select(slot.alias("slot"), "mixed").select(
         F.shiftright("slot", 6).alias("word"), bit.alias("any"), F.when(F.col("mixed"), bit).otherwise(0).alias("mixed"))
@@ -208,27 +202,32 @@ def _bit_sets(hits: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _in(words: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
-    slot = key >> np.uint64(64 - bits)
+    slot = key & np.uint64((1 << bits) - 1)
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _candidates(docs: DataFrame, bit_sets) -> DataFrame:
     """Anchors whose gram recurs: ``id, rk, first, windows, key, seg`` and, where the gram has
-    different surroundings, their bytes."""
+    different surroundings, their bytes, once for each task, gram and surroundings."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_sets)
     schema = T.StructType([docs.schema["id"], docs.schema["rk"]] + [T.StructField(n, t) for n, t in (
         ("first", T.LongType()), ("windows", T.LongType()), ("key", T.LongType()), ("seg", T.LongType()), ("body", T.BinaryType()))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, recur, mixed = shared.value
+        sent: set[int] = set()
         for b in batches:
             for doc, start, count, key, seg, part, first in _found(b.column(2)):
                 hit = np.flatnonzero(_in(recur, bits, key))
                 if not len(hit):
                     continue
-                more = _in(mixed, bits, key[hit])
+                more = np.flatnonzero(_in(mixed, bits, key[hit]))
                 raw = part.tobytes()
-                bodies = [raw[f: f + c + WINDOW - 1] if m else None for f, c, m in zip(first[hit].tolist(), count[hit].tolist(), more.tolist())]
+                bodies: list[bytes | None] = [None] * len(hit)
+                for i, own in zip(more.tolist(), (seg[hit[more]] ^ key[hit[more]]).tolist()):
+                    if own not in sent:
+                        sent.add(own)
+                        bodies[i] = raw[first[hit[i]]: first[hit[i]] + count[hit[i]] + WINDOW - 1]
                 which = pa.array(doc[hit])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(which), b.column(1).take(which), pa.array(start[hit]), pa.array(count[hit]), _signed(key[hit]), _signed(seg[hit]),
@@ -261,7 +260,7 @@ def _windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(at, end), counts)
         ends = np.cumsum(counts)
         start = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(np.cumsum(sizes) - sizes, counts)
-        hashes.append(_mix(_hashes(_sums(part, 1), 1, start, start + WINDOW)))
+        hashes.append(mix(_hashes(_sums(part, 1), 1, start, start + WINDOW)))
         owners.append(owner)
         at = end
     return np.concatenate(owners), np.concatenate(hashes)
@@ -272,7 +271,7 @@ def _light(surroundings: DataFrame) -> DataFrame:
     def compared(keys: list, segs: list, bodies: list) -> pa.RecordBatch:
         owner, h = _windows(bodies)
         names = np.unique(np.array(keys, np.int64), return_inverse=True)[1].astype(np.uint64)
-        full = h ^ _mix(names + np.uint64(1))[owner]
+        full = h ^ mix(names + np.uint64(1))[owner]
         order = np.argsort(full, kind="stable")
         same = full[order][1:] == full[order][:-1]
         twice = np.zeros(len(full), bool)
