@@ -16,6 +16,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import WordTable, gather
+from .words import WordTable, encoded, gather
 
 MAPS = 8192
 
@@ -90,7 +91,12 @@ def _worker(ranks_path: str, pattern: str):
     for token, rank in ranks.items():
         pieces[rank] = token
     starts = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-    table = WordTable(lambda words: [merge_word(w.encode(), ranks) for w in words])
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [merge_word(w.encode(), ranks) for w in words]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    table = WordTable(encode)
     return regex.compile(pattern), table, np.frombuffer(b"".join(pieces), np.uint8), starts
 
 
@@ -113,9 +119,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str):
     cut, table, _, _ = _worker(ranks_path, pattern)
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            own = b.slice(at, 256)
-            yield own.column(0), [table(cut.findall(text or "")).astype("<u4") for text in own.column(1).to_pylist()]
+        for first, ids in encoded([text or "" for text in b.column(1).to_pylist()], cut.findall, table):
+            yield b.column(0).slice(first, len(ids)), [x.astype("<u4") for x in ids]
 
 
 def _decoded(ids: np.ndarray, ranks_path: str, pattern: str) -> bytes:

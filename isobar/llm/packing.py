@@ -10,6 +10,7 @@ each); these leftovers are merged, best fit again, in groups of partitions.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,22 +25,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, text_bytes
-from .words import WordTable
+from .words import WordTable, encoded
 
 CAPACITY, OPEN_WINDOWS, END_ID = 2048, 64, 1
 PARTITION_SHIFT, GROUP = 34, 32
 
 
+MARK = "\x1e"
+STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s)")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased, a single stop or comma apart."""
+    return STOP.sub(rb" \1", text.lower()).split()
+
+
 @lru_cache(2)
 def word_ids(path: str) -> WordTable:
-    """Word table over a tokenizer file whose pre-tokenizer drops white space, so that words
-    between ASCII white space are encoded independently of each other."""
+    """Word table over a tokenizer file that lower-cases, and drops white space before it encodes,
+    so that words between ASCII white space are encoded independently of each other."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return WordTable(lambda words: [e.ids for e in batch([w.decode() for w in words], add_special_tokens=False)])
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    final = np.zeros(tokenizer.get_vocab_size(), bool)
+    final[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def joined(texts: list[str], between: str) -> np.ndarray:
+        return np.array(batch([between.join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+
+    def of(texts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters only end with their one final piece; others are told apart by marks."""
+        if letters:
+            ids = joined(texts, " ")
+            ends = np.flatnonzero(final[ids])
+            if len(ends) == len(texts):
+                return ids, np.diff(ends, prepend=-1)
+        elif len(mark) == 1:
+            ids = joined(texts, f" {MARK} ")
+            cuts = np.flatnonzero(ids == mark[0])
+            if len(cuts) == len(texts) - 1:
+                return np.delete(ids, cuts), np.diff(np.append(cuts, len(ids)), prepend=-1) - 1
+        found = [e.ids for e in batch(texts, add_special_tokens=False)]
+        return np.array([i for own in found for i in own], np.uint32), np.array([len(own) for own in found])
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode() for w in words]
+        letters = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        sizes, parts = np.zeros(len(texts), np.int64), []
+        for flag in (True, False):
+            own = np.flatnonzero(letters == flag)
+            if len(own):
+                ids, sizes[own] = of([texts[i] for i in own.tolist()], flag)
+                parts.append((own, ids))
+        out, starts = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+        for own, ids in parts:
+            n = sizes[own]
+            out[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    return WordTable(encode)
 
 
 class Windows:
@@ -105,11 +152,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         b_type = pa.null()
         for b in batches:
             b_type = b.column(0).type
-            for at in range(0, b.num_rows, 512):
-                own = b.slice(at, 512)
+            docs_in, texts = b.column(0).to_pylist(), text_bytes(b.column(1))
+            for first, coded in encoded(texts, words_of, table):
                 ids_out, rows, raw = [], [], []
-                for doc, text in zip(own.column(0).to_pylist(), text_bytes(own.column(1))):
-                    ids = np.append(table(text.split()), END_ID).astype("<u4")
+                for doc, own in zip(docs_in[first:], coded):
+                    ids = np.append(own, END_ID).astype("<u4")
                     for start in range(0, len(ids), capacity):
                         piece = ids[start: start + capacity]
                         window, offset = windows.place(len(piece)) if len(piece) < capacity else (windows.new(), 0)

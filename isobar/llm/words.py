@@ -1,55 +1,63 @@
-"""Token ids of word tables: a growing table of words seen, gathered for whole texts at once."""
+"""Token ids of word tables: a growing table of words seen, gathered for many texts at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 
 
+class Places(dict):
+    """Numbers of words in the order in which they come; ``new`` holds the latest."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordTable:
     """Ids of each word seen, end to end in one array; a worker keeps one over its tasks.
 
-    ``encode(words)`` gives the ids of words not seen before. Past ``most`` words the table starts
-    anew, which bounds the memory and changes no result.
+    ``encode(words)`` gives the ids of words not seen before, one after the other, and how many
+    each word has. Past ``most`` words the table starts anew, which bounds the memory and changes
+    no result.
     """
 
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict = {}
+        self.place = Places()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
-        self.count = self.used = 0
-
-    def _add(self, words: list) -> None:
-        for word, ids in zip(words, self.encode(words)):
-            n = len(ids)
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            if self.count + 2 > len(self.starts):
-                self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-            self.ids[self.used: self.used + n] = ids
-            self.used += n
-            self.place[word] = self.count
-            self.count += 1
-            self.starts[self.count] = self.used
-
-    def __call__(self, words: list) -> np.ndarray:
-        """Ids of all ``words``, one after the other."""
-        get = self.place.get
-        found = [get(w, -1) for w in words]
-        if -1 in found:
-            if self.count > self.most:
-                self.clear()
-                self._add(list(dict.fromkeys(words)))
-            else:
-                self._add(list(dict.fromkeys(w for w, f in zip(words, found) if f < 0)))
-            get = self.place.get
-            found = [get(w) for w in words]
-        return gather(self.ids, self.starts, np.array(found, np.int64))
+
+    def __call__(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words``, one after the other, and how many each has."""
+        if len(self.place) > self.most:
+            self.clear()
+        found = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if new := self.place.new:
+            ids, sizes = self.encode(new)
+            count = len(self.place) - len(new)
+            used = int(self.starts[count])
+            self.ids = _grown(self.ids, used + len(ids))
+            self.starts = _grown(self.starts, len(self.place) + 1)
+            self.ids[used: used + len(ids)] = ids
+            self.starts[count + 1: len(self.place) + 1] = used + np.cumsum(sizes)
+            self.place.new = []
+        return gather(self.ids, self.starts, found), self.starts[found + 1] - self.starts[found]
+
+
+def _grown(a: np.ndarray, size: int) -> np.ndarray:
+    while len(a) < size:
+        a = np.concatenate((a, np.zeros_like(a)))
+    return a
 
 
 def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -59,3 +67,17 @@ def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndar
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     return values[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]
+
+
+def encoded(texts: Sequence, cut: Callable[[object], list], table: WordTable, most: int = 1 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Ids of ``texts``, a part of them with about ``most`` characters at a time: the number of
+    the part's first text and the ids of each of its texts. ``cut`` gives the words of a text."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(cut(text))
+        size += len(text)
+        if size >= most or i == len(texts) - 1:
+            ids, sizes = table(list(chain.from_iterable(held)))
+            ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(w) for w in held])]
+            yield first, np.split(ids, ends[:-1])
+            held, size, first = [], 0, i + 1
