@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import kept
 from .words import WordTable, encoded, gather
 
 MAPS = 8192
@@ -83,7 +84,6 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-@lru_cache(2)
 def _worker(ranks_path: str, pattern: str):
     """Of one worker: the pattern, its word table, and the bytes of each id with their starts."""
     ranks = read_ranks(ranks_path)
@@ -117,14 +117,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str):
-    cut, table, _, _ = _worker(ranks_path, pattern)
+    cut, table, _, _ = kept((ranks_path, pattern), lambda: _worker(ranks_path, pattern))
     for b in batches:
-        for first, ids in encoded([text or "" for text in b.column(1).to_pylist()], cut.findall, table):
-            yield b.column(0).slice(first, len(ids)), [x.astype("<u4") for x in ids]
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            for first, ids in encoded([text or "" for text in part.column(1).to_pylist()], cut.findall, table):
+                yield part.column(0).slice(first, len(ids)), [x.astype("<u4") for x in ids]
 
 
 def _decoded(ids: np.ndarray, ranks_path: str, pattern: str) -> bytes:
-    _, _, pieces, starts = _worker(ranks_path, pattern)
+    _, _, pieces, starts = kept((ranks_path, pattern), lambda: _worker(ranks_path, pattern))
     return gather(pieces, starts, ids.astype(np.int64)).tobytes()
 
 

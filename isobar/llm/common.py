@@ -80,6 +80,18 @@ def _signature(edges: DataFrame) -> tuple:
                            F.expr("sum(cast(xxhash64(v, u) as decimal(38, 0)))")).first())
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What ``make()`` gave for ``key`` before in this worker. Only the latest key's value is kept,
+    so that a worker which goes from one operator to another frees what the former one held."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value of an Arrow string column; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

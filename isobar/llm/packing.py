@@ -14,7 +14,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_bytes
+from .common import kept, stored, text_bytes
 from .words import WordTable, encoded
 
 CAPACITY, OPEN_WINDOWS, END_ID = 2048, 64, 1
@@ -40,7 +39,6 @@ def words_of(text: bytes) -> list[bytes]:
     return STOP.sub(rb" \1", text.lower()).split()
 
 
-@lru_cache(2)
 def word_ids(path: str) -> WordTable:
     """Word table over a tokenizer file that lower-cases, and drops white space before it encodes,
     so that words between ASCII white space are encoded independently of each other."""
@@ -141,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, windows = word_ids(tokenizer), Windows(capacity, open_windows)
+        table, windows = kept(("words", tokenizer), lambda: word_ids(tokenizer)), Windows(capacity, open_windows)
         base = TaskContext.get().partitionId() << PARTITION_SHIFT
 
         def made(ids: list, rows: list, left: bool, raw: list) -> pa.RecordBatch:
@@ -152,20 +150,22 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         b_type = pa.null()
         for b in batches:
             b_type = b.column(0).type
-            docs_in, texts = b.column(0).to_pylist(), text_bytes(b.column(1))
-            for first, coded in encoded(texts, words_of, table):
-                ids_out, rows, raw = [], [], []
-                for doc, own in zip(docs_in[first:], coded):
-                    ids = np.append(own, END_ID).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start: start + capacity]
-                        window, offset = windows.place(len(piece)) if len(piece) < capacity else (windows.new(), 0)
-                        body = piece.tobytes()
-                        ids_out.append(doc)
-                        rows.append((start, len(piece), zlib.crc32(body), len(ids), base + window, offset))
-                        if with_ids:
-                            raw.append(body)
-                yield made(ids_out, rows, False, raw)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                docs_in, texts = part.column(0).to_pylist(), text_bytes(part.column(1))
+                for first, coded in encoded(texts, words_of, table):
+                    ids_out, rows, raw = [], [], []
+                    for doc, own in zip(docs_in[first:], coded):
+                        ids = np.append(own, END_ID).astype("<u4")
+                        for start in range(0, len(ids), capacity):
+                            piece = ids[start: start + capacity]
+                            window, offset = windows.place(len(piece)) if len(piece) < capacity else (windows.new(), 0)
+                            body = piece.tobytes()
+                            ids_out.append(doc)
+                            rows.append((start, len(piece), zlib.crc32(body), len(ids), base + window, offset))
+                            if with_ids:
+                                raw.append(body)
+                    yield made(ids_out, rows, False, raw)
         rest = [(0, capacity - free, 0, 0, base + window, 0) for free, window in windows.open]
         if rest:
             yield made([None] * len(rest), rest, True, [None] * len(rest))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, flat_bytes, mix, stored
+from .common import discard, flat_bytes, kept, mix, stored
 
 WINDOW, GRAM = 200, 40
 CHUNK, PLACE = 1 << 19, np.uint64((1 << 20) - 1)
@@ -115,6 +115,7 @@ def _chunks(bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 def _found(text: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     """For the texts of an Arrow column, in parts: text, start in it, windows, gram, surroundings, bytes."""
+    kept("suffixes", lambda: None)
     body, bounds = flat_bytes(text)
     for a, b, low, high in _chunks(bounds):
         own = np.clip(bounds[a: b + 1], low, high) - low
