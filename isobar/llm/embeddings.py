@@ -2,16 +2,18 @@
 
 Vectors of one label (and length) are dealt to cells around centroids, each to its nearest few, so
 that cells overlap. Every cell builds a pruned neighbour graph, in blocks of bounded size; the
-adjacency lists of a vector's cells are united. Each vector then searches its nearest cell from
+adjacency lists of a vector's cells are united. Each vector then searches all of its cells from
 the medoids, greedily, and from what it reaches widens over all vectors within a margin of the
-range. Pairs at or above the cosine, computed exactly, are links. Recall is audited against brute
-force for a bounded set of vectors, and too low a recall repeats the work with more overlap.
+range. Pairs at or above the cosine, computed exactly, are links. Recall is audited by brute force
+over more and more vectors, until enough of them were seen to have links; where that takes all
+vectors, the links of the brute force are the result. Too low a recall repeats the work with more
+overlap, and in the end all links are found by brute force.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import components, discard, stored
 
 CELL, BLOCK = 400, 1500
-SAMPLE, CENTROIDS, AUDIT = 20000, 4096, 500
+SAMPLE, CENTROIDS = 20000, 4096
+AUDIT, CHUNK, EVIDENCE = 500, 20000, 100
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 BEAM, MARGIN, MEDOIDS = 32, 0.10, 4
 
@@ -64,7 +67,7 @@ def fit_cells(vectors: DataFrame) -> dict[tuple, np.ndarray]:
 
 
 def assigned(vectors: DataFrame, cells: dict[tuple, np.ndarray], overlap: int) -> DataFrame:
-    """``vectors`` with ``cell`` and ``home``: a row for each of a vector's ``overlap`` nearest cells."""
+    """``vectors`` with ``cell``: a row for each of a vector's ``overlap`` nearest cells."""
     shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +75,7 @@ def assigned(vectors: DataFrame, cells: dict[tuple, np.ndarray], overlap: int) -
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 keys = list(zip(part.column("label").to_pylist(), part.column("size").to_pylist()))
-                rows, cell, home = [], [], []
+                rows, cell = [], []
                 by_key: dict[tuple, list[int]] = {}
                 for i, key in enumerate(keys):
                     by_key.setdefault(key, []).append(i)
@@ -84,11 +87,10 @@ def assigned(vectors: DataFrame, cells: dict[tuple, np.ndarray], overlap: int) -
                         near = np.argsort(-(unit(part.column("vector").take(pa.array(own)).to_pylist()) @ c.T), axis=1, kind="stable")[:, :overlap]
                     rows += np.repeat(own, near.shape[1]).tolist()
                     cell += near.ravel().tolist()
-                    home += (np.arange(near.size) % near.shape[1] == 0).tolist()
                 taken = part.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(home, pa.bool_())], names=[*part.schema.names, "cell", "home"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32())], names=[*part.schema.names, "cell"])
 
-    return vectors.select("label", "size", "node", "m", "vector").mapInArrow(of, "label int, size int, node long, m long, vector array<float>, cell int, home boolean")
+    return vectors.select("label", "size", "node", "m", "vector").mapInArrow(of, "label int, size int, node long, m long, vector array<float>, cell int")
 
 
 def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -196,45 +198,79 @@ def graph_links(vectors: DataFrame, least: float, overlap: int) -> DataFrame:
     cells = fit_cells(vectors)
     dealt = stored(assigned(vectors, cells, overlap), "cells")
     shard = ["label", "size", "cell"]
-    counts = dealt.groupBy(*shard).agg(F.count("*").alias("members"), F.count_if("home").alias("asking"))
-    # Every cell in blocks of bounded size; a cell of several has each block searched by all its askers.
+    counts = dealt.groupBy(*shard).agg(F.count("*").alias("members"))
+    # Every cell in blocks of bounded size; a cell of several has each block searched by all its members.
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("members") / BLOCK)).cast("int")
     dealt = stored(dealt.join(counts, shard).withColumn("block", block), "blocks")
     graphs = dealt.groupBy(*shard, "block").applyInPandas(_graph, "node long, near array<long>")
     united = graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    parts = F.ceil(F.col("asking") / BLOCK).cast("int")
-    nodes = (dealt.join(united, "node").where(parts > 0).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    nodes = (dealt.join(united, "node").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
              .select(*shard, "block", "part", "node", "m", "vector", "near"))
-    asks = (dealt.where("home").withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), parts).cast("int"))
+    asks = (dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), parts).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / BLOCK).cast("int") - 1)))
             .select(*shard, "block", "part", "node", "m", "vector", F.lit(None).cast("array<long>").alias("near")))
     found = nodes.unionByName(asks).groupBy(*shard, "block", "part").applyInPandas(_searcher(least), "a long, b long, ma long, mb long")
     return stored(found.distinct(), "links")
 
 
-def audit(vectors: DataFrame, links: DataFrame, least: float, most: int = AUDIT) -> float:
-    """Recall of ``links`` for at most ``most`` nodes, chosen by hash, against all vectors."""
-    asked = vectors.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(most).select("label", "size", "node", "vector").toPandas()
-    if not len(asked):
-        return 1.0
-    groups = {k: (p["node"].to_numpy(), unit(p["vector"])) for k, p in asked.groupby(["label", "size"])}
+def true_links(vectors: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """``a, b, ma, mb`` of all links of the nodes ``asked``, by brute force against all ``vectors``.
+    What is asked goes through the driver, so it is a bounded part of the vectors."""
+    asked = asked.select("label", "size", "node", "m", "vector").toPandas()
+    groups = {k: (p["node"].to_numpy(), p["m"].to_numpy(), unit(p["vector"])) for k, p in asked.groupby(["label", "size"])}
     shared = vectors.sparkSession.sparkContext.broadcast(groups)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            frame = b.to_pandas()
-            for key, part in frame.groupby(["label", "size"]):
+            for key, part in b.to_pandas().groupby(["label", "size"]):
                 if key in shared.value:
-                    ids, q = shared.value[key]
-                    own = part["node"].to_numpy()
-                    rows, asks = np.nonzero(unit(part["vector"]) @ q.T >= least)
-                    keep = own[rows] != ids[asks]
-                    a, b_ = own[rows][keep], ids[asks][keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b_)), pa.array(np.maximum(a, b_))], names=["a", "b"])
-
-    true = vectors.select("label", "size", "node", "vector").mapInArrow(of, "a long, b long").distinct()
-    row = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return row.hits / row.n if row.n else 1.0
+                    ids, q_m, q = shared.value[key]
+                    own, m, x = part["node"].to_numpy(), part["m"].to_numpy(), unit(part["vector"])
+                    step = max(1, (1 << 22) // len(q))
+                    for at in range(0, len(x), step):
+                        rows, asks = np.nonzero(x[at: at + step] @ q.T >= least)
+                        rows += at
+                        keep = own[rows] != ids[asks]
+                        rows, asks = rows[keep], asks[keep]
+                        first = own[rows] < ids[asks]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.where(first, x, y)) for x, y in (
+                            (own[rows], ids[asks]), (ids[asks], own[rows]), (m[rows], q_m[asks]), (q_m[asks], m[rows]))], names=["a", "b", "ma", "mb"])
+
+    return stored(vectors.select("label", "size", "node", "m", "vector").mapInArrow(of, "a long, b long, ma long, mb long").distinct(), "true")
+
+
+def draws(vectors: DataFrame) -> Iterator[DataFrame]:
+    """All of ``vectors``, in parts by hash: about ``AUDIT`` nodes, then about ``CHUNK`` at a time."""
+    n, low, step = max(1, vectors.count()), 0, AUDIT
+    place = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 40))
+    while low < 1 << 40:
+        high = min(1 << 40, low + max(1, (step << 40) // n))
+        yield vectors.where((place >= low) & (place < high))
+        low, step = high, CHUNK
+
+
+def exact_links(vectors: DataFrame, least: float) -> DataFrame:
+    """All links of ``vectors``, by brute force."""
+    parts = [true_links(vectors, asked, least) for asked in draws(vectors)]
+    return stored(reduce(DataFrame.unionByName, parts).distinct(), "links")
+
+
+def audit(vectors: DataFrame, links: DataFrame, least: float) -> float | None:
+    """Recall of ``links``, as the mean over nodes that have true links of the share found. Nodes
+    are drawn until ``EVIDENCE`` of them have links; None where all nodes together are fewer."""
+    have = links.select("a", "b", F.lit(1).alias("hit"))
+    n, total = 0, 0.0
+    for asked in draws(vectors):
+        true = true_links(vectors, asked, least)
+        ends = true.join(have, ["a", "b"], "left").select(F.explode(F.array("a", "b")).alias("node"), "hit")
+        share = ends.join(asked.select("node"), "node", "left_semi").groupBy("node").agg((F.count("hit") / F.count("*")).alias("share"))
+        row = share.agg(F.count("*").alias("n"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("total")).first()
+        discard(true)
+        n, total = n + row.n, total + row.total
+        if n >= EVIDENCE:
+            return total / n
+    return None
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93,
@@ -256,12 +292,13 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     while True:
         links = graph_links(nodes, least, overlap)
         recall = audit(nodes, links, least)
-        if recall >= target or overlap >= 12:
+        if recall is not None and recall >= target:
             break
-        overlap *= 2
         discard(links)
-    if recall < 0.9:
-        warnings.warn(f"recall of links is {recall:.3f}", stacklevel=2)
+        if recall is None or overlap >= 12:
+            links = exact_links(nodes, least)
+            break
+        overlap *= 2
     both = links.select(F.col("a").alias("node"), F.col("mb").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("ma").alias("n")))
     linked = both.groupBy("node").agg(F.sum("n").alias("n"))
     found = components(links.select("a", "b")).withColumnRenamed("node", "_node")

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from isobar.llm import chat, embeddings, htmltext, packing, quality, urls, warc
@@ -190,6 +191,46 @@ def test_vectors_recall_in_many_cells(spark, sf_dir, monkeypatch):
     assert sum(got.values()) >= 0.97 * sum(n for n, _ in want.values())
 
 
+def test_vectors_with_rare_links_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 60)
+    monkeypatch.setattr(embeddings, "CELL", 30)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(30):  # partners at cosine 0.932, in places of their own
+        off = rng.normal(size=64)
+        off -= off @ x[i] * x[i]
+        x[1500 + i] = 0.932 * x[i] + np.sqrt(1 - 0.932**2) * off / np.linalg.norm(off)
+    rows = [(i, [float(v) for v in np.float32(v)], 0) for i, v in enumerate(x)]
+    want = brute.vector_links(rows, 0.93)
+    assert sum(n for n, _ in want.values()) == 60
+    out = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+
+
+def test_rare_link_lost_by_the_graph_is_found(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "graph_links", lambda vectors, least, overlap: embeddings.stored(
+        vectors.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb")).limit(0), "links"))
+    x = np.random.default_rng(7).normal(size=(2000, 16))
+    x[1000] = x[0] * 2 + 0.01
+    rows = [(i, [float(v) for v in np.float32(v)], i if i % 1000 else -1) for i, v in enumerate(x)]
+    out = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id for r in out if r.n_links} == {0, 1000}
+
+
+def test_audit_without_evidence_does_not_pass(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 16))
+    x[20:] = x[:20] + rng.normal(size=(20, 16)) * 0.01
+    nodes = spark.createDataFrame([(0, 16, i, 1, [float(v) for v in v]) for i, v in enumerate(x)], "label int, size int, node long, m long, vector array<float>")
+    links = embeddings.exact_links(nodes, 0.93)
+    assert {(r.a, r.b) for r in links.collect()} == {(i, i + 20) for i in range(20)}
+    assert embeddings.audit(nodes, links, 0.93) is None
+    monkeypatch.setattr(embeddings, "EVIDENCE", 40)
+    assert embeddings.audit(nodes, links, 0.93) == 1.0
+    assert embeddings.audit(nodes, links.where("a < 10"), 0.93) == 0.5
+
+
 def test_robust_prune_spreads_edges():
     x = np.array([[1, 0], [0.999, 0.04], [0.998, 0.06], [0.6, 0.8], [0, 1.0]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
