@@ -6,6 +6,7 @@ Results are rounded so that two engines' last bits do not differ.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -440,10 +441,19 @@ pt as (select x, y, round(round(0.3::double + x * 0.6::double, 6), 9) as i, roun
 pts as (select * from pt where i between 0 and 19 and j between 0 and 24)"""
 
 
+def _grids(rows: int) -> tuple[gis.RegularGrid, gis.RegularGrid]:
+    """``SOURCE`` and ``TARGET`` for a field of so many rows; the target's last row is as far from the field's as that of ``TARGET``."""
+    source = replace(SOURCE, ny=rows)
+    last = SOURCE.ny - (TARGET.y0 + (TARGET.ny - 1) * TARGET.dy)
+    return source, replace(TARGET, ny=max(1, math.floor((rows - last - TARGET.y0) / TARGET.dy + 1e-9) + 1))
+
+
 def _regrid(method: str):
     def run(spark, sf_dir):
-        field = fx.surface(spark, sf_dir).where("y < 25")
-        return _rounded(gis.regrid(field, "hsurf", SOURCE, TARGET, method), ["x", "y"], {"value": "value"})
+        field = fx.surface(spark, sf_dir)
+        rows = field.agg(F.max("y")).first()[0]  # one number
+        source, target = _grids(0 if rows is None else rows + 1)
+        return _rounded(gis.regrid(field, "hsurf", source, target, method), ["x", "y"], {"value": "value"})
     return run
 
 

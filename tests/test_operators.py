@@ -235,3 +235,20 @@ def test_settings_come_back(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
         raise KeyError
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic"])
+def test_regrid_queries_take_the_whole_field(spark, method):
+    from isobar.plans import catalog
+    from isobar.sources import fixtures
+
+    sf = "/root/testdata/sf0.1"
+    rows = fixtures.surface(spark, sf).agg(F.max("y")).first()[0] + 1
+    out = catalog.QUERIES[f"regrid_{method}"](spark, sf)
+    assert out.count() == 30 * (out.agg(F.max("y")).first()[0] + 1)
+    assert rows == 100 and rows - 3.8 < 0.2 + 0.6 * out.agg(F.max("y")).first()[0] <= rows - 3.2 + 1e-9
+    if method == "nearest":
+        values = {(r.x, r.y): round(r.hsurf, 6) for r in fixtures.surface(spark, sf).collect()}
+        for r in out.collect():
+            i, j = round(0.3 + 0.6 * r.x, 6), round(0.2 + 0.6 * r.y, 6)
+            assert r.value == pytest.approx(values[int(i + 0.5), int(j + 0.5)], abs=1e-6)
