@@ -1,34 +1,33 @@
-"""Byte-level BPE encoding and decoding over distinct words.
-
-The pattern cuts a text into pieces ("words"); ranked merges are folded over the bytes of each
-distinct word once, and texts gather their words' ids. :func:`encode_words` does the folding with
-Spark's higher-order functions and a literal rank map. Joining its ids back to every occurrence
-would shuffle all words of all texts, more than the disk allowed (see README), so whole texts are
-encoded in Arrow batches by the same folding, each worker keeping the words it has met.
+"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+
+The pattern cuts a text into words. Ranked merges are folded over the byte arrays of the distinct
+words: a round finds the least rank of all adjacent pairs, by a literal rank map, and merges every
+pair that has it, from the left, until no pair has a rank. The words that are most frequent in the
+texts themselves, ``DICTIONARY`` of them at most, are folded once each and become a second literal,
+from which texts take their ids where they lie, so that no text is shuffled; words beyond that
+bound are folded where they occur, by the same expression. Decoding concatenates the binary pieces
+of the ids.
+
+Every token of the file has to encode to itself (the tests check it). Then pairs of equal rank are
+pairs of equal parts, and a merge never makes a pair of lower rank, so merging all pairs of the
+least rank at once gives what merging them one by one gives.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
-import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
-import numpy as np
-import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .common import kept
-from .words import WordTable, encoded, gather
 
-MAPS = 8192
+MAPS = 1 << 15
+DICTIONARY = 1 << 18
+BITS = 20
+ID, NONE = (1 << BITS) - 1, 1 << 30
 
 
 @lru_cache(2)
@@ -39,154 +38,151 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: again and again the adjacent pair of lowest rank, the first of equals, merges."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    if len(word) > 64:
-        return _merge_long(word, ranks)
+    """Ids of one word, one merge at a time; the plain form, for tests."""
     parts = [word[i: i + 1] for i in range(len(word))]
-    pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-    while pairs:
-        low = min(pairs)
-        if low == 1 << 60:
-            break
+    while True:
+        pairs = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        low = min(pairs, default=NONE)
+        if low == NONE:
+            return [ranks[p] for p in parts]
         i = pairs.index(low)
         parts[i: i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """As :func:`merge_word`, with a heap of pairs: n log n for words of any length."""
-    n = len(word)
-    parts: list[bytes | None] = [word[i: i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i: i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, size = heapq.heappop(heap)
-        j = after[i]
-        if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != size:
-            continue
-        parts[i] += parts[j]
-        parts[j] = None
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-        for a, b in ((before[i], i), (i, k)):
-            if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
-                heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
-    return [ranks[p] for p in parts if p is not None]
-
-
-def _worker(ranks_path: str, pattern: str):
-    """Of one worker: the pattern, its word table, and the bytes of each id with their starts."""
-    ranks = read_ranks(ranks_path)
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token
-    starts = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [merge_word(w.encode(), ranks) for w in words]
-        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    table = WordTable(encode)
-    return regex.compile(pattern), table, np.frombuffer(b"".join(pieces), np.uint8), starts
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal: ``letters`` has the id of each byte; ``keys`` and ``merged`` are
+    arrays of small arrays, picked by :func:`_slot`, of the pairs of ids that merge and of the
+    token's rank, which is its id."""
+    keys: list[list[int]] = [[] for _ in range(MAPS)]
+    merged: list[list[int]] = [[] for _ in range(MAPS)]
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                slot = (a * 31 + b) % MAPS
+                keys[slot].append(a << BITS | b)
+                merged[slot].append(rank)
+    literal = {"letters": [ranks[bytes([i])] for i in range(256)], "keys": keys, "merged": merged}
+    return F.from_json(F.lit(json.dumps(literal)), "letters array<bigint>, keys array<array<bigint>>, merged array<array<bigint>>")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids``: ids of every whole text, as binary (little-endian unsigned 32-bit).
+def piece_list(pieces: list[bytes]) -> Column:
+    """Byte strings by their number, as one literal (base64 in JSON is binary)."""
+    return F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
 
-    Null or empty text: no ids. Rows are encoded each by itself, whatever their ids; other columns
-    are ignored.
-    """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in _encoded(batches, ranks_path, pattern):
-            yield pa.RecordBatch.from_arrays(
-                [part, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=schema.names)
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
 
-    return docs.select(id_col, text_col).mapInArrow(of, schema)
+def fold(word: Column, ranks: Column) -> Column:
+    """Ids of a word (string): ranked merges over the array of its bytes.
 
+    An entry of the folded array is a part's id in the low ``BITS`` bits and, above, the rank of
+    its pair with the next part, ``NONE`` if it does not merge. A round merges the least entry,
+    the first of equals, and ranks the two pairs around anew; in long words all equals merge in
+    one round. A round costs in proportion to the parts left.
+    """
+    def part(x: Column) -> Column:
+        return x.bitwiseAND(ID)
 
-def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str):
-    cut, table, _, _ = kept((ranks_path, pattern), lambda: _worker(ranks_path, pattern))
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
-            for first, ids in encoded([text or "" for text in part.column(1).to_pylist()], cut.findall, table):
-                yield part.column(0).slice(first, len(ids)), [x.astype("<u4") for x in ids]
+    def entry(a: Column, b: Column) -> Column:
+        """The part ``a`` before the part ``b`` (null at the end of the word)."""
+        slot = ((a * 31 + b) % MAPS).cast("int")
+        place = F.array_position(F.get(ranks["keys"], slot), F.shiftleft(a, BITS) + b)
+        return F.coalesce(F.shiftleft(F.get(F.get(ranks["merged"], slot), place.cast("int") - 1), BITS), F.lit(NONE << BITS)) + a
 
+    def entries(parts: Column) -> Column:
+        n = F.size(parts)
+        return F.concat(F.zip_with(F.slice(parts, F.lit(1), n - 1), F.slice(parts, F.lit(2), n - 1), entry), F.array(F.get(parts, n - 1) + (NONE << BITS)))
 
-def _decoded(ids: np.ndarray, ranks_path: str, pattern: str) -> bytes:
-    _, _, pieces, starts = kept((ranks_path, pattern), lambda: _worker(ranks_path, pattern))
-    return gather(pieces, starts, ids.astype(np.int64)).tobytes()
+    def one(x: Column, new: Column, at: Column) -> Column:
+        before = F.when(at > 1, F.array(entry(part(F.get(x, at - 2)), new))).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(F.slice(x, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(entry(new, part(F.get(x, at + 1)))), F.slice(x, at + 2, F.size(x)))
 
+    def several(x: Column, low: Column) -> Column:
+        flags = F.array_join(F.transform(x, lambda y: F.when(y == low, "1").otherwise("0")), "")
+        marks = F.split(F.regexp_replace(flags, "1.", "<>"), "")
+        joined = F.transform(marks, lambda m, i: F.when(m == "<", F.shiftright(low, BITS)).when(m == "0", part(F.get(x, i))))
+        return with_value(F.filter(joined, lambda y: y.isNotNull()), entries)
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, decoded``: the bytes of each row's ``ids``, their pieces one after the other."""
-    schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("decoded", T.BinaryType())])
+    def merge(x: Column, low: Column, at: Column) -> Column:
+        many = (F.size(x) > 64) & F.array_contains(F.slice(x, at + 1, F.size(x)), low)
+        return F.when(many, several(x, low)).otherwise(one(x, F.shiftright(low, BITS), at))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [_decoded(np.frombuffer(x or b"", "<u4"), ranks_path, pattern) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=schema.names)
+    def step(x: Column, _) -> Column:
+        return with_value(F.array_min(x), lambda low: F.when(low >= NONE << BITS, x).otherwise(merge(x, low, F.array_position(x, low).cast("int"))))
 
-    return encoded.select(id_col, "ids").mapInArrow(of, schema)
+    letters = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(ranks["letters"], F.ascii(c)))
+    return with_value(letters, lambda raw: F.aggregate(raw, entries(raw), step, lambda x: F.transform(x, lambda y: part(y).cast("int"))))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256``: encoded and decoded in one pass, digests out."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def words_of(text: Column, pattern: str) -> Column:
+    """The words of a text, cut by Spark's own regular expressions; null as empty."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in _encoded(batches, ranks_path, pattern):
-            yield pa.RecordBatch.from_arrays(
-                [part, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                 pa.array([hashlib.sha256(_decoded(x, ranks_path, pattern)).hexdigest() for x in ids])], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(of, schema)
+def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+    """``(word)``: the distinct words of all texts, of more than ``most`` those that occur most."""
+    words = docs.select(F.explode(words_of(F.col(text_col), pattern)).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
-def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """``(word)``: the distinct pieces of all texts, cut by Spark's own regular expressions."""
-    return docs.select(F.explode(F.regexp_extract_all(text_col, F.lit(pattern), 0)).alias("word")).distinct()
+def dictionary(words: DataFrame, ranks: Column) -> tuple[Column, int]:
+    """The ids of ``words`` as one literal like the rank map, by the word, and its number of maps.
+    The words are bounded in number and go through the driver."""
+    spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coded = words.repartition(spread, "word").select("word", with_value(ranks, lambda r: fold(F.col("word"), r)).alias("ids")).collect()
+    maps: list[dict[str, list[int]]] = [{} for _ in range(1 << max(4, len(coded).bit_length()))]
+    for word, ids in coded:
+        maps[zlib.crc32(word.encode()) % len(maps)][word] = ids
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,array<int>>>"), len(maps)
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``words(word)`` with ``ids``, by higher-order functions alone.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+    """``id_col, ids``: ids of every whole text, an array of int.
 
-    The ranks are one literal: an array of small maps, of which a piece's CRC picks one. The fold
-    runs once for each byte and merges the pair of lowest rank, if there is one.
+    Null or empty text: no ids. Rows are encoded each by itself, also where ids are null or repeat;
+    other columns are ignored. Empty in, empty out. A text and its ids have to fit a row. ``most``
+    bounds the dictionary (about 100 bytes a word in each task), not the words that are encoded.
     """
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
+    ranks = rank_map(read_ranks(ranks_path))
+    known, slots = dictionary(frequent_words(docs, pattern, text_col, most), ranks)
+    found = lambda table, w: F.element_at(F.element_at(table, (F.crc32(w.cast("binary")) % slots + 1).cast("int")), w)
+    cut = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col), pattern).alias("_words"))
+    ids = with_value(ranks, lambda r: with_value(known, lambda table: F.flatten(F.transform("_words", lambda w: F.coalesce(found(table, w), fold(w, r))))))
+    return cut.select(F.col("_id").alias(id_col), ids.alias("ids"))
+
+
+def _concatenated(ids: Column, pieces: Column) -> Column:
+    """The pieces of ``ids`` end to end; casts between binary and string keep the bytes."""
+    return with_value(pieces, lambda own: F.array_join(F.transform(ids, lambda i: F.get(own, i).cast("string")), "").cast("binary"))
+
+
+def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``id_col, decoded``: the bytes of each row's ``ids``, their binary pieces one after the other."""
+    ranks = read_ranks(ranks_path)
+    pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        maps[zlib.crc32(piece) % MAPS][piece.hex().upper()] = rank
-    literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-    none = (1 << 31) - 1
-
-    def rank(piece):
-        return F.coalesce(F.element_at(F.element_at(literal, (F.crc32(piece) % MAPS + 1).cast("int")), F.hex(piece)), F.lit(none))
-
-    def step(parts, _):
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))))
-        merged = F.transform(F.array(F.array_position(pairs, F.array_min(pairs)).cast("int")), lambda i: F.concat(
-            F.slice(parts, F.lit(1), i - 1), F.array(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))),
-            F.slice(parts, i + 2, F.size(parts))))[0]
-        return F.when((F.size(parts) > 1) & (F.array_min(pairs) < none), merged).otherwise(parts)
-
-    raw = F.encode("word", "utf-8")
-    letters = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
-    parts = F.aggregate(F.sequence(F.lit(1), F.length(raw)), letters, step)
-    return words.where(F.length("word") > 0).select("word", F.transform(parts, rank).alias("ids"))
+        pieces[rank] = piece
+    return encoded.select(id_col, _concatenated(F.col(ids_col), piece_list(pieces)).alias("decoded"))
+
+
+def little_endian(ids: Column, ranks_path: str) -> Column:
+    """``ids`` as unsigned 32-bit integers, little-endian, end to end."""
+    most = max(read_ranks(ranks_path).values())
+    return _concatenated(ids, piece_list([i.to_bytes(4, "little") for i in range(most + 1)]))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+    """``id_col, n_tokens, ids_sha256, decoded_sha256``: encoded, then decoded from the ids."""
+    coded = encode(docs, ranks_path, pattern, id_col, text_col, most).withColumnRenamed(id_col, "_id")
+    kept = coded.withColumn("_both", F.struct("_id", "ids"))
+    back = decode(kept, ranks_path, "_both").select("_both._id", "_both.ids", "decoded")
+    return back.select(F.col("_id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(little_endian(F.col("ids"), ranks_path), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_byte_bpe(spark, sf_dir):

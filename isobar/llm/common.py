@@ -11,15 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is made and set.
+    A session on one machine that has none, as in tests, gets a temporary folder; on a cluster
+    without it this is an error, for no machine's own folder is seen by the others.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="isobar-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        app = spark.sparkContext.applicationId
+        found = _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="isobar-"))
     return found.rstrip("/")
 
 

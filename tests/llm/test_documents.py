@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from isobar.llm import bpe, packing, quality, simhash, substrings
 from isobar.llm.common import components
@@ -245,20 +246,30 @@ def test_byte_bpe(edges, real):
             assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest()), r.doc_id
             assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
         if df is edges[1]:
-            decoded = bpe.decode(bpe.encode(df, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
-            assert all(bytes(r.decoded).decode() == texts[r.doc_id] for r in decoded)
+            decoded = bpe.decode(bpe.encode(df, path, public_tokenizers.PATTERN, most=5), path).collect()
+            assert len(decoded) == df.count() and all(bytes(r.decoded).decode() == texts[r.doc_id] for r in decoded)
 
 
-def test_byte_bpe_by_higher_order_functions(spark):
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ranks = bpe.read_ranks(path)
-    words = bpe.distinct_words(spark.createDataFrame([("the quick höhle 123 don't <|x|>",), ("über 日本 the",), (None,)], "text string"), public_tokenizers.PATTERN)
-    got = bpe.encode_words(words, ranks).collect()
-    assert len(got) >= 10
-    for r in got:
+def test_every_token_encodes_to_itself():
+    """What merging equal pairs at once rests on."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert all(bpe.merge_word(t, ranks) == [r] for t, r in ranks.items())
+
+
+def test_fold_of_long_and_odd_words(spark):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    words = [" the", "a" * 700, "=-" * 150, "日本語" * 60, "é", "\U0001f600" * 40, "antidisestablishmentarianism" * 5, "\x00\x01", "aab" * 90]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    rows = table.select("word", bpe.with_value(bpe.rank_map(ranks), lambda r: bpe.fold(F.col("word"), r)).alias("ids")).collect()
+    for r in rows:
         assert list(r.ids) == bpe.merge_word(r.word.encode(), ranks), r.word
 
 
+def test_byte_bpe_plan_has_no_python(spark, sf_dir):
+    plan = bpe.op7_byte_bpe(spark, sf_dir)._jdf.queryExecution().executedPlan().nodeName()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
 def test_empty_tables(spark):
     docs = table(spark, []).limit(0)
     assert quality.quality(docs).count() == 0 and quality.quality_kept(docs).count() == 0
