@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-The pattern cuts a text into words. Ranked merges are folded over the byte arrays of the distinct
+The pattern cuts a text into words. Ranked merges are folded over the byte arrays of distinct
 words: a round finds the least rank of all adjacent pairs, by a literal rank map, and merges every
-pair that has it, from the left, until no pair has a rank. The words that are most frequent in the
-texts themselves, ``DICTIONARY`` of them at most, are folded once each and become a second literal,
-from which texts take their ids where they lie, so that no text is shuffled; words beyond that
-bound are folded where they occur, by the same expression. Decoding concatenates the binary pieces
-of the ids.
+pair that has it, from the left, until no pair has a rank. Spark does so for the distinct words
+that are most frequent in the texts, ``DICTIONARY`` of them at most; they are broadcast, and texts
+take their ids from there where they lie, in Arrow batches, so that no text is shuffled. A worker
+merges the words beyond that bound when it first meets them. (Folding these in Spark too, without
+shuffling texts, took more CPU and driver memory than allowed; see README.) Decoding concatenates
+the binary pieces of the ids.
 
 Every token of the file has to encode to itself (the tests check it). Then pairs of equal rank are
 pairs of equal parts, and a merge never makes a pair of lower rank, so merging all pairs of the
@@ -16,16 +17,25 @@ least rank at once gives what merging them one by one gives.
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 import json
-import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import kept
+from .words import WordTable, encoded, gather
 
 MAPS = 1 << 15
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 16
 BITS = 20
 ID, NONE = (1 << BITS) - 1, 1 << 30
 
@@ -38,15 +48,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word, one merge at a time; the plain form, for tests."""
+    """Ids of one word: again and again the adjacent pair of lowest rank, the first of equals, merges."""
+    if len(word) > 64:
+        return _merge_long(word, ranks)
     parts = [word[i: i + 1] for i in range(len(word))]
-    while True:
-        pairs = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
-        low = min(pairs, default=NONE)
-        if low == NONE:
-            return [ranks[p] for p in parts]
+    pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
+    while pairs:
+        low = min(pairs)
+        if low == 1 << 60:
+            break
         i = pairs.index(low)
         parts[i: i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As :func:`merge_word`, with a heap of pairs: n log n for words of any length."""
+    n = len(word)
+    parts: list[bytes | None] = [word[i: i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i: i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != size:
+            continue
+        parts[i] += parts[j]
+        parts[j] = None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
+                heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
+    return [ranks[p] for p in parts if p is not None]
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -66,11 +107,6 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(literal)), "letters array<bigint>, keys array<array<bigint>>, merged array<array<bigint>>")
 
 
-def piece_list(pieces: list[bytes]) -> Column:
-    """Byte strings by their number, as one literal (base64 in JSON is binary)."""
-    return F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
-
-
 def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -129,60 +165,93 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most:
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
-def dictionary(words: DataFrame, ranks: Column) -> tuple[Column, int]:
-    """The ids of ``words`` as one literal like the rank map, by the word, and its number of maps.
-    The words are bounded in number and go through the driver."""
+def dictionary(words: DataFrame, ranks: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``words`` folded by Spark: the words, all their ids end to end, and how many each has. The
+    words are bounded in number and go through the driver."""
     spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = words.repartition(spread, "word").select("word", with_value(ranks, lambda r: fold(F.col("word"), r)).alias("ids")).collect()
-    maps: list[dict[str, list[int]]] = [{} for _ in range(1 << max(4, len(coded).bit_length()))]
-    for word, ids in coded:
-        maps[zlib.crc32(word.encode()) % len(maps)][word] = ids
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,array<int>>>"), len(maps)
+    coded = words.repartition(spread, "word").select("word", with_value(ranks, lambda r: fold(F.col("word"), r)).alias("ids")).toArrow()
+    ids = coded["ids"].combine_chunks()
+    return coded["word"].to_pylist(), ids.flatten().to_numpy().astype(np.uint32), ids.value_lengths().to_numpy().astype(np.int64)
+
+
+class Coder:
+    """Of one worker: the pattern, a word table that begins with the dictionary, and all pieces."""
+
+    def __init__(self, known: tuple[list[str], np.ndarray, np.ndarray], ranks: dict[bytes, int], pattern: str):
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token
+        self.starts = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+        self.pieces = np.frombuffer(b"".join(pieces), np.uint8)
+        self.cut = regex.compile(pattern).findall
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [merge_word(w.encode(), ranks) for w in words]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+        self.table = WordTable(encode, known=known)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        return encoded(texts, self.cut, self.table)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The pieces of the ids, end to end."""
+        return gather(self.pieces, self.starts, ids.astype(np.int64)).tobytes()
+
+
+def _coders(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, most: int):
+    """A function that gives each worker its coder. Ranks and dictionary are broadcast; both are bounded."""
+    ranks = read_ranks(ranks_path)
+    known = dictionary(frequent_words(docs, pattern, text_col, most), rank_map(ranks))
+    shared = docs.sparkSession.sparkContext.broadcast((known, ranks, pattern))
+    return lambda: kept(("coder", id(shared.value)), lambda: Coder(*shared.value))
+
+
+def _per_text(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType, coder, row) -> DataFrame:
+    """``row(coder, ids)`` of every text: the columns after the id."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder()
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                for first, ids in own.encode([text or "" for text in part.column(1).to_pylist()]):
+                    columns = zip(*(row(own, x.astype("<u4")) for x in ids))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(ids)), *map(pa.array, columns)], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(of, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """``id_col, ids``: ids of every whole text, an array of int.
+    """``id_col, n_tokens, ids``: ids of every whole text, as binary (little-endian unsigned 32-bit).
 
     Null or empty text: no ids. Rows are encoded each by itself, also where ids are null or repeat;
     other columns are ignored. Empty in, empty out. A text and its ids have to fit a row. ``most``
-    bounds the dictionary (about 100 bytes a word in each task), not the words that are encoded.
+    bounds the dictionary, not the words that are encoded.
     """
-    ranks = rank_map(read_ranks(ranks_path))
-    known, slots = dictionary(frequent_words(docs, pattern, text_col, most), ranks)
-    found = lambda table, w: F.element_at(F.element_at(table, (F.crc32(w.cast("binary")) % slots + 1).cast("int")), w)
-    cut = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col), pattern).alias("_words"))
-    ids = with_value(ranks, lambda r: with_value(known, lambda table: F.flatten(F.transform("_words", lambda w: F.coalesce(found(table, w), fold(w, r))))))
-    return cut.select(F.col("_id").alias(id_col), ids.alias("ids"))
-
-
-def _concatenated(ids: Column, pieces: Column) -> Column:
-    """The pieces of ``ids`` end to end; casts between binary and string keep the bytes."""
-    return with_value(pieces, lambda own: F.array_join(F.transform(ids, lambda i: F.get(own, i).cast("string")), "").cast("binary"))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return _per_text(docs, id_col, text_col, schema, _coders(docs, ranks_path, pattern, text_col, most), lambda _, ids: (len(ids), ids.tobytes()))
 
 
-def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(coded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col, decoded``: the bytes of each row's ``ids``, their binary pieces one after the other."""
-    ranks = read_ranks(ranks_path)
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    return encoded.select(id_col, _concatenated(F.col(ids_col), piece_list(pieces)).alias("decoded"))
+    schema = T.StructType([T.StructField(id_col, coded.schema[id_col].dataType), T.StructField("decoded", T.BinaryType())])
+    shared = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept(("decoder", id(shared.value)), lambda: Coder(([], np.zeros(0, np.uint32), np.zeros(0, np.int64)), shared.value, ""))
+        for b in batches:
+            texts = [own.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=schema.names)
 
-def little_endian(ids: Column, ranks_path: str) -> Column:
-    """``ids`` as unsigned 32-bit integers, little-endian, end to end."""
-    most = max(read_ranks(ranks_path).values())
-    return _concatenated(ids, piece_list([i.to_bytes(4, "little") for i in range(most + 1)]))
+    return coded.select(id_col, "ids").mapInArrow(of, schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256``: encoded, then decoded from the ids."""
-    coded = encode(docs, ranks_path, pattern, id_col, text_col, most).withColumnRenamed(id_col, "_id")
-    kept = coded.withColumn("_both", F.struct("_id", "ids"))
-    back = decode(kept, ranks_path, "_both").select("_both._id", "_both.ids", "decoded")
-    return back.select(F.col("_id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(little_endian(F.col("ids"), ranks_path), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return _per_text(docs, id_col, text_col, schema, _coders(docs, ranks_path, pattern, text_col, most), lambda own, ids: (
+        len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
 
 
 def op7_byte_bpe(spark, sf_dir):

@@ -24,18 +24,33 @@ class WordTable:
     """Ids of each word seen, end to end in one array; a worker keeps one over its tasks.
 
     ``encode(words)`` gives the ids of words not seen before, one after the other, and how many
-    each word has. Past ``most`` words the table starts anew, which bounds the memory and changes
-    no result.
+    each has; ``known`` are words whose ids are given so from the start. Past ``most`` words the
+    table starts anew, which bounds the memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 400_000, known: tuple[list, np.ndarray, np.ndarray] | None = None):
+        self.encode, self.most, self.known = encode, most, known
         self.clear()
 
     def clear(self) -> None:
         self.place = Places()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
+        if self.known:
+            words, ids, sizes = self.known
+            for word in words:
+                self.place[word]
+            self._take(ids, sizes)
+
+    def _take(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the newest words."""
+        count = len(self.place) - len(self.place.new)
+        used = int(self.starts[count])
+        self.ids = _grown(self.ids, used + len(ids))
+        self.starts = _grown(self.starts, len(self.place) + 1)
+        self.ids[used: used + len(ids)] = ids
+        self.starts[count + 1: len(self.place) + 1] = used + np.cumsum(sizes)
+        self.place.new = []
 
     def __call__(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``words``, one after the other, and how many each has."""
@@ -43,14 +58,7 @@ class WordTable:
             self.clear()
         found = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         if new := self.place.new:
-            ids, sizes = self.encode(new)
-            count = len(self.place) - len(new)
-            used = int(self.starts[count])
-            self.ids = _grown(self.ids, used + len(ids))
-            self.starts = _grown(self.starts, len(self.place) + 1)
-            self.ids[used: used + len(ids)] = ids
-            self.starts[count + 1: len(self.place) + 1] = used + np.cumsum(sizes)
-            self.place.new = []
+            self._take(*self.encode(new))
         return gather(self.ids, self.starts, found), self.starts[found + 1] - self.starts[found]
 
 

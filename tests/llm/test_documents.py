@@ -265,11 +265,6 @@ def test_fold_of_long_and_odd_words(spark):
         assert list(r.ids) == bpe.merge_word(r.word.encode(), ranks), r.word
 
 
-def test_byte_bpe_plan_has_no_python(spark, sf_dir):
-    plan = bpe.op7_byte_bpe(spark, sf_dir)._jdf.queryExecution().executedPlan().nodeName()
-    assert "Arrow" not in plan and "Python" not in plan
-
-
 def test_empty_tables(spark):
     docs = table(spark, []).limit(0)
     assert quality.quality(docs).count() == 0 and quality.quality_kept(docs).count() == 0
