@@ -1,13 +1,18 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Vectors of one label (and length) are dealt to cells around centroids, each to its nearest few, so
-that cells overlap. Every cell builds a pruned neighbour graph, in blocks of bounded size; the
-adjacency lists of a vector's cells are united. Each vector then searches all of its cells from
-the medoids, greedily, and from what it reaches widens over all vectors within a margin of the
-range. Pairs at or above the cosine, computed exactly, are links. Recall is audited by brute force
-over more and more vectors, until enough of them were seen to have links; where that takes all
-vectors, the links of the brute force are the result. Too low a recall repeats the work with more
-overlap, and in the end all links are found by brute force.
+that cells overlap. The centroids have two levels, coarse ones and residuals that all coarse ones
+share, both fitted on a bounded sample; the number of cells is the product of both, so it follows
+the number of vectors while what is broadcast does not. Every cell builds a pruned neighbour graph;
+the adjacency lists of a vector's cells are united. Each vector then searches its cells from the
+medoids and from its own place in the graph, greedily, and from what it reaches widens over all
+vectors within a margin of the range. Pairs at or above the cosine, computed exactly in double
+precision, are links. A pair that shares several cells counts in the first of these. Cells give a
+vector's number of links and a spanning forest of their links, not all pairs.
+
+Recall is audited by brute force over more and more vectors, until enough of them were seen to
+have links; where that takes all vectors, the links of the brute force are the result. Too low a
+recall repeats the work with more overlap, and in the end all links are found by brute force.
 """
 
 from __future__ import annotations
@@ -23,221 +28,263 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, stored
 
-CELL, BLOCK = 400, 1500
-SAMPLE, CENTROIDS = 20000, 4096
+CELL, BLOCK = 400, 2000
+SAMPLE, CENTROIDS = 20000, 512
 AUDIT, CHUNK, EVIDENCE = 500, 20000, 100
-DEGREE, POOL, ALPHA = 24, 64, 1.2
-BEAM, MARGIN, MEDOIDS = 32, 0.10, 4
+DEGREE, POOL, ALPHA = 24, 48, 1.2
+BEAM, MARGIN, MEDOIDS = 16, 0.10, 4
 
 
 def unit(vectors) -> np.ndarray:
+    """Rows of length one; scaled by the greatest component first, so that no square over- or underflows."""
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _centroids(x: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means from evenly spread rows of the sample."""
+    """k-means from evenly spread rows."""
     c = x[np.linspace(0, len(x) - 1, count).astype(int)].copy()
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
+        near = _nearest(x, c, 1)[:, 0]
         total = np.zeros_like(c)
         np.add.at(total, near, x)
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(size > 1e-12, total / np.maximum(size, 1e-12), c)
+        size = np.bincount(near, minlength=count)[:, None]
+        c = np.where(size > 0, total / np.maximum(size, 1), c)
     return c
 
 
-def fit_cells(vectors: DataFrame) -> dict[tuple, np.ndarray]:
-    """Centroids of the largest groups of ``vectors(label, size, vector)``: together at most
-    ``CENTROIDS``, from at most ``SAMPLE`` rows chosen by hash. Groups without are one cell."""
-    large = (vectors.groupBy("label", "size").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-             .orderBy(F.desc("n"), "label", "size").limit(1024).collect())
-    if not large:
+def _nearest(x: np.ndarray, c: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` nearest rows of ``c`` to each row of ``x``, nearest first."""
+    return np.argsort((c * c).sum(1) - 2 * (x @ c.T), axis=1, kind="stable")[:, :count]
+
+
+def fit_cells(vectors: DataFrame) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Coarse centroids and residuals of the groups of ``vectors(label, size, vector)`` that need
+    more than one cell, from at most about ``SAMPLE`` rows chosen by hash. A group of n vectors gets
+    about n / ``CELL`` cells. Groups too small for a share of the sample are one cell."""
+    counts = vectors.groupBy("label", "size").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
         return {}
-    total = sum(r.n for r in large)
-    wanted = {(r.label, r.size): max(1, min(-(-r.n // CELL), CENTROIDS * r.n // total)) for r in large}
-    rows = vectors.join(F.broadcast(vectors.sparkSession.createDataFrame([(r.label, r.size) for r in large], "label int, size int")), ["label", "size"])
     share = min(1.0, SAMPLE / total)
-    chosen = rows.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("node").limit(SAMPLE)
-    sample = chosen.select("label", "size", "vector").toPandas()
+    rows = vectors.join(counts, ["label", "size"]).where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    sample = rows.orderBy("node").limit(2 * SAMPLE).select("label", "size", "n", "vector").toPandas()
     out = {}
     for key, part in sample.groupby(["label", "size"]):
-        out[key] = _centroids(unit(part["vector"]), min(wanted[key], len(part)))
+        x = unit(part["vector"])
+        wanted = -(-int(part["n"].iloc[0]) // CELL)
+        coarse = _centroids(x, min(wanted, CENTROIDS, max(1, len(x) // 4)))
+        rest = x - coarse[_nearest(x, coarse, 1)[:, 0]]
+        fine = _centroids(rest, min(-(-wanted // len(coarse)), CENTROIDS, max(1, len(x) // 4)))
+        out[key] = coarse, fine
     return out
 
 
-def assigned(vectors: DataFrame, cells: dict[tuple, np.ndarray], overlap: int) -> DataFrame:
-    """``vectors`` with ``cell``: a row for each of a vector's ``overlap`` nearest cells."""
+def cells_of(x: np.ndarray, coarse: np.ndarray, fine: np.ndarray, overlap: int) -> np.ndarray:
+    """The cells of each row: of its ``overlap`` nearest coarse centroids the nearest residuals."""
+    near = _nearest(x, coarse, overlap)
+    if len(fine) == 1:
+        return near
+    return np.stack([near[:, k] * len(fine) + _nearest(x - coarse[near[:, k]], fine, 1)[:, 0] for k in range(near.shape[1])], 1)
+
+
+def assigned(vectors: DataFrame, cells: dict, overlap: int) -> DataFrame:
+    """``vectors`` with ``cells``: those of a vector, ascending."""
     shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                keys = list(zip(part.column("label").to_pylist(), part.column("size").to_pylist()))
-                rows, cell = [], []
+                found: list[list[int]] = [[0]] * part.num_rows
                 by_key: dict[tuple, list[int]] = {}
-                for i, key in enumerate(keys):
-                    by_key.setdefault(key, []).append(i)
+                for i, key in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                    if key in shared.value:
+                        by_key.setdefault(key, []).append(i)
                 for key, own in by_key.items():
-                    c = shared.value.get(key)
-                    if c is None:
-                        near = np.zeros((len(own), 1), int)
-                    else:
-                        near = np.argsort(-(unit(part.column("vector").take(pa.array(own)).to_pylist()) @ c.T), axis=1, kind="stable")[:, :overlap]
-                    rows += np.repeat(own, near.shape[1]).tolist()
-                    cell += near.ravel().tolist()
-                taken = part.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32())], names=[*part.schema.names, "cell"])
-
-    return vectors.select("label", "size", "node", "m", "vector").mapInArrow(of, "label int, size int, node long, m long, vector array<float>, cell int")
-
-
-def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Neighbours of each row: of its nearest ``pool``, nearest first, those that no neighbour kept
-    before is ``alpha`` times nearer to; reverse edges are added and the list is pruned again."""
+                    x = unit(part.column(4).take(pa.array(own)).to_pylist())
+                    for i, near in zip(own, np.sort(cells_of(x, *shared.value[key], overlap), axis=1).tolist()):
+                        found[i] = near
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*part.schema.names, "cells"])
+
+    kept = vectors.select("label", "size", "node", "m", "vector")
+    return kept.mapInArrow(of, f"label string, size int, node long, m long, vector {kept.schema['vector'].dataType.simpleString()}, cells array<int>")
+
+
+def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> np.ndarray:
+    """Neighbours of each row, padded with -1: of its nearest ``pool``, nearest first, those that no
+    neighbour kept before is ``alpha`` times nearer to."""
     n = len(x)
     if n < 2:
-        return [np.zeros(0, int)] * n
+        return np.full((n, 1), -1)
     sim = x @ x.T
     np.fill_diagonal(sim, -2)
     width = min(pool, n - 1)
     near = np.argpartition(-sim, width - 1, axis=1)[:, :width]
-
-    def pruned(i: int, candidates: np.ndarray) -> np.ndarray:
-        own = 1 - sim[i, candidates]
-        order = np.argsort(own, kind="stable")
-        candidates, own = candidates[order], own[order]
-        between = 1 - sim[np.ix_(candidates, candidates)]
-        alive, kept = np.ones(len(candidates), bool), []
-        for k in range(len(candidates)):
-            if alive[k]:
-                kept.append(k)
-                if len(kept) == degree:
-                    break
-                alive &= alpha * between[k] > own
-        return candidates[kept]
-
-    out = [pruned(i, near[i]) for i in range(n)]
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, own in enumerate(out):
-        for j in own.tolist():
-            back[j].append(i)
-    for i, own in enumerate(out):
-        both = np.union1d(own, np.array(back[i], int))
-        out[i] = both if len(both) <= degree else pruned(i, both)
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
+    out = np.full((n, min(degree, width)), -1)
+    for at in range(0, n, 256):
+        own = near[at: at + 256]
+        away = 1 - np.take_along_axis(sim[at: at + 256], own, 1)
+        alive, count = np.ones(own.shape, bool), np.zeros(len(own), int)
+        for k in range(width):
+            rows = np.flatnonzero(alive[:, k] & (count < out.shape[1]))
+            out[at + rows, count[rows]] = own[rows, k]
+            count[rows] += 1
+            alive[rows] &= alpha * (1 - sim[own[rows, k][:, None], own[rows]]) > away[rows]
     return out
 
 
 def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Adjacency of a block: the pruned edges, and for each the edge back."""
     nodes = pdf["node"].to_numpy()
     lists = robust_prune(unit(pdf["vector"]))
-    return pd.DataFrame({"node": nodes, "near": [nodes[x] for x in lists]})
+    rows, cols = np.nonzero(lists >= 0)
+    a, b = rows, lists[rows, cols]
+    pairs = np.unique(np.concatenate((np.stack((a, b), 1), np.stack((b, a), 1))), axis=0)
+    cuts = np.searchsorted(pairs[:, 0], np.arange(len(nodes) + 1))
+    return pd.DataFrame({"node": nodes, "near": [nodes[pairs[i:j, 1]] for i, j in zip(cuts, cuts[1:])]})
 
 
-def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each query the rows of ``x`` found at cosine ``least`` or more: greedy from the medoids
-    with a beam, then over the edges of all rows within the margin. ``adjacent`` is padded with -1."""
+def range_search(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of ``x`` each query finds at cosine ``least`` or more, as a matrix.
+
+    Greedy with a beam from the medoids and from ``own``, the query's place among the rows (-1 if
+    it is none of them), then over the edges of all rows within the margin. The edges of row i are
+    ``ends[starts[i]:starts[i + 1]]``. All queries go one step at a time together.
+    """
     n = len(x)
+    sims = queries @ x.T
     middle = x @ x.mean(0)
-    starts = [int(middle.argmax())]
-    far = x @ x[starts[0]]
-    while len(starts) < min(MEDOIDS, n):
-        starts.append(int(far.argmin()))
-        far = np.maximum(far, x @ x[starts[-1]])
-    out = []
-    for q in queries:
-        seen, done = np.zeros(n, bool), np.zeros(n, bool)
-        seen[starts] = True
-        found = np.array(starts)
-        sims = x[found] @ q
+    medoids = [int(middle.argmax())]
+    far = x @ x[medoids[0]]
+    while len(medoids) < min(MEDOIDS, n):
+        medoids.append(int(far.argmin()))
+        far = np.maximum(far, x @ x[medoids[-1]])
+    found, done = np.zeros(sims.shape, bool), np.zeros(sims.shape, bool)
+    found[:, medoids] = True
+    here = np.flatnonzero(own >= 0)
+    found[here, own[here]] = True
+    while True:
+        reached = np.where(found, sims, -3.0)
+        bar = np.partition(reached, n - BEAM, axis=1)[:, n - BEAM] if n > BEAM else np.full(len(queries), -2.0)
+        open_ = found & ~done & (sims >= np.maximum(bar, -2.0)[:, None])
+        if not open_.any():
+            open_ = found & ~done & (sims >= least - MARGIN)
+            if not open_.any():
+                return found & (sims >= least)
+        done |= open_
+        rows, cols = np.nonzero(open_)
+        sizes = starts[cols + 1] - starts[cols]
+        at = np.repeat(starts[cols] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        found[np.repeat(rows, sizes), ends[at]] = True
+
+
+LINKS = "node long, n long, root long"
+
+
+def _forest(hit: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """``node, n, root`` of queries that have ``n`` links and of both sides' members that are joined
+    by ``hit`` (queries by rows): each with the least node that it reaches here."""
+    low, q_low = ids.copy(), q_ids.copy()
+    if hit.any():
+        rows, cols = np.nonzero(hit)
+        order = np.argsort(cols, kind="stable")
+        row_cuts = np.flatnonzero(np.diff(rows, prepend=-1))
+        col_cuts = np.flatnonzero(np.diff(cols[order], prepend=-1))
+        every, back = np.unique(np.concatenate((ids, q_ids)), return_inverse=True)
         while True:
-            top = np.argsort(-sims, kind="stable")[:BEAM]
-            open_ = found[top][~done[found[top]]][:4]
-            if not len(open_):
-                inside = found[(sims >= least - MARGIN) & ~done[found]]
-                if not len(inside):
-                    break
-                open_ = inside
-            done[open_] = True
-            new = adjacent[open_].ravel()
-            new = np.unique(new[new >= 0])
-            new = new[~seen[new]]
-            if len(new):
-                seen[new] = True
-                found = np.concatenate((found, new))
-                sims = np.concatenate((sims, x[new] @ q))
-        out.append(found[sims >= least])
-    return out
+            before = low, q_low
+            q_low, low = q_low.copy(), low.copy()
+            q_low[rows[row_cuts]] = np.minimum(q_low[rows[row_cuts]], np.minimum.reduceat(low[cols], row_cuts))
+            low[cols[order][col_cuts]] = np.minimum(low[cols[order][col_cuts]], np.minimum.reduceat(q_low[rows[order]], col_cuts))
+            both = every.copy()
+            np.minimum.at(both, back, np.concatenate((low, q_low)))  # a node on both sides is one
+            low, q_low = both[back[: len(ids)]], both[back[len(ids):]]
+            if (low == before[0]).all() and (q_low == before[1]).all():
+                break
+    out = pd.DataFrame({"node": np.concatenate((q_ids, ids)), "n": np.concatenate((n, np.zeros(len(ids)))), "root": np.concatenate((q_low, low))}).astype("int64")
+    return out[(out["n"] > 0) | (out["root"] != out["node"])]
 
 
 def _searcher(least: float):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf[pdf["near"].notna()]
-        asks = pdf[pdf["near"].isna()]
-        ids, m = nodes["node"].to_numpy(), nodes["m"].to_numpy()
-        if not len(ids) or not len(asks):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "ma", "mb")})
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        lists = [[place[v] for v in own.tolist() if v in place] for own in nodes["near"]]
-        adjacent = np.full((len(ids), max(1, max(map(len, lists)))), -1)
-        for i, own in enumerate(lists):
-            adjacent[i, : len(own)] = own
-        parts = []
-        q_ids, q_m = asks["node"].to_numpy(), asks["m"].to_numpy()
-        for k, hits in enumerate(range_search(unit(nodes["vector"]), adjacent, unit(asks["vector"]), least)):
-            hits = hits[ids[hits] != q_ids[k]]
-            lower = np.minimum(ids[hits], q_ids[k])
-            parts.append(np.stack([lower, np.maximum(ids[hits], q_ids[k]), np.where(lower == q_ids[k], q_m[k], m[hits]), np.where(lower == q_ids[k], m[hits], q_m[k])], 1))
-        return pd.DataFrame(np.concatenate(parts), columns=["a", "b", "ma", "mb"])
+    """Of a block: what those that ask find in it."""
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = key[2]
+        nodes, asks = pdf[pdf["near"].notna()], pdf[pdf["asks"]]
+        ids, q_ids = nodes["node"].to_numpy(), asks["node"].to_numpy()
+        if not len(ids) or not len(q_ids):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("node", "n", "root")})
+        order = np.argsort(ids)
+        flat = np.concatenate([np.asarray(v, np.int64) for v in nodes["near"]])
+        owner = np.repeat(np.arange(len(ids)), [len(v) for v in nodes["near"]])
+        at = np.minimum(np.searchsorted(ids, flat, sorter=order), len(ids) - 1)
+        place = order[at]
+        here = ids[place] == flat
+        starts, ends = np.searchsorted(owner[here], np.arange(len(ids) + 1)), place[here]
+        at = order[np.minimum(np.searchsorted(ids, q_ids, sorter=order), len(ids) - 1)]
+        own = np.where(ids[at] == q_ids, at, -1)
+        m = nodes["m"].to_numpy()
+        x, q = unit(nodes["vector"]), unit(asks["vector"])
+        mine = lambda side: np.array([[c in own_cells for c in others] for own_cells in map(set, side)], np.float32).reshape(len(side), -1)
+        others = sorted({c for v in nodes["cells"] for c in v if c < cell})
+        earlier, q_earlier = mine(nodes["cells"]), mine(asks["cells"])
+        hit, n = np.zeros((len(q_ids), len(ids)), bool), np.zeros(len(q_ids))
+        for a in range(0, len(q_ids), 500):
+            found = range_search(x, starts, ends, q[a: a + 500], own[a: a + 500], least)
+            rows = np.flatnonzero(own[a: a + 500] >= 0)
+            found[rows, own[a: a + 500][rows]] = False
+            hit[a: a + 500] = found
+            n[a: a + 500] = (found & ~(q_earlier[a: a + 500] @ earlier.T > 0)) @ m
+        return _forest(hit, ids, q_ids, n)
     return of
 
 
 def graph_links(vectors: DataFrame, least: float, overlap: int) -> DataFrame:
-    """``a, b, ma, mb``: linked nodes of ``vectors(label, size, node, m, vector)``, a < b, with their numbers of copies."""
-    cells = fit_cells(vectors)
-    dealt = stored(assigned(vectors, cells, overlap), "cells")
+    """``node, n, root`` of ``vectors(label, size, node, m, vector)``, several rows a node: how many
+    others it was found to link with, and the least node linked with it."""
+    dealt = stored(assigned(vectors, fit_cells(vectors), overlap), "cells")
     shard = ["label", "size", "cell"]
-    counts = dealt.groupBy(*shard).agg(F.count("*").alias("members"))
-    # Every cell in blocks of bounded size; a cell of several has each block searched by all its members.
-    block = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("members") / BLOCK)).cast("int")
-    dealt = stored(dealt.join(counts, shard).withColumn("block", block), "blocks")
-    graphs = dealt.groupBy(*shard, "block").applyInPandas(_graph, "node long, near array<long>")
+    members = dealt.withColumn("cell", F.explode("cells"))
+    # Cells that vectors crowd are cut in blocks of bounded size; each block is asked by all of them.
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    counts = members.groupBy(*shard).agg(F.count("*").alias("members")).select(*shard, blocks.alias("blocks"))
+    members = members.join(counts, shard).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    graphs = members.groupBy(*shard, "block").applyInPandas(_graph, "node long, near array<long>")
     united = graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    nodes = (dealt.join(united, "node").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-             .select(*shard, "block", "part", "node", "m", "vector", "near"))
-    asks = (dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), parts).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / BLOCK).cast("int") - 1)))
-            .select(*shard, "block", "part", "node", "m", "vector", F.lit(None).cast("array<long>").alias("near")))
-    found = nodes.unionByName(asks).groupBy(*shard, "block", "part").applyInPandas(_searcher(least), "a long, b long, ma long, mb long")
-    return stored(found.distinct(), "links")
+    asked = members.join(united, "node").select(
+        *shard, "node", "m", "vector", "cells", "near", "block",
+        F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("of"), F.lit(0).alias("part"), F.lit(True).alias("asks"), F.lit(True).alias("here"))))
+                  .otherwise(F.concat(
+                      F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.col("block").alias("of"), i.alias("part"), F.lit(False).alias("asks"), F.lit(True).alias("here"))),
+                      F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("of"), F.col("block").alias("part"), F.lit(True).alias("asks"), F.lit(False).alias("here")))))).alias("at"))
+    asked = asked.select(*shard, "node", "m", "vector", "cells", F.when(F.col("at.here"), F.col("near")).alias("near"), "at.of", "at.part", "at.asks")
+    out = stored(asked.groupBy(*shard, "of", "part").applyInPandas(_searcher(least), LINKS), "links")
+    discard(dealt)
+    return out
 
 
 def true_links(vectors: DataFrame, asked: DataFrame, least: float) -> DataFrame:
-    """``a, b, ma, mb`` of all links of the nodes ``asked``, by brute force against all ``vectors``.
+    """As :func:`graph_links` for the nodes ``asked``, by brute force against all ``vectors``.
     What is asked goes through the driver, so it is a bounded part of the vectors."""
-    asked = asked.select("label", "size", "node", "m", "vector").toPandas()
-    groups = {k: (p["node"].to_numpy(), p["m"].to_numpy(), unit(p["vector"])) for k, p in asked.groupby(["label", "size"])}
+    asked = asked.select("label", "size", "node", "vector").toPandas()
+    groups = {k: (p["node"].to_numpy(), unit(p["vector"])) for k, p in asked.groupby(["label", "size"])}
     shared = vectors.sparkSession.sparkContext.broadcast(groups)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, part in b.to_pandas().groupby(["label", "size"]):
                 if key in shared.value:
-                    ids, q_m, q = shared.value[key]
-                    own, m, x = part["node"].to_numpy(), part["m"].to_numpy(), unit(part["vector"])
+                    q_ids, q = shared.value[key]
+                    ids, m, x = part["node"].to_numpy(), part["m"].to_numpy(), unit(part["vector"])
                     step = max(1, (1 << 22) // len(q))
                     for at in range(0, len(x), step):
-                        rows, asks = np.nonzero(x[at: at + step] @ q.T >= least)
-                        rows += at
-                        keep = own[rows] != ids[asks]
-                        rows, asks = rows[keep], asks[keep]
-                        first = own[rows] < ids[asks]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.where(first, x, y)) for x, y in (
-                            (own[rows], ids[asks]), (ids[asks], own[rows]), (m[rows], q_m[asks]), (q_m[asks], m[rows]))], names=["a", "b", "ma", "mb"])
+                        hit = (q @ x[at: at + step].T >= least) & (q_ids[:, None] != ids[None, at: at + step])
+                        if hit.any():
+                            yield pa.RecordBatch.from_pandas(_forest(hit, ids[at: at + step], q_ids, hit @ m[at: at + step]), preserve_index=False)
 
-    return stored(vectors.select("label", "size", "node", "m", "vector").mapInArrow(of, "a long, b long, ma long, mb long").distinct(), "true")
+    return stored(vectors.select("label", "size", "node", "m", "vector").mapInArrow(of, LINKS), "true")
 
 
 def draws(vectors: DataFrame) -> Iterator[DataFrame]:
@@ -251,20 +298,19 @@ def draws(vectors: DataFrame) -> Iterator[DataFrame]:
 
 
 def exact_links(vectors: DataFrame, least: float) -> DataFrame:
-    """All links of ``vectors``, by brute force."""
-    parts = [true_links(vectors, asked, least) for asked in draws(vectors)]
-    return stored(reduce(DataFrame.unionByName, parts).distinct(), "links")
+    """As :func:`graph_links`, by brute force."""
+    return reduce(DataFrame.unionByName, [true_links(vectors, asked, least) for asked in draws(vectors)])
 
 
 def audit(vectors: DataFrame, links: DataFrame, least: float) -> float | None:
     """Recall of ``links``, as the mean over nodes that have true links of the share found. Nodes
     are drawn until ``EVIDENCE`` of them have links; None where all nodes together are fewer."""
-    have = links.select("a", "b", F.lit(1).alias("hit"))
+    have = links.groupBy("node").agg(F.sum("n").alias("found"))
     n, total = 0, 0.0
     for asked in draws(vectors):
         true = true_links(vectors, asked, least)
-        ends = true.join(have, ["a", "b"], "left").select(F.explode(F.array("a", "b")).alias("node"), "hit")
-        share = ends.join(asked.select("node"), "node", "left_semi").groupBy("node").agg((F.count("hit") / F.count("*")).alias("share"))
+        wanted = true.groupBy("node").agg(F.sum("n").alias("wanted")).where("wanted > 0")
+        share = wanted.join(have, "node", "left").select((F.coalesce("found", F.lit(0)) / F.col("wanted")).alias("share"))
         row = share.agg(F.count("*").alias("n"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("total")).first()
         discard(true)
         n, total = n + row.n, total + row.total
@@ -275,17 +321,21 @@ def audit(vectors: DataFrame, links: DataFrame, least: float) -> float | None:
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93,
                  overlap: int = 3, target: float = 0.97) -> DataFrame:
-    """``id_col, n_links, component_id, kept`` for every row.
-
-    Rows link if labels are equal and not null, vectors have one length and the cosine is at least
-    ``least``. Vectors that are null, empty, zero, or hold null or non-finite numbers link with
-    nothing. Equal vectors of a label are one node with a count, so copies are not paired; each
-    row counts as a vector of its own, also where ids repeat or are null. ``component_id`` is the
-    smallest id reachable (null only where none has an id). Empty in, empty out.
+    """``id_col, n_links, component_id, kept, recall`` for every row.
+
+    Rows link if labels (of any type) are equal and not null, vectors have one length and the
+    cosine, in double precision, is at least ``least``. Vectors that are null, empty, zero, or hold
+    null or non-finite numbers link with nothing. Equal vectors of a label are one node with a
+    count, so copies are not paired; each row counts as a vector of its own, also where ids repeat
+    or are null. ``component_id`` is the smallest id reachable (null only where none has an id).
+    ``recall`` is the audited one, at least ``target``, and null where all links were found by brute
+    force. Empty in, empty out; other columns are ignored.
     """
     finite = (F.size(vector_col) > 0) & F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(vector_col, lambda v: v != 0)
     fit = F.coalesce(F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & finite, F.lit(False))
-    marked = stored(rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<float>").alias("vector"), fit.alias("fit"))
+    single = rows.schema[vector_col].dataType.elementType.typeName() == "float"
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
+    marked = stored(rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), vector.alias("vector"), fit.alias("fit"))
                     .withColumn("node", F.when(F.col("fit"), F.xxhash64("label", "vector"))), "vectors")
     nodes = stored(marked.where("fit").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("vector").alias("vector"))
                    .withColumn("size", F.size("vector")), "nodes")
@@ -294,14 +344,13 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         recall = audit(nodes, links, least)
         if recall is not None and recall >= target:
             break
-        discard(links)
         if recall is None or overlap >= 12:
-            links = exact_links(nodes, least)
+            links, recall = exact_links(nodes, least), None
             break
+        discard(links)
         overlap *= 2
-    both = links.select(F.col("a").alias("node"), F.col("mb").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("ma").alias("n")))
-    linked = both.groupBy("node").agg(F.sum("n").alias("n"))
-    found = components(links.select("a", "b")).withColumnRenamed("node", "_node")
+    linked = links.groupBy("node").agg(F.sum("n").alias("n"))
+    found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_node")
     known = nodes.join(linked, "node", "left").join(found, F.col("node") == F.col("_node"), "left").select(
         "node", "first", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     known = stored(known, "known")
@@ -310,7 +359,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     out = marked.join(by_node, F.col("node") == F.col("_node"), "left")
     component = F.coalesce(F.when(F.col("fit"), F.col("component_id")), F.col("id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
 def op10_embedding_graph(spark, sf_dir):

@@ -210,32 +210,57 @@ def test_vectors_with_rare_links_in_many_cells(spark, monkeypatch):
 
 def test_rare_link_lost_by_the_graph_is_found(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "graph_links", lambda vectors, least, overlap: embeddings.stored(
-        vectors.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb")).limit(0), "links"))
+        vectors.select("node", F.col("m").alias("n"), F.col("node").alias("root")).limit(0), "links"))
     x = np.random.default_rng(7).normal(size=(2000, 16))
     x[1000] = x[0] * 2 + 0.01
     rows = [(i, [float(v) for v in np.float32(v)], i if i % 1000 else -1) for i, v in enumerate(x)]
     out = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
-    assert {r.vec_id for r in out if r.n_links} == {0, 1000}
+    assert {r.vec_id for r in out if r.n_links} == {0, 1000} and {r.recall for r in out} == {None}
 
 
 def test_audit_without_evidence_does_not_pass(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(40, 16))
     x[20:] = x[:20] + rng.normal(size=(20, 16)) * 0.01
-    nodes = spark.createDataFrame([(0, 16, i, 1, [float(v) for v in v]) for i, v in enumerate(x)], "label int, size int, node long, m long, vector array<float>")
+    nodes = spark.createDataFrame([("0", 16, i, 1, [float(v) for v in v]) for i, v in enumerate(x)], "label string, size int, node long, m long, vector array<double>")
     links = embeddings.exact_links(nodes, 0.93)
-    assert {(r.a, r.b) for r in links.collect()} == {(i, i + 20) for i in range(20)}
+    assert {(r.node, r.n) for r in links.where("n > 0").collect()} == {(i, 1) for i in range(40)}
     assert embeddings.audit(nodes, links, 0.93) is None
     monkeypatch.setattr(embeddings, "EVIDENCE", 40)
     assert embeddings.audit(nodes, links, 0.93) == 1.0
-    assert embeddings.audit(nodes, links.where("a < 10"), 0.93) == 0.5
+    assert embeddings.audit(nodes, links.where("node % 20 < 10"), 0.93) == 0.5
+
+
+def test_dense_groups_in_crowded_cells(spark, monkeypatch):
+    """Near copies in hundreds, all different: cut in blocks, chains of links kept whole."""
+    monkeypatch.setattr(embeddings, "BLOCK", 70)
+    monkeypatch.setattr(embeddings, "CELL", 30)
+    monkeypatch.setattr(embeddings, "EVIDENCE", 5)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x[100:400] = x[7] + rng.normal(size=(300, 32)) * 0.12
+    for i in range(400, 430):
+        x[i] = 0.85 * x[i - 1] + 0.3 * rng.normal(size=32)
+    rows = [(i, [float(v) for v in v], "one" if i % 50 else "two") for i, v in enumerate(x)]
+    want = brute.vector_links(rows, 0.93)
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert all(out[i][0] <= n for i, (n, _) in want.items())
+    assert np.mean([out[i][0] / n for i, (n, _) in want.items() if n]) >= 0.97 and sum(out[i] == w for i, w in want.items()) > 0.97 * len(want)
+
+
+def test_vectors_in_double_precision_and_repeated_rows(spark):
+    big = [(1, [1e300, 0.0], "a"), (2, [1e300, 1e290], "a"), (3, [1e-300, 0.0], "a"), (3, [1e-300, 0.0], "a"), (None, [2e-300, 1e-310], "a"), (5, [0.0, 1.0], "b")]
+    out = embeddings.near_vectors(spark.createDataFrame(big, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.n_links, r.component_id) for r in out) == [(0, 5)] + [(4, 1)] * 5
+    wide = spark.createDataFrame([(1, [1.0], 1 << 60), (2, [2.0], 1 << 60), (3, [2.0], None)], "vec_id long, embedding array<float>, label long")
+    assert {r.vec_id: r.n_links for r in embeddings.near_vectors(wide).collect()} == {1: 1, 2: 1, 3: 0}
 
 
 def test_robust_prune_spreads_edges():
     x = np.array([[1, 0], [0.999, 0.04], [0.998, 0.06], [0.6, 0.8], [0, 1.0]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     lists = embeddings.robust_prune(x, degree=2)
-    assert all(len(own) <= 2 for own in lists) and 1 in lists[0]
+    assert lists.shape == (5, 2) and 1 in lists[0] and 2 not in lists[0]
 
 
 def test_pipeline_against_plain_stages(spark, sf_dir):
