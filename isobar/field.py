@@ -21,8 +21,8 @@ class FieldMeta:
     name: str
     units: str = ""
     vcoord_type: str = "model_level"
-    origin_x: float = 0.0
-    origin_y: float = 0.0
+    origin_x: float | None = None
+    origin_y: float | None = None
     origin_z: float = 0.0
     vref: str = "native"
     grid_id: str = ""
@@ -36,6 +36,11 @@ class FieldMeta:
 
     @property
     def is_staggered_horizontal(self) -> bool:
+        """Unstructured grids are not; others have to have their origin set."""
+        if self.keys.get("gridType") == "unstructured_grid":
+            return False
+        if self.origin_x is None or self.origin_y is None:
+            raise ValueError(f"the origin of {self.name} is not set")
         return bool(self.origin_x or self.origin_y)
 
 

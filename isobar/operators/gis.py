@@ -14,11 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.field import dims
+from isobar.metadata import code_flags
+
+from .projections import (  # noqa: F401
+    System, central_meridian, geographic_to_rotated, geographic_to_swiss, rotate_vector, rotated_to_geographic)
 
 
 @dataclass(frozen=True)
 class RegularGrid:
-    """Points ``x0 + i dx``, ``y0 + j dy`` in degrees; ``pole`` (lon, lat of the north pole) if rotated."""
+    """Points ``x0 + i dx``, ``y0 + j dy`` of a coordinate reference system; ``pole`` (lon, lat of
+    the north pole) stands for the system of rotated degrees."""
 
     nx: int
     ny: int
@@ -27,13 +32,17 @@ class RegularGrid:
     dx: float
     dy: float
     pole: tuple[float, float] | None = None
+    crs: str = "geolatlon"
+
+    @property
+    def system(self) -> System:
+        return System("rotlatlon", self.pole) if self.pole else System(self.crs)
 
     @classmethod
     def parse(cls, text: str) -> RegularGrid:
-        """``geolatlon,xmin,ymin,xmax,ymax,dx,dy``; ValueError unless the counts are whole."""
+        """``crs,xmin,ymin,xmax,ymax,dx,dy``; ValueError unless the counts are whole."""
         crs, *numbers = text.split(",")
-        if crs != "geolatlon":
-            raise ValueError(f"cannot regrid to {crs}")
+        System(crs)
         xmin, ymin, xmax, ymax, dx, dy = map(float, numbers)
         counts = []
         for low, high, step in ((xmin, xmax, dx), (ymin, ymax, dy)):
@@ -43,53 +52,84 @@ class RegularGrid:
             if abs(n - round(n)) > 1e-10 * max(1, abs(n)):
                 raise ValueError("the extent is not a whole number of increments")
             counts.append(round(n) + 1)
-        return cls(counts[0], counts[1], xmin, ymin, dx, dy)
+        return cls(counts[0], counts[1], xmin, ymin, dx, dy, crs=crs)
+
+    @classmethod
+    def from_header(cls, keys: dict) -> RegularGrid:
+        """Of a rotated field, from its header keys; ValueError if increments and corners differ."""
+        if keys.get("gridType") != "rotated_ll":
+            raise NotImplementedError(f"grid type {keys.get('gridType')}")
+        near = lambda v: (v + 180.0) % 360.0 - 180.0
+        x0, x1 = near(keys["longitudeOfFirstGridPointInDegrees"]), near(keys["longitudeOfLastGridPointInDegrees"])
+        y0, y1 = keys["latitudeOfFirstGridPointInDegrees"], keys["latitudeOfLastGridPointInDegrees"]
+        dx, dy = (x1 - x0) / (keys["Ni"] - 1), (y1 - y0) / (keys["Nj"] - 1)
+        if abs(dx - keys["iDirectionIncrementInDegrees"]) > 1e-5 or abs(dy - keys["jDirectionIncrementInDegrees"]) > 1e-5:
+            raise ValueError("increments do not fit the corners")
+        return cls(keys["Ni"], keys["Nj"], x0, y0, dx, dy, north_pole(keys))
+
+    @property
+    def last(self) -> tuple[float, float]:
+        return self.x0 + (self.nx - 1) * self.dx, self.y0 + (self.ny - 1) * self.dy
+
+    @property
+    def transform(self) -> tuple[float, float, float, float, float, float]:
+        """Affine coefficients from column and row, rows downwards from the north-west corner."""
+        return self.dx, 0.0, self.x0 - self.dx / 2, 0.0, -self.dy, self.last[1] + self.dy / 2
 
     def points(self, spark: SparkSession) -> DataFrame:
         """``y, x, gx, gy``: index and coordinate of every point."""
         out = spark.range(self.nx * self.ny).select((F.col("id") / self.nx).cast("int").alias("y"), (F.col("id") % self.nx).cast("int").alias("x"))
         return out.withColumns({"gx": F.round(self.x0 + F.col("x") * self.dx, 6), "gy": F.round(self.y0 + F.col("y") * self.dy, 6)})
 
-
-def _pole(pole: tuple[float, float]) -> tuple[float, float, float]:
-    return math.radians(pole[0]), math.sin(math.radians(pole[1])), math.cos(math.radians(pole[1]))
-
-
-def rotated_to_geographic(rlon: Column, rlat: Column, pole: tuple[float, float]) -> tuple[Column, Column]:
-    """Longitude in [0, 360) and latitude of points given on a rotated sphere, all in degrees."""
-    lon0, s, k = _pole(pole)
-    b, low = F.radians(rlat), F.radians(rlon)
-    q = k * F.sin(b) - s * F.cos(low) * F.cos(b)
-    side = F.sin(low) * F.cos(b)
-    lon = F.degrees(F.atan2(math.sin(lon0) * q - math.cos(lon0) * side, math.cos(lon0) * q + math.sin(lon0) * side))
-    return F.pmod(lon, F.lit(360.0)), F.degrees(F.asin(k * F.cos(b) * F.cos(low) + s * F.sin(b)))
-
-
-def geographic_to_rotated(lon: Column, lat: Column, pole: tuple[float, float]) -> tuple[Column, Column]:
-    """The inverse; longitude in (-180, 180]."""
-    lon0, s, k = _pole(pole)
-    d, b = F.radians(lon) - lon0, F.radians(lat)
-    q = F.cos(b) * F.cos(d)
-    return F.degrees(F.atan2(-F.cos(b) * F.sin(d), k * F.sin(b) - s * q)), F.degrees(F.asin(s * F.sin(b) + k * q))
-
-
-def rotate_vector(u: Column, v: Column, lon: Column, lat: Column, pole: tuple[float, float]) -> tuple[Column, Column]:
-    """Wind along rotated axes to geographic axes at points given in geographic degrees."""
-    lon0, s, k = _pole(pole)
-    d = lon0 - F.radians(lon)
-    a1 = k * F.sin(d)
-    a2 = s * F.cos(F.radians(lat)) - k * F.sin(F.radians(lat)) * F.cos(d)
-    n = 1 / F.sqrt(a1 * a1 + a2 * a2)
-    return n * (a2 * u + a1 * v), n * (a2 * v - a1 * u)
-
-
-def geographic_to_swiss(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Swiss LV03 coordinates by the published polynomial, good to about a metre."""
-    phi = (3.6 * lat - 169.02866) / 10
-    lam = (3.6 * (F.pmod(lon + 180.0, F.lit(360.0)) - 180.0) - 26.7825) / 10
-    x = 600072.37 + lam * (211455.93 - 10938.51 * phi - 0.36 * phi * phi - 44.54 * lam * lam)
-    y = 200147.07 + 3745.25 * lam * lam + phi * (308807.95 + 76.63 * phi - 194.56 * lam * lam + 119.79 * phi * phi)
-    return x, y
+    def to_crs(self, spark: SparkSession, crs: str, pole: tuple[float, float] | None = None) -> RegularGrid:
+        """The grid of another system that covers this one, with as many points along its diagonal.
+
+        The extent is that of the edges of this grid's pixels, 21 points on each.
+        """
+        goal = System(crs, pole)
+        (x1, y1), half = self.last, (self.dx / 2, self.dy / 2)
+        low, high = (self.x0 - half[0], self.y0 - half[1]), (x1 + half[0], y1 + half[1])
+        at = [k / 20 for k in range(21)]
+        edge = [(low[0] + (high[0] - low[0]) * t, y) for t in at for y in (low[1], high[1])] + [(x, low[1] + (high[1] - low[1]) * t) for t in at for x in (low[0], high[0])]
+        table = spark.createDataFrame(edge, "x double, y double")
+        gx, gy = goal.from_geographic(*self.system.to_geographic(F.col("x"), F.col("y")))
+        if crs == "geolatlon":
+            gx = F.pmod(gx + 180.0, F.lit(360.0)) - 180.0
+        x0, xn, y0, yn = table.select(gx.alias("x"), gy.alias("y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        step = math.hypot(xn - x0, yn - y0) / math.hypot(self.nx, self.ny)
+        nx, ny = max(1, round((xn - x0) / step)), max(1, round((yn - y0) / step))
+        return RegularGrid(nx, ny, x0 + step / 2, y0 + step / 2, step, step, pole, "geolatlon" if pole else crs)
+
+    def header(self) -> dict:
+        """Header keys of a field on this grid: angles in microdegrees, lengths in centimetres."""
+        out = {"numberOfDataPoints": self.nx * self.ny, "numberOfOctectsForNumberOfPoints": 0}
+        kind = self.system.name
+        template = {"geolatlon": 0, "rotlatlon": 1, "utm32n": 12}.get(kind)
+        if template is None:
+            return out | {"sourceOfGridDefinition": 255}
+        out |= {"sourceOfGridDefinition": 0, "interpretationOfNumberOfPoints": 0, "gridDefinitionTemplateNumber": template, "shapeOfTheEarth": 5,
+                "Ni": self.nx, "Nj": self.ny, "scanningMode": code_flags([2]), "resolutionAndComponentFlags": code_flags([3, 4, 5] if template == 12 else [3, 4])}
+        (x1, y1), micro, centi = self.last, (lambda v: round(v * 1e6)), (lambda v: round(v * 100))
+        if template == 12:
+            return out | {"falseEasting": centi(500000), "falseNorthing": 0, "scaleFactorAtReferencePoint": 0.9996, "longitudeOfReferencePoint": central_meridian(32),
+                          "Di": centi(self.dx), "Dj": centi(self.dy), "X1": centi(self.x0), "X2": centi(x1), "Y1": centi(self.y0), "Y2": centi(y1)}
+        out |= {"latitudeOfFirstGridPoint": micro(self.y0), "longitudeOfFirstGridPoint": micro(self.x0), "latitudeOfLastGridPoint": micro(y1),
+                "longitudeOfLastGridPoint": micro(x1), "iDirectionIncrement": micro(self.dx), "jDirectionIncrement": micro(self.dy)}
+        if self.pole:
+            out |= {"latitudeOfSouthernPole": micro(-self.pole[1]), "longitudeOfSouthernPole": micro(self.pole[0] % 360 - 180), "angleOfRotation": 0.0}
+        return out
+
+
+def north_pole(keys: dict) -> tuple[float, float]:
+    """Of a rotated grid, from the header's southern pole; ValueError for grids that are not
+    rotated, turned about the pole, or scanned otherwise than eastwards and northwards."""
+    if keys.get("gridType") != "rotated_ll":
+        raise ValueError("the grid is not rotated")
+    if keys.get("angleOfRotationInDegrees", 0.0) != 0.0:
+        raise ValueError("the grid is turned about its pole")
+    if keys.get("iScansNegatively", 0) or not keys.get("jScansPositively", 1):
+        raise ValueError("the grid is not scanned eastwards and northwards")
+    return (keys["longitudeOfSouthernPoleInDegrees"] - 180.0) % 360.0, -keys["latitudeOfSouthernPoleInDegrees"]
 
 
 def crop(df: DataFrame, xmin: int, xmax: int, ymin: int, ymax: int, nx: int, ny: int) -> DataFrame:
@@ -110,10 +150,9 @@ def clipped_grid_uuid(grid_uuid: str, n: int) -> str:
     return str(uuid.uuid5(uuid.UUID(grid_uuid), str(n)))
 
 
-def _cubic(offset: int, t: Column) -> Column:
-    """Weight of the point at ``offset`` (-1..2) from the one before the target; convolution with a = -0.5."""
+def _cubic(d: Column) -> Column:
+    """Weight at distance ``d`` in grid steps; convolution with a = -0.5."""
     a = -0.5
-    d = F.abs(t - offset)
     near = (a + 2) * d * d * d - (a + 3) * d * d + 1
     far = a * d * d * d - 5 * a * d * d + 8 * a * d - 4 * a
     return F.when(d <= 1, near).when(d < 2, far).otherwise(0.0)
@@ -128,35 +167,45 @@ def regrid(df: DataFrame, column: str, source: RegularGrid, target: RegularGrid,
     if method not in ("nearest", "bilinear", "cubic"):
         raise ValueError(f"unknown method {method}")
     at = target.points(df.sparkSession)
-    gx, gy = F.col("gx"), F.col("gy")
-    if target.pole:
-        gx, gy = rotated_to_geographic(gx, gy, target.pole)
-    if source.pole:
-        gx, gy = geographic_to_rotated(gx, gy, source.pole)
-    else:
+    gx, gy = source.system.from_geographic(*target.system.to_geographic(F.col("gx"), F.col("gy")))
+    if source.system.name == "geolatlon":
         gx = F.pmod(gx - source.x0, F.lit(360.0)) + source.x0
     at = at.select("y", "x", F.round((gx - source.x0) / source.dx, 9).alias("_i"), F.round((gy - source.y0) / source.dy, 9).alias("_j"))
     at = at.where(F.col("_i").between(0, source.nx - 1) & F.col("_j").between(0, source.ny - 1))
     if method == "nearest":
-        taps = F.array(F.struct(F.floor(F.col("_i") + 0.5).cast("int").alias("sx"), F.floor(F.col("_j") + 0.5).cast("int").alias("sy"), F.lit(1.0).alias("w")))
+        taps = at.select("y", "x", F.floor(F.col("_i") + 0.5).cast("int").alias("sx"), F.floor(F.col("_j") + 0.5).cast("int").alias("sy"), F.lit(1.0).alias("w"))
     else:
-        i0, j0 = F.floor("_i"), F.floor("_j")
-        s, t = F.col("_i") - i0, F.col("_j") - j0
         reach = (0, 1) if method == "bilinear" else (-1, 0, 1, 2)
-        one = (lambda o, f: 1 - F.abs(f - o)) if method == "bilinear" else _cubic
-        taps = F.array(*[F.struct((i0 + a).cast("int").alias("sx"), (j0 + b).cast("int").alias("sy"), (one(a, s) * one(b, t)).alias("w")) for b in reach for a in reach])
-    taps = at.select("y", "x", F.explode(taps).alias("_tap")).select("y", "x", "_tap.*").where("w <> 0")
+        weight = (lambda d: 1 - d) if method == "bilinear" else _cubic
+        tap = lambda name: F.explode(F.array(*[(F.floor(name) + o).cast("int") for o in reach]))
+        taps = at.withColumn("sx", tap("_i")).withColumn("sy", tap("_j"))
+        taps = taps.withColumns({"_wx": weight(F.abs(F.col("_i") - F.col("sx"))), "_wy": weight(F.abs(F.col("_j") - F.col("sy")))})
+        taps = taps.select("y", "x", "sx", "sy", (F.col("_wx") * F.col("_wy")).alias("w")).where("w <> 0")
     rest = [d for d in dims(df) if d not in ("x", "y")]
     values = df.select(*rest, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(column).alias("_v")).where("_v is not null")
     return taps.join(values, ["sx", "sy"]).groupBy(*rest, "y", "x").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias(out))
 
 
 def remap(df: DataFrame, column: str, weights: DataFrame, out: str = "value") -> DataFrame:
-    """Weighted sums over stencils: ``weights(dst, slot, cell, w, found)``. A target is undefined
-    if it is not found or any of its cells is; results stay within the stencil's values."""
+    """Weighted sums over stencils: ``weights(dst, slot, cell, w, found)``. A row for every target and
+    every member, time and level of the field; a target is undefined if it is not found or any of
+    its cells is undefined or missing. Results stay within the stencil's values.
+    """
     rest = [d for d in dims(df) if d != "cell"]
-    values = df.select(*rest, "cell", F.col(column).alias("_v"))
-    sums = weights.join(values, "cell", "left").groupBy(*rest, "dst").agg(
-        F.sum(F.col("w") * F.col("_v")).alias("_s"), F.min("_v").alias("_low"), F.max("_v").alias("_high"),
-        (F.bool_and("found") & (F.count("_v") == F.count("*"))).alias("_ok"))
-    return sums.select(*rest, "dst", F.when(F.col("_ok"), F.greatest("_low", F.least("_high", "_s"))).alias(out))
+    values = df.select(*rest, "cell", F.col(column).alias("_v")).where("_v is not null")
+    sums = weights.join(values, "cell").groupBy(*rest, "dst").agg(
+        F.sum(F.col("w") * F.col("_v")).alias("_s"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_have"))
+    targets = weights.groupBy("dst").agg(F.count("*").alias("_need"), F.bool_and("found").alias("_found"))
+    if rest:  # members, times and levels, never points
+        targets = targets.crossJoin(F.broadcast(df.select(*rest).distinct()))
+    whole = F.col("_found") & (F.col("_have") == F.col("_need"))
+    return targets.join(sums, [*rest, "dst"], "left").select(*rest, "dst", F.when(whole, F.greatest("_low", F.least("_high", "_s"))).alias(out))
+
+
+def coefficients(table: DataFrame, grid_id: str) -> DataFrame:
+    """Of a table of weights for many source grids (``grid_id`` and the columns of :func:`remap`),
+    those of one grid; KeyError if it has none."""
+    own = table.where(F.col("grid_id") == grid_id).drop("grid_id")
+    if own.isEmpty():
+        raise KeyError(f"no weights for grid {grid_id}")
+    return own

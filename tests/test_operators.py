@@ -169,7 +169,7 @@ def test_regrid_is_exact_on_a_plane(spark):
 def test_grid_text():
     g = gis.RegularGrid.parse("geolatlon,6,45,8,46.5,0.5,0.25")
     assert (g.nx, g.ny, g.x0, g.dy) == (5, 7, 6.0, 0.25)
-    for bad in ("utm,0,0,1,1,1,1", "geolatlon,0,0,1,1,0.3,1", "geolatlon,0,0,1,1,0,1"):
+    for bad in ("utm,0,0,1,1,1,1", "rotlatlon,0,0,1,1,1,1", "geolatlon,0,0,1,1,0.3,1", "geolatlon,0,0,1,1,0,1"):
         with pytest.raises(ValueError):
             gis.RegularGrid.parse(bad)
 
@@ -216,7 +216,7 @@ def test_alignment_and_metadata(spark):
     a = spark.createDataFrame([(1, 0, 1.0), (2, 0, 2.0)], "k int, x int, f double")
     b = spark.createDataFrame([(0, 5.0)], "x int, g double")
     assert {(r.k, r.g) for r in align(a, b).collect()} == {(1, 5.0), (2, 5.0)}
-    m = FieldMeta("U", origin_x=0.5)
+    m = FieldMeta("U", origin_x=0.5, origin_y=0.0)
     assert m.is_staggered_horizontal and not m.override(origin_x=0.0).is_staggered_horizontal
     assert Field(a, m).derive(b, name="V", step=6).meta.keys == {"step": 6}
 
