@@ -23,4 +23,3 @@ KAPPA = 0.285691
 EPSILON = 0.621981
 T_FREEZE = 273.15
 LAPSE = 0.0065
-"""Units of the fields: K, Pa, m, m/s, kg/kg."""

@@ -1,8 +1,8 @@
 """Operators on terrain-following cubes: metric terms, curl, potential vorticity, bulk Richardson
 number, omega slope.
 
-Differences along k, x and y need one exchange each. Everything along k is computed first, then
-everything along x, then y, each carrying the columns the later ones need.
+Differences along x, y and k need one exchange each. Those along x and y do not touch the levels, so
+all of them are taken first, each direction once; everything along k follows in one window.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from isobar import constants as c
 from isobar.field import along, dims
 
-from .stagger import central, gradient
+from .stagger import central
 
 
 def metric_terms(df: DataFrame, hhl: str, dlon: float, dlat: float) -> DataFrame:
@@ -31,49 +31,56 @@ def metric_terms(df: DataFrame, hhl: str, dlon: float, dlat: float) -> DataFrame
     return out.withColumns({"dzeta_dlam": F.col("sqrtg") / dlam * F.col("_mx"), "dzeta_dphi": F.col("sqrtg") / dphi * F.col("_my")}).drop("_hx", "_hy", "_mx", "_my", "_more")
 
 
-def _differences(df: DataFrame, names: list[str], staggered: tuple[str, ...] = ()) -> DataFrame:
-    """``_z_``, ``_x_`` and ``_y_`` differences of columns of a full-level frame; those of
-    ``staggered`` have their k difference in ``_z_`` already."""
-    out = df.withColumns({f"_z_{n}": gradient(df, "k", n) for n in names if n not in staggered})
-    out = out.withColumns({f"_x_{n}": central(out, "x", n) for n in names})
-    return out.withColumns({f"_y_{n}": central(out, "y", n) for n in names})
-
-
-def _total(name: str, dlon: float, dlat: float) -> dict:
+def _prepared(df: DataFrame, fields: dict[str, str], dlon: float, dlat: float) -> DataFrame:
+    """Derivatives of a cube of half levels whose row k also has the full level below: ``lam_``,
+    ``phi_`` and ``zeta_`` of each field of ``fields`` (name here to column), and the fields. ``h`` and
+    ``w`` are on half levels; ``w`` comes out on full ones. The rows of the lowest half level go."""
     dlam, dphi = math.radians(dlon), math.radians(dlat)
-    z = F.col(f"_z_{name}")
-    return {"lam": F.col(f"_x_{name}") / dlam + z * F.col("dzeta_dlam"), "phi": F.col(f"_y_{name}") / dphi + z * F.col("dzeta_dphi"), "zeta": z * F.col("sqrtg")}
-
-
-def _prepared(df: DataFrame, names: list[str], dlon: float, dlat: float, w: str, hhl: str) -> DataFrame:
-    """Metric terms, ``w`` on full levels with its staggered difference, and all differences."""
-    k = along(df, "k")
-    out = df.withColumns({"_w": 0.5 * (F.col(w) + F.lead(w).over(k)), "_z__w": F.lead(w).over(k) - F.col(w)})
-    return _differences(metric_terms(out, hhl, dlon, dlat), [*names, "_w"], ("_w",))
-
-
-def _curl(u: str, v: str, rlat, dlon: float, dlat: float) -> dict:
-    r, tan = 1 / c.RADIUS, F.tan(rlat)
-    cr = 1 / (c.RADIUS * F.cos(rlat))
-    du, dv, dw = (_total(n, dlon, dlat) for n in (u, v, "_w"))
-    return {"curl_1": cr * (r * dw["phi"] + dv["zeta"] - r * F.col(v)),
-            "curl_2": r * (-du["zeta"] - cr * dw["lam"] + r * F.col(u)),
-            "curl_3": cr * dv["lam"] + r * (-du["phi"] + tan * F.col(u))}
+    full = [n for n in fields if n not in ("h", "w") and not n.startswith("at_")]
+    level = [*full, "h", "w"]
+    out = df.select(*dims(df), *[F.col(c).alias(n) for n, c in fields.items()])
+    for d in ("x", "y"):
+        out = out.withColumns({f"{d}_{n}": central(out, d, n) for n in level})
+    k = along(out, "k")
+    below = lambda n: F.lead(n).over(k)
+    mid = lambda n: 0.5 * (F.col(n) + below(n))
+    last = F.lead(F.lit(1), 2).over(k).isNull()  # of the full levels
+    z = {n: F.when(F.row_number().over(k) == 1, below(n) - F.col(n)).when(last, F.col(n) - F.lag(n).over(k)).otherwise(0.5 * (below(n) - F.lag(n).over(k))) for n in full}
+    z["w"] = below("w") - F.col("w")
+    columns = {f"z_{n}": e for n, e in z.items()} | {"w": mid("w"), "x_w": mid("x_w"), "y_w": mid("y_w"), "x_h": mid("x_h"), "y_h": mid("y_h"),
+                                                     "s": -1 / F.nullif(below("h") - F.col("h"), F.lit(0.0)), "more": F.lead(F.lit(1)).over(k)}
+    out = out.withColumns(columns).where("more = 1")
+    slope = {"lam": F.col("s") / dlam * F.col("x_h"), "phi": F.col("s") / dphi * F.col("y_h")}
+    total = {}
+    for n in (*full, "w"):
+        total |= {f"lam_{n}": F.col(f"x_{n}") / dlam + F.col(f"z_{n}") * slope["lam"], f"phi_{n}": F.col(f"y_{n}") / dphi + F.col(f"z_{n}") * slope["phi"],
+                  f"zeta_{n}": F.col(f"z_{n}") * F.col("s")}
+    return out.select(*dims(df), *full, *[n for n in fields if n.startswith("at_")], *[e.alias(n) for n, e in total.items()])
+
+
+def _curl() -> dict:
+    """Components from the prepared derivatives: sums of coefficient times term, on a sphere."""
+    r, across = 1 / c.RADIUS, 1 / (c.RADIUS * F.cos("at_rlat"))
+    terms = {"curl_1": ((across * r, "phi_w"), (across, "zeta_v"), (-across * r, "v")),
+             "curl_2": ((-r, "zeta_u"), (-r * across, "lam_w"), (r * r, "u")),
+             "curl_3": ((across, "lam_v"), (-r, "phi_u"), (r * F.tan("at_rlat"), "u"))}
+    return {name: sum((k * F.col(t) for k, t in own[1:]), own[0][0] * F.col(own[0][1])) for name, own in terms.items()}
 
 
 def curl(df: DataFrame, u: str, v: str, w: str, hhl: str, rlat: str, dlon: float, dlat: float) -> DataFrame:
     """``curl_1, curl_2, curl_3`` of the wind; u, v on mass points, w and ``hhl`` on half levels,
     ``rlat`` the rotated latitude in radians."""
-    return _prepared(df, [u, v], dlon, dlat, w, hhl).select(*dims(df), *[e.alias(n) for n, e in _curl(u, v, F.col(rlat), dlon, dlat).items()])
+    ready = _prepared(df, {"u": u, "v": v, "w": w, "h": hhl, "at_rlat": rlat}, dlon, dlat)
+    return ready.select(*dims(df), *[e.alias(n) for n, e in _curl().items()])
 
 
 def potential_vorticity(df: DataFrame, u: str, v: str, w: str, theta: str, rho: str, hhl: str, rlat: str, lat: str, dlon: float, dlat: float, out: str = "value") -> DataFrame:
     """Ertel's potential vorticity; ``rlat`` rotated and ``lat`` geographic latitude in radians."""
-    ready = _prepared(df, [u, v, theta], dlon, dlat, w, hhl)
-    th, cs = _total(theta, dlon, dlat), _curl(u, v, F.col(rlat), dlon, dlat)
-    pv = (th["lam"] * cs["curl_1"] + th["phi"] * (cs["curl_2"] + 2 * c.OMEGA * F.cos(lat) / c.RADIUS)
-          - th["zeta"] * (cs["curl_3"] + 2 * c.OMEGA * F.sin(lat))) / F.col(rho)
-    return ready.select(*dims(df), pv.alias(out))
+    ready = _prepared(df, {"u": u, "v": v, "th": theta, "w": w, "h": hhl, "at_rho": rho, "at_rlat": rlat, "at_lat": lat}, dlon, dlat)
+    turn = _curl()
+    north, up = (2 * c.OMEGA * f("at_lat") for f in (F.cos, F.sin))
+    pv = F.col("lam_th") * turn["curl_1"] + F.col("phi_th") * (turn["curl_2"] + north / c.RADIUS) - F.col("zeta_th") * (turn["curl_3"] + up)
+    return ready.select(*dims(df), (pv / F.col("at_rho")).alias(out))
 
 
 def bulk_richardson(df: DataFrame, theta_v: str, u: str, v: str, height: str, surface: str, out: str = "value") -> DataFrame:

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isobar import constants as c
-from isobar.field import duplicate_keys, missing_keys
+from isobar.field import Field, FieldMeta, duplicate_keys, missing_keys
 from isobar.functions import atmo
-from isobar.operators import dynamics, gis, lateral, stagger, timeops, vertical
+from isobar.operators import dynamics, gis, lateral, projections, stagger, timeops, triangles, vertical
 from isobar.sources import catalog as runs
 from isobar.sources import fixtures as fx
+from isobar.sources import slabs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -36,7 +37,7 @@ surf as (select x, y, hhl as hsurf, 288.15::double - 0.0065::double * hhl + 10 *
 """
 HOURLY = """
 with ev as (select date_trunc('day', ts)::timestamp as ref_time, hour(ts)::int as lead_h, sum(value) as amount from events group by all),
-days as (select timestamp '2024-01-01' + to_days(i::int) as ref_time from range(30) r(i)),
+days as (select unnest(generate_series(min(ref_time), max(ref_time), interval 1 day)) as ref_time from ev),
 grid as (select ref_time, h::int as lead_h from days, range(24) s(h)),
 filled as (select g.ref_time, g.lead_h, (g.lead_h * 3600)::bigint as lead_s, coalesce(amount, 0)::double as amount from grid g left join ev using (ref_time, lead_h)),
 acc as (select *, sum(amount) over (partition by ref_time order by lead_h) as acc from filled),
@@ -84,8 +85,6 @@ def _sql_relhum(es: str) -> str:
     return f"least(100, greatest(0, 100 * ({q} * p / ({c.EPSILON}::double + (1 - {c.EPSILON}::double) * {q})) / ({es})))"
 
 
-
-
 def col(name: str):
     return F.col(name)
 
@@ -190,18 +189,14 @@ def _metric_terms(spark, sf_dir):
 @query("curl", f"{CUBE}{CURL} select x, y, k, round(c1, 9) as curl_1, round(c2, 9) as curl_2, round(c3, 9) as curl_3 from curls")
 def _curl(spark, sf_dir):
     cube = _with_latitudes(spark, sf_dir)
-    return _rounded(_full(dynamics.curl(cube, "u", "v", "w", "hhl", "rlat", fx.STEP, fx.STEP)), ["x", "y", "k"], {f"curl_{i}": f"curl_{i}" for i in (1, 2, 3)}, 9)
+    return _rounded(dynamics.curl(cube, "u", "v", "w", "hhl", "rlat", fx.STEP, fx.STEP), ["x", "y", "k"], {f"curl_{i}": f"curl_{i}" for i in (1, 2, 3)}, 9)
 
 
 @query("pot_vortic", f"""{CUBE}{CURL} select x, y, k, round(1e6 * (l_th * c1 + p_th * (c2 + 2 * {c.OMEGA!r}::double * cos(lat) / {c.RADIUS}::double)
   - s_th * (c3 + 2 * {c.OMEGA!r}::double * sin(lat))) / rho, 6) as value from curls""")
 def _pot_vortic(spark, sf_dir):
     pv = dynamics.potential_vorticity(_with_latitudes(spark, sf_dir), "u", "v", "w", "theta", "rho", "hhl", "rlat", "lat", fx.STEP, fx.STEP)
-    return _rounded(_full(pv), ["x", "y", "k"], {"value": 1e6 * col("value")})
-
-
-def _full(df: DataFrame) -> DataFrame:
-    return df
+    return _rounded(pv, ["x", "y", "k"], {"value": 1e6 * col("value")})
 
 
 @query("brn", f"""{CUBE}, v as (select *, {SQL_THETA_V} as thv from cube), b as (select *, last_value(thv) over c as low, sum(thv) over c as total, count(*) over c as n from v
@@ -326,6 +321,32 @@ def _extrap_c(spark, sf_dir):
     return _rounded(vertical.extrapolate_k2p(fx.full_levels(spark, sf_dir), "t", 100000.0), ["x", "y", "target"], {"value": "value"})
 
 
+# --- members and times ------------------------------------------------------------------------
+
+MEMBERS = f"""{CUBE}, two as (select x, y, k, eps::int as eps, lead_s::bigint as lead_s, p, hfl, t + eps * 10 + lead_s / 3600.0::double as t from cube, (values (0), (1)) e(eps), (values (0), (3600)) l(lead_s))"""
+IN_COLUMN = "over (partition by eps, lead_s, x, y order by k)"
+
+
+@query("k2p_members", f"""{MEMBERS}, near as (select *, lag(t) {IN_COLUMN} as t1, lag(p) {IN_COLUMN} as p1 from two), goal as (select unnest([30000::double, 85000::double]) as target)
+select eps, lead_s, x, y, target, round(arg_min(t1 + (target - p1) / (p - p1) * (t - t1), k) filter (p > target and p1 <= target), 6) as value from near, goal group by all""")
+def _k2p_members(spark, sf_dir):
+    cube = fx.members(fx.full_levels(spark, sf_dir).select("x", "y", "k", "t", "p"), "t")
+    return _rounded(vertical.interpolate_k2p(cube, "t", "p", (300.0, 850.0), "linear_in_p", "hPa"), ["eps", "lead_s", "x", "y", "target"], {"value": "value"})
+
+
+@query("destagger_members", f"""{MEMBERS} select eps, lead_s, x, y, k, round(case when x = 0 then t else 0.5 * (lag(t) over (partition by eps, lead_s, k, y order by x) + t) end, 6) as value from two""")
+def _destagger_members(spark, sf_dir):
+    cube = fx.members(fx.full_levels(spark, sf_dir).select("x", "y", "k", "t"), "t")
+    return _rounded(stagger.destagger(cube, "x", ["t"]), ["eps", "lead_s", "x", "y", "k"], {"value": "t"})
+
+
+@query("zero_isotherm_members", f"""{MEMBERS}, n as (select *, lag(t) {IN_COLUMN} as t1, lag(hfl) {IN_COLUMN} as h1 from two)
+select eps, lead_s, x, y, round(arg_min(h1 + (hfl - h1) * (273.15::double - t1) / (t - t1), k) filter (t >= 273.15 and t1 < 273.15), 6) as value from n group by all""")
+def _zero_members(spark, sf_dir):
+    cube = fx.members(fx.full_levels(spark, sf_dir).select("x", "y", "k", "t", "hfl"), "t")
+    return _rounded(vertical.zero_isotherm(cube, "t", "hfl"), ["eps", "lead_s", "x", "y"], {"value": "value"})
+
+
 # --- time -------------------------------------------------------------------------------------
 
 def _series(spark, sf_dir) -> DataFrame:
@@ -436,9 +457,10 @@ def _clip(spark, sf_dir):
 
 SOURCE = gis.RegularGrid(20, 25, 0.0, 0.0, 1.0, 1.0)
 TARGET = gis.RegularGrid(30, 37, 0.3, 0.2, 0.6, 0.6)
-AT = f"""{CUBE}, goal as (select (i % {TARGET.nx})::int as x, (i // {TARGET.nx})::int as y from range({TARGET.nx * TARGET.ny}) r(i)),
-pt as (select x, y, round(round(0.3::double + x * 0.6::double, 6), 9) as i, round(round(0.2::double + y * 0.6::double, 6), 9) as j from goal),
-pts as (select * from pt where i between 0 and 19 and j between 0 and 24)"""
+AT = f"""{CUBE}, n as (select max(y) as top, greatest(1, floor((max(y) - 2.4::double) / 0.6::double + 1e-9)::int + 1) as ny from surf),
+goal as (select (i % {TARGET.nx})::int as x, (i // {TARGET.nx})::int as y, top from n, range({TARGET.nx}::bigint * 100000) r(i) where i < {TARGET.nx} * ny),
+pt as (select x, y, round(round(0.3::double + x * 0.6::double, 6), 9) as i, round(round(0.2::double + y * 0.6::double, 6), 9) as j, top from goal),
+pts as (select * from pt where i between 0 and 19 and j between 0 and top)"""
 
 
 def _grids(rows: int) -> tuple[gis.RegularGrid, gis.RegularGrid]:
@@ -457,36 +479,104 @@ def _regrid(method: str):
     return run
 
 
+def _sql_regrid(reach: str, weight) -> str:
+    return f"""{AT}, tap as (select x, y, (floor(i) + a)::int as sx, (floor(j) + b)::int as sy, abs(i - floor(i) - a) as dx, abs(j - floor(j) - b) as dy from pts, range({reach}) ra(a), range({reach}) rb(b)),
+wt as (select x, y, sx, sy, ({weight('dx')}) * ({weight('dy')}) as w from tap)
+select wt.x, wt.y, round(sum(w * hsurf) / sum(w), 6) as value from wt join surf on surf.x = sx and surf.y = sy where w <> 0 group by wt.x, wt.y"""
+
+
+def _sql_cubic(d: str) -> str:
+    return f"case when {d} <= 1 then 1.5::double * {d} ** 3 - 2.5::double * {d} ** 2 + 1 when {d} < 2 then -0.5::double * {d} ** 3 + 2.5::double * {d} ** 2 - 4 * {d} + 2 else 0 end"
+
+
 query("regrid_nearest", f"""{AT} select pts.x, pts.y, round(hsurf, 6) as value from pts join surf on surf.x = floor(i + 0.5)::int and surf.y = floor(j + 0.5)::int""")(_regrid("nearest"))
-query("regrid_bilinear", f"""{AT}, tap as (select x, y, (floor(i) + a)::int as sx, (floor(j) + b)::int as sy, (1 - abs(i - floor(i) - a)) * (1 - abs(j - floor(j) - b)) as w
- from pts, range(2) ra(a), range(2) rb(b))
-select tap.x, tap.y, round(sum(w * hsurf) / sum(w), 6) as value from tap join surf on surf.x = sx and surf.y = sy where w <> 0 and surf.y < 25 group by tap.x, tap.y""")(_regrid("bilinear"))
-query("regrid_cubic")(_regrid("cubic"))
+query("regrid_bilinear", _sql_regrid("2", lambda d: f"1 - {d}"))(_regrid("bilinear"))
+query("regrid_cubic", _sql_regrid("-1, 3", _sql_cubic))(_regrid("cubic"))
 
 
 def _weights(spark, sf_dir) -> DataFrame:
+    """A target for every cell, each with three cells as its stencil."""
     n = fx.cells(spark, sf_dir).agg(F.count("*").alias("n"))
     slots = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(w).alias("w")) for i, w in enumerate((0.5, 0.3, 0.2))]))
-    rows = spark.range(100).select(col("id").alias("dst"), slots.alias("s")).select("dst", "s.*").crossJoin(F.broadcast(n))  # one row
+    rows = fx.cells(spark, sf_dir).select(col("cell").alias("dst"), slots.alias("s")).select("dst", "s.*").crossJoin(F.broadcast(n))  # one row
     return rows.select("dst", "slot", ((col("dst") * 37 + col("slot") * 101) % col("n")).alias("cell"), "w", (col("dst") != 0).alias("found"))
 
 
-@query("remap_weighted", f"""{CELLS}, wt as (select dst, slot, (dst * 37 + slot * 101) % (select count(*) from cells) as cell, [0.5::double, 0.3::double, 0.2::double][slot + 1] as w
- from range(100) a(dst), range(3) b(slot))
+WEIGHTS = f"""{CELLS}, wt as (select dst, slot, (dst * 37 + slot * 101) % (select count(*) from cells) as cell, [0.5::double, 0.3::double, 0.2::double][slot + 1] as w
+ from (select cell as dst from cells), range(3) b(slot))"""
+
+
+@query("remap_weighted", f"""{WEIGHTS}
 select dst, round(case when dst <> 0 then greatest(min(value), least(max(value), sum(w * value))) end, 6) as value from wt join cells using (cell) group by dst""")
 def _remap(spark, sf_dir):
     return _rounded(gis.remap(fx.cells(spark, sf_dir).select("cell", "value"), "value", _weights(spark, sf_dir)), ["dst"], {"value": "value"})
 
 
+@query("remap_members", f"""{WEIGHTS}, m as (select cell, eps::int as eps, lead_s::bigint as lead_s, value + eps * 10 + lead_s / 3600.0::double as value from cells, (values (0), (1)) e(eps), (values (0), (3600)) l(lead_s)
+  where not (eps = 1 and cell % 50 = 7)),
+s as (select eps, lead_s, dst, count(*) as n, sum(w * value) as s, min(value) as low, max(value) as high from wt join m using (cell) group by all),
+every as (select eps::int as eps, lead_s::bigint as lead_s, cell as dst from cells, (values (0), (1)) e(eps), (values (0), (3600)) l(lead_s))
+select eps, lead_s, dst, round(case when dst <> 0 and n = 3 then greatest(low, least(high, s)) end, 6) as value from every left join s using (eps, lead_s, dst)""")
+def _remap_members(spark, sf_dir):
+    field = fx.members(fx.cells(spark, sf_dir).select("cell", "value"), "value").where("not (eps = 1 and cell % 50 = 7)")
+    return _rounded(gis.remap(field, "value", _weights(spark, sf_dir)), ["eps", "lead_s", "dst"], {"value": "value"})
+
+
+def _barycentric_target(n: int) -> gis.RegularGrid:
+    k = max(2, math.isqrt(n // 4))
+    return gis.RegularGrid(k, k, 6.5, 44.5, 9.0 / (k - 1), 4.5 / (k - 1))
+
+
+_N3 = projections._N
+_SQL_E = 2 * math.sqrt(_N3) / (1 + _N3)
+
+
+@query("remap_barycentric", f"""with n as (select greatest(2, floor(sqrt(count(*) // 4))::int) as k from customer),
+goal as (select (i % k)::int as x, (i // k)::int as y, k from n, range(10000000) r(i) where i < k * k),
+pt as (select x, y, radians(round(6.5::double + x * (9.0::double / (k - 1)), 6) - 9) as d, sin(radians(round(44.5::double + y * (4.5::double / (k - 1)), 6))) as s from goal),
+t as (select x, y, d, sinh(atanh(s) - {_SQL_E!r}::double * atanh({_SQL_E!r}::double * s)) as t from pt),
+xe as (select x, y, atan2(t, cos(d)) as xi, atanh(sin(d) / sqrt(1 + t * t)) as eta from t)
+select x, y, round(1e-3 * (500000 + {projections._RADIUS!r}::double * (eta + {' + '.join(f'{c!r}::double * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j, c in enumerate(projections._FORTH, 1))}))
+  - 2e-3 * {projections._RADIUS!r}::double * (xi + {' + '.join(f'{c!r}::double * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j, c in enumerate(projections._FORTH, 1))}), 4) as value from xe""")
+def _barycentric(spark, sf_dir):
+    """A field that is a plane in projected metres comes back as that plane."""
+    cells = fx.cells(spark, sf_dir)
+    px, py = triangles.PLANE.from_geographic(col("lon"), col("lat"))
+    field = cells.select("cell", (1e-3 * px - 2e-3 * py).alias("value"))
+    target = _barycentric_target(cells.count())
+    return _rounded(triangles.iconremap(field, "value", cells, target), ["x", "y"], {"value": "value"}, 4)
+
+
 # --- requests and catalogs --------------------------------------------------------------------
 
-@query("load_density", """with e as (select distinct date_trunc('day', ts)::timestamp as d, hour(ts)::int as lead_h from events)
+@query("load_density", """with e as (select distinct date_trunc('day', ts)::timestamp as d, hour(ts)::int as lead_h from events where not (hour(ts) = 5 and day(ts) % 3 = 0))
 select strftime(d, '%Y-%m-%d') as day, lead_h from (select d from (select distinct d from e)) cross join (select distinct lead_h from e) except select strftime(d, '%Y-%m-%d'), lead_h from e""")
 def _load_density(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_trunc("day", "ts").alias("ref_time"), F.hour("ts").alias("lead_h"))
+    e = e.where("not (lead_h = 5 and day(ref_time) % 3 = 0)")  # an irregular series
     return missing_keys(e, ["ref_time", "lead_h"]).select(F.date_format("ref_time", "yyyy-MM-dd").alias("day"), "lead_h")
 
 
+@query("slab_round_trip", f"""{CUBE}, r as (select x, y, k, t, min(t) over (partition by k) as low, (max(t) over (partition by k) - min(t) over (partition by k)) / 65535.0::double as step from cube)
+select x, y, k, round(low + floor((t - low) / step + 0.5::double) * step, 6) as value from r""")
+def _slabs(spark, sf_dir):
+    field = Field(fx.full_levels(spark, sf_dir).select("x", "y", "k", "t"), FieldMeta("T", "K"))
+    return _rounded(slabs.from_slabs(slabs.to_slabs(field, "t")), ["x", "y", "k"], {"value": "value"})
+
+
+@query("request_interval", """select strftime(d, '%Y-%m-%d') as day, count(*)::bigint as n from (select date_trunc('day', ts) as d from events) where d between timestamp '2024-01-05' and timestamp '2024-01-07' group by d""")
+def _interval(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_trunc("day", "ts").cast("timestamp").alias("ref_time"))
+    own = runs.Request(ref_time="2024-01-05/2024-01-07T00:00:00+00:00").read(rows)
+    return own.groupBy(F.date_format("ref_time", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("request_latest", """select count(*)::bigint as n from (select date_trunc('day', ts) as d from events) where d = (select max(date_trunc('day', ts)) from events)""")
+def _latest_request(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_trunc("day", "ts").cast("timestamp").alias("ref_time"))
+    return runs.Request(ref_time="latest").read(rows).agg(F.count("*").alias("n"))
+
+
 @query("duplicate_keys", """select l_linenumber as z, (l_partkey % 20)::int as y, (l_suppkey % 20)::int as x, count(*)::bigint as n from lineitem group by all having count(*) > 1""")
 def _duplicates(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(col("l_linenumber").alias("z"), (col("l_partkey") % 20).cast("int").alias("y"), (col("l_suppkey") % 20).cast("int").alias("x"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,12 @@ LEVELS = {"COSMO-1E": 80, "COSMO-2E": 60, "ICON-CH1-EPS": 80, "ICON-CH2-EPS": 80
 
 @dataclass(frozen=True)
 class Request:
-    """Values wanted of each key; a list means any of them, None no restriction."""
+    """Values wanted of each key; a list means any of them, None no restriction.
+
+    ``param`` may also be names separated by commas; ``ref_time`` may be a time (naive ones are
+    UTC), ``latest``, or an interval ``from/to`` in ISO 8601 with ``..`` for an open end; ``model``
+    turns a request for model levels without ``levelist`` into one for all its levels.
+    """
 
     param: str | list | None = None
     levtype: str | None = None
@@ -21,18 +27,112 @@ class Request:
     number: int | list | None = None
     ref_time: object = None
     lead_s: int | list | None = None
+    model: str | None = None
+
+    def __post_init__(self):
+        if isinstance(self.param, str) and "," in self.param:
+            object.__setattr__(self, "param", [p.strip() for p in self.param.split(",")])
+        if self.levtype not in (None, *LEVEL_TYPES):
+            raise ValueError(f"no level type {self.levtype}")
+        for name, least in (("levelist", 1), ("number", 0)):
+            values = getattr(self, name)
+            for v in values if isinstance(values, (list, tuple)) else [values]:
+                if v is not None and (not isinstance(v, int) or v < least):
+                    raise ValueError(f"{name} {v}")
+        if isinstance(self.ref_time, str):
+            time_bounds(self.ref_time)
+
+    def levels(self) -> list | int | None:
+        if self.levelist is None and self.model and self.levtype == "ml":
+            return model_levels(self.model)
+        return self.levelist
 
     def predicate(self) -> Column:
         """Equality or membership by key, which Parquet scans can use."""
         out = F.lit(True)
-        for f in fields(self):
-            want = getattr(self, f.name)
+        wanted = {"param": self.param, "levtype": self.levtype, "levelist": self.levels(), "number": self.number, "lead_s": self.lead_s}
+        for key, want in wanted.items():
             if want is not None:
-                out = out & (F.col(f.name).isin(want) if isinstance(want, (list, tuple)) else F.col(f.name) == want)
+                out = out & (F.col(key).isin(list(want)) if isinstance(want, (list, tuple)) else F.col(key) == want)
+        if self.ref_time is not None and self.ref_time != "latest":
+            low, high = time_bounds(self.ref_time)
+            out = out & (F.lit(True) if low is None else F.col("ref_time") >= F.lit(low)) & (F.lit(True) if high is None else F.col("ref_time") <= F.lit(high))
         return out
 
     def read(self, table: DataFrame) -> DataFrame:
-        return table.where(self.predicate())
+        """Rows of ``table``. Keys under which a table of slabs stores them have the table's names:
+        ``eps`` for the member and ``k`` for the level."""
+        names = {"number": "eps", "levelist": "k"}
+        for key, other in names.items():
+            if key not in table.columns and other in table.columns:
+                table = table.withColumn(key, F.col(other))
+        if self.levtype is not None and "levtype" not in table.columns and "header" in table.columns:
+            kind = F.get_json_object("header", "$.vcoord_type")
+            table = table.withColumn("levtype", F.element_at(F.create_map(*[F.lit(x) for pair in VCOORD_TYPES.items() for x in pair]), kind))
+        own = table.where(self.predicate())
+        if self.ref_time == "latest":
+            last = own.agg(F.max("ref_time").alias("_last"))  # one row
+            own = own.join(F.broadcast(last), F.col("ref_time") == F.col("_last")).drop("_last")
+        return own
+
+
+#: Level types of requests, and those of fields that they stand for. Fixed values.
+LEVEL_TYPES = ("ml", "pl", "sfc", "pt")
+VCOORD_TYPES = {"model_level": "ml", "pressure": "pl", "surface": "sfc", "theta": "pt"}
+
+
+def _utc(text: str) -> datetime:
+    at = datetime.fromisoformat(text.strip())
+    return at.astimezone(timezone.utc) if at.tzinfo else at.replace(tzinfo=timezone.utc)
+
+
+def time_bounds(value: datetime | str) -> tuple[datetime | None, datetime | None]:
+    """First and last time of a request, in UTC, None where it is open; ``latest`` has neither.
+    ValueError if they cannot be read or are inverted."""
+    if isinstance(value, datetime):
+        at = value.astimezone(timezone.utc) if value.tzinfo else value.replace(tzinfo=timezone.utc)
+        return at, at
+    if value == "latest":
+        return None, None
+    ends = value.split("/")
+    if len(ends) > 2 or ends.count("..") == len(ends):
+        raise ValueError(f"no time or interval: {value}")
+    low, high = (None if e == ".." else _utc(e) for e in (ends[0], ends[-1]))
+    if low and high and high < low:
+        raise ValueError(f"the interval {value} is inverted")
+    return low, high
+
+
+@dataclass(frozen=True)
+class Point:
+    """One value of a coordinate."""
+
+    value: float
+
+    def bounds(self) -> tuple[float, float]:
+        return self.value, self.value
+
+
+@dataclass(frozen=True)
+class Range:
+    """All values between two."""
+
+    low: float
+    high: float
+
+    def __post_init__(self):
+        if self.high < self.low:
+            raise ValueError("the range is inverted")
+
+    def bounds(self) -> tuple[float, float]:
+        return self.low, self.high
+
+
+def select(df: DataFrame, **wanted: Point | Range) -> DataFrame:
+    """Rows whose coordinates are those wanted."""
+    for name, want in wanted.items():
+        df = df.where(F.col(name).between(*want.bounds()))
+    return df
 
 
 def model_levels(model: str, staggered: bool = False) -> list[int]:
@@ -54,7 +154,29 @@ def latest_complete_run(assets: DataFrame, required: list[int]) -> DataFrame:
 
 
 def asset_keys(url: Column) -> tuple[Column, Column]:
-    """Reference time (UTC) and lead time in hours from names with ``-YYYYMMDDhhmm-N-``."""
+    """Reference time (UTC) and lead time in hours from names with ``-YYYYMMDDhhmm-N-``; NULL where
+    there are none or they are no time or number."""
     pattern = r"-(\d{12})-(\d+)-"
     stamp = F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))
-    return F.to_timestamp(stamp, "yyyyMMddHHmm"), F.nullif(F.regexp_extract(url, pattern, 2), F.lit("")).cast("int")
+    return F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmm")), F.nullif(F.regexp_extract(url, pattern, 2), F.lit("")).try_cast("int")
+
+
+#: Names of the constants' asset of each collection. Fixed values.
+CONSTANTS = {"ogd-forecasting-icon-ch1": "icon-ch1-eps", "ogd-forecasting-icon-ch2": "icon-ch2-eps", "ogd-analysis-kenda-ch1": "kenda-ch1"}
+
+
+def constants_asset(assets: DataFrame, collection: str, kind: str = "horizontal") -> DataFrame:
+    """The rows of ``assets(collection, url)`` that hold a collection's static coordinates; KeyError
+    for a collection that is not known, ValueError for another kind."""
+    if kind not in ("horizontal", "vertical"):
+        raise ValueError(f"no {kind} constants")
+    name = f"{kind}_constants_{CONSTANTS[collection]}"
+    return assets.where((F.col("collection") == collection) & F.contains("url", F.lit(name)))
+
+
+def catalog_tables(assets: DataFrame, required: list[int]) -> DataFrame:
+    """``ref_time, lead_h, url`` of the last complete run of ``assets(url)``, what is asked of a
+    catalog before its fields are read."""
+    ref, lead = asset_keys(F.col("url"))
+    keyed = assets.select(ref.alias("ref_time"), lead.alias("lead_h"), "url").where(F.col("lead_h").isin(required))
+    return keyed.join(F.broadcast(latest_complete_run(keyed, required)), "ref_time")

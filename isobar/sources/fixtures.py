@@ -53,10 +53,12 @@ def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ref_time, lead_h, lead_s, amount, acc, avg``: sums of events on a dense 30 by 24 calendar."""
+    """``ref_time, lead_h, lead_s, amount, acc, avg``: sums of events on a dense calendar of days by 24 hours."""
     events = _table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("ref_time"), F.hour("ts").alias("lead_h")).agg(F.sum("value").alias("amount"))
-    days = spark.range(30).select(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int))").alias("ref_time"))
-    grid = days.select(F.col("ref_time").cast(events.schema["ref_time"].dataType).alias("ref_time"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("lead_h"))
+    # every day from the first to the last of the table
+    ends = events.agg(F.min("ref_time").alias("first"), F.max("ref_time").alias("last"))
+    days = ends.select(F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("ref_time"))
+    grid = days.select("ref_time", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("lead_h"))
     rows = grid.join(events, ["ref_time", "lead_h"], "left").select("ref_time", "lead_h", (F.col("lead_h") * 3600).cast("long").alias("lead_s"), F.coalesce("amount", F.lit(0.0)).cast("double").alias("amount"))
     from pyspark.sql import Window
 
@@ -77,3 +79,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.col("lead_h").isin(0, 6, 12, 18)).distinct())
 
 
+def members(df: DataFrame, column: str) -> DataFrame:
+    """``df`` for two members and two lead times, ``column`` raised by 10 a member and 1 an hour."""
+    out = df.withColumn("eps", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("lead_s", F.explode(F.array(F.lit(0), F.lit(3600)).cast("array<bigint>")))
+    return out.withColumn(column, F.col(column) + F.col("eps") * 10 + F.col("lead_s") / 3600.0)
