@@ -22,17 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*+)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 #: Fixed HTML vocabulary.
 BLOCKS = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template noscript iframe xmp select button svg math object audio video canvas datalist".split())
+#: Elements whose content is not markup: it ends with their end tag only. That of the last is shown.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: Elements that are no part of a text; one that is never closed ends with the block it is in.
+LEFT_OUT = frozenset("template noscript select button svg datalist".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+ROOTS = frozenset("table html body".split())
 SCOPES = frozenset("table td th html body article aside section div form main nav header footer".split())
+SKIPPED = {n: re.compile(f"(</){n}[^>]*>" + (f"|<{n}[\\s>/]" if n in LEFT_OUT else ""), re.I) for n in RAW | LEFT_OUT}
 KINDS = ("html", "body", "article", "main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header",
          "footer", "aside", "form fieldset search dialog", "table tbody thead tfoot tr", "td th", "blockquote pre", "figure figcaption details summary")
 KIND = {t: i for i, ts in enumerate(KINDS) for t in ts.split()}
@@ -45,15 +50,21 @@ N_FEATURES = 1 + len(KINDS) + 1 + len(WORDS) + 12
 
 
 class Page:
-    """Block elements of a page in page order, and its runs of inline text."""
+    """Block elements of a page in page order, and its runs of inline text.
+
+    Open elements are a stack, with the places of each name beside it, so that a tag costs the same
+    however many elements are open.
+    """
 
     def __init__(self, source: str):
         self.tag, self.parent, self.names = ["html"], [-1], [""]
         self.runs: list[tuple[int, list[str], int]] = []  # element, text, characters in links
         self._stack: list[tuple[str, int]] = [("html", 0)]  # inline elements carry their block's number
-        self._links, self._fresh = 0, True
-        at = 0
-        match = TOKEN.search(source)
+        self._open: dict[str, list[int]] = {"html": [0]}  # places in the stack
+        self._blocks = [0]
+        self._links, self._fresh, self._hidden = 0, True, 0
+        at, end = 0, source.rfind(">") + 1  # no tag ends beyond
+        match = TOKEN.search(source, 0, end)
         while match:
             if match.start() > at:
                 self._text(source[at: match.start()])
@@ -64,17 +75,33 @@ class Page:
                 attributes = (match[3] if match[2] else match[6]) or ""
                 if match[1] or match[4]:
                     self._end(name)
-                elif name in RAW:
+                elif name in RAW or name in LEFT_OUT:
                     if not attributes.endswith("/"):
-                        close = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(source, at)
-                        at = close.end() if close else len(source)
+                        at = self._skip(name, source, at)
                 else:
                     self._start(name, attributes)
-            match = TOKEN.search(source, at)
+            match = TOKEN.search(source, at, end)
         if at < len(source):
             self._text(source[at:])
 
+    def _skip(self, name: str, source: str, at: int) -> int:
+        """Where to go on after the start tag of an element that is not parsed."""
+        close = SKIPPED[name].search(source, at)
+        if name in RAW:
+            if name == "xmp":
+                self._fresh = True
+                self._text(html.escape(source[at: close.start() if close else len(source)]))
+                self._fresh = True
+            return close.end() if close else len(source)
+        if close and close[1]:
+            return close.end()
+        self._push(name, self._stack[-1][1])  # never closed: another one starts, or none ends
+        self._hidden += 1
+        return at
+
     def _text(self, text: str) -> None:
+        if self._hidden:
+            return
         text = html.unescape(text)
         if self._fresh:
             if not text.strip():
@@ -86,52 +113,61 @@ class Page:
         if self._links:
             self.runs[-1] = (node, parts, linked + len(text.strip()))
 
+    def _push(self, name: str, node: int) -> None:
+        self._open.setdefault(name, []).append(len(self._stack))
+        self._stack.append((name, node))
+
+    def _last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, -1 without."""
+        return max((self._open[n][-1] for n in names if self._open.get(n)), default=-1)
+
     def _cut(self, size: int) -> None:
-        for name, _ in self._stack[size:]:
+        while len(self._stack) > size:
+            name, _ = self._stack.pop()
+            self._open[name].pop()
             self._links -= name == "a"
-            self._fresh |= name in BLOCKS
-        del self._stack[size:]
+            self._hidden -= name in LEFT_OUT
+            if name in BLOCKS:
+                self._blocks.pop()
+                self._fresh = True
 
     def _start(self, name: str, attributes: str) -> None:
         if name == "br":
             if not self._fresh:
                 self.runs[-1][1].append(" ")
             return
-        if name in ("html", "body") and any(n == name for n, _ in self._stack):
+        if name in ("html", "body") and self._open.get(name):
             return
         if name in BLOCKS:
-            closed, stops = CLOSES.get(name, (set(), set()))
-            for i in range(len(self._stack) - 1, 0, -1):
-                own = self._stack[i][0]
-                if own in closed or own == "p":
-                    self._cut(i)
-                    if own == "p":
-                        continue
-                    if name != "tr" or own == "tr":
-                        break
-                if own in stops or (not closed and own in SCOPES) or own in ("table", "html", "body"):
-                    break
+            if self._hidden:
+                self._cut(min(self._open[n][0] for n in LEFT_OUT if self._open.get(n)))
+            closed, stops = CLOSES.get(name, ((), SCOPES))
+            bar = self._last(*stops, *ROOTS)
+            if (place := self._last("p")) > bar:
+                self._cut(place)
+            if closed:
+                row = self._last("tr") if name == "tr" else -1
+                place = row if row > bar else self._last(*closed)
+                if place > bar:
+                    self._cut(place)
             self._fresh = True
             if name in VOID:
                 return
             self.parent.append(self._stack[-1][1])
             self.tag.append(name)
             self.names.append(" ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower())
-            self._stack.append((name, len(self.tag) - 1))
+            self._blocks.append(len(self._stack))
+            self._push(name, len(self.tag) - 1)
         elif name not in VOID:
             if name == "a" and self._links:
                 self._end("a")
             self._links += name == "a"
-            self._stack.append((name, self._stack[-1][1]))
+            self._push(name, self._stack[-1][1])
 
     def _end(self, name: str) -> None:
-        block = name in BLOCKS
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == name:
-                self._cut(i)
-                return
-            if not block and self._stack[i][0] in BLOCKS:
-                return
+        place = self._last(name)
+        if place > 0 and (name in BLOCKS or place > self._blocks[-1]):
+            self._cut(place)
 
 
 class Forest:
@@ -238,6 +274,9 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     def ad(tag: str = "div") -> None:
         short(tag, r.choice(("ad", "advert", "sponsored", "promo banner", "ads")), 3, 40)
 
+    def notice() -> None:
+        put(r.choice(("p", "p", "div")), 0, _filler(r, r.randint(3, 40)), r.choice(("notice", "cookie-notice", "consent", "alert", "notice popup")))
+
     def article_parts() -> None:
         if r.random() < 0.8:
             put("h1", 1, _filler(r, r.randint(2, 14)))
@@ -261,8 +300,8 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
                 put("figure", 1, lambda: put("figcaption", 1, _filler(r, r.randint(3, 12))))
             else:
                 put("div", 1, lambda: put("p", 1, text))
-            if r.random() < 0.06:
-                r.choice((ad, lambda: short("aside", ""), lambda: short("div", r.choice(("share", "related", "social")), 1, 8), form))()
+            if r.random() < 0.2:
+                r.choice((ad, lambda: short("aside", ""), lambda: short("div", r.choice(("share", "related", "social")), 1, 8), form, notice, notice, notice))()
 
     def article() -> None:
         shape = r.random()
@@ -344,7 +383,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", t
 
     Null or empty html gives the empty text, as does a page without content. Blocks keep page
     order; white space in a block becomes one space; character references are decoded; ``br`` is
-    white space. Rows with null or repeated ids are pages like others.
+    white space. Rows with null or repeated ids are pages like others; other columns are ignored; no
+    rows in, no rows out. A page is parsed in time proportional to its length, in one task.
     """
     model = train(training_pages)
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("text", T.StringType())])

@@ -110,6 +110,41 @@ def test_html_text(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+ARTICLE = ("<html><body><nav><a href=x>Home</a></nav><article><h1>Title of it</h1><p>First paragraph of the story, long enough to be kept as text here.</p>%s"
+           "<p>Second paragraph of the story, which also has to be kept as text.</p></article><footer><p>Copyright</p></footer></body></html>")
+
+
+@pytest.mark.parametrize("inner, kept", [
+    ("<svg><path>", []), ("<button>Go", []), ("<select><option>a</select>", []), ("<p>text <button>Push</button> on</p>", ["text on"]),
+    ("<p>With <object>inner object words</object> and <math><mi>x</mi></math>.</p>", ["With inner object words and x."]), ("<xmp>a <b> c</xmp>", ["a <b> c"]),
+    ('<p class="notice">We use cookies on this site, please accept them.</p>', []), ('<div class="cookie-notice"><p>We use cookies here.</p></div>', []),
+    ("<template><p>no</p></template>", []), ("<script>if (a<b) x='</p>'</script>", [])])
+def test_odd_elements_inside_an_article(inner, kept):
+    lines = htmltext.main_texts([ARTICLE % inner], htmltext.train())[0].split("\n")
+    assert lines[0] == "Title of it" and lines[1].startswith("First") and lines[-1].startswith("Second") and lines[2:-1] == kept
+
+
+@pytest.mark.parametrize("bit", ["<b><p>x", "<div>", "<p", "<ul><li>a", '<a ">', "<table><tr><td>x", "<!", "<button>", "<svg><p>a"])
+def test_hostile_pages_take_linear_time(bit):
+    import time
+
+    began = time.process_time()
+    htmltext.Page(bit * 20000)
+    assert time.process_time() - began < 3
+
+
+def test_pages_against_a_plain_extractor(sf_dir):
+    """The given pages' articles by their tags alone, without a model."""
+    rows = duckdb.connect().execute(f"select html from '{sf_dir}/pages.parquet' where html is not null").fetchall()
+    model = htmltext.train()
+    block = re.compile(r"</?(?:p|div|h[1-6]|ul|ol|li|article|blockquote|table|tr|td)\b[^>]*>", re.I)
+    for html_, text in zip([h for h, in rows], htmltext.main_texts([h for h, in rows], model)):
+        inner = re.search("<article[^>]*>(.*)</article>", html_, re.S | re.I)
+        parts = block.split(re.sub("<!--.*?-->", "", inner[1], flags=re.S)) if inner else []
+        plain = [" ".join(htmltext.html.unescape(re.sub("<[^>]+>", "", re.sub("<br[^>]*>", " ", p))).split()) for p in parts]
+        assert text == "\n".join(p for p in plain if p)
+
+
 def test_chat_query_is_its_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
