@@ -1,13 +1,13 @@
 """Quality rules with an n-gram language model: modified Kneser-Ney over folded characters.
 
-Text is folded to 32 character classes (26 letters without accents or case, one class each for
-digits, sentence marks, symbols, other letters, line ends and blanks), and a 4-gram model is
-counted for every language over *all* documents. Per task the counts are combined before they are
-shuffled, so what is gathered follows the number of tasks, that is, the input. The driver gets the
-summed counts: however much text there is, at most ``32**4`` for each of the languages and one
-more, 5 million numbers at the very most (a few 100,000 in practice). From them the model is
-estimated and stored as one sorted array of hashed n-grams per language and order, with log
-probability and back-off weight beside it.
+Text is folded to 32 character classes: 26 of letters (Latin ones without accents or case, those of
+other scripts dealt out by code point), one each for digits, sentence marks, symbols, characters
+beyond the basic plane, line ends and blanks. A 4-gram model is counted for each language over *all*
+documents. Per task the counts are combined before they are shuffled, so what is gathered follows
+the number of tasks, that is, the input; the summed counts of a language are at most ``32**4``.
+Each language is estimated in one task and stored as a sorted array of hashed n-grams per order,
+with log probability and back-off weight beside it. The ``LANGUAGES`` languages that most documents
+have get models of their own, the others share one.
 
 A document's perplexity is compared with a band of its own language: the median of all
 documents' log perplexities, plus and minus a multiple of their median absolute deviation.
@@ -29,13 +29,11 @@ from pyspark.sql import types as T
 from .common import flat_bytes, kept, mix, prefix_hashes, span_hashes, stored
 
 ORDER, BITS = 4, 5
-LANGUAGES = ("de", "en", "es", "fr")
-OTHER = "other"
-GROUPS = (*LANGUAGES, OTHER)
+LANGUAGES, OTHER = 32, "other"
 BLANK, LINE, DIGIT, STOP, SYMBOL, FOREIGN = 0, 27, 28, 29, 30, 31
 #: Kind of each byte: 0 white space, 1 later byte of a character, 2 its first, 3 symbol.
 BYTES = np.array([0 if b in b" \t\n\v\f\r" else 3 if b in b"#*$%&|<>" else 1 if b & 0xC0 == 0x80 else 2 for b in range(256)], np.uint8)
-TABLE = 0x250
+TABLE = 0x10000
 
 
 @lru_cache(1)
@@ -44,7 +42,8 @@ def _classes() -> np.ndarray:
     out = np.full(TABLE, SYMBOL, np.uint8)
     for cp in range(TABLE):
         c = chr(cp)
-        base = unicodedata.normalize("NFD", c.lower())[0]
+        kind = unicodedata.category(c)
+        base = unicodedata.normalize("NFD", c.lower())[0] if cp < 0x250 or 0x1E00 <= cp < 0x1F00 else c
         if c == "\n":
             out[cp] = LINE
         elif c.isspace():
@@ -53,10 +52,10 @@ def _classes() -> np.ndarray:
             out[cp] = ord(base) - 96
         elif c.isdigit():
             out[cp] = DIGIT
-        elif c in ".,;:!?'\"()-":
+        elif c in ".,;:!?'\"()-" or (cp >= 0x250 and kind in ("Po", "Pd", "Ps", "Pe", "Pi", "Pf")):
             out[cp] = STOP
-        elif c.isalpha():
-            out[cp] = FOREIGN
+        elif kind[0] in "LM":
+            out[cp] = FOREIGN if cp < 0x250 else 1 + cp % 26
     return out
 
 
@@ -102,33 +101,43 @@ def grams(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, sizes
 
 
-def language(col: str) -> F.Column:
-    """The language if it is one of ``LANGUAGES``, else (also for null) ``other``."""
-    return F.when(F.col(col).isin(*LANGUAGES), F.col(col)).otherwise(OTHER)
+def languages(docs: DataFrame, lang_col: str = "lang", most: int = LANGUAGES) -> tuple[str, ...]:
+    """The languages that get a model of their own, then ``OTHER``."""
+    rows = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    return (*sorted(r.lang for r in rows if r.lang != OTHER), OTHER)
 
 
-def _groups(column: pa.Array) -> np.ndarray:
-    return pc.index_in(column, value_set=pa.array(GROUPS)).to_numpy().astype(np.int64)
+def language(col: str, groups: tuple[str, ...]) -> F.Column:
+    """The language if it has a model of its own, else (also for null) ``OTHER``."""
+    own = F.col(col).cast("string")
+    return F.when(own.isin(*groups), own).otherwise(OTHER)
 
 
-def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def _numbers(column: pa.Array, groups: tuple[str, ...]) -> np.ndarray:
+    return pc.index_in(column, value_set=pa.array(groups)).to_numpy().astype(np.int64)
+
+
+def gram_counts(docs: DataFrame, groups: tuple[str, ...], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(lang, gram, n)``: 4-gram counts over all of ``docs``, combined in each task first."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(GROUPS) << BITS * ORDER, np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            langs = _groups(b.column(0))
+            langs = _numbers(b.column(0), groups)
             for first, after, body, bounds in chunks(b.column(1)):
                 g, sizes = grams(body, bounds)
-                total += np.bincount(np.repeat(langs[first:after] << BITS * ORDER, sizes) | g, minlength=len(total))
-        for k, lang in enumerate(GROUPS):
-            own = total[k << BITS * ORDER: k + 1 << BITS * ORDER]
+                at = np.repeat(langs[first:after], sizes)
+                present = np.unique(langs[first:after]).tolist()
+                for k in present:
+                    own = np.bincount(g if len(present) == 1 else g[at == k], minlength=1 << BITS * ORDER)
+                    total[k] = own if k not in total else total[k] + own
+        for k, own in total.items():
             g = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(own[g], pa.int64())],
+                [pa.array([groups[k]] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(own[g], pa.int64())],
                 names=["lang", "gram", "n"])
 
-    parts = docs.select(language(lang_col).alias("lang"), text_col).mapInArrow(of, "lang string, gram long, n long")
+    parts = docs.select(language(lang_col, groups).alias("lang"), text_col).mapInArrow(of, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -176,20 +185,26 @@ def _mixed(gram: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint32(15)
 
 
+def _estimated(table: pa.Table) -> pa.Table:
+    """Of one language: a row for each order with its sorted hashes and both logs."""
+    counts = np.zeros(1 << BITS * ORDER, np.int64)
+    counts[table["gram"].to_numpy()] = table["n"].to_numpy()
+    rows = []
+    for order, (gram, logp, back) in enumerate(kneser_ney(counts)):
+        h = _mixed(gram)
+        by = np.argsort(h)
+        rows.append((table["lang"][0].as_py(), order, h[by].tobytes(), logp[by].astype("<f4").tobytes(), back[by].astype("<f4").tobytes()))
+    return pa.table([pa.array(c) for c in zip(*rows)], names=["lang", "order", "hashes", "logp", "back"])
+
+
 class Model:
     """Sorted hash arrays: per language and order the hashes ascending, with both logs beside."""
 
-    def __init__(self, counts: pa.Table):
-        """From ``counts(lang, gram, n)``."""
-        self.arrays = {}
-        lang = _groups(counts["lang"].combine_chunks())
-        for k in np.unique(lang).tolist():
-            own = np.zeros(1 << BITS * ORDER, np.int64)
-            own[counts["gram"].to_numpy()[lang == k]] = counts["n"].to_numpy()[lang == k]
-            for order, (gram, logp, back) in enumerate(kneser_ney(own)):
-                h = _mixed(gram)
-                by = np.argsort(h)
-                self.arrays[GROUPS[k], order] = h[by], logp[by].astype(np.float32), back[by].astype(np.float32)
+    def __init__(self, counts: DataFrame):
+        """From ``counts(lang, gram, n)``; each language is estimated in a task, and its arrays come
+        to the driver: at most ``LANGUAGES + 1`` times 13 MB, for the alphabet bounds them."""
+        rows = counts.groupBy("lang").applyInArrow(_estimated, "lang string, order long, hashes binary, logp binary, back binary").collect()
+        self.arrays = {(r.lang, r.order): (np.frombuffer(r.hashes, np.uint32), np.frombuffer(r.logp, "<f4"), np.frombuffer(r.back, "<f4")) for r in rows}
 
     def _find(self, lang: str, order: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes = self.arrays[lang, order][0]
@@ -217,23 +232,27 @@ class Model:
 class Scorer:
     """Log perplexities; what a worker has looked up in the arrays it keeps for later texts."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.known = np.full(len(GROUPS) << BITS * ORDER, np.nan, np.float32)
+    def __init__(self, model: Model, groups: tuple[str, ...]):
+        self.model, self.groups = model, groups
+        self.known: dict[int, np.ndarray] = {}
+
+    def _logp(self, lang: int, g: np.ndarray) -> np.ndarray:
+        known = self.known.setdefault(lang, np.full(1 << BITS * ORDER, np.nan, np.float32))
+        p = known[g]
+        new = np.isnan(p)
+        if new.any():
+            fresh = np.unique(g[new])
+            known[fresh] = self.model.logp(self.groups[lang], fresh)
+            p = known[g]
+        return p
 
     def __call__(self, langs: np.ndarray, body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters and mean negative log probability of each text (0 for an empty one)."""
         g, sizes = grams(body, bounds)
-        at = np.repeat(langs << BITS * ORDER, sizes) | g
-        p = self.known[at]
-        new = np.isnan(p)
-        if new.any():
-            fresh = np.unique(at[new])
-            for k, lang in enumerate(GROUPS):
-                own = fresh[fresh >> BITS * ORDER == k]
-                if len(own):
-                    self.known[own] = self.model.logp(lang, own & (1 << BITS * ORDER) - 1)
-            p = self.known[at]
+        at, p = np.repeat(langs, sizes), np.zeros(len(g), np.float32)
+        for lang in np.unique(at).tolist():
+            own = at == lang
+            p[own] = self._logp(lang, g[own])
         sums = np.concatenate(([0.0], np.cumsum(p, dtype=np.float64)))
         ends = np.concatenate(([0], np.cumsum(sizes)))
         return sizes, -np.diff(sums[ends]) / np.maximum(sizes, 1)
@@ -297,10 +316,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     language's band: the median less ``low`` and plus ``high`` spreads. A spread is the median
     absolute deviation, ``least_spread`` at least, times one plus the root of ``short`` characters
     over the text's, as short texts stray further. The medians are over the documents that pass
-    the base rules. Null text: no words, base_failed. A null or undeclared language is
-    ``other``. Each of several equal rows gets its own row. Empty in, empty out.
+    the base rules. Null text: no words, base_failed. Rows without a language, and those of a
+    language that is not among the most frequent, are ``other``. Each of several equal rows gets its
+    own row; other columns are ignored. Empty in, empty out.
     """
-    model = Model(gram_counts(docs, text_col, lang_col).toArrow())
+    groups = languages(docs, lang_col)
+    model = Model(gram_counts(docs, groups, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", kind), T.StructField("lang", T.StringType())]
@@ -308,9 +329,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                           + [T.StructField("log_perplexity", T.DoubleType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = kept(("scorer", id(shared.value)), lambda: Scorer(shared.value))
+        score = kept(("scorer", id(shared.value)), lambda: Scorer(shared.value, groups))
         for b in batches:
-            langs = _groups(b.column(1))
+            langs = _numbers(b.column(1), groups)
             for first, after, body, bounds in chunks(b.column(2)):
                 sizes, log_perplexity = score(langs[first:after], body, bounds)
                 columns = [pa.array(c) for c in (*basics(body, bounds), sizes)]
@@ -318,7 +339,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, after - first), b.column(1).slice(first, after - first), *columns, values],
                                                  names=schema.names)
 
-    rows = docs.select(F.col(id_col).alias("_id"), language(lang_col).alias("lang"), text_col).mapInArrow(of, schema)
+    rows = docs.select(F.col(id_col).alias("_id"), language(lang_col, groups).alias("lang"), text_col).mapInArrow(of, schema)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = stored(rows.withColumn("base_failed", failed), "quality")
     fit = rows.where(~F.col("base_failed"))
@@ -335,14 +356,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def quality_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` keeps, with all their columns.
+    """The rows of ``docs`` that :func:`quality` keeps, with all their columns, whatever their names.
 
-    Rows are matched by id and text, so rows that share an id are judged each by its own text.
+    Rows are matched by id, text and language, so rows that share an id are judged each by its own.
     """
-    marked = docs.select(F.struct(id_col, F.xxhash64(text_col)).alias("_row"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    good = quality(marked, "_row", "_text", "_lang").where("kept").select("_row").distinct()
-    here = docs.withColumn("_row", F.struct(id_col, F.xxhash64(text_col)))
-    return here.join(good.withColumnRenamed("_row", "_kept"), F.col("_row").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    marked = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    good = quality(marked, "key", "text", "lang").where("kept").select(F.col("key").alias("good")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
+    return rows.join(good, F.col("key").eqNullSafe(F.col("good")), "left_semi").select("doc.*")
 
 
 def op1_ngram_quality(spark, sf_dir):

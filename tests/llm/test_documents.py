@@ -111,6 +111,37 @@ def test_quality_kept_has_all_columns_and_rows(edges):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in df.collect() if r.doc_id in good)
 
 
+def test_bands_are_the_plain_ones(spark):
+    """``kept`` from medians and deviations computed by hand, for languages that no list names."""
+    rng = np.random.default_rng(3)
+    own = {"en": "the of and to in that is was for it with as his on be at by".split(), "ru": "это как его она так был что они все для".split(), None: "vel et in".split()}
+    rows = [(i, " ".join(rng.choice(own[lang], int(rng.integers(12, 60)))) + " ." * int(rng.integers(0, 3)), lang) for i, lang in enumerate(["en", "ru", None] * 15)]
+    rows += [(100, "".join(chr(0x430 + int(c)) if c < 32 else " " for c in rng.integers(0, 38, 200)), "ru"), (101, "a b", "en")]
+    got = {r.doc_id: r for r in quality.quality(table(spark, rows)).collect()}
+    by = defaultdict(list)
+    for i, t, lang in rows:
+        by[lang or "other"].append((i, t))
+    for lang, own_rows in by.items():
+        score = dict(zip([i for i, _ in own_rows], plain_kneser_ney([t for _, t in own_rows])))
+        passed = sorted(score[i] for i, t in own_rows if not brute.base_measures(t)[-1])
+        middle = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+        mid = middle(passed)
+        mad = max(0.01, middle([abs(x - mid) for x in passed]))
+        for i, t in own_rows:
+            spread = mad * (1 + math.sqrt(300 / len(t)))
+            slack = min(abs(score[i] - (mid - 4.5 * spread)), abs(score[i] - (mid + 5 * spread)))
+            want = not brute.base_measures(t)[-1] and mid - 4.5 * spread <= score[i] <= mid + 5 * spread
+            assert got[i].log_perplexity == pytest.approx(score[i], abs=2e-4) and (slack < 1e-3 or got[i].kept == want), (i, lang)
+
+
+def test_kept_rows_with_clashing_names(spark):
+    rows = [(1, PASSAGE, "en", 5, 6, 7), (1, PASSAGE, "en", 5, 6, 7), (1, PASSAGE + "x", "de", 8, 9, 10), (None, PASSAGE, None, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row int, _keep int, key int")
+    kept = quality.quality_kept(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+    assert sorted((r._keep for r in simhash.near_duplicates_removed(docs).collect())) in ([1, 6, 6, 9], [1, 6, 6])
+
+
 def test_suffix_removal(edges, real):
     for rows, df in (edges, real):
         stored = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
