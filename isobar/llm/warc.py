@@ -80,15 +80,28 @@ def records(archive: bytes) -> Iterator[tuple[dict, bytes]]:
             at = end + 4 + size + 4
 
 
-def page_records(page_id, url, payload: bytes, refers_to, first_url) -> Iterator[bytes]:
-    """The record of a page, or its segments."""
-    own = f"<urn:uuid:{uuid.uuid4()}>"
+def record_id(page_id, digest: str) -> str:
+    """Of the response with a payload, the same in every attempt of a task."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
+def information() -> bytes:
+    """The record that an archive begins with."""
+    headers = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}
+    return record(headers, b"format: WARC File Format 1.1\r\n")
+
+
+def page_records(page_id, url, payload: bytes, refers_to, first_url, single: bool = True) -> Iterator[bytes]:
+    """The record of a page, or its segments. ``single``: the response of this page and payload, or
+    the one referred to, is the only one, so that its identifier follows from them."""
+    digest = base32_sha1(payload)
+    own = record_id(page_id, digest) if single and refers_to is None else f"<urn:uuid:{uuid.uuid4()}>"
     uri = None if url is None else quote(url, safe=";/?:@&=+$,-_.!~*'()#%[]|")
     headers = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": own, "WARC-Target-URI": uri, "WARC-Date": DATE,
-               "WARC-Payload-Digest": "sha1:" + base32_sha1(payload), "Content-Type": "application/http; msgtype=response", "X-Page-Id": page_id}
+               "WARC-Payload-Digest": "sha1:" + digest, "Content-Type": "application/http; msgtype=response", "X-Page-Id": page_id}
     if refers_to is not None:
         first = None if first_url is None else quote(first_url, safe=";/?:@&=+$,-_.!~*'()#%[]|")
-        yield record(headers | {"WARC-Profile": REVISIT, "WARC-Refers-To-Target-URI": first, "X-Refers-To-Page": refers_to}, HTTP)
+        yield record(headers | {"WARC-Profile": REVISIT, "WARC-Refers-To": record_id(refers_to, digest) if single else None, "WARC-Refers-To-Target-URI": first, "X-Refers-To-Page": refers_to}, HTTP)
         return
     block = HTTP + to_chunks(payload)
     if len(block) <= SEGMENT:
@@ -112,13 +125,20 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     payload = F.encode(F.coalesce(html_col, F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    last = (rows.groupBy("digest").agg(F.max("page").alias("last"), F.max_by("url", "page").alias("last_url"), F.max(F.length("payload")).alias("size"))
-            .where(F.col("last").isNotNull() & (F.col("size") >= least_bytes)))
-    rows = rows.join(last, "digest", "left").select(
-        "page", "url", "payload", F.when(~F.col("page").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"), "last_url")
+    # Ids are matched by digest without their payloads; payloads then move by page and digest, so that
+    # no common page gathers in one task.
+    ids = rows.groupBy("page", "digest").agg(F.max("url").alias("url"), F.max(F.length("payload")).alias("size"), F.count("*").alias("copies"))
+    last = (ids.groupBy("digest").agg(F.max("page").alias("last"), F.max_by("url", "page").alias("last_url"), F.max_by("copies", "page").alias("last_copies"), F.max("size").alias("most"))
+            .where(F.col("last").isNotNull() & (F.col("most") >= least_bytes)))
+    other = ~F.col("page").eqNullSafe(F.col("last")) & F.col("last").isNotNull()
+    refers = ids.join(last, "digest", "left").where(other | (F.col("copies") > 1)).select(
+        F.xxhash64("page", "digest").alias("key"), F.col("page").alias("_page"), F.col("digest").alias("_digest"), F.when(other, F.col("last")).alias("last"), "last_url",
+        F.when(other, F.col("last_copies") == 1).otherwise(F.lit(False)).alias("single"))
+    same = (F.col("key") == F.xxhash64("page", "digest")) & F.col("page").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
+    rows = rows.join(refers, same, "left").select("page", "url", "payload", F.col("last").alias("refers_to"), "last_url", F.coalesce("single", F.lit(True)).alias("single"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = [information()], 0
 
         def archive() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4()}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], names=["path", "content"])
@@ -130,8 +150,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                     size += len(part)
                 if size >= ARCHIVE:
                     yield archive()
-                    held, size = [], 0
-        if held:
+                    held, size = [information()], 0
+        if size:
             yield archive()
 
     return stored(rows.mapInArrow(of, "path string, content binary"), "archives")
@@ -149,7 +169,7 @@ def _parsed(archives: DataFrame, segments: bool) -> DataFrame:
             for content in b.column(0):
                 rows = []
                 for h, block in records(content.as_py()):
-                    if ("warc-segment-number" in h) == segments:
+                    if h["warc-type"] in ("response", "revisit", "continuation") and ("warc-segment-number" in h) == segments:
                         number = lambda k: int(h[k]) if k in h else None  # noqa: E731, B023
                         rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"),
                                      number("x-page-id"), h["warc-type"], number("x-refers-to-page"), h.get("warc-target-uri"), h.get("warc-payload-digest"), block))
@@ -172,7 +192,7 @@ def reassembled(archives: DataFrame) -> DataFrame:
     parts = _parsed(archives, True)
     own = F.max(F.when(F.col("number") == 1, F.struct("page_id", "record_type", "refers_to", "url", "digest")))
     joined = parts.groupBy("origin").agg(own.alias("own"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"))
-    block = F.expr("unhex(array_join(transform(parts, p -> hex(p.block)), ''))")
+    block = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")  # casts keep the bytes
     joined = joined.withColumn("block", block)
     numbers = F.transform("parts", lambda p: p["number"])
     whole = (F.col("own").isNotNull() & (numbers == F.sequence(F.lit(1), F.size("parts"))) & F.col("total").eqNullSafe(F.length("block").cast("long")))
@@ -185,7 +205,8 @@ def read_pages(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """``page_id, url, record_type, refers_to, payload_bytes, payload_digest`` and ``payload``.
 
     Payloads are decoded and their digests checked; revisits get size and, if asked for, payload
-    of the response they refer to.
+    of the response they refer to. Empty payloads and null ids are rows like others; no archives, no
+    rows. A record, also a very long one, has to fit a row.
     """
     whole = reassembled(archives)
     schema = "page_id long, url string, record_type string, refers_to long, digest string, size long" + ", payload binary" * with_payload

@@ -26,19 +26,30 @@ def as_set(rows):
 
 
 def test_warc_round_trip(spark):
-    rows = [(i, f"http://h.example/{i} ü" if i % 3 else None, b, "x") for i, b in enumerate(BODIES)] + [(4, "http://again", "a", "y"), (20, "u", "x" * 70000, "z")]
+    rows = [(i, f"http://h.example/{i} ü" if i % 3 else None, b, "x") for i, b in enumerate(BODIES)] + [(4, "http://again", "a", "y"), (20, "u", "x" * 70000, "z"), (20, "u", "x" * 70000, "z"), (None, None, "a", "n"), (None, None, "lone" * 9000, "n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     out = warc.read_pages(warc.write_archives(pages)).collect()
     assert len(out) == len(rows)
     last = {}
     for i, _, b, _ in rows:
-        last[b or ""] = max(i, last.get(b or "", i))
+        if i is not None:
+            last[b or ""] = max(i, last.get(b or "", i))
     html = {(i, (b or "").encode()) for i, _, b, _ in rows}
     for r in out:
         assert (r.page_id, bytes(r.payload)) in html
         body = bytes(r.payload).decode()
         assert r.payload_bytes == len(r.payload) and r.payload_digest == warc.base32_sha1(bytes(r.payload))
-        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == last[body] else ("revisit", last[body]))
+        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == last.get(body) else ("revisit", last[body]))
+    assert warc.read_pages(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_warc_headers_are_standard(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "same"), (2, "http://b/", "same"), (3, "http://c/", "y" * 40000)], "page_id long, url string, html string")
+    found = [h for r in warc.write_archives(pages).collect() for h, _ in warc.records(bytes(r.content))]
+    by = {(h["warc-type"], h.get("x-page-id")): h for h in found}
+    assert ("warcinfo", None) in by and by["revisit", "1"]["warc-refers-to"] == by["response", "2"]["warc-record-id"]
+    assert {h["warc-segment-origin-id"] for h in found if h["warc-type"] == "continuation"} == {by["response", "3"]["warc-record-id"]}
+    assert len({h["warc-record-id"] for h in found}) == len(found)
 
 
 def test_warc_query_is_its_sql(spark, sf_dir):
