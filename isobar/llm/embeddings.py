@@ -320,7 +320,7 @@ def audit(vectors: DataFrame, links: DataFrame, least: float) -> float | None:
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93,
-                 overlap: int = 3, target: float = 0.97) -> DataFrame:
+                 overlap: int = 2, target: float = 0.97) -> DataFrame:
     """``id_col, n_links, component_id, kept, recall`` for every row.
 
     Rows link if labels (of any type) are equal and not null, vectors have one length and the
