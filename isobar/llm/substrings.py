@@ -2,17 +2,22 @@
 
 Every window of 200 bytes picks one of its 40-byte grams, the one with the least hash, the first
 of equals: its anchor. Equal windows pick the same anchor, so only suffixes that start at anchors
-need to be indexed, about one in 80 bytes. A batch's suffix array holds, ordered by the hashed
-gram that starts the suffix, how often it occurs and the least and the greatest hash of the text
-around it (all windows that picked it). A new batch is merge-scanned against each level of the
-index, which yields the grams that occur more than once; then it becomes a level, and while two
-levels have the same size they merge into one of twice that. Levels are tables bucketed by the
-gram, so scans and merges read them without a shuffle.
-
-Grams found more than once (in a bit set of fixed greatest size) mark anchors in a second pass.
-An anchor whose whole surroundings occur twice has all its windows removed. Where the same gram
-has different surroundings, these are brought together and their windows compared one by one.
-Grams with very many different surroundings are compared as rows, window by window, instead.
+need to be indexed, about one in 80 bytes. A batch's suffix array holds the suffixes in the order
+of their first 40 bytes, which are stored as they are; suffixes that agree in these are one row,
+with the place of one of them, how many there are, and the least and the greatest hash of the text
+around them (all windows that picked the anchor), so a passage that very many documents share
+is one row. A new batch is merge-scanned against each level of the index, which yields the
+suffixes that occur more than once and whether their surroundings differ; then it becomes a level,
+and while two levels have the same size they merge into one of twice that. Levels are tables
+bucketed and sorted by the leading bytes, so scans and merges read them in order without a shuffle.
+
+The texts are cut into suffixes once; a batch is a share of the files these are written to, and
+there are as many batches as the number of files has binary digits, and one more.
+
+Suffixes that the scans found are looked up by a join. One whose whole surroundings occur twice has
+all its windows removed. Where the same suffix has different surroundings, one text of each is
+fetched, and these are compared window by window; suffixes with very many different surroundings
+are compared as rows instead.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,7 @@ from .common import discard, flat_bytes, kept, mix, stored
 WINDOW, GRAM = 200, 40
 CHUNK, PLACE = 1 << 19, np.uint64((1 << 20) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-MOST_BITS = 28
 HEAVY = 4000
-BATCHES = 4
 
 
 @lru_cache(1)
@@ -62,16 +65,16 @@ def _hashes(sums: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) ->
     return (sums[end] - sums[start]) * _powers()[base][1][start]
 
 
-def anchors(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor, of the texts that lie end to end in ``body``.
 
-    Returns first window, number of windows, gram hash, and hash of all bytes of the run's windows
-    (with the anchor's place among them).
+    Returns first window, number of windows, place of the anchor, gram hash, and hash of all bytes
+    of the run's windows (with the anchor's place among them).
     """
     n = len(body)
     if n < WINDOW:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     inverse = _powers()[0][1]
     sums = _sums(body, 0)
     h = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
@@ -95,7 +98,7 @@ def anchors(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first, after = first[keep], after[keep]
     seg = _hashes(_sums(body, 1), 1, first, after - 1 + WINDOW)
     place = (at[first] - first).astype(np.uint64) << np.uint64(32) | (after - first).astype(np.uint64)
-    return first, after - first, h[at[first]], mix(seg ^ mix(place))
+    return first, after - first, at[first], h[at[first]], mix(seg ^ mix(place))
 
 
 def _chunks(bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -113,128 +116,142 @@ def _chunks(bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         a = b
 
 
-def _found(text: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """For the texts of an Arrow column, in parts: text, start in it, windows, gram, surroundings, bytes."""
-    kept("suffixes", lambda: None)
-    body, bounds = flat_bytes(text)
-    for a, b, low, high in _chunks(bounds):
-        own = np.clip(bounds[a: b + 1], low, high) - low
-        part = body[low:high]
-        first, count, key, seg = anchors(part, own)
-        doc = np.searchsorted(bounds[a: b + 1], first + low, "right") - 1 + a
-        yield doc, first + low - bounds[doc], count, key, seg, part, first
-
-
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def suffix_array(docs: DataFrame) -> DataFrame:
-    """``(key, lo, hi, n)`` of the anchors in ``docs(text)``; ``hi`` is null where it equals ``lo``."""
+def _leading(part: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The first ``GRAM`` bytes of the suffixes of ``part`` that start at ``at``."""
+    data = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, GRAM)[at])
+    offsets = np.arange(0, GRAM * len(at) + 1, GRAM, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def suffixes(docs: DataFrame) -> DataFrame:
+    """``id, rk, first, windows, place, suffix, key, seg`` of the anchors in ``docs(id, rk, text)``:
+    the first window and how many have the anchor, the anchor's place, its bytes and their
+    hash, and the hash of the text around it."""
+    schema = T.StructType([docs.schema["id"], docs.schema["rk"]] + [T.StructField(n, t) for n, t in (
+        ("first", T.LongType()), ("windows", T.LongType()), ("place", T.LongType()), ("suffix", T.BinaryType()),
+        ("key", T.LongType()), ("seg", T.LongType()))])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("suffixes", lambda: None)
         for b in batches:
-            for _, _, _, key, seg, _, _ in _found(b.column(0)):
-                yield pa.RecordBatch.from_arrays([_signed(key), _signed(seg)], names=["key", "seg"])
+            body, bounds = flat_bytes(b.column(2))
+            for low_doc, high_doc, low, high in _chunks(bounds):
+                part = body[low:high]
+                first, count, at, key, seg = anchors(part, np.clip(bounds[low_doc: high_doc + 1], low, high) - low)
+                if not len(first):
+                    continue
+                doc = np.searchsorted(bounds[low_doc: high_doc + 1], first + low, "right") - 1 + low_doc
+                which, origin = pa.array(doc), low - bounds[doc]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(which), b.column(1).take(which), pa.array(first + origin), pa.array(count), pa.array(at + origin),
+                     _leading(part, at), _signed(key), _signed(seg)], names=schema.names)
+
+    return docs.select("id", "rk", F.encode("text", "utf-8").alias("text")).mapInArrow(of, schema)
 
-    rows = docs.select(F.encode("text", "utf-8").alias("text")).mapInArrow(of, "key long, seg long")
-    return rows.groupBy("key").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.count("*").alias("n")).withColumn(
-        "hi", F.expr("nullif(hi, lo)"))
+
+def suffix_array(rows: DataFrame) -> DataFrame:
+    """``(suffix, key, rk, place, lo, hi, n)`` of :func:`suffixes`, one row for equal leading
+    bytes; ``hi`` is null where it equals ``lo``."""
+    return rows.groupBy("suffix").agg(
+        F.first("key").alias("key"), F.first("rk").alias("rk"), F.first("place").alias("place"),
+        F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.count("*").alias("n")).withColumn("hi", F.expr("nullif(hi, lo)"))
 
 
 class SuffixIndex:
-    """Levels of suffix arrays; :meth:`add` scans a batch against all of them and takes it in."""
+    """Levels of suffix arrays; :meth:`add` scans a batch against all of them and takes it in.
+    The levels' tables are dropped when the ``with`` block ends, however it ends."""
 
     def __init__(self, spark):
         self.spark, self.levels = spark, []  # (batches, table), larger before smaller
+        self.merges = 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _level(self, rows: DataFrame) -> str:
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for _, name in self.levels:
+            self._drop(name)
+        self.levels = []
+
+    def _level(self, size: int, rows: DataFrame) -> DataFrame:
         name = f"isobar_suffixes_{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
-        return name
+        self.levels.append((size, name))
+        rows.write.option("compression", "zstd").bucketBy(self.buckets, "suffix").sortBy("suffix").saveAsTable(name)
+        return self.spark.table(name)
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"drop table {name}")
+        self.spark.sql(f"drop table if exists {name}")
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Take in ``docs(text)``. Returns ``(key, mixed)``: grams of the batch that occur again
-        in it or in a level, and whether with different surroundings."""
+    def _merge_equal(self) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, y), (_, x) = self.levels.pop(), self.levels.pop()
+            (size, x), (_, y) = self.levels[-2:]
             a, b = self.spark.table(x).alias("a"), self.spark.table(y).alias("b")
             lo = F.least("a.lo", "b.lo")
             hi = F.greatest("a.lo", "a.hi", "b.lo", "b.hi")
-            both = a.join(b, F.col("a.key") == F.col("b.key"), "full_outer").select(
-                F.coalesce("a.key", "b.key").alias("key"), lo.alias("lo"), F.nullif(hi, lo).alias("hi"),
-                (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
-            self.levels.append((2 * size, self._level(both)))
-            self._drop(x)
-            self._drop(y)
-        new = self._level(suffix_array(docs))
-        batch = self.spark.table(new)
+            own = [F.when(F.col("a.n").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in ("suffix", "key", "rk", "place")]
+            both = a.join(b, F.col("a.suffix") == F.col("b.suffix"), "full_outer").select(
+                *own, lo.alias("lo"), F.nullif(hi, lo).alias("hi"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
+            self._level(2 * size, both)
+            self.merges += 1
+            for name in (x, y):
+                self._drop(name)
+            self.levels = [level for level in self.levels if level[1] not in (x, y)]
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Take in a batch of :func:`suffixes`. Returns ``(key, mixed)``: the suffixes of the batch
+        that occur again in it or in a level, and whether with different surroundings."""
+        older = [self.spark.table(name).select("suffix", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")) for _, name in self.levels]
+        batch = self._level(1, suffix_array(rows))
         hits = batch.where("n > 1").select("key", F.col("hi").isNotNull().alias("mixed"))
-        for _, name in self.levels:
-            level = self.spark.table(name).select("key", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        for level in older:
             differ = F.col("hi").isNotNull() | F.col("hi2").isNotNull() | (F.col("lo") != F.col("lo2"))
-            hits = hits.unionByName(batch.join(level, "key").select("key", differ.alias("mixed")))
+            hits = hits.unionByName(batch.join(level, "suffix").select("key", differ.alias("mixed")))
         hits = stored(hits, "hits")
-        self.levels.append((1, new))
+        self._merge_equal()
         return hits
 
-    def close(self) -> None:
-        for _, name in self.levels:
-            self._drop(name)
-        self.levels = []
-
 
-def _bit_sets(hits: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Bits of the grams that recur and of those that do with different surroundings: at most
-    ``2**MOST_BITS`` each. More grams than bits only send more anchors to the exact comparison."""
-    bits = min(MOST_BITS, max(16, int(16 * hits.count()).bit_length()))
-    slot = F.col("key").bitwiseAND((1 << bits) - 1)  # the low bits: anchors' hashes are small, being least
-    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    rows = hits.select(slot.alias("slot"), "mixed").select(
-        F.shiftright("slot", 6).alias("word"), bit.alias("any"), F.when(F.col("mixed"), bit).otherwise(0).alias("mixed"))
-    table = rows.groupBy("word").agg(F.bit_or("any").alias("any"), F.bit_or("mixed").alias("mixed")).toArrow()
-    out = [np.zeros(1 << bits - 6, np.uint64) for _ in range(2)]
-    for name, words in zip(("any", "mixed"), out):
-        words[table["word"].to_numpy()] = table[name].to_numpy().view(np.uint64)
-    return bits, *out
+def _shares(rows: DataFrame) -> list[DataFrame]:
+    """Batches of a stored table, each a share of its files."""
+    files = sorted(rows.inputFiles())
+    count = min(len(files), len(files).bit_length() + 1)
+    return [rows.sparkSession.read.schema(rows.schema).parquet(*files[k::count]) for k in range(count)]
 
 
-def _in(words: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
-    slot = key & np.uint64((1 << bits) - 1)
-    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+def recurring(rows: DataFrame) -> DataFrame:
+    """``(key, mixed)`` of the suffixes in a stored table of :func:`suffixes` that occur more than
+    once, by an index that takes in one share of the files after the other."""
+    with SuffixIndex(rows.sparkSession) as index:
+        found = [index.add(share) for share in _shares(rows)]
+        out = stored(reduce(DataFrame.unionByName, found).groupBy("key").agg(F.max("mixed").alias("mixed")), "recurring")
+    for hits in found:
+        discard(hits)
+    return out
 
 
-def _candidates(docs: DataFrame, bit_sets) -> DataFrame:
-    """Anchors whose gram recurs: ``id, rk, first, windows, key, seg`` and, where the gram has
-    different surroundings, their bytes, once for each task, gram and surroundings."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_sets)
-    schema = T.StructType([docs.schema["id"], docs.schema["rk"]] + [T.StructField(n, t) for n, t in (
-        ("first", T.LongType()), ("windows", T.LongType()), ("key", T.LongType()), ("seg", T.LongType()), ("body", T.BinaryType()))])
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key, seg, body``: the text around the anchors in ``wanted(key, seg, at)``, where ``at``
+    tells the document, the first window and their number."""
+    lists = wanted.groupBy(F.col("at.id").alias("id2"), F.col("at.rk").alias("rk2")).agg(
+        F.collect_list(F.struct("key", "seg", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"))).alias("places"))
+    rows = docs.join(lists, F.col("id").eqNullSafe(F.col("id2")) & (F.col("rk") == F.col("rk2"))).select(
+        F.encode("text", "utf-8").alias("text"), "places")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, recur, mixed = shared.value
-        sent: set[int] = set()
         for b in batches:
-            for doc, start, count, key, seg, part, first in _found(b.column(2)):
-                hit = np.flatnonzero(_in(recur, bits, key))
-                if not len(hit):
-                    continue
-                more = np.flatnonzero(_in(mixed, bits, key[hit]))
-                raw = part.tobytes()
-                bodies: list[bytes | None] = [None] * len(hit)
-                for i, own in zip(more.tolist(), (seg[hit[more]] ^ key[hit[more]]).tolist()):
-                    if own not in sent:
-                        sent.add(own)
-                        bodies[i] = raw[first[hit[i]]: first[hit[i]] + count[hit[i]] + WINDOW - 1]
-                which = pa.array(doc[hit])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(which), b.column(1).take(which), pa.array(start[hit]), pa.array(count[hit]), _signed(key[hit]), _signed(seg[hit]),
-                     pa.array(bodies, pa.binary())], names=schema.names)
+            for i in range(b.num_rows):
+                raw, places = b.column(0)[i].as_py(), b.column(1)[i].values
+                key, seg, first, windows = (places.field(c) for c in ("key", "seg", "first", "windows"))
+                body = [raw[a: a + n + WINDOW - 1] for a, n in zip(first.to_pylist(), windows.to_pylist())]
+                yield pa.RecordBatch.from_arrays([key, seg, pa.array(body, pa.binary())], names=["key", "seg", "body"])
 
-    return docs.mapInArrow(of, schema)
+    found = rows.mapInArrow(of, "key long, seg long, body binary")
+    return found.groupBy("key", "seg").agg(F.first("body").alias("body"))  # rows may be equal
 
 
 def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,32 +335,29 @@ def _heavy(surroundings: DataFrame) -> DataFrame:
     return rows.join(twice, ["key", "h"], "left_semi").select("key", "seg", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
 
 
-def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """``id, rk, spans``: byte ranges of ``docs(id, rk, text)`` covered by a 200-byte string that
     also starts elsewhere, as (start, end), perhaps overlapping. Texts without any are absent."""
-    index = SuffixIndex(docs.sparkSession)
-    hits = None
-    for k in range(batches):
-        found = index.add(docs.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k))
-        hits = found if hits is None else hits.unionByName(found)
-    bit_sets = _bit_sets(hits)
-    index.close()
-    found = stored(_candidates(docs.select("id", "rk", F.encode("text", "utf-8").alias("text")), bit_sets), "candidates")
+    rows = stored(suffixes(docs), "suffixes")
+    hits = recurring(rows)
+    found = stored(rows.drop("suffix", "place").join(hits, "key"), "found")
+    discard(rows)
+    discard(hits)
     counted = found.groupBy("key", "seg").agg(F.count("*").alias("n"))
-    surroundings = stored(found.where("body is not null").groupBy("key", "seg").agg(F.first("body").alias("body")), "surroundings")
-    different = stored(surroundings.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "different")
-    own = surroundings.join(different, "key")
+    wanted = stored(found.where("mixed").groupBy("key", "seg").agg(F.min(F.struct("rk", "first", "windows", "id")).alias("at")), "wanted")
+    kinds = wanted.groupBy("key").agg(F.count("*").alias("kinds"))
+    own = stored(_bodies(docs, wanted).join(kinds, "key"), "surroundings")
     light = _light(own.where(f"kinds <= {HEAVY}").select("key", "seg", "body"))
     heavy = _heavy(own.where(f"kinds > {HEAVY}").select("key", "seg", "body"))
     runs = light.unionByName(heavy).groupBy("key", "seg").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
     known = stored(counted.join(runs, ["key", "seg"], "left").where("n > 1 or runs is not null"), "known")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("windows").alias("to")))
-    spans = found.drop("body").join(known, ["key", "seg"]).select(
+    spans = found.join(known, ["key", "seg"]).select(
         "id", "rk", "first", F.explode(F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))).alias("run"))
     spans = spans.select("id", "rk", F.struct((F.col("first") + F.col("run.from")).alias("start"),
                                               (F.col("first") + F.col("run.to") + WINDOW - 1).alias("end")).alias("span"))
-    out = stored(spans.groupBy("id", "rk").agg(F.collect_list("span").alias("spans")), "spans")
-    for table in (found, surroundings, different, known):
+    out = stored(spans.groupBy("id", "rk").agg(F.collect_set("span").alias("spans")), "spans")
+    for table in (found, wanted, own, known):
         discard(table)
     return out
 
@@ -359,7 +373,7 @@ def _merge(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """``docs`` without the bytes that repeat: the columns of ``docs`` with the remaining text,
     and ``n_bytes, n_removed, n_spans, kept``, the latter the remaining bytes (with ``digest``
     their SHA-256 in hexadecimal instead, and of ``docs`` only ``id_col``). Columns of ``docs`` that
@@ -373,7 +387,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = ("n_bytes", "n_removed", "n_spans", "kept")
     carried = [id_col] if digest else [c for c in docs.columns if c not in made]
     keyed = docs.select(F.struct(*carried).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_rk"))
-    spans = repeated_spans(keyed.select(F.col("_id").alias("id"), F.col("_rk").alias("rk"), "text"), batches)
+    spans = repeated_spans(keyed.select(F.col("_id").alias("id"), F.col("_rk").alias("rk"), "text"))
     joined = keyed.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_rk") == F.col("rk")), "left").select("row", "text", "spans")
     fields = [T.StructField("row", joined.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
     fields += [T.StructField("kept", T.StringType())] if digest else [T.StructField("kept", T.BinaryType()), T.StructField("rest", T.StringType())]

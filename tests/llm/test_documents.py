@@ -170,11 +170,46 @@ def test_heavy_gram_gives_the_same(spark, monkeypatch):
 
 
 def test_levels_merge_geometrically(spark):
-    index = substrings.SuffixIndex(spark)
-    for k in range(6):
-        index.add(table(spark, [(k, PASSAGE + str(k), "en")]).select("text"))
-    assert [size for size, _ in index.levels] in ([4, 1, 1], [4, 2], [2, 2, 1, 1])
-    index.close()
+    docs = spark.createDataFrame([(i, i, PASSAGE + f" tail {i} " * 30) for i in range(12)], "id long, rk long, text string")
+    with substrings.SuffixIndex(spark) as index:
+        sizes = []
+        for k in range(7):
+            hits = index.add(substrings.suffixes(docs.where(f"id % 7 = {k}")))
+            sizes.append([n for n, _ in index.levels])
+            assert hits.count() > 0
+        assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]] and index.merges == 4
+        names = [name for _, name in index.levels]
+        assert all(spark.catalog.tableExists(name) for name in names)
+    assert not any(spark.catalog.tableExists(name) for name in names)
+
+
+def test_levels_are_sorted_suffixes(spark):
+    rows = [(i, i, (PASSAGE + f" tail {i} " * 30) * 2) for i in range(9)]
+    docs = spark.createDataFrame(rows, "id long, rk long, text string")
+    texts = {rk: text.encode() for _, rk, text in rows}
+    with substrings.SuffixIndex(spark) as index:
+        for k in range(4):
+            index.add(substrings.suffixes(docs.where(f"id % 4 = {k}")))
+        assert [n for n, _ in index.levels] == [4]
+        table = spark.table(index.levels[0][1]).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+        got = table.orderBy("at").collect()
+    by_file = defaultdict(list)
+    for r in got:
+        assert texts[r.rk][r.place: r.place + substrings.GRAM] == bytes(r.suffix)
+        by_file[r.file].append(bytes(r.suffix))
+    assert len(got) == len({bytes(r.suffix) for r in got}) and all(x == sorted(x) for x in by_file.values())
+    every = Counter(bytes(r.suffix) for r in substrings.suffixes(docs).collect())
+    assert {bytes(r.suffix): r.n for r in got} == every
+
+
+def test_many_batches_lose_nothing(spark, real):
+    """As many files as give several merges, and the plain result on them."""
+    rows, df = real
+    spread = df.repartition(16)
+    assert len(substrings._shares(substrings.stored(spread.select("doc_id"), "spread"))) == 6
+    want = brute.without_repeats([t for _, t, _ in rows])
+    got = Counter(tuple(r) for r in substrings.remove_repeats(spread, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect())
+    assert got == Counter((i, *w[:4]) for (i, _, _), w in zip(rows, want))
 
 
 def test_simhash(edges, real):
