@@ -4,9 +4,9 @@ Every window of 200 bytes picks one of its 40-byte grams, the one with the least
 of equals: its anchor. Equal windows pick the same anchor, so only suffixes that start at anchors
 need to be indexed, about one in 80 bytes. A batch's suffix array holds the suffixes in the order
 of their first 40 bytes, which are stored as they are; suffixes that agree in these are one row,
-with the place of one of them, how many there are, and the least and the greatest hash of the text
-around them (all windows that picked the anchor), so a passage that very many documents share
-is one row. A new batch is merge-scanned against each level of the index, which yields the
+with how many there are and the least and the greatest hash of the text around them (all windows
+that picked the anchor), so a passage that very many documents share is one row; the table of
+suffixes tells the places of each. A new batch is merge-scanned against each level of the index, which yields the
 suffixes that occur more than once and whether their surroundings differ; then it becomes a level,
 and while two levels have the same size they merge into one of twice that. Levels are tables
 bucketed and sorted by the leading bytes, so scans and merges read them in order without a shuffle.
@@ -65,16 +65,16 @@ def _hashes(sums: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) ->
     return (sums[end] - sums[start]) * _powers()[base][1][start]
 
 
-def anchors(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor, of the texts that lie end to end in ``body``.
 
-    Returns first window, number of windows, place of the anchor, gram hash, and hash of all bytes
-    of the run's windows (with the anchor's place among them).
+    Returns first window, number of windows, place of the anchor, and hash of all bytes of the
+    run's windows (with the anchor's place among them).
     """
     n = len(body)
     if n < WINDOW:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     inverse = _powers()[0][1]
     sums = _sums(body, 0)
     h = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
@@ -98,7 +98,7 @@ def anchors(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first, after = first[keep], after[keep]
     seg = _hashes(_sums(body, 1), 1, first, after - 1 + WINDOW)
     place = (at[first] - first).astype(np.uint64) << np.uint64(32) | (after - first).astype(np.uint64)
-    return first, after - first, at[first], h[at[first]], mix(seg ^ mix(place))
+    return first, after - first, at[first], mix(seg ^ mix(place))
 
 
 def _chunks(bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -128,12 +128,11 @@ def _leading(part: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """``id, rk, first, windows, place, suffix, key, seg`` of the anchors in ``docs(id, rk, text)``:
-    the first window and how many have the anchor, the anchor's place, its bytes and their
-    hash, and the hash of the text around it."""
+    """``id, rk, first, windows, suffix, seg`` of the anchors in ``docs(id, rk, text)``: the first
+    window and how many have the anchor, the bytes that lead its suffix, and the hash of the text
+    around it."""
     schema = T.StructType([docs.schema["id"], docs.schema["rk"]] + [T.StructField(n, t) for n, t in (
-        ("first", T.LongType()), ("windows", T.LongType()), ("place", T.LongType()), ("suffix", T.BinaryType()),
-        ("key", T.LongType()), ("seg", T.LongType()))])
+        ("first", T.LongType()), ("windows", T.LongType()), ("suffix", T.BinaryType()), ("seg", T.LongType()))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("suffixes", lambda: None)
@@ -141,23 +140,27 @@ def suffixes(docs: DataFrame) -> DataFrame:
             body, bounds = flat_bytes(b.column(2))
             for low_doc, high_doc, low, high in _chunks(bounds):
                 part = body[low:high]
-                first, count, at, key, seg = anchors(part, np.clip(bounds[low_doc: high_doc + 1], low, high) - low)
+                first, count, at, seg = anchors(part, np.clip(bounds[low_doc: high_doc + 1], low, high) - low)
                 if not len(first):
                     continue
                 doc = np.searchsorted(bounds[low_doc: high_doc + 1], first + low, "right") - 1 + low_doc
-                which, origin = pa.array(doc), low - bounds[doc]
+                which = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(which), b.column(1).take(which), pa.array(first + origin), pa.array(count), pa.array(at + origin),
-                     _leading(part, at), _signed(key), _signed(seg)], names=schema.names)
+                    [b.column(0).take(which), b.column(1).take(which), pa.array(first + low - bounds[doc]), pa.array(count),
+                     _leading(part, at), _signed(seg)], names=schema.names)
 
     return docs.select("id", "rk", F.encode("text", "utf-8").alias("text")).mapInArrow(of, schema)
 
 
+def _key() -> F.Column:
+    """Hash of a suffix's leading bytes."""
+    return F.xxhash64("suffix").alias("key")
+
+
 def suffix_array(rows: DataFrame) -> DataFrame:
-    """``(suffix, key, rk, place, lo, hi, n)`` of :func:`suffixes`, one row for equal leading
-    bytes; ``hi`` is null where it equals ``lo``."""
+    """``(suffix, lo, hi, n)`` of :func:`suffixes`, one row for equal leading bytes; ``hi`` is null
+    where it equals ``lo``."""
     return rows.groupBy("suffix").agg(
-        F.first("key").alias("key"), F.first("rk").alias("rk"), F.first("place").alias("place"),
         F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.count("*").alias("n")).withColumn("hi", F.expr("nullif(hi, lo)"))
 
 
@@ -193,9 +196,8 @@ class SuffixIndex:
             a, b = self.spark.table(x).alias("a"), self.spark.table(y).alias("b")
             lo = F.least("a.lo", "b.lo")
             hi = F.greatest("a.lo", "a.hi", "b.lo", "b.hi")
-            own = [F.when(F.col("a.n").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in ("suffix", "key", "rk", "place")]
             both = a.join(b, F.col("a.suffix") == F.col("b.suffix"), "full_outer").select(
-                *own, lo.alias("lo"), F.nullif(hi, lo).alias("hi"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
+                F.coalesce("a.suffix", "b.suffix").alias("suffix"), lo.alias("lo"), F.nullif(hi, lo).alias("hi"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
             self._level(2 * size, both)
             self.merges += 1
             for name in (x, y):
@@ -203,14 +205,14 @@ class SuffixIndex:
             self.levels = [level for level in self.levels if level[1] not in (x, y)]
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """Take in a batch of :func:`suffixes`. Returns ``(key, mixed)``: the suffixes of the batch
-        that occur again in it or in a level, and whether with different surroundings."""
+        """Take in a batch of :func:`suffixes`. Returns ``(key, mixed)``: hashes of the
+        batch's suffixes that occur again in it or in a level, and whether their surroundings differ."""
         older = [self.spark.table(name).select("suffix", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")) for _, name in self.levels]
         batch = self._level(1, suffix_array(rows))
-        hits = batch.where("n > 1").select("key", F.col("hi").isNotNull().alias("mixed"))
+        hits = batch.where("n > 1").select(_key(), F.col("hi").isNotNull().alias("mixed"))
         for level in older:
             differ = F.col("hi").isNotNull() | F.col("hi2").isNotNull() | (F.col("lo") != F.col("lo2"))
-            hits = hits.unionByName(batch.join(level, "suffix").select("key", differ.alias("mixed")))
+            hits = hits.unionByName(batch.join(level, "suffix").select(_key(), differ.alias("mixed")))
         hits = stored(hits, "hits")
         self._merge_equal()
         return hits
@@ -340,7 +342,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     also starts elsewhere, as (start, end), perhaps overlapping. Texts without any are absent."""
     rows = stored(suffixes(docs), "suffixes")
     hits = recurring(rows)
-    found = stored(rows.drop("suffix", "place").join(hits, "key"), "found")
+    found = stored(rows.select("id", "rk", "first", "windows", _key(), "seg").join(hits, "key"), "found")
     discard(rows)
     discard(hits)
     counted = found.groupBy("key", "seg").agg(F.count("*").alias("n"))
