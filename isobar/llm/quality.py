@@ -1,36 +1,43 @@
-"""Quality rules with an n-gram language model: modified Kneser-Ney over folded characters.
-
-Text is folded to 32 character classes: 26 of letters (Latin ones without accents or case, those of
-other scripts dealt out by code point), one each for digits, sentence marks, symbols, characters
-beyond the basic plane, line ends and blanks. A 4-gram model is counted for each language over *all*
-documents. Per task the counts are combined before they are shuffled, so what is gathered follows
-the number of tasks, that is, the input; the summed counts of a language are at most ``32**4``.
-Each language is estimated in one task and stored as a sorted array of hashed n-grams per order,
-with log probability and back-off weight beside it. The ``LANGUAGES`` languages that most documents
-have get models of their own, the others share one.
+"""Quality rules with an n-gram language model: modified Kneser-Ney over characters.
+
+The symbols are lower-cased code points (digits are one, white space is one but for line ends; those
+from ``CLASSES`` on share symbols by their remainder). 4-grams are counted for each language over
+*all* documents. Texts are dealt into blocks of about ``BLOCK`` bytes where they lie; each block
+gives the sorted hashes of its 4-grams with their counts, so what is gathered grows with the text.
+Spark sums the counts and estimates all orders by group-bys, windows and joins. The model is stored
+in shards by ranges of the hash, as many as the text is large, each two arrays: sorted hashes and
+log probabilities. A block asks each shard for its own 4-grams, and its texts are scored with
+the answers; no task or driver holds the whole model. The texts scored are those counted, so each
+4-gram is found and none needs a back-off weight of its own.
 
 A document's perplexity is compared with a band of its own language: the median of all
-documents' log perplexities, plus and minus a multiple of their median absolute deviation.
+documents' log perplexities, plus and minus a multiple of their median absolute deviation. The
+``LANGUAGES`` languages that most documents have get models of their own, the others share one.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_bytes, kept, mix, prefix_hashes, span_hashes, stored
+from .common import discard, flat_bytes, mix, prefix_hashes, span_hashes, stored
 
-ORDER, BITS = 4, 5
-LANGUAGES, OTHER = 32, "other"
-BLANK, LINE, DIGIT, STOP, SYMBOL, FOREIGN = 0, 27, 28, 29, 30, 31
+ORDER, BITS = 4, 13
+CLASSES = 1 << BITS
+LANGUAGES, OTHER = 1000, "other"
+LINE, BLANK, DIGIT = 10, 32, 48
+BLOCK = 32 << 20
+#: Odd multiplier and its inverse modulo 2**64: the hash of an n-gram is one to one.
+MULTIPLIER = 0x9E3779B97F4A7C15
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 #: Kind of each byte: 0 white space, 1 later byte of a character, 2 its first, 3 symbol.
 BYTES = np.array([0 if b in b" \t\n\v\f\r" else 3 if b in b"#*$%&|<>" else 1 if b & 0xC0 == 0x80 else 2 for b in range(256)], np.uint8)
 TABLE = 0x10000
@@ -38,35 +45,27 @@ TABLE = 0x10000
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    """Class of each code point below ``TABLE``."""
-    out = np.full(TABLE, SYMBOL, np.uint8)
+    """Symbol of each code point below ``TABLE``."""
+    out = np.arange(TABLE, dtype=np.uint16) % CLASSES
     for cp in range(TABLE):
         c = chr(cp)
-        kind = unicodedata.category(c)
-        base = unicodedata.normalize("NFD", c.lower())[0] if cp < 0x250 or 0x1E00 <= cp < 0x1F00 else c
-        if c == "\n":
-            out[cp] = LINE
-        elif c.isspace():
-            out[cp] = BLANK
-        elif "a" <= base <= "z":
-            out[cp] = ord(base) - 96
+        if c.isspace():
+            out[cp] = LINE if c == "\n" else BLANK
         elif c.isdigit():
             out[cp] = DIGIT
-        elif c in ".,;:!?'\"()-" or (cp >= 0x250 and kind in ("Po", "Pd", "Ps", "Pe", "Pi", "Pf")):
-            out[cp] = STOP
-        elif kind[0] in "LM":
-            out[cp] = FOREIGN if cp < 0x250 else 1 + cp % 26
+        elif c.isupper():
+            out[cp] = ord(c.lower()[0]) % CLASSES
     return out
 
 
 def fold(text: str) -> np.ndarray:
-    """Character classes of ``text``."""
+    """Symbols of ``text``."""
     return _folded(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
 
 
 def _folded(cps: np.ndarray) -> np.ndarray:
     low = cps < TABLE
-    out = np.full(len(cps), FOREIGN, np.uint8)
+    out = (cps % CLASSES).astype(np.uint16)
     out[low] = _classes()[cps[low]]
     return out
 
@@ -93,11 +92,11 @@ def grams(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         text, sizes = "".join(parts), np.array([len(x) for x in parts])
     classes = _folded(np.frombuffer(text.encode("utf-32-le"), np.uint32))
     place = np.arange(len(classes)) + (ORDER - 1) * np.repeat(np.arange(1, len(sizes) + 1), sizes)
-    c = np.full(len(classes) + (ORDER - 1) * (len(sizes) + 1), LINE, np.uint32)
+    c = np.full(len(classes) + (ORDER - 1) * (len(sizes) + 1), LINE, np.uint64)
     c[place] = classes
     out = c[place - ORDER + 1]
     for i in range(ORDER - 2, -1, -1):
-        out = out << BITS | c[place - i]
+        out = out << np.uint64(BITS) | c[place - i]
     return out, sizes
 
 
@@ -117,145 +116,178 @@ def _numbers(column: pa.Array, groups: tuple[str, ...]) -> np.ndarray:
     return pc.index_in(column, value_set=pa.array(groups)).to_numpy().astype(np.int64)
 
 
-def gram_counts(docs: DataFrame, groups: tuple[str, ...], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(lang, gram, n)``: 4-gram counts over all of ``docs``, combined in each task first."""
+def _hashed(key: np.ndarray) -> np.ndarray:
+    return key * np.uint64(MULTIPLIER)
+
+
+def _keys(body: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each character its 4-gram, with the number of the language above it; and text sizes."""
+    g, sizes = grams(body, bounds)
+    return g | np.repeat(langs.astype(np.uint64), sizes) << np.uint64(BITS * ORDER), sizes
+
+
+def blocks(docs: DataFrame, groups: tuple[str, ...], shards: int) -> DataFrame:
+    """Blocks of ``docs(_id, lang, text)``: rows ``(block, body)`` with some of its texts (an Arrow
+    stream), and rows ``(block, shard, hashes, counts)`` with its 4-grams in a range of the hash."""
+
+    def sent(block: int, seen: list) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([x[0] for x in seen])
+        by = np.argsort(h)
+        h, n = h[by], np.concatenate([x[1] for x in seen])[by]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        h, n = h[first], np.add.reduceat(n, first).astype(np.uint32)
+        shard = _shard(h, shards)
+        for k in np.unique(shard).tolist():
+            a, b = np.searchsorted(shard, [k, k + 1])
+            yield _record(block, None, k, h[a:b].tobytes(), n[a:b].tobytes())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        block, size, seen = TaskContext.get().partitionId() << 32, 0, []
         for b in batches:
-            langs = _numbers(b.column(0), groups)
-            for first, after, body, bounds in chunks(b.column(1)):
-                g, sizes = grams(body, bounds)
-                at = np.repeat(langs[first:after], sizes)
-                present = np.unique(langs[first:after]).tolist()
-                for k in present:
-                    own = np.bincount(g if len(present) == 1 else g[at == k], minlength=1 << BITS * ORDER)
-                    total[k] = own if k not in total else total[k] + own
-        for k, own in total.items():
-            g = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([groups[k]] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(own[g], pa.int64())],
-                names=["lang", "gram", "n"])
-
-    parts = docs.select(language(lang_col, groups).alias("lang"), text_col).mapInArrow(of, "lang string, gram long, n long")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Interpolated modified Kneser-Ney from the counts of all possible 4-grams of one language.
-
-    For each order from 0: the grams seen, the natural log of the probability of the gram's last
-    character after those before it, and of the weight with which a context, the gram itself,
-    hands on to the order below (0 where it is no context). The highest order uses counts, the
-    lower ones the number of different characters that precede. The discounts of an order come
-    from its counts of counts one to four; where those vanish, a half is used.
-    """
-    seen, held_by = {ORDER: counts}, {}
-    for order in range(ORDER - 1, 0, -1):
-        longer = np.flatnonzero(seen[order + 1])
-        seen[order] = np.bincount(longer & (1 << BITS * order) - 1, minlength=1 << BITS * order)
-    p = np.full(1, 1.0 / (1 << BITS))
-    logs = [np.log(p)]
-    for order in range(1, ORDER + 1):
-        gram = np.flatnonzero(seen[order])
-        n, context = seen[order][gram], gram >> BITS
-        n1, n2, n3, n4 = (int((n == i).sum()) for i in (1, 2, 3, 4))
-        discounts = np.full(3, 0.5)
-        if n1 and n2 and n3 and n4:
-            y = n1 / (n1 + 2 * n2)
-            discounts = np.array([min(i, max(0.0, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))])
-        d = discounts[np.minimum(n, 3) - 1]
-        total = np.bincount(context, n, minlength=1 << BITS * (order - 1))
-        held = np.bincount(context, d, minlength=len(total)) / np.maximum(total, 1)
-        held_by[order - 1] = held
-        lower, p = p, np.zeros(1 << BITS * order)
-        p[gram] = (n - d) / total[context] + held[context] * lower[gram & (1 << BITS * (order - 1)) - 1]
-        logs.append(np.log(p[gram]))
-    out = []
-    for order in range(ORDER + 1):
-        gram = np.flatnonzero(seen[order]) if order else np.zeros(1, np.int64)
-        weight = held_by[order][gram] if order < ORDER else np.zeros(len(gram))
-        out.append((gram, logs[order], np.log(np.where(weight > 0, weight, 1.0))))
-    return out
+            langs = _numbers(b.column(1), groups)
+            for first, after, body, bounds in chunks(b.column(2)):
+                key, _ = _keys(body, bounds, langs[first:after])
+                if len(key):
+                    seen.append(np.unique(_hashed(key), return_counts=True))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(b.slice(first, after - first))
+                yield _record(block, sink.getvalue().to_pybytes(), None, None, None)
+                size += len(body)
+                if size >= BLOCK:
+                    yield from sent(block, seen)
+                    block, size, seen = block + 1, 0, []
+        if seen:
+            yield from sent(block, seen)
 
+    return docs.mapInArrow(of, "block long, body binary, shard long, hashes binary, counts binary")
 
-def _mixed(gram: np.ndarray) -> np.ndarray:
-    """Hash of n-grams: an odd multiplier and a shift, one to one on 32 bits."""
-    h = gram.astype(np.uint32) * np.uint32(2654435761)
-    return h ^ h >> np.uint32(15)
 
+def _record(block, body, shard, hashes, counts) -> pa.RecordBatch:
+    columns = [pa.array([block], pa.int64()), pa.array([body], pa.binary()), pa.array([shard], pa.int64()),
+               pa.array([hashes], pa.binary()), pa.array([counts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "body", "shard", "hashes", "counts"])
+
+
+def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Which of ``shards`` equal ranges of the hash each lies in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-def _estimated(table: pa.Table) -> pa.Table:
-    """Of one language: a row for each order with its sorted hashes and both logs."""
-    counts = np.zeros(1 << BITS * ORDER, np.int64)
-    counts[table["gram"].to_numpy()] = table["n"].to_numpy()
-    rows = []
-    for order, (gram, logp, back) in enumerate(kneser_ney(counts)):
-        h = _mixed(gram)
-        by = np.argsort(h)
-        rows.append((table["lang"][0].as_py(), order, h[by].tobytes(), logp[by].astype("<f4").tobytes(), back[by].astype("<f4").tobytes()))
-    return pa.table([pa.array(c) for c in zip(*rows)], names=["lang", "order", "hashes", "logp", "back"])
-
-
-class Model:
-    """Sorted hash arrays: per language and order the hashes ascending, with both logs beside."""
-
-    def __init__(self, counts: DataFrame):
-        """From ``counts(lang, gram, n)``; each language is estimated in a task, and its arrays come
-        to the driver: at most ``LANGUAGES + 1`` times 13 MB, for the alphabet bounds them."""
-        rows = counts.groupBy("lang").applyInArrow(_estimated, "lang string, order long, hashes binary, logp binary, back binary").collect()
-        self.arrays = {(r.lang, r.order): (np.frombuffer(r.hashes, np.uint32), np.frombuffer(r.logp, "<f4"), np.frombuffer(r.back, "<f4")) for r in rows}
-
-    def _find(self, lang: str, order: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = self.arrays[lang, order][0]
-        h = _mixed(gram)
-        at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-        return at, (hashes[at] == h) if len(hashes) else np.zeros(len(h), bool)
-
-    def logp(self, lang: str, gram: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each 4-gram's last character."""
-        out = np.zeros(len(gram), np.float32)
-        open_ = np.arange(len(gram))
-        for order in range(ORDER, -1, -1):
-            if not len(open_):
-                break
-            at, hit = self._find(lang, order, gram[open_] & ((1 << BITS * order) - 1))
-            out[open_[hit]] += self.arrays[lang, order][1][at[hit]]
-            open_ = open_[~hit]
-            if order and len(open_):
-                context = (gram[open_] >> BITS) & ((1 << BITS * (order - 1)) - 1)
-                at, hit = self._find(lang, order - 1, context)
-                out[open_[hit]] += self.arrays[lang, order - 1][2][at[hit]]
-        return out
 
+def gram_counts(parts: DataFrame) -> DataFrame:
+    """``(key, n)``: counts of all 4-grams of all languages, from the blocks' own counts."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for hashes, counts in zip(b.column(0), b.column(1)):
+                key = np.frombuffer(hashes.as_py(), np.uint64) * np.uint64(INVERSE)
+                n = np.frombuffer(counts.as_py(), np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return parts.select("hashes", "counts").mapInArrow(of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-class Scorer:
-    """Log perplexities; what a worker has looked up in the arrays it keeps for later texts."""
 
-    def __init__(self, model: Model, groups: tuple[str, ...]):
-        self.model, self.groups = model, groups
-        self.known: dict[int, np.ndarray] = {}
+def _suffix(order: int) -> F.Column:
+    """Key of the n-gram without its first character, for one of ``order`` characters."""
+    rest = BITS * (order - 1)
+    return F.shiftleft(F.shiftright("key", BITS * order), rest).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << rest) - 1)))
 
-    def _logp(self, lang: int, g: np.ndarray) -> np.ndarray:
-        known = self.known.setdefault(lang, np.full(1 << BITS * ORDER, np.nan, np.float32))
-        p = known[g]
-        new = np.isnan(p)
-        if new.any():
-            fresh = np.unique(g[new])
-            known[fresh] = self.model.logp(self.groups[lang], fresh)
-            p = known[g]
-        return p
 
-    def __call__(self, langs: np.ndarray, body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Characters and mean negative log probability of each text (0 for an empty one)."""
-        g, sizes = grams(body, bounds)
-        at, p = np.repeat(langs, sizes), np.zeros(len(g), np.float32)
-        for lang in np.unique(at).tolist():
-            own = at == lang
-            p[own] = self._logp(lang, g[own])
-        sums = np.concatenate(([0.0], np.cumsum(p, dtype=np.float64)))
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        return sizes, -np.diff(sums[ends]) / np.maximum(sizes, 1)
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``(key, logp)`` and the stored tables that it reads: interpolated modified Kneser-Ney for each 4-gram of ``counts(key, n)``.
+
+    The highest order uses counts, the lower ones the number of different characters that precede.
+    The discounts of an order and language come from its counts of counts one to four; where those
+    vanish, a half is used. A context has at most ``CLASSES`` n-grams, a suffix as many longer ones,
+    so no window or join key is large.
+    """
+    seen = {ORDER: counts}
+    for order in range(ORDER, 1, -1):
+        seen[order - 1] = stored(seen[order].groupBy(_suffix(order).alias("key")).agg(F.count("*").alias("n")), "grams")
+    n, lower = F.col("n"), None
+    for order in range(1, ORDER + 1):
+        rows = seen[order].withColumn("lang", F.shiftright("key", BITS * order))
+        of = rows.groupBy("lang").agg(*[F.count_if(n == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        y = F.expr("n1 / (n1 + 2 * n2)")
+        discount = [F.least(F.lit(float(i)), F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))) for i in (1, 2, 3)]
+        all_seen = F.expr("n1 > 0 and n2 > 0 and n3 > 0 and n4 > 0")
+        of = of.select("lang", *[F.when(all_seen, d).otherwise(0.5).alias(f"d{i}") for i, d in enumerate(discount, 1)])
+        # at most one row for each of LANGUAGES + 1 languages
+        rows = rows.join(F.broadcast(of), "lang").withColumn("d", F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3")))
+        same = Window.partitionBy("context")
+        rows = rows.withColumn("context", F.shiftright("key", BITS)).select(
+            "key", ((n - F.col("d")) / F.sum("n").over(same)).alias("own"), (F.sum("d").over(same) / F.sum("n").over(same)).alias("rest"))
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1.0 / CLASSES))
+        else:
+            rows = rows.withColumn("suffix", _suffix(order)).join(lower, "suffix")
+        lower = rows.select(F.col("key").alias("suffix"), (F.col("own") + F.col("rest") * F.col("below")).alias("below"))
+    return lower.select(F.col("suffix").alias("key"), F.log("below").cast("float").alias("logp")), list(seen.values())
+
+
+def sorted_arrays(model: DataFrame, shards: int) -> DataFrame:
+    """``(shard, hashes, logp)``: one row for each range of the hash, hashes ascending."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = _hashed(b.column(0).to_numpy().astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(h, shards)), pa.array(h.view(np.int64)), b.column(1)], names=["shard", "hash", "logp"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        h, logp = table["hash"].to_numpy().view(np.uint64), table["logp"].to_numpy()
+        by = np.argsort(h)
+        return pa.table([table["shard"][:1], pa.array([h[by].tobytes()]), pa.array([logp[by].tobytes()])], names=["shard", "hashes", "logp"])
+
+    return model.mapInArrow(hashed, "shard long, hash long, logp float").groupBy("shard").applyInArrow(packed, "shard long, hashes binary, logp binary")
+
+
+def _answers(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """For the 4-grams that blocks ask a shard for: the hashes and their log probabilities."""
+    hashes = np.frombuffer(model["hashes"][0].as_py(), np.uint64)
+    logp = np.frombuffer(model["logp"][0].as_py(), np.float32)
+    found = [logp[np.searchsorted(hashes, np.frombuffer(h.as_py(), np.uint64))].tobytes() for h in asked["hashes"]]
+    return pa.table([asked["block"], asked["hashes"], pa.array(found, pa.binary())], names=["block", "hashes", "logp"])
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")
+
+
+def scored(docs: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """``(_id, lang, measures, log_perplexity)`` of ``docs(_id, lang, text)``, one row for each."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = 1 + size // BLOCK
+    parts = stored(blocks(docs, groups, shards), "blocks")
+    asked = parts.where("shard is not null").select("block", "shard", "hashes", "counts")
+    estimates, used = kneser_ney(stored(gram_counts(asked), "grams"))
+    model = stored(sorted_arrays(estimates, shards), "model")
+    for table in used:
+        discard(table)
+    answers = asked.select("block", "shard", "hashes").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(
+        _answers, "block long, hashes binary, logp binary")
+    schema = T.StructType([docs.schema["_id"], T.StructField("lang", T.StringType())]
+                          + [T.StructField(c, T.LongType()) for c in MEASURES] + [T.StructField("log_perplexity", T.DoubleType())])
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h.as_py(), np.uint64) for h in known["hashes"])])
+        logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(p.as_py(), np.float32) for p in known["logp"])])
+        by = np.argsort(hashes)
+        hashes, logp = hashes[by], logp[by]
+        out = []
+        for packed in texts["body"]:
+            for b in pa.ipc.open_stream(packed.as_py()):
+                for first, after, body, bounds in chunks(b.column(2)):
+                    key, sizes = _keys(body, bounds, _numbers(b.column(1).slice(first, after - first), groups))
+                    own, at = np.unique(_hashed(key), return_inverse=True)
+                    p = logp[np.searchsorted(hashes, own)][at]
+                    sums = np.concatenate(([0.0], np.cumsum(p, dtype=np.float64)))
+                    ends = np.concatenate(([0], np.cumsum(sizes)))
+                    mean = -np.diff(sums[ends]) / np.maximum(sizes, 1)
+                    out.append(pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(first, after - first), b.column(1).slice(first, after - first),
+                         *[pa.array(c) for c in (*basics(body, bounds), sizes)], pa.array(mean, mask=sizes == 0)], names=schema.names))
+        return pa.Table.from_batches(out)
+
+    return parts.where("body is not null").select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
 
 
 def basics(body: np.ndarray, bounds: np.ndarray, window: int = 5) -> np.ndarray:
@@ -321,25 +353,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     own row; other columns are ignored. Empty in, empty out.
     """
     groups = languages(docs, lang_col)
-    model = Model(gram_counts(docs, groups, text_col, lang_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("_id", kind), T.StructField("lang", T.StringType())]
-                          + [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")]
-                          + [T.StructField("log_perplexity", T.DoubleType())])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = kept(("scorer", id(shared.value)), lambda: Scorer(shared.value, groups))
-        for b in batches:
-            langs = _numbers(b.column(1), groups)
-            for first, after, body, bounds in chunks(b.column(2)):
-                sizes, log_perplexity = score(langs[first:after], body, bounds)
-                columns = [pa.array(c) for c in (*basics(body, bounds), sizes)]
-                values = pa.array(log_perplexity, mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, after - first), b.column(1).slice(first, after - first), *columns, values],
-                                                 names=schema.names)
-
-    rows = docs.select(F.col(id_col).alias("_id"), language(lang_col, groups).alias("lang"), text_col).mapInArrow(of, schema)
+    rows = scored(docs.select(F.col(id_col).alias("_id"), language(lang_col, groups).alias("lang"), F.col(text_col).alias("text")), groups)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = stored(rows.withColumn("base_failed", failed), "quality")
     fit = rows.where(~F.col("base_failed"))

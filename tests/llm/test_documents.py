@@ -59,7 +59,7 @@ def test_kneser_ney_is_the_plain_one(spark):
         assert got[i] == pytest.approx(x, abs=2e-4)
 
 
-def plain_kneser_ney(texts, order=4, classes=32):
+def plain_kneser_ney(texts, order=4, classes=quality.CLASSES):
     """Mean negative log probability of each text, by dictionaries."""
     folded = [[quality.LINE] * (order - 1) + quality.fold(t).tolist() for t in texts]
     counts = {order: Counter(tuple(f[i: i + order]) for f in folded for i in range(len(f) - order + 1))}
