@@ -34,7 +34,7 @@ ORDER, BITS = 4, 13
 CLASSES = 1 << BITS
 LANGUAGES, OTHER = 1000, "other"
 LINE, BLANK, DIGIT = 10, 32, 48
-BLOCK = 32 << 20
+BLOCK, LEVEL = 32 << 20, 9
 #: Odd multiplier and its inverse modulo 2**64: the hash of an n-gram is one to one.
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -142,6 +142,7 @@ def blocks(docs: DataFrame, groups: tuple[str, ...], shards: int) -> DataFrame:
             yield _record(block, None, k, h[a:b].tobytes(), n[a:b].tobytes())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
         block, size, seen = TaskContext.get().partitionId() << 32, 0, []
         for b in batches:
             langs = _numbers(b.column(1), groups)
@@ -150,7 +151,7 @@ def blocks(docs: DataFrame, groups: tuple[str, ...], shards: int) -> DataFrame:
                 if len(key):
                     seen.append(np.unique(_hashed(key), return_counts=True))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, b.schema, options=packing) as out:
                     out.write_batch(b.slice(first, after - first))
                 yield _record(block, sink.getvalue().to_pybytes(), None, None, None)
                 size += len(body)
@@ -242,11 +243,11 @@ def sorted_arrays(model: DataFrame, shards: int) -> DataFrame:
 
 
 def _answers(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """For the 4-grams that blocks ask a shard for: the hashes and their log probabilities."""
+    """Log probabilities of the 4-grams that blocks ask a shard for, in the order asked."""
     hashes = np.frombuffer(model["hashes"][0].as_py(), np.uint64)
     logp = np.frombuffer(model["logp"][0].as_py(), np.float32)
     found = [logp[np.searchsorted(hashes, np.frombuffer(h.as_py(), np.uint64))].tobytes() for h in asked["hashes"]]
-    return pa.table([asked["block"], asked["hashes"], pa.array(found, pa.binary())], names=["block", "hashes", "logp"])
+    return pa.table([asked["block"], asked["shard"], pa.array(found, pa.binary())], names=["block", "shard", "logp"])
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")
@@ -263,28 +264,35 @@ def scored(docs: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     for table in used:
         discard(table)
     answers = asked.select("block", "shard", "hashes").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(
-        _answers, "block long, hashes binary, logp binary")
+        _answers, "block long, shard long, logp binary")
     schema = T.StructType([docs.schema["_id"], T.StructField("lang", T.StringType())]
                           + [T.StructField(c, T.LongType()) for c in MEASURES] + [T.StructField("log_perplexity", T.DoubleType())])
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h.as_py(), np.uint64) for h in known["hashes"])])
-        logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(p.as_py(), np.float32) for p in known["logp"])])
-        by = np.argsort(hashes)
-        hashes, logp = hashes[by], logp[by]
-        out = []
+    def opened(texts: pa.Table) -> Iterator[tuple]:
+        """Again the texts of a block, their bytes and bounds, hashes of their 4-grams, sizes."""
         for packed in texts["body"]:
             for b in pa.ipc.open_stream(packed.as_py()):
                 for first, after, body, bounds in chunks(b.column(2)):
-                    key, sizes = _keys(body, bounds, _numbers(b.column(1).slice(first, after - first), groups))
-                    own, at = np.unique(_hashed(key), return_inverse=True)
-                    p = logp[np.searchsorted(hashes, own)][at]
-                    sums = np.concatenate(([0.0], np.cumsum(p, dtype=np.float64)))
-                    ends = np.concatenate(([0], np.cumsum(sizes)))
-                    mean = -np.diff(sums[ends]) / np.maximum(sizes, 1)
-                    out.append(pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(first, after - first), b.column(1).slice(first, after - first),
-                         *[pa.array(c) for c in (*basics(body, bounds), sizes)], pa.array(mean, mask=sizes == 0)], names=schema.names))
+                    own = b.slice(first, after - first)
+                    key, sizes = _keys(body, bounds, _numbers(own.column(1), groups))
+                    yield own, body, bounds, _hashed(key), sizes
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        hashes = np.unique(np.concatenate([np.unique(h) for _, _, _, h, _ in opened(texts)]))
+        logp = b"".join(known.sort_by("shard")["logp"].to_pylist())  # shards are ranges of the hash
+        logp = np.frombuffer(logp, np.float32)
+        if len(logp) != len(hashes):
+            raise ValueError(f"{len(hashes)} n-grams, {len(logp)} answers")
+        out = []
+        for own, body, bounds, h, sizes in opened(texts):
+            h, at = np.unique(h, return_inverse=True)
+            p = logp[np.searchsorted(hashes, h)][at]
+            sums = np.concatenate(([0.0], np.cumsum(p, dtype=np.float64)))
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            mean = -np.diff(sums[ends]) / np.maximum(sizes, 1)
+            out.append(pa.RecordBatch.from_arrays(
+                [own.column(0), own.column(1), *[pa.array(c) for c in (*basics(body, bounds), sizes)], pa.array(mean, mask=sizes == 0)],
+                names=schema.names))
         return pa.Table.from_batches(out)
 
     return parts.where("body is not null").select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
