@@ -1,9 +1,11 @@
 """Quality rules with an n-gram language model: modified Kneser-Ney over characters.
 
-The symbols are lower-cased code points (digits are one, white space is one but for line ends; those
-from ``CLASSES`` on share symbols by their remainder). 4-grams are counted for each language over
-*all* documents. Texts are dealt into blocks of about ``BLOCK`` bytes where they lie; each block
-gives the sorted hashes of its 4-grams with their counts, so what is gathered grows with the text.
+The symbols are letters without case (Latin ones without accents, those of other scripts as they are,
+by code point modulo ``CLASSES``), and one each for digits, sentence marks, other symbols, white
+space and line ends: with finer symbols rare strings look likely to a model of their own text.
+4-grams are counted for each language over *all* documents. Texts are dealt into blocks of about
+``BLOCK`` bytes where they lie; each block gives the sorted hashes of its 4-grams with their counts,
+so what is gathered grows with the text, while the model of a Latin text has 32**4 entries at most.
 Spark sums the counts and estimates all orders by group-bys, windows and joins. The model is stored
 in shards by ranges of the hash, as many as the text is large, each two arrays: sorted hashes and
 log probabilities. A block asks each shard for its own 4-grams, and its texts are scored with
@@ -17,6 +19,7 @@ documents' log perplexities, plus and minus a multiple of their median absolute
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +36,7 @@ from .common import discard, flat_bytes, mix, prefix_hashes, span_hashes, stored
 ORDER, BITS = 4, 13
 CLASSES = 1 << BITS
 LANGUAGES, OTHER = 1000, "other"
-LINE, BLANK, DIGIT = 10, 32, 48
+LINE, BLANK, SYMBOL, STOP, DIGIT, FOREIGN = 10, 32, 35, 46, 48, 64
 BLOCK, LEVEL = 32 << 20, 9
 #: Odd multiplier and its inverse modulo 2**64: the hash of an n-gram is one to one.
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -46,15 +49,22 @@ TABLE = 0x10000
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """Symbol of each code point below ``TABLE``."""
-    out = np.arange(TABLE, dtype=np.uint16) % CLASSES
+    out = np.full(TABLE, SYMBOL, np.uint16)
     for cp in range(TABLE):
         c = chr(cp)
+        kind = unicodedata.category(c)
+        latin = cp < 0x250 or 0x1E00 <= cp < 0x1F00
+        base = unicodedata.normalize("NFD", c.lower())[0] if latin else c
         if c.isspace():
             out[cp] = LINE if c == "\n" else BLANK
+        elif "a" <= base <= "z":
+            out[cp] = ord(base)
         elif c.isdigit():
             out[cp] = DIGIT
-        elif c.isupper():
-            out[cp] = ord(c.lower()[0]) % CLASSES
+        elif c in ".,;:!?'\"()-" or (not latin and kind in ("Po", "Pd", "Ps", "Pe", "Pi", "Pf")):
+            out[cp] = STOP
+        elif kind[0] in "LM":
+            out[cp] = FOREIGN if latin else ord(c.lower()[0]) % CLASSES
     return out
 
 
