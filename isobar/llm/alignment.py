@@ -206,7 +206,7 @@ class Units:
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _aligned(sides, texts_schema: T.StructType):
+def _aligned(sides: tuple[str, str], texts_schema: T.StructType, most: int):
     """Rows of texts, a row with the pairs of each text for each block, and the block's pairs."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = kept(("units", *sides), lambda: Units(Sides(*sides)))
@@ -240,7 +240,7 @@ def _aligned(sides, texts_schema: T.StructType):
             at = 0
             while at < len(texts):
                 upto, held = at, 0
-                while upto < len(texts) and held < PART:
+                while upto < len(texts) and held < min(PART, most):
                     held += len(texts[upto])
                     upto += 1
                 rows, text, pair, links = units.align(texts[at: upto])
@@ -249,7 +249,7 @@ def _aligned(sides, texts_schema: T.StructType):
                             **{c: pa.array(x, pa.int64()) for c, x in zip(COUNTS, columns)}, groups_sha256=pa.array(columns[4], pa.string()))
                 parts.append((text + docs, pair, links))
                 docs, size, at = docs + len(rows), size + held, upto
-                if size >= BLOCK:
+                if size >= most:
                     yield from block()
         if parts:
             yield from block()
@@ -279,7 +279,7 @@ def _summed(schema: T.StructType):
     return of
 
 
-def align(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """How two tokenizers cut each text, one row for each: ``id_col, n_a, n_b, n_groups, n_links,
     n_best, count_sum, groups_sha256``.
 
@@ -292,13 +292,13 @@ def align(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, id_col: st
 
     Null and empty texts, and those whose bytes either tokenizer does not give back, have zeros and an
     empty digest. Rows with null or repeated ids are documents like others; other columns are ignored.
-    A text has to fit a row. Empty in, empty out.
+    A text has to fit a row; ``block`` is about the characters of a block. Empty in, empty out.
     """
     kind, long = docs.schema[id_col].dataType, T.LongType()
     schema = T.StructType([T.StructField("block", long), T.StructField("doc", kind), T.StructField("row", long), *[T.StructField(c, long) for c in COUNTS],
                            T.StructField("groups_sha256", T.StringType()), T.StructField("body", T.BinaryType()), *[T.StructField(c, long) for c in ("place", "pair", "docs")]])
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    found = stored(source.mapInArrow(_aligned((byte_tokenizer, piece_tokenizer), schema), schema), "aligned")
+    found = stored(source.mapInArrow(_aligned((byte_tokenizer, piece_tokenizer), schema, block), schema), "aligned")
     pairs = found.where("pair is not null").select("block", "place", "pair", "docs")
     total = pairs.groupBy("pair").agg(F.sum("docs").alias("n"))
     of_a = Window.partitionBy(F.shiftright("pair", BITS))  # no more rows than B has pieces

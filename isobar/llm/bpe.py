@@ -1,17 +1,16 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 The pattern cuts a text into words. Ranked merges are folded over the byte arrays of distinct
-words: a round finds the least rank of all adjacent pairs, by a literal rank map, and merges every
-pair that has it, from the left, until no pair has a rank. Spark does so for the distinct words
-that are most frequent in the texts, ``DICTIONARY`` of them at most; they are broadcast, and texts
-take their ids from there where they lie, in Arrow batches, so that no text is shuffled. A worker
-merges the words beyond that bound when it first meets them. (Folding these in Spark too, without
-shuffling texts, took more CPU and driver memory than allowed; see README.) Decoding concatenates
-the binary pieces of the ids.
-
-Every token of the file has to encode to itself (the tests check it). Then pairs of equal rank are
-pairs of equal parts, and a merge never makes a pair of lower rank, so merging all pairs of the
-least rank at once gives what merging them one by one gives.
+words: a step finds the least rank of all adjacent pairs, by a literal rank map, and merges the
+first pair that has it, until no pair has a rank. Spark does so for the distinct words of up to
+``WORD_BYTES`` bytes that are most frequent in the texts, ``DICTIONARY`` of them at most; these, of
+4 MB at most, are broadcast, and texts take their ids from there where they lie, in Arrow batches,
+so that no text is shuffled. A worker merges other words when it first meets them, long ones with a
+heap. (Folding these in Spark too, without shuffling texts, took more CPU and driver memory than
+allowed; see README.) Decoding concatenates the binary pieces of the ids.
+
+Every token of the file has to encode to itself (the tests check it): then pairs of equal rank are
+pairs of equal parts.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,7 +35,9 @@ from .common import kept
 from .words import WordTable, encoded, gather
 
 MAPS = 1 << 15
-DICTIONARY = 1 << 16
+DICTIONARY, WORD_BYTES = 1 << 16, 64
+#: Words that a task counts before it passes them on.
+COUNTED = 200_000
 BITS = 20
 ID, NONE = (1 << BITS) - 1, 1 << 30
 
@@ -49,7 +51,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word: again and again the adjacent pair of lowest rank, the first of equals, merges."""
-    if len(word) > 64:
+    if len(word) > WORD_BYTES:
         return _merge_long(word, ranks)
     parts = [word[i: i + 1] for i in range(len(word))]
     pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
@@ -116,9 +118,9 @@ def fold(word: Column, ranks: Column) -> Column:
     """Ids of a word (string): ranked merges over the array of its bytes.
 
     An entry of the folded array is a part's id in the low ``BITS`` bits and, above, the rank of
-    its pair with the next part, ``NONE`` if it does not merge. A round merges the least entry,
-    the first of equals, and ranks the two pairs around anew; in long words all equals merge in
-    one round. A round costs in proportion to the parts left.
+    its pair with the next part, ``NONE`` if it does not merge. A step merges the least entry, the
+    first of equals, and ranks the two pairs around anew. It costs in proportion to the parts left,
+    and there are as many steps as bytes, so this is for short words.
     """
     def part(x: Column) -> Column:
         return x.bitwiseAND(ID)
@@ -137,37 +139,39 @@ def fold(word: Column, ranks: Column) -> Column:
         before = F.when(at > 1, F.array(entry(part(F.get(x, at - 2)), new))).otherwise(F.array().cast("array<bigint>"))
         return F.concat(F.slice(x, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(entry(new, part(F.get(x, at + 1)))), F.slice(x, at + 2, F.size(x)))
 
-    def several(x: Column, low: Column) -> Column:
-        flags = F.array_join(F.transform(x, lambda y: F.when(y == low, "1").otherwise("0")), "")
-        marks = F.split(F.regexp_replace(flags, "1.", "<>"), "")
-        joined = F.transform(marks, lambda m, i: F.when(m == "<", F.shiftright(low, BITS)).when(m == "0", part(F.get(x, i))))
-        return with_value(F.filter(joined, lambda y: y.isNotNull()), entries)
-
-    def merge(x: Column, low: Column, at: Column) -> Column:
-        many = (F.size(x) > 64) & F.array_contains(F.slice(x, at + 1, F.size(x)), low)
-        return F.when(many, several(x, low)).otherwise(one(x, F.shiftright(low, BITS), at))
-
     def step(x: Column, _) -> Column:
-        return with_value(F.array_min(x), lambda low: F.when(low >= NONE << BITS, x).otherwise(merge(x, low, F.array_position(x, low).cast("int"))))
+        return with_value(F.array_min(x), lambda low: F.when(low >= NONE << BITS, x).otherwise(one(x, F.shiftright(low, BITS), F.array_position(x, low).cast("int"))))
 
     letters = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(ranks["letters"], F.ascii(c)))
     return with_value(letters, lambda raw: F.aggregate(raw, entries(raw), step, lambda x: F.transform(x, lambda y: part(y).cast("int"))))
 
 
-def words_of(text: Column, pattern: str) -> Column:
-    """The words of a text, cut by Spark's own regular expressions; null as empty."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
+def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+    """``(word)``: the distinct words of all texts up to ``WORD_BYTES`` bytes, of more than ``most``
+    those that occur most. Tasks count before anything is shuffled."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, held = regex.compile(pattern).findall, Counter()
 
+        def rows() -> pa.RecordBatch:
+            words = [w for w in held if len(w) <= WORD_BYTES and len(w.encode()) <= WORD_BYTES]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], names=["word", "n"])
+            held.clear()
+            return out
 
-def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """``(word)``: the distinct words of all texts, of more than ``most`` those that occur most."""
-    words = docs.select(F.explode(words_of(F.col(text_col), pattern)).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                held.update(cut(text or ""))
+                if len(held) > COUNTED:
+                    yield rows()
+        yield rows()
+
+    words = docs.select(text_col).mapInArrow(of, "word string, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
 def dictionary(words: DataFrame, ranks: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """``words`` folded by Spark: the words, all their ids end to end, and how many each has. The
-    words are bounded in number and go through the driver."""
+    """``words`` folded by Spark: the words, all their ids end to end, and how many each has. They
+    are bounded in number and bytes and go through the driver."""
     spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = words.repartition(spread, "word").select("word", with_value(ranks, lambda r: fold(F.col("word"), r)).alias("ids")).toArrow()
     ids = coded["ids"].combine_chunks()
@@ -225,8 +229,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """``id_col, n_tokens, ids``: ids of every whole text, as binary (little-endian unsigned 32-bit).
 
     Null or empty text: no ids. Rows are encoded each by itself, also where ids are null or repeat;
-    other columns are ignored. Empty in, empty out. A text and its ids have to fit a row. ``most``
-    bounds the dictionary, not the words that are encoded.
+    other columns are ignored. Empty in, empty out. A text and its ids have to fit a row; a word of
+    n bytes takes n log n steps. ``most`` bounds the dictionary, not the words that are encoded.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return _per_text(docs, id_col, text_col, schema, _coders(docs, ranks_path, pattern, text_col, most), lambda _, ids: (len(ids), ids.tobytes()))

@@ -317,11 +317,28 @@ def test_byte_bpe(edges, real):
 
 
 def test_every_token_encodes_to_itself():
-    """What merging equal pairs at once rests on."""
+    """What taking equal ranks for equal pairs rests on."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     assert all(bpe.merge_word(t, ranks) == [r] for t, r in ranks.items())
 
 
+def test_long_words(spark):
+    """Words of 100,000 letters and of 1,000,000, longer than what is folded."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rnd = np.random.default_rng(1)
+    words = ["".join(map(chr, rnd.integers(97, 123, n))) for n in (63, 64, 65, 6_000, 100_000)]
+    docs = table(spark, [(i, w + " " + w + " the end", "en") for i, w in enumerate(words)])
+    assert {r.word for r in bpe.frequent_words(docs, public_tokenizers.PATTERN).collect()} == {words[0], " " + words[0], words[1], " the", " end"}
+    for r in bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect():
+        ids = np.array(coding.encode_ordinary(words[r.doc_id] + " " + words[r.doc_id] + " the end"), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+    ranks = bpe.read_ranks(path)
+    pieces = {r: t for t, r in ranks.items()}
+    assert b"".join(pieces[i] for i in bpe.merge_word(b"ab" * 500_000, ranks)) == b"ab" * 500_000
+
+
 def test_fold_of_long_and_odd_words(spark):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     words = [" the", "a" * 700, "=-" * 150, "日本語" * 60, "é", "\U0001f600" * 40, "antidisestablishmentarianism" * 5, "\x00\x01", "aab" * 90]
