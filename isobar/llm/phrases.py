@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored, text_bytes
 
-BLOCK, PART = 32 << 20, 4 << 20
+BLOCK, PART = 16 << 20, 2 << 20
 LONGEST = 5
 #: Ends of pieces; the tab separates words as the space does. Fixed values.
 ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n\n\n\n\n\n\n\n\n\n ")
@@ -55,19 +55,16 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     arrays: list[np.ndarray] = []
     size = 0
 
-    def block() -> pa.RecordBatch:
+    def block() -> Iterator[pa.RecordBatch]:
         nonlocal words, shared, arrays, size, made
         if made >> BLOCKS_BITS:
             raise RuntimeError("a partition has too many blocks")
         numbers = np.concatenate(arrays)
-        m = len(shared)
-        n = np.bincount(numbers[numbers >= 0], minlength=m)
-        out = pa.RecordBatch.from_arrays([
-            pa.array(np.full(m + 1, first + made)), pa.array([w[0] for w in shared] + [None], pa.string()),
-            pa.array([w[1] for w in shared] + [None], pa.binary()).cast(pa.string()), pa.array([*range(m), None], pa.int64()),
-            pa.array([*n.tolist(), None], pa.int64()), pa.array([None] * m + [numbers.tobytes()], pa.binary())], names=["block", "lang", "word", "place", "n", "body"])
+        n = np.bincount(numbers[numbers >= 0], minlength=len(shared))
+        out = _rows(first + made, numbers, lang=pa.array([w[0] for w in shared], pa.string()), word=pa.array([w[1] for w in shared], pa.binary()).cast(pa.string()),
+                    place=pa.array(np.arange(len(shared))), n=pa.array(n))
         words, shared, arrays, size, made = {}, [], [], 0, made + 1
-        return out
+        yield from out.to_batches(50_000)
 
     def take(lang: str, texts: list[bytes]) -> None:
         own = words.get(lang)
@@ -89,30 +86,38 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     take(key, texts)
                 held, waiting = {}, 0
                 if size >= BLOCK:
-                    yield block()
+                    yield from block()
         for key, texts in held.items():
             take(key, texts)
     if arrays:
-        yield block()
+        yield from block()
+
+
+def _rows(block: int, body: np.ndarray, **columns: pa.Array) -> pa.Table:
+    """A row for each place of a block, with these columns, and one with its array."""
+    m = len(next(iter(columns.values())))
+    columns = {"block": pa.array(np.full(m + 1, block)), **{c: pa.concat_arrays([x, pa.nulls(1, x.type)]) for c, x in columns.items()}}
+    return pa.table(columns | {"body": pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([body.tobytes()], pa.binary())])})
 
 
 def _paired(left: pa.Table, right: pa.Table) -> pa.Table:
     """Of one block, its array and the names of its frequent places: the pairs of adjacent names
     with their counts, and the array of their places."""
-    block, body = left["block"][0].as_py(), left["body"][0].as_py()
-    numbers = np.frombuffer(body, np.int32)
+    numbers = np.frombuffer(left["body"][0].as_buffer(), np.int32)
     place, name = right["place"].to_numpy(), right["name"].to_numpy()
-    at = np.full(max(int(numbers.max(initial=-1)), int(place.max(initial=-1))) + 2, -1, np.int64)  # the last stands for -1
+    at = np.full(max(int(numbers.max(initial=-1)), int(place.max(initial=-1))) + 2, -1, np.int32)  # the last stands for -1
     at[place] = np.arange(len(place))
     own = at[numbers]
     both = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
-    pairs, where, n = np.unique(own[both] * len(place) + own[both + 1], return_inverse=True, return_counts=True)
+    keys = own[both].astype(np.int64) * len(place) + own[both + 1]
+    del own
+    pairs, where, n = np.unique(keys, return_inverse=True, return_counts=True)
+    del keys
     new = np.full(len(numbers), -1, np.int32)
     new[both] = where
-    m, wide = len(pairs), max(1, len(place))
-    return pa.table([np.full(m + 1, block), pa.array([*name[pairs // wide].tolist(), None], pa.int64()), pa.array([*name[pairs % wide].tolist(), None], pa.int64()),
-                     pa.array([*range(m), None], pa.int64()), pa.array([*n.tolist(), None], pa.int64()), pa.array([None] * m + [new.tobytes()], pa.binary())],
-                    names=["block", "a", "b", "place", "n", "body"])
+    del both, where
+    wide = max(1, len(place))
+    return _rows(left["block"][0].as_py(), new, a=pa.array(name[pairs // wide]), b=pa.array(name[pairs % wide]), place=pa.array(np.arange(len(pairs))), n=pa.array(n))
 
 
 def _frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
