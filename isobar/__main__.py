@@ -8,37 +8,38 @@ from pyspark.sql import SparkSession
 
 from isobar.field import Field
 from isobar.metadata import with_origins
-from isobar.operators import checked, gis
+from isobar.operators import checked
 from isobar.sources import slabs
+from isobar.sources.parameters import vector_pairs
 
-#: Components of vectors, u to v. Fixed values.
-VECTORS = {"U": "V", "U_10M": "V_10M"}
 
 
 def rotate_vectors(fields: dict[str, Field]) -> dict[str, Field]:
     """Wind components on mass points and along geographic axes; ValueError if only one is there."""
     out = dict(fields)
-    for u, v in VECTORS.items():
-        if (u in fields) != (v in fields):
-            raise ValueError(f"{u} and {v} are rotated together")
-        if u in fields:
-            pair = [checked.destagger(f, d) if f.meta.is_staggered_horizontal else f for f, d in ((fields[u], "x"), (fields[v], "y"))]
-            if pair[0].meta.vref != pair[1].meta.vref:
-                raise ValueError(f"{u} and {v} refer to different axes")
-            out[u], out[v] = checked.to_geographic_axes(*pair) if pair[0].meta.vref == "native" else pair
+    for u, v in vector_pairs(list(fields)):
+        pair = [checked.destagger(f, d) if f.meta.is_staggered_horizontal else f for f, d in ((fields[u], "x"), (fields[v], "y"))]
+        if pair[0].meta.vref != pair[1].meta.vref:
+            raise ValueError(f"{u} and {v} refer to different axes")
+        out[u], out[v] = checked.to_geographic_axes(*pair) if pair[0].meta.vref == "native" else pair
     return out
 
 
 def regrid(spark: SparkSession, infiles: list[str], outfile: str, params: str, crs: str = "geolatlon", resampling: str = "nearest", ref_param: str = "HHL") -> None:
+    """Fields of ``params`` on the grid of another system that covers theirs, every point present.
+
+    Vectors need the reference parameter, which is read besides and written only if asked for.
+    """
     source = slabs.DataSource.of_files(spark, infiles)
-    fields = slabs.load(source, {"param": params})
-    if ref_param in fields:
+    wanted = [p.strip() for p in params.split(",")]
+    pairs = vector_pairs(wanted)
+    fields = slabs.load(source, {"param": wanted + [ref_param] * bool(pairs and ref_param not in wanted)})
+    if pairs or ref_param in fields:
         fields = with_origins(fields, ref_param)
-    done = []
-    for field in rotate_vectors(fields).values():
-        here = gis.RegularGrid.from_header(field.meta.keys)
-        goal = here.to_crs(spark, crs)
-        done.append(field.derive(gis.regrid(field.df, "value", here, goal, resampling), **goal.header()))
+    missing = [p for p in wanted if p not in fields]
+    if missing:
+        raise RuntimeError(f"no values of {', '.join(missing)}")
+    done = [checked.regrid(f, f.meta.grid.to_crs(spark, crs), resampling) for f in rotate_vectors({p: fields[p] for p in wanted}).values()]
     slabs.save(done, outfile)
 
 

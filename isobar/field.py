@@ -1,7 +1,8 @@
 """Fields: a DataFrame in long layout, one row per grid point and level, with metadata beside it.
 
-Dimensions are the columns of ``DIMS`` that a frame has. ``k`` counts levels from the top; NULL is
-undefined. Operators take frames with a column per parameter and windows over their dimensions.
+Dimensions are the columns of ``DIMS`` that a frame has. ``k`` counts model levels from the top;
+``target`` is the value of a level of another kind, in its own unit (Pa, K, m). NULL is undefined.
+Operators take frames with a column per parameter and windows over their dimensions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DIMS = ("eps", "ref_time", "lead_s", "k", "y", "x", "cell")
+from isobar.grid import GRID_KEYS, RegularGrid
+
+DIMS = ("eps", "ref_time", "lead_s", "k", "target", "y", "x", "cell")
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,18 @@ class FieldMeta:
         rest = {k: v for k, v in values.items() if k not in own}
         return replace(self, **own, keys=self.keys | rest)
 
+    @property
+    def grid(self) -> RegularGrid:
+        """The grid that the header keys say."""
+        return RegularGrid.from_header(self.keys)
+
+    def on_grid(self, grid: RegularGrid, **values) -> FieldMeta:
+        """A copy for the same field on another grid: all keys that follow from a grid are replaced,
+        and points are not shifted. Vectors are along geographic axes unless the grid is rotated."""
+        rest = {k: v for k, v in self.keys.items() if k not in GRID_KEYS}
+        own = {"origin_x": 0.0, "origin_y": 0.0, "grid_id": "", "vref": "native" if grid.pole else "geo"} | values
+        return replace(self, keys=rest | grid.keys()).override(**own)
+
     @property
     def is_staggered_horizontal(self) -> bool:
         """Unstructured grids are not; others have to have their origin set."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from enum import IntEnum
+from typing import TYPE_CHECKING
 
-from isobar.field import Field
+if TYPE_CHECKING:
+    from isobar.field import Field
 
 
 class UnitOfTime(IntEnum):

@@ -4,16 +4,22 @@ say in the result what has changed."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isobar.field import Field, align, dims
 from isobar.functions import atmo
+from isobar.grid import RegularGrid
 
-from . import gis, stagger, vertical
+from . import dynamics, gis, stagger, timeops, vertical
 from .projections import rotate_vector, rotated_to_geographic
 
+#: Components of wind. Fixed values.
+WIND = ("U", "V", "U_10M", "V_10M")
+
 
 def destagger(field: Field, dim: str, value: str = "value") -> Field:
     """:func:`stagger.destagger`; ValueError unless the field is staggered along ``dim``."""
@@ -81,11 +87,10 @@ def interpolate_k2p(field: Field, pressure: Field, targets: Sequence[float], mod
 
 def crop(field: Field, xmin: int, xmax: int, ymin: int, ymax: int) -> Field:
     """:func:`gis.crop`, with the header's corners and counts following."""
-    grid = gis.RegularGrid.from_header(field.meta.keys)
+    grid, meta = field.meta.grid, field.meta
     df = gis.crop(field.df, xmin, xmax, ymin, ymax, grid.nx, grid.ny)
-    corner = {f"{axis}Of{end}GridPointInDegrees": start + i * step for axis, start, step, ends in
-              (("longitude", grid.x0, grid.dx, (xmin, xmax)), ("latitude", grid.y0, grid.dy, (ymin, ymax))) for end, i in zip(("First", "Last"), ends)}
-    return field.derive(df, Ni=xmax - xmin + 1, Nj=ymax - ymin + 1, **corner)
+    own = replace(grid, nx=xmax - xmin + 1, ny=ymax - ymin + 1, x0=grid.x0 + xmin * grid.dx, y0=grid.y0 + ymin * grid.dy)
+    return Field(df, meta.on_grid(own, origin_x=meta.origin_x, origin_y=meta.origin_y, vref=meta.vref, grid_id=meta.grid_id))
 
 
 def clip(field: Field, cells: DataFrame, n: int, grid_id: str | None = None) -> Field:
@@ -103,3 +108,94 @@ def on_new_levels(field: Field, targets: Sequence[float], vcoord_type: str, fill
     points = field.df.select(*dims(field.df, "k")).distinct()
     rows = points.select("*", F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target"), F.lit(fill).cast("double").alias("value"))
     return field.derive(rows, vcoord_type=vcoord_type)
+
+
+def regrid(field: Field, target: RegularGrid, method: str = "bilinear") -> Field:
+    """:func:`gis.regrid` with a row for every point of ``target`` and a header that says so. Wind
+    components have to be along geographic axes before (:func:`to_geographic_axes`)."""
+    meta = field.meta
+    if meta.name in WIND and meta.vref == "native" and meta.keys.get("gridType") == "rotated_ll" and not target.pole:
+        raise ValueError(f"{meta.name} is along the axes of its own grid")
+    df = gis.regrid(field.df, "value", meta.grid, target, method)
+    return Field(gis.dense(df, target, field.df), meta.on_grid(target))
+
+
+def _time_range(dtime_s: int, processing: int | None) -> dict:
+    out = {"lengthOfTimeRange": dtime_s // 60, "indicatorOfUnitForTimeRange": 0}
+    return out if processing is None else out | {"typeOfStatisticalProcessing": processing}
+
+
+def time_rate(field: Field, dtime_s: int) -> Field:
+    """:func:`timeops.time_rate`; the header no longer names a statistic."""
+    return field.derive(timeops.time_rate(field.df, "value", dtime_s), typeOfStatisticalProcessing=255)
+
+
+def delta(field: Field, dtime_s: int) -> Field:
+    """:func:`timeops.delta`, a difference over the range."""
+    return field.derive(timeops.delta(field.df, "value", dtime_s), **_time_range(dtime_s, 4))
+
+
+def resample_average(field: Field, dtime_s: int) -> Field:
+    """:func:`timeops.resample_average`, an average over the range."""
+    return field.derive(timeops.resample_average(field.df, "value", dtime_s), **_time_range(dtime_s, 0))
+
+
+def resample(field: Field, dtime_s: int) -> Field:
+    """:func:`timeops.resample`; the range is the new step."""
+    return field.derive(timeops.resample(field.df, dtime_s), **_time_range(dtime_s, None))
+
+
+def _on_full_levels(*fields: Field) -> DataFrame:
+    """The fields side by side, as columns ``_0``, ``_1`` and so on; ValueError unless all are on full
+    model levels and share their dimensions."""
+    for f in fields:
+        if f.meta.vcoord_type != "model_level" or f.meta.origin_z != 0.0:
+            raise ValueError(f"{f.meta.name} is not on full model levels")
+        if dims(f.df) != dims(fields[0].df):
+            raise ValueError("the fields differ in their dimensions")
+    return reduce(align, [f.df.select(*dims(f.df), F.col("value").alias(f"_{i}")) for i, f in enumerate(fields)])
+
+
+def interpolate_k2theta(field: Field, theta: Field, targets: Sequence[float], height: Field, mode: str, unit: str = "K") -> Field:
+    """:func:`vertical.interpolate_k2theta` with its checks."""
+    return field.derive(vertical.interpolate_k2theta(_on_full_levels(field, theta, height), "_0", "_1", targets, "_2", mode, unit), vcoord_type="theta")
+
+
+def interpolate_k2any(field: Field, target_field: Field, targets: Sequence[float], height: Field, mode: str) -> Field:
+    """:func:`vertical.interpolate_k2any` with its checks; the levels are values of ``target_field``."""
+    return field.derive(vertical.interpolate_k2any(_on_full_levels(field, target_field, height), "_0", "_1", targets, "_2", mode), vcoord_type=target_field.meta.name.lower())
+
+
+def _bounds(both: DataFrame, bottom: Field | float, top: Field | float) -> DataFrame:
+    for name, bound in (("_b", bottom), ("_t", top)):
+        both = align(both, bound.df.select(*dims(bound.df), F.col("value").alias(name))) if isinstance(bound, Field) else both.withColumn(name, F.lit(float(bound)))
+    return both
+
+
+def minmax_k(field: Field, height: Field, bottom: Field | float, top: Field | float, operator: str) -> Field:
+    """:func:`vertical.minmax_k` with its checks; a bound is a height or a field of heights."""
+    both = _bounds(_on_full_levels(field, height), bottom, top)
+    return field.derive(vertical.minmax_k(both, "_0", "_1", "_b", "_t", operator), vcoord_type="surface")
+
+
+def integrate_k(field: Field, half_height: Field, bottom: Field | float, top: Field | float, operator: str = "integral") -> Field:
+    """:func:`vertical.integrate_k` of a field on full levels over heights of half levels."""
+    if half_height.meta.origin_z != -0.5 or field.meta.origin_z != 0.0:
+        raise ValueError("a field on full levels and heights of half levels are wanted")
+    both = half_height.df.select(*dims(half_height.df), F.col("value").alias("_1"))
+    both = both.join(field.df.select(*dims(field.df), F.col("value").alias("_0")), dims(field.df), "left")
+    return field.derive(vertical.integrate_k(_bounds(both, bottom, top), "_0", "_1", "_b", "_t", operator), vcoord_type="surface")
+
+
+def zero_isotherm(t: Field, height: Field, extrapolate: bool = False) -> Field:
+    """:func:`vertical.zero_isotherm` with its checks."""
+    return t.derive(vertical.zero_isotherm(_on_full_levels(t, height), "_0", "_1", extrapolate), name="HZEROCL", units="m", vcoord_type="surface")
+
+
+def bulk_richardson(theta_v: Field, u: Field, v: Field, height: Field, surface: Field) -> Field:
+    """:func:`dynamics.bulk_richardson`; ValueError for wind that is not on mass points."""
+    for f in (u, v):
+        if f.meta.is_staggered_horizontal:
+            raise ValueError("the wind is staggered")
+    both = align(_on_full_levels(theta_v, u, v, height), surface.df.select(*dims(surface.df), F.col("value").alias("_4")))
+    return theta_v.derive(dynamics.bulk_richardson(both, "_0", "_1", "_2", "_3", "_4").select(*dims(both), "value"), name="BRN", units="1")

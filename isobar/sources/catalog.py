@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .parameters import PARAMETERS, parameter
+
 #: Full model levels; half levels are one more. Fixed values.
 LEVELS = {"COSMO-1E": 80, "COSMO-2E": 60, "ICON-CH1-EPS": 80, "ICON-CH2-EPS": 80, "KENDA-CH1": 80}
 
@@ -28,6 +30,9 @@ class Request:
     ref_time: object = None
     lead_s: int | list | None = None
     model: str | None = None
+    stream: str | None = None
+    type: str | None = None
+    expver: str | None = None
 
     def __post_init__(self):
         if isinstance(self.param, str) and "," in self.param:
@@ -42,11 +47,29 @@ class Request:
         if isinstance(self.ref_time, str):
             time_bounds(self.ref_time)
 
+    def params(self) -> list[str]:
+        return [] if self.param is None else [self.param] if isinstance(self.param, str) else list(self.param)
+
     def levels(self) -> list | int | None:
+        """Those asked for; of a model with no list all, half levels too if any parameter is on them."""
         if self.levelist is None and self.model and self.levtype == "ml":
-            return model_levels(self.model)
+            return model_levels(self.model, any(p in PARAMETERS and PARAMETERS[p].half_levels for p in self.params()))
         return self.levelist
 
+    def keys(self, as_text: bool = False) -> dict:
+        """The request as an archive wants it: identifiers for names (as text if wanted), all levels of
+        the model spelled out, and a default for what is left open. The reference time has to be one
+        time. RuntimeError without it, KeyError for a name that is not in the catalogue."""
+        low, high = (None, None) if self.ref_time is None else time_bounds(self.ref_time)
+        if low is None or low != high:
+            raise RuntimeError("one reference time is wanted")
+        full = replace(self, **{k: v for k, v in DEFAULTS.items() if getattr(self, k) is None})
+        ids = [str(i) if as_text else i for i in (parameter(p).param_id for p in full.params())]
+        out = {"class": "od", "date": f"{low:%Y%m%d}", "time": f"{low:%H%M}", "timespan": "none", "expver": full.expver, "levtype": full.levtype, "levelist": full.levels(),
+               "model": full.model.lower(), "number": full.number, "stream": full.stream, "type": full.type, "step": _hours(full.lead_s),
+               "param": ids[0] if isinstance(self.param, str) else ids}
+        return {k: v for k, v in out.items() if v is not None}
+
     def predicate(self) -> Column:
         """Equality or membership by key, which Parquet scans can use."""
         out = F.lit(True)
@@ -61,11 +84,15 @@ class Request:
 
     def read(self, table: DataFrame) -> DataFrame:
         """Rows of ``table``. Keys under which a table of slabs stores them have the table's names:
-        ``eps`` for the member and ``k`` for the level."""
-        names = {"number": "eps", "levelist": "k"}
-        for key, other in names.items():
-            if key not in table.columns and other in table.columns:
-                table = table.withColumn(key, F.col(other))
+        ``eps`` for the member, ``k`` for the model level, ``target`` for a level of another kind, which
+        requests name in hPa or K."""
+        if "number" not in table.columns and "eps" in table.columns:
+            table = table.withColumn("number", F.col("eps"))
+        if "levelist" not in table.columns:
+            if self.levtype in LEVEL_UNITS and "target" in table.columns:
+                table = table.withColumn("levelist", F.round(F.col("target") / LEVEL_UNITS[self.levtype], 6))
+            elif "k" in table.columns:
+                table = table.withColumn("levelist", F.col("k"))
         if self.levtype is not None and "levtype" not in table.columns and "header" in table.columns:
             kind = F.get_json_object("header", "$.vcoord_type")
             table = table.withColumn("levtype", F.element_at(F.create_map(*[F.lit(x) for pair in VCOORD_TYPES.items() for x in pair]), kind))
@@ -79,6 +106,16 @@ class Request:
 #: Level types of requests, and those of fields that they stand for. Fixed values.
 LEVEL_TYPES = ("ml", "pl", "sfc", "pt")
 VCOORD_TYPES = {"model_level": "ml", "pressure": "pl", "surface": "sfc", "theta": "pt"}
+#: Units of requested levels, in those of ``target``. Fixed values.
+LEVEL_UNITS = {"pl": 100.0, "pt": 1.0}
+#: Keys that an archive's request has by default. Fixed values.
+DEFAULTS = {"expver": "0001", "levtype": "ml", "model": "COSMO-1E", "stream": "enfo", "type": "cf"}
+
+
+def _hours(lead_s: int | list | None) -> int | list | None:
+    if lead_s is None:
+        return None
+    return [_hours(x) for x in lead_s] if isinstance(lead_s, (list, tuple)) else lead_s // 3600 if lead_s % 3600 == 0 else lead_s / 3600
 
 
 def _utc(text: str) -> datetime:

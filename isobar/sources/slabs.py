@@ -9,24 +9,32 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.field import Field, FieldMeta, dims, require_dense
+from isobar.metadata import UnitOfTime
 
-from .catalog import Request
+from .catalog import VCOORD_TYPES, Request
 
-KEYS = ("eps", "ref_time", "lead_s", "k")
+#: Keys of a slab and their types.
+KEYS = {"eps": "int", "ref_time": "timestamp", "lead_s": "long", "k": "int", "target": "double"}
 
 
 def to_slabs(field: Field, value: str = "value", bits: int = 16) -> DataFrame:
-    """Slabs of one field. Points are packed with their place; undefined ones have no number."""
+    """Slabs of one field. Points are packed with their place; undefined ones have no number.
+
+    NotImplementedError for a field of several time ranges.
+    """
     if not 1 <= bits <= 48:
         raise ValueError("1 to 48 bits a value")
+    if field.meta.keys.get("numberOfTimeRange", 1) != 1:
+        raise NotImplementedError("several time ranges")
     df, keys = field.df, [d for d in dims(field.df) if d in KEYS]
     places = [d for d in dims(df) if d not in KEYS]
     points = F.struct(*places, F.col(value).cast("double").alias("v"))
@@ -34,9 +42,23 @@ def to_slabs(field: Field, value: str = "value", bits: int = 16) -> DataFrame:
     step = F.coalesce((F.col("high") - F.col("low")) / (2.0 ** bits - 1), F.lit(0.0))
     packed = F.transform("points", lambda p: F.struct(*[p[d].alias(d) for d in places], F.when(F.col("step") > 0, F.round((p["v"] - F.col("low")) / F.col("step"))).when(
         p["v"].isNotNull(), 0).cast("long").alias("n")))
-    absent = [F.lit(None).cast({"eps": "int", "ref_time": "timestamp", "lead_s": "long", "k": "int"}[k]).alias(k) for k in KEYS if k not in keys]
-    header = json.dumps(asdict(field.meta))
-    return slabs.withColumn("step", step).select(F.lit(field.meta.name).alias("param"), *keys, *absent, F.lit(header).alias("header"), "low", "step", packed.alias("points"))
+    every = [(F.col(k) if k in keys else F.lit(None)).cast(kind).alias(k) for k, kind in KEYS.items()]
+    kind = VCOORD_TYPES.get(field.meta.vcoord_type, field.meta.vcoord_type)
+    return slabs.withColumn("step", step).select(F.lit(field.meta.name).alias("param"), *every, F.lit(kind).alias("levtype"), *_times(field, keys), F.lit(header(field.meta)).alias("header"), "low", "step", packed.alias("points"))
+
+
+def header(meta: FieldMeta) -> str:
+    return json.dumps(asdict(meta), sort_keys=True)
+
+
+def _times(field: Field, keys: list[str]) -> list[Column]:
+    """``begin_min, end_min``: of the time range that values are of, in minutes since the reference
+    time. It ends at the lead time; its length is the header's."""
+    if "lead_s" not in keys:
+        return [F.lit(None).cast("double").alias(n) for n in ("begin_min", "end_min")]
+    unit = field.meta.keys.get("indicatorOfUnitForTimeRange", 255)
+    length = field.meta.keys.get("lengthOfTimeRange", 0) * (UnitOfTime(unit).seconds / 60 if unit != 255 else 0)
+    return [(F.col("lead_s") / 60 - length).alias("begin_min"), (F.col("lead_s") / 60).alias("end_min")]
 
 
 def save(fields: Sequence[Field], path: str, value: str = "value", bits: int = 16) -> None:
@@ -46,34 +68,69 @@ def save(fields: Sequence[Field], path: str, value: str = "value", bits: int = 1
 
 
 def from_slabs(slabs: DataFrame) -> DataFrame:
-    """A row for each point, with ``value``; columns of keys that no slab has are left out."""
+    """A row for each point, with ``value``, and the keys that slabs have."""
     places = [f.name for f in slabs.schema["points"].dataType.elementType.fields if f.name != "n"]
-    rows = slabs.select(*KEYS, "low", "step", F.explode("points").alias("p"))
-    return rows.select(*KEYS, *[f"p.{d}" for d in places], (F.col("low") + F.col("p.n") * F.col("step")).alias("value"))
+    keys = [k for k in KEYS if k in slabs.columns]
+    rows = slabs.select(*keys, "low", "step", F.explode("points").alias("p"))
+    return rows.select(*keys, *[f"p.{d}" for d in places], (F.col("low") + F.col("p.n") * F.col("step")).alias("value"))
+
+
+def once(slabs: DataFrame, order: str | None = None) -> DataFrame:
+    """One slab for each parameter and its keys. Equal ones are one. Of others, the one with the
+    greatest ``order`` counts (a column, such as the time of writing; of equals the one whose values
+    hash to more); without an order they are an error, which :func:`load` raises."""
+    keys = ["param", *[k for k in KEYS if k in slabs.columns]]
+    digest = F.xxhash64("low", "step", "points")
+    if order:
+        best = F.max_by(F.struct(*[c for c in slabs.columns if c not in keys]), F.struct(F.col(order), digest.alias("digest"))).alias("s")
+        return slabs.groupBy(*keys).agg(best).select(*keys, "s.*")
+    return slabs.withColumn("__digest", digest).dropDuplicates([*keys, "__digest"]).drop("__digest")
 
 
-def load(source: DataSource | DataFrame, request: Request | dict | str | tuple) -> dict[str, Field]:
+def load(source: DataSource | DataFrame, request: Request | dict | str | tuple, order: str | None = None, cells: DataFrame | None = None, coordinates: bool = False) -> dict[str, Field]:
     """Fields of a request by parameter, each dense in its members, times and levels.
 
-    RuntimeError names what is missing; a parameter with two different headers is a ValueError.
-    The headers, one for each parameter, come to the driver.
+    RuntimeError names what is missing; ValueError is raised for a parameter with two different
+    headers and for slabs that differ but have the same keys, unless ``order`` says which counts (see
+    :func:`once`). With ``coordinates``, points have ``lon`` and ``lat`` (see :func:`located`; ``cells``
+    are those of unstructured grids). One aggregate looks at all parameters; their headers, one for
+    each parameter, come to the driver.
     """
     slabs = source.retrieve(request) if isinstance(source, DataSource) else source
+    keys = [k for k in KEYS if k in slabs.columns]
+    slabs = once(slabs, order)
+    seen = slabs.groupBy("param").agg(F.collect_set("header").alias("h"), F.count("*").alias("n"), F.count_distinct(F.struct(*keys)).alias("own"),
+                                      *[F.size(F.collect_set(k)).alias(f"n_{k}") for k in keys], *[F.count(k).alias(f"has_{k}") for k in keys])
     out = {}
-    for param, headers in slabs.groupBy("param").agg(F.collect_set("header").alias("h")).collect():
-        if len(headers) > 1:
-            raise ValueError(f"{param} has {len(headers)} different headers")
-        own = slabs.where(F.col("param") == param)
-        counts = own.agg(*[F.count(k).alias(k) for k in KEYS]).first()
-        keys = [k for k in KEYS if counts[k]]
-        require_dense(own, keys) if keys else None
-        rows = from_slabs(own)
-        out[param] = Field(rows.drop(*[k for k in KEYS if k not in keys]), FieldMeta(**json.loads(headers[0])))
+    for r in seen.collect():
+        if len(r.h) > 1:
+            raise ValueError(f"{r.param} has {len(r.h)} different headers")
+        own, have = slabs.where(F.col("param") == r.param), [k for k in keys if r[f"has_{k}"]]
+        if r.n > r.own:
+            again = own.groupBy(*have).agg(F.count("*").alias("n")).where("n > 1").limit(10).collect()
+            raise ValueError(f"{r.param} has different slabs of " + ", ".join(str(tuple(x)[:-1]) for x in again))
+        if r.n != math.prod(max(1, r[f"n_{k}"]) for k in keys):
+            require_dense(own, have)
+        meta = FieldMeta(**json.loads(r.h[0]))
+        field = Field(from_slabs(own).drop(*[k for k in keys if k not in have]), meta)
+        out[r.param] = located(field, cells) if coordinates else field
     if not out:
         raise RuntimeError("no values")
     return out
 
 
+def located(field: Field, cells: DataFrame | None = None) -> Field:
+    """The field with ``lon`` and ``lat`` at its points: of unstructured grids by identifier, from
+    ``cells(grid_id, cell, clon, clat)``, of others from the header."""
+    if "cell" in field.df.columns:
+        if cells is None:
+            raise ValueError("cells of unstructured grids come from a table")
+        return Field(field.df.join(coordinates(cells, field.meta.grid_id), "cell", "left"), field.meta)
+    grid = field.meta.grid
+    lon, lat = grid.system.to_geographic(grid.x0 + F.col("x") * grid.dx, grid.y0 + F.col("y") * grid.dy)
+    return Field(field.df.withColumns({"lon": lon, "lat": lat}), field.meta)
+
+
 def load_single(source: DataSource | DataFrame, request: Request | dict | str | tuple) -> Field:
     """The one field of a request; ValueError if it names another number of parameters."""
     found = load(source, request)

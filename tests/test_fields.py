@@ -12,7 +12,7 @@ from isobar import __main__ as job
 from isobar.field import Field, FieldMeta
 from isobar.metadata import UnitOfTime, code_flags, flags_at, level_coefficients, origin, with_origins
 from isobar.operators import checked, dynamics, gis, projections, stagger, triangles
-from isobar.sources import catalog, slabs
+from isobar.sources import catalog, parameters, slabs
 from isobar.streaming import runs
 
 KEYS = {"gridType": "rotated_ll", "Ni": 6, "Nj": 5, "longitudeOfFirstGridPointInDegrees": 359.0, "longitudeOfLastGridPointInDegrees": 359.5,
@@ -167,7 +167,7 @@ def test_projections_and_headers(spark):
     with pytest.raises(ValueError):
         gis.RegularGrid.from_header(KEYS | {"iDirectionIncrementInDegrees": 0.2})
     with pytest.raises(NotImplementedError):
-        gis.RegularGrid.from_header({"gridType": "regular_ll"})
+        gis.RegularGrid.from_header({"gridType": "reduced_gg"})
 
 
 def test_barycentric_remap(spark):
@@ -261,3 +261,112 @@ def test_regrid_job(spark, tmp_path):
     assert done["T"].meta.keys["gridDefinitionTemplateNumber"] == 0 and json.dumps(done["T"].meta.keys)
     with pytest.raises(ValueError):
         job.regrid(spark, [a, b], out + "2", "T,U")
+
+
+def test_levels_survive_storage(spark, tmp_path):
+    p = field(spark, "P", lambda k, y, x: 30000.0 * k + x)
+    t = checked.interpolate_k2p(field(spark), p, [400.0, 500.0], "linear_in_p", "hPa")
+    path = str(tmp_path / "pl")
+    slabs.save([t, t.derive(t.df, name="T2")], path, bits=32)
+    source = slabs.DataSource.of_files(spark, [path])
+    out = slabs.load_single(source, {"param": "T", "levtype": "pl", "levelist": [400]})
+    assert out.meta.vcoord_type == "pressure" and out.df.columns == ["target", "y", "x", "value"]
+    want = {(r.target, r.y, r.x): r.value for r in t.df.where("target = 40000").collect()}
+    got = {(r.target, r.y, r.x): r.value for r in out.df.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+    assert slabs.load_single(source, ("T2", "pl")).df.select("target").distinct().count() == 2
+    with pytest.raises(RuntimeError):
+        slabs.load(source, {"param": "T", "levtype": "ml"})
+
+
+def test_repeated_slabs(spark):
+    one = slabs.to_slabs(field(spark)).withColumn("written", F.lit(1))
+    other = slabs.to_slabs(field(spark, value=lambda k, y, x: 99.0)).withColumn("written", F.lit(2))
+    assert slabs.load_single(one.unionByName(one), "T").df.count() == 60
+    with pytest.raises(ValueError, match="different slabs"):
+        slabs.load(one.unionByName(other.where("k = 1")), "T")
+    rows = slabs.load(one.unionByName(other.where("k = 1")).unionByName(one), "T", order="written")["T"].df.collect()
+    assert len(rows) == 60 and {r.value for r in rows if r.k == 1} == {99.0} and 99.0 not in {r.value for r in rows if r.k == 2}
+
+
+def test_coordinates_on_load(spark):
+    out = slabs.load(slabs.to_slabs(field(spark)), "T", coordinates=True)["T"].df
+    lon, lat = projections.rotated_to_geographic(F.lit(-1.0) + F.col("x") * 0.1, F.lit(-1.0) + F.col("y") * 0.1, (190.0, 43.0))
+    assert all(r.lon == pytest.approx(r.a) and r.lat == pytest.approx(r.b) for r in out.select("lon", "lat", lon.alias("a"), lat.alias("b")).collect())
+    cells = Field(spark.createDataFrame([(0, 1.0), (1, 2.0)], "cell int, value double"), FieldMeta("T", grid_id="g", keys={"gridType": "unstructured_grid"}))
+    table = spark.createDataFrame([("g", 0, math.pi / 2, 0.0), ("h", 1, 0.0, 0.0)], "grid_id string, cell int, clon double, clat double")
+    got = {r.cell: r.lon for r in slabs.load(slabs.to_slabs(cells), "T", cells=table, coordinates=True)["T"].df.collect()}
+    assert got == {0: pytest.approx(90.0), 1: None}
+    with pytest.raises(ValueError):
+        slabs.located(cells)
+
+
+def test_grid_of_a_field(spark):
+    rotated = field(spark).meta
+    for grid in (rotated.grid, gis.RegularGrid.parse("geolatlon,-1,2,8,6,0.5,0.25")):
+        meta = rotated.on_grid(grid)
+        assert meta.grid == grid and meta.keys["numberOfDataPoints"] == grid.nx * grid.ny and meta.vref == ("native" if grid.pole else "geo")
+    assert not {"longitudeOfSouthernPoleInDegrees", "latitudeOfSouthernPole"} & rotated.on_grid(gis.RegularGrid.parse("geolatlon,0,0,1,1,1,1")).keys.keys()
+    assert rotated.on_grid(gis.RegularGrid.parse("utm32n,0,0,1000,1000,1000,1000")).keys["gridDefinitionTemplateNumber"] == 12
+
+
+def test_regrid_job_gives_fields(spark, tmp_path):
+    """Whole fields on the target's points, with a header that reads back, vectors along geographic axes."""
+    a, out = (str(tmp_path / n) for n in ("a", "out"))
+    slabs.save([field(spark), field(spark, "U", lambda k, y, x: 3.0), field(spark, "V", lambda k, y, x: 4.0), field(spark, "HHL")], a)
+    job.regrid(spark, [a], out, "U, V,T")
+    done = slabs.load(slabs.DataSource.of_files(spark, [out]), "U,V,T")
+    goal = gis.RegularGrid.from_header(KEYS).to_crs(spark, "geolatlon")
+    for f in done.values():
+        grid = f.meta.grid
+        assert (grid.nx, grid.ny) == (goal.nx, goal.ny) and grid.x0 == pytest.approx(goal.x0) and f.meta.vref == "geo" and f.meta.keys["gridType"] == "regular_ll"
+        assert f.df.count() == 2 * f.meta.keys["numberOfDataPoints"] and f.df.where("value is not null").count() > 20
+    with pytest.raises(ValueError, match="own grid"):
+        checked.regrid(field(spark, "U"), goal)
+    with pytest.raises(RuntimeError, match="QV"):
+        job.regrid(spark, [a], out + "2", "T,QV")
+
+
+def test_time_ranges(spark):
+    rows = [(h * 3600, y, x, float(h)) for h in range(4) for y in range(2) for x in range(2)]
+    acc = Field(spark.createDataFrame(rows, "lead_s long, y int, x int, value double"), FieldMeta("TOT_PREC"))
+    change = checked.delta(acc, 7200)
+    assert change.meta.keys == {"lengthOfTimeRange": 120, "indicatorOfUnitForTimeRange": 0, "typeOfStatisticalProcessing": 4}
+    assert {(r.begin_min, r.end_min) for r in slabs.to_slabs(change).collect()} == {(h * 60.0 - 120, h * 60.0) for h in range(4)}
+    assert checked.resample_average(acc, 7200).meta.keys["typeOfStatisticalProcessing"] == 0 and checked.time_rate(acc, 3600).meta.keys["typeOfStatisticalProcessing"] == 255
+    assert "typeOfStatisticalProcessing" not in checked.resample(acc, 7200).meta.keys and checked.resample(acc, 7200).df.count() == 8
+    assert {r.begin_min for r in slabs.to_slabs(acc).collect()} == {0.0, 60.0, 120.0, 180.0}
+    with pytest.raises(NotImplementedError):
+        slabs.to_slabs(acc.derive(acc.df, numberOfTimeRange=2))
+
+
+def test_archive_requests(spark):
+    request = catalog.Request("U", ref_time="2020-01-01", number=0, lead_s=0)
+    want = {"class": "od", "date": "20200101", "expver": "0001", "levtype": "ml", "levelist": list(range(1, 81)), "model": "cosmo-1e", "number": 0, "stream": "enfo", "param": 500028,
+            "time": "0000", "type": "cf", "step": 0, "timespan": "none"}
+    assert request.keys() == want and request.keys(as_text=True)["param"] == "500028"
+    both = catalog.Request("U, V,W", ref_time="2020-01-01T06:00", lead_s=[3600, 5400], model="COSMO-2E").keys()
+    assert (both["param"], both["levelist"][-1], both["step"], both["time"], "number" in both) == ([500028, 500030, 500032], 61, [1, 1.5], "0600", False)
+    assert "levelist" not in catalog.Request("HSURF", ref_time="2020-01-01", levtype="sfc").keys()
+    for bad, error in ((catalog.Request("U"), RuntimeError), (catalog.Request("U", ref_time="2020-01-01/.."), RuntimeError), (catalog.Request("NO", ref_time="2020-01-01"), KeyError)):
+        with pytest.raises(error):
+            bad.keys()
+    assert parameters.vector_pairs(["T", "V_10M", "U_10M"]) == [("U_10M", "V_10M")]
+    assert parameters.dimension(spark).where("half_levels").count() == 2
+
+
+def test_checked_columns(spark):
+    t, h = field(spark, value=lambda k, y, x: 270.0 + 5 * k), field(spark, "HFL", lambda k, y, x: 1000.0 * (3 - k))
+    cold = t.derive(t.df.withColumn("value", F.col("value") - 3))
+    assert [r.value for r in checked.zero_isotherm(cold, h).df.distinct().collect()] == [pytest.approx(2000 - (273.15 - 272) / 5 * 1000)] * 30
+    assert {r.value for r in checked.minmax_k(t, h, 900.0, 1500.0, "maximum").df.collect()} == {280.0}
+    out = checked.interpolate_k2theta(t, field(spark, "TH", lambda k, y, x: 320.0 - 10 * k), [305.0], h, "low_fold")
+    assert {r.value for r in out.df.collect()} == {277.5} and out.meta.vcoord_type == "theta" and slabs.from_slabs(slabs.to_slabs(out)).first().target == 305.0
+    half = field(spark, "HHL", lambda k, y, x: 3000.0 - 1000 * k, origin_z=-0.5)
+    one = t.derive(t.df.where("k = 1"))
+    assert {r.value for r in checked.integrate_k(one, half, 0.0, 9000.0).df.collect()} == {275.0 * 1000}
+    u = field(spark, "U", shift=0.05)
+    for bad in (lambda: checked.zero_isotherm(half, h), lambda: checked.integrate_k(t, h, 0.0, 1.0), lambda: checked.interpolate_k2any(t, half, [1.0], h, "low_fold"),
+                lambda: checked.minmax_k(out, h, 0.0, 1.0, "maximum"), lambda: checked.bulk_richardson(t, u, u, h, h)):
+        with pytest.raises(ValueError):
+            bad()
