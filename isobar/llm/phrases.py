@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored, text_bytes
 
-BLOCK, PART = 16 << 20, 2 << 20
+BLOCK, PART, BATCH = 8 << 20, 2 << 20, 50_000
 LONGEST = 5
 #: Ends of pieces; the tab separates words as the space does. Fixed values.
 ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n\n\n\n\n\n\n\n\n\n ")
@@ -64,7 +64,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _rows(first + made, numbers, lang=pa.array([w[0] for w in shared], pa.string()), word=pa.array([w[1] for w in shared], pa.binary()).cast(pa.string()),
                     place=pa.array(np.arange(len(shared))), n=pa.array(n))
         words, shared, arrays, size, made = {}, [], [], 0, made + 1
-        yield from out.to_batches(50_000)
+        yield from out.to_batches(BATCH)
 
     def take(lang: str, texts: list[bytes]) -> None:
         own = words.get(lang)
@@ -100,24 +100,30 @@ def _rows(block: int, body: np.ndarray, **columns: pa.Array) -> pa.Table:
     return pa.table(columns | {"body": pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([body.tobytes()], pa.binary())])})
 
 
-def _paired(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Of one block, its array and the names of its frequent places: the pairs of adjacent names
-    with their counts, and the array of their places."""
-    numbers = np.frombuffer(left["body"][0].as_buffer(), np.int32)
+def _paired(left: pa.Table, right: pa.Table, dense: bool) -> pa.Table:
+    """Of one block, its array and the names of its frequent places: the pairs of adjacent names with
+    their counts, and the array of their places. A ``dense`` array has a place for each word, others
+    have the words at which something begins, then its places."""
+    body = np.frombuffer(left["body"][0].as_buffer(), np.int32)
+    at = np.flatnonzero(body >= 0).astype(np.int32) if dense else body[: len(body) // 2]
+    own = body[at] if dense else body[len(body) // 2:]
     place, name = right["place"].to_numpy(), right["name"].to_numpy()
-    at = np.full(max(int(numbers.max(initial=-1)), int(place.max(initial=-1))) + 2, -1, np.int32)  # the last stands for -1
-    at[place] = np.arange(len(place))
-    own = at[numbers]
-    both = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
-    keys = own[both].astype(np.int64) * len(place) + own[both + 1]
-    del own
-    pairs, where, n = np.unique(keys, return_inverse=True, return_counts=True)
-    del keys
-    new = np.full(len(numbers), -1, np.int32)
-    new[both] = where
-    del both, where
+    known = np.full(max(int(own.max(initial=-1)), int(place.max(initial=-1))) + 1, -1, np.int32)
+    known[place] = np.arange(len(place))
+    own = known[own]
+    at, own = at[own >= 0], own[own >= 0]
+    next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
+    pairs, where, n = np.unique(own[next_to].astype(np.int64) * len(place) + own[next_to + 1], return_inverse=True, return_counts=True)
+    new = np.concatenate((at[next_to], where.astype(np.int32)))
+    del at, own, next_to, where
     wide = max(1, len(place))
-    return _rows(left["block"][0].as_py(), new, a=pa.array(name[pairs // wide]), b=pa.array(name[pairs % wide]), place=pa.array(np.arange(len(pairs))), n=pa.array(n))
+    out = _rows(left["block"][0].as_py(), new, a=pa.array(name[pairs // wide]), b=pa.array(name[pairs % wide]), place=pa.array(np.arange(len(pairs))), n=pa.array(n))
+    return pa.Table.from_batches(out.to_batches(BATCH))
+
+
+def _pairing(dense: bool):
+    none = pa.schema([("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("body", pa.binary())]).empty_table()
+    return lambda left, right: _paired(left, right, dense) if left.num_rows else none
 
 
 def _frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
@@ -145,7 +151,7 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 2000, covered: int =
     hits = [stored(_frequent(level, ["lang", "word"], least), "hits1")]
     for k in range(2, LONGEST + 1):
         bodies, names = level.where("body is not null").select("block", "body"), hits[-1].select("block", "place", "name")
-        following = stored(bodies.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_paired_or_none, LEVEL), f"phrases{k}")
+        following = stored(bodies.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairing(k == 2), LEVEL), f"phrases{k}")
         discard(level)
         level = following
         hits.append(stored(_frequent(level, ["a", "b"], least), f"hits{k}"))
@@ -156,12 +162,6 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 2000, covered: int =
     return out
 
 
-def _paired_or_none(left: pa.Table, right: pa.Table) -> pa.Table:
-    if left.num_rows:
-        return _paired(left, right)
-    return pa.schema([("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("body", pa.binary())]).empty_table()
-
-
 def _scored(hits: list[DataFrame], total: DataFrame, covered: int) -> DataFrame:
     """Phrases that no longer one covers, with their lowest cut. ``hits`` has a row for each block;
     the row of a name's own place stands for it."""
