@@ -238,7 +238,7 @@ def test_streams(spark, tmp_path):
     at = datetime(2024, 1, 1)
     spark.createDataFrame([(at, 0), (at, 6), (datetime(2024, 1, 2), 0), (at, 5)], "ref_time timestamp, lead_h int").write.parquet(folder)
     stream = spark.readStream.schema("ref_time timestamp, lead_h int").parquet(folder)
-    q = runs.complete_runs(stream, [0, 6]).writeStream.outputMode("update").format("memory").queryName("done_runs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = runs.complete_runs(stream, [0, 6]).writeStream.outputMode("append").format("memory").queryName("done_runs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.ref_time for r in spark.table("done_runs").collect()] == [at]
     path = str(tmp_path / "slabs")
