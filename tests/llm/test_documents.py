@@ -316,6 +316,16 @@ def test_byte_bpe(edges, real):
             assert len(decoded) == df.count() and all(bytes(r.decoded).decode() == texts[r.doc_id] for r in decoded)
 
 
+def test_ascii_texts_are_cut_alike():
+    every = bpe.regex.compile(public_tokenizers.PATTERN).findall
+    cut = bpe.cutter(public_tokenizers.PATTERN)
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(map(chr, rnd.integers(0, 128, 200)))
+        assert cut(text) == every(text)
+    assert cut("I'm é 12") == every("I'm é 12") and bpe.cutter(r"\p{Lu}+")("AB c") == ["AB"]
+
+
 def test_every_token_encodes_to_itself():
     """What taking equal ranks for equal pairs rests on."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
