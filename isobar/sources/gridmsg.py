@@ -29,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan,
-    LessThanOrEqual, WriterCommitMessage)
+    LessThanOrEqual)
 from pyspark.sql.types import StructType
 
+from .files import StagedWriter, Written
+
 #: Marks of messages and of files. Fixed values.
 BEGIN, END, INDEX = b"GMSG", b"7777", b"GIDX"
 HEAD, TAIL = struct.Struct("<4sIQ"), struct.Struct("<Q4s")
@@ -267,33 +268,22 @@ class MessageStream(_Messages, DataSourceStreamReader):
 
 # --- writing ----------------------------------------------------------------------------------
 
-@dataclass
-class Written(WriterCommitMessage):
-    """Where a task has put its files, and where they go."""
-
-    files: list[tuple[str, str]]
-
-
-class MessageWriter(DataSourceWriter):
+class MessageWriter(StagedWriter):
     """Rows of slabs to files; with a column ``file`` (or whatever the option ``file`` names) its rows
     go to that file in the folder and the frame has to bring them together, else a task writes one."""
 
     def __init__(self, options: dict, given: StructType, overwrite: bool):
-        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        super().__init__(options["path"], overwrite)
         self.column = options.get("file", "file" if "file" in given.names else None)
+        self.prefix = "" if self.column or overwrite else f"{self.job}-"
         kind = given["points"].dataType.elementType
         self.places = [f.name for f in kind.fields if f.name != "n"]
         self.keys = [k for k in KEYS if k in given.names]
 
-    def _staging(self, path: str) -> str:
-        return f"{path}/_temporary-{self.job}"
-
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
 
-        store, path = arrow_fs.FileSystem.from_uri(self.path)
-        own = f"{self._staging(path)}/{uuid.uuid4().hex}"  # of this attempt
-        store.create_dir(own)
+        store, own = self.attempt()
         done: list[tuple[str, str]] = []
         seen: set[str] = set()
         name, file = None, None
@@ -318,30 +308,6 @@ class MessageWriter(DataSourceWriter):
             file.close()
         return Written(done)
 
-    def commit(self, messages: list[Written]) -> None:
-        store, path = arrow_fs.FileSystem.from_uri(self.path)
-        moves = [m for w in messages if w for m in w.files]
-        places = [to for _, to in moves]
-        if len(set(places)) < len(places):
-            self.abort(messages)
-            raise ValueError("a file is written by two tasks")
-        if self.overwrite and store.get_file_info(path).type == arrow_fs.FileType.Directory:
-            for f in store.get_file_info(arrow_fs.FileSelector(path)):
-                if f.base_name != f"_temporary-{self.job}":
-                    (store.delete_dir if f.type == arrow_fs.FileType.Directory else store.delete_file)(f.path)
-        prefix = "" if self.column or self.overwrite else f"{self.job}-"
-        for at, to in moves:
-            folder, _, base = to.rpartition("/")
-            if folder:
-                store.create_dir(f"{path}/{folder}")
-            store.move(at, f"{path}/{folder + '/' if folder else ''}{prefix}{base}")
-        self.abort(messages)
-
-    def abort(self, messages: list[Written]) -> None:
-        store, path = arrow_fs.FileSystem.from_uri(self.path)
-        if store.get_file_info(self._staging(path)).type == arrow_fs.FileType.Directory:
-            store.delete_dir(self._staging(path))
-
 
 class MessageSource(DataSource):
     """Options: ``path``; for reading ``split`` (bytes of a partition) and ``places`` (``y,x`` or

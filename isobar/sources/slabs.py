@@ -10,16 +10,19 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Sequence
 from dataclasses import asdict, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.field import Field, FieldMeta, dims, require_dense
 from isobar.metadata import UnitOfTime
 
+from . import files as files_
+from . import gridmsg
 from .catalog import VCOORD_TYPES, Request
 
 #: Keys of a slab and their types.
@@ -177,40 +180,74 @@ def pattern_paths(pattern: str, steps: Sequence[int] = (0,), numbers: Sequence[i
 
 
 def export(source: DataSource, folder: str, files: dict[str, str], params: dict[str, Sequence[tuple[str, str]]], steps: Sequence[int] = (0,), numbers: Sequence[int] = (0,)) -> list[str]:
-    """Write the slabs of each file of ``files`` (label to pattern): those of the parameters and level
-    types under its label, and of its member and step. Returns the paths."""
+    """Write the slabs of each file of ``files`` (label to pattern) as files of messages: those of the
+    parameters and level types under its label, and of its member and step. One job writes all files;
+    returns their paths. A file for which there is no slab is not written."""
     if not params.keys() <= files.keys():
         raise ValueError("parameters are given for files that have no pattern")
-    written = []
-    for label in params:
-        for path, member, step in pattern_paths(files[label], steps, numbers):
-            by_level: dict[str, list[str]] = {}
-            for param, levtype in params[label]:
-                by_level.setdefault(levtype, []).append(param)
-            parts = [source.retrieve({"param": names, "levtype": levtype, "number": member, "lead_s": None if step is None else step * 3600}) for levtype, names in by_level.items()]
-            reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{folder}/{path}")
-            written.append(f"{folder}/{path}")
-    return written
-
-
-def fetch(spark: SparkSession, assets: DataFrame, folder: str, known: Callable[[str], bool] = lambda path: False) -> DataFrame:
-    """Copy ``assets(url, sha256)`` to ``folder``: ``url, path, status``.
-
-    Files are read by Spark's ``binaryFile`` source; one whose digest differs from the one declared
-    is reported as ``corrupt`` and not written. Assets whose copy is ``known`` are ``skipped``.
+    parts = []
+    for label, wanted in params.items():
+        name = files[label].lower()
+        by_level: dict[str, list[str]] = {}
+        for param, levtype in wanted:
+            by_level.setdefault(levtype, []).append(param)
+        hours, member = F.col("lead_s") / 3600, F.coalesce("eps", F.lit(0)).cast("string")
+        two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+        file = F.replace(F.replace(F.lit(name), F.lit("<mmm>"), F.lpad(member, 3, "0")), F.lit("<ddhh>"), F.concat(two(hours / 24), two(hours % 24)))
+        keys = {"number": list(numbers)} if "<mmm>" in name else {}
+        keys |= {"lead_s": [h * 3600 for h in steps]} if "<ddhh>" in name else {}
+        for levtype, names in by_level.items():
+            own = source.retrieve({"param": names, "levtype": levtype, **keys})
+            parts.append(own.select(*[c for c in gridmsg.KEYS if c in own.columns], "points", file.alias("file")))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    gridmsg.write(every, folder, "file")
+    there = {r.file for r in every.select("file").distinct().collect()}  # a list of files
+    return [f"{folder}/{p}" for label in params for p, _, _ in pattern_paths(files[label], steps, numbers) if p in there]
+
+
+def fetch(spark: SparkSession, assets: DataFrame, folder: str) -> DataFrame:
+    """Copy ``assets(url, sha256)`` to files in ``folder``: ``url, path, status``.
+
+    A file has its asset's name; of assets with one name each has its whole path besides. What is there
+    with the digest declared is ``skipped``, what is read with another is ``corrupt`` and not written,
+    the rest ``copied``; an asset without a digest is copied as it is. Repeated rows are one. Files are
+    read by Spark once each and written by its tasks; those of a job that fails are not there.
     """
-    rows = assets.select("url", "sha256", F.concat(F.lit(folder + "/"), F.substring_index("url", "/", -1)).alias("path")).collect()  # a list of files
-    old = [r for r in rows if known(r.path)]
-    new = [r for r in rows if not known(r.path)]
-    schema = "url string, path string, status string"
-    out = spark.createDataFrame([(r.url, r.path, "skipped") for r in old], schema)
+    one = assets.select("url", F.lower("sha256").alias("sha256")).groupBy("url").agg(F.max("sha256").alias("sha256")).where("url is not null")
+    name, whole = F.substring_index("url", "/", -1), F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*:/*", "")
+    one = one.withColumn("file", F.when(F.count("*").over(Window.partitionBy(name)) > 1, whole).otherwise(name))
+    there = spark.createDataFrame([], "file string, have string")
+    if _exists(spark, folder):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        here = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+        base = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", folder).rstrip("/")
+        there = found.select(F.substring(here, len(base) + 2, 1 << 20).alias("file"), F.sha2("content", 256).alias("have"))
+    state = one.join(there, "file", "left").withColumn("skipped", F.coalesce(F.col("have") == F.col("sha256"), F.lit(False)))
+    state = state.select("url", "sha256", "file", "skipped").collect()  # a list of files
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("file"))
+    schema = "url string, sha256 string, file string"
+    out = spark.createDataFrame([(r.url, r.sha256, r.file) for r in state if r.skipped], schema).select("url", path.alias("path"), F.lit("skipped").alias("status"))
+    new = [r for r in state if not r.skipped]
     if not new:
         return out
-    body = spark.read.format("binaryFile").load([r.url for r in new]).select(F.substring_index("path", "/", -1).alias("name"), "content")
-    want = spark.createDataFrame([(r.url, r.sha256, r.path, r.url.rsplit("/", 1)[-1]) for r in new], "url string, sha256 string, path string, name string")
-    checked = want.join(body, "name").withColumn("good", F.sha2("content", 256) == F.lower("sha256"))
-    checked.where("good").select("name", "content").write.mode("append").parquet(folder + "/content")
-    return out.unionByName(checked.select("url", "path", F.when(F.col("good"), "copied").otherwise("corrupt").alias("status")))
+    body = spark.read.format("binaryFile").load([r.url for r in new]).select(_plain("path").alias("at"), "content")
+    want = spark.createDataFrame([(r.url, r.sha256, r.file) for r in new], schema).withColumn("at", _plain("url"))
+    good = F.col("sha256").isNull() | (F.sha2("content", 256) == F.col("sha256"))
+    files_.write_files(body.join(F.broadcast(want), "at").where(good), folder)  # a list of files
+    done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(_plain("path").alias("to"), F.sha2("content", 256).alias("have"))
+    want = want.withColumn("to", _plain(F.concat(F.lit(folder.rstrip("/") + "/"), F.col("file")))).join(done, "to", "left")
+    status = F.when(F.coalesce(F.col("have") == F.coalesce("sha256", "have"), F.lit(False)), "copied").otherwise("corrupt")  # of the copy itself
+    return out.unionByName(want.select("url", path.alias("path"), status.alias("status")))
+
+
+def _plain(path: Column | str) -> Column:
+    """A path without its scheme, by which the same file compares equal however it is written."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def digest(data: bytes) -> str:

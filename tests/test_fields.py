@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 from datetime import datetime, timezone
 
 import numpy as np
@@ -12,7 +13,7 @@ from isobar import __main__ as job
 from isobar.field import Field, FieldMeta
 from isobar.metadata import UnitOfTime, code_flags, flags_at, level_coefficients, origin, with_origins
 from isobar.operators import checked, dynamics, gis, projections, stagger, triangles
-from isobar.sources import catalog, parameters, slabs
+from isobar.sources import catalog, gridmsg, parameters, slabs
 from isobar.streaming import runs
 
 KEYS = {"gridType": "rotated_ll", "Ni": 6, "Nj": 5, "longitudeOfFirstGridPointInDegrees": 359.0, "longitudeOfLastGridPointInDegrees": 359.5,
@@ -103,15 +104,38 @@ def test_export_and_fetch(spark, tmp_path):
     assert slabs.pattern_paths("lfff<DDHH>0000_<mmm>", [0, 30], [1]) == [("lfff00000000_001", 1, 0), ("lfff01060000_001", 1, 30)]
     assert slabs.pattern_paths("const") == [("const", None, None)]
     table = slabs.to_slabs(field(spark)).withColumns({"eps": F.lit(1), "lead_s": F.lit(21600).cast("long")})
-    written = slabs.export(slabs.DataSource(table), str(tmp_path), {"ml": "f<ddhh>_<mmm>"}, {"ml": [("T", "ml")]}, [0, 6], [1])
-    assert [spark.read.parquet(p).count() for p in written] == [0, 2]
+    other = slabs.to_slabs(field(spark, "PS", vcoord_type="surface")).withColumns({"eps": F.lit(1), "lead_s": F.lit(108000).cast("long")})
+    source = slabs.DataSource(table.unionByName(other))
+    written = slabs.export(source, str(tmp_path / "out"), {"ml": "F<ddhh>_<mmm>", "sf": "ps<ddhh>"}, {"ml": [("T", "ml")], "sf": [("PS", "sfc")]}, [0, 6, 30], [1])
+    assert [p[len(str(tmp_path)):] for p in written] == ["/out/f0006_001", "/out/ps0106"]
+    assert [gridmsg.read(spark, p).count() for p in written] == [2, 2] and sorted(os.listdir(tmp_path / "out")) == ["f0006_001", "ps0106"]
     with pytest.raises(ValueError):
         slabs.export(slabs.DataSource(table), str(tmp_path), {}, {"ml": []})
-    for name in ("a", "b", "c"):
-        (tmp_path / name).write_bytes(name.encode())
-    rows = [(f"file://{tmp_path}/{n}", slabs.digest(d)) for n, d in (("a", b"a"), ("b", b"x"), ("c", b"c"))]
-    out = slabs.fetch(spark, spark.createDataFrame(rows, "url string, sha256 string"), str(tmp_path / "copies"), known=lambda p: p.endswith("/c"))
-    assert {r.url[-1]: r.status for r in out.collect()} == {"a": "copied", "b": "corrupt", "c": "skipped"}
+
+
+def test_fetch(spark, tmp_path):
+    """Assets of one name are kept apart; copies are files with their assets' bytes."""
+    bodies = {"a/x.bin": b"one", "b/x.bin": b"two", "c.bin": b"three", "d.bin": b"four"}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    rows = [(f"file://{tmp_path}/{n}", None if n == "d.bin" else slabs.digest(b"wrong" if n == "c.bin" else body).upper()) for n, body in bodies.items()]
+    assets = spark.createDataFrame(rows + rows[:1] + [(None, "x")], "url string, sha256 string")
+    folder = str(tmp_path / "copies")
+
+    def fetched():
+        out = slabs.fetch(spark, assets, folder).collect()
+        assert len(out) == 4
+        return {r.url[len(f"file://{tmp_path}/"):]: (r.status, r.path) for r in out}
+
+    first = fetched()
+    assert {n: s for n, (s, _) in first.items()} == {"a/x.bin": "copied", "b/x.bin": "copied", "c.bin": "corrupt", "d.bin": "copied"}
+    for name, (status, path) in first.items():
+        assert os.path.exists(path) == (status == "copied") and (status != "copied" or open(path, "rb").read() == bodies[name])
+    assert first["d.bin"][1] == f"{folder}/d.bin"
+    (tmp_path / "b/x.bin").write_bytes(b"changed")  # the copy that is there still has the digest declared
+    again = fetched()
+    assert {n: s for n, (s, _) in again.items()} == {"a/x.bin": "skipped", "b/x.bin": "skipped", "c.bin": "corrupt", "d.bin": "copied"}
 
 
 def test_checked_operators(spark):
