@@ -10,6 +10,7 @@ not found; the hull is reduced in the tasks first.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,7 +119,7 @@ def _tiles(size: float, low: np.ndarray, high: np.ndarray):
     return of
 
 
-def barycentric_weights(cells: DataFrame, target: RegularGrid, rounds: int = 12) -> DataFrame:
+def barycentric_weights(cells: DataFrame, target: RegularGrid) -> DataFrame:
     """``dst, slot, cell, w, found`` for :func:`gis.remap` from ``cells(cell, lon, lat)``, with ``dst``
     = y * nx + x of the target. A target that is not found has one row without a cell.
 
@@ -134,7 +135,7 @@ def barycentric_weights(cells: DataFrame, target: RegularGrid, rounds: int = 12)
     if box[4] > 2:
         size = max(1.0, 2.0 * ((box[1] - box[0]) * (box[3] - box[2]) / box[4]) ** 0.5)
         reach = max(box[1] - box[0], box[3] - box[2])
-        for _ in range(rounds):
+        while True:  # until a tile has seen everything
             tile = lambda c, size=size: F.floor(F.col(c) / size)
             steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
             around = source.select("cell", F.lit(None).cast("long").alias("dst"), "px", "py", F.explode(F.transform(steps, lambda d: tile("px") + d)).alias("i"), tile("py").alias("_j"))
@@ -155,13 +156,32 @@ def barycentric_weights(cells: DataFrame, target: RegularGrid, rounds: int = 12)
     return rows.unionByName(lost.select("dst", F.lit(0).alias("slot"), F.lit(None).cast("long").alias("cell"), F.lit(0.0).alias("w"), F.lit(False).alias("found")))
 
 
-def iconremap(df: DataFrame, column: str, cells: DataFrame, target: RegularGrid, method: str = "byc", out: str = "value") -> DataFrame:
+def weights_key(cells: DataFrame, target: RegularGrid) -> str:
+    """A name for the weights between these cells and points: a digest of what they follow from. The
+    cells are summed up by Spark, in whatever order they come."""
+    row = F.xxhash64("cell", "lon", "lat")
+    seen = cells.agg(F.count("*"), F.sum(row.cast("decimal(38, 0)")), F.bit_xor(row), F.sum(F.xxhash64("lat", "cell", "lon").cast("decimal(38, 0)"))).first()
+    return hashlib.sha256(repr((tuple(seen), target)).encode()).hexdigest()[:32]
+
+
+def stored_weights(cells: DataFrame, target: RegularGrid, store: str) -> DataFrame:
+    """:func:`barycentric_weights`, made once for the same cells and points and kept as a table in the
+    folder ``store``. One that was not written to its end is made anew."""
+    spark, path = cells.sparkSession, f"{store.rstrip('/')}/{weights_key(cells, target)}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        barycentric_weights(cells, target).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def iconremap(df: DataFrame, column: str, cells: DataFrame, target: RegularGrid, method: str = "byc", out: str = "value", store: str | None = None) -> DataFrame:
     """``column`` of a field on cells at the points of ``target``, with ``y, x, lon, lat``: linear in
-    the triangle of cells around each point, undefined outside."""
+    the triangle of cells around each point, undefined outside. With ``store``, weights are kept there
+    and used again (:func:`stored_weights`)."""
     if method != "byc":
         raise NotImplementedError(f"method {method}")
     at = target.points(df.sparkSession)
     lon, lat = target.system.to_geographic(F.col("gx"), F.col("gy"))
     at = at.select((F.col("y").cast("long") * target.nx + F.col("x")).alias("dst"), "y", "x", lon.alias("lon"), lat.alias("lat"))
-    done = remap(df, column, barycentric_weights(cells, target), out)
+    done = remap(df, column, stored_weights(cells, target, store) if store else barycentric_weights(cells, target), out)
     return done.join(at, "dst").select(*[d for d in dims(df) if d != "cell"], "y", "x", "lon", "lat", out)

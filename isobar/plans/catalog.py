@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from isobar import constants as c
 from isobar.field import Field, FieldMeta, duplicate_keys, missing_keys
 from isobar.functions import atmo
-from isobar.operators import dynamics, gis, lateral, projections, stagger, timeops, triangles, vertical
+from isobar.operators import checked, columns, dynamics, gis, lateral, projections, stagger, timeops, triangles, vertical
 from isobar.sources import catalog as runs
+from isobar.__main__ import regrid
+from isobar.session import scratch
 from isobar.sources import fixtures as fx
-from isobar.sources import slabs
+from isobar.sources import gridmsg, slabs
+from isobar.streaming import runs as streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -321,6 +324,29 @@ def _extrap_c(spark, sf_dir):
     return _rounded(vertical.extrapolate_k2p(fx.full_levels(spark, sf_dir), "t", 100000.0), ["x", "y", "target"], {"value": "value"})
 
 
+# --- columns ----------------------------------------------------------------------------------
+
+@query("columns_k2p", ORACLE["k2p_linear_lnp"])
+def _columns_k2p(spark, sf_dir):
+    return _rounded(columns.interpolate_k2p(fx.columns(spark, sf_dir), "t", "p", P_TARGETS, "linear_in_lnp", "hPa"), ["x", "y", "target"], {"value": "value"})
+
+
+@query("columns_integral", ORACLE["integral"])
+def _columns_integral(spark, sf_dir):
+    return _rounded(columns.integrate_k(fx.columns(spark, sf_dir), "t", "hhl", F.lit(BOUNDS[0]), F.lit(BOUNDS[1])), ["x", "y"], {"value": "value"}, 4)
+
+
+@query("columns_minmax_max", ORACLE["minmax_max"])
+def _columns_minmax(spark, sf_dir):
+    return _rounded(columns.minmax_k(fx.columns(spark, sf_dir), "t", "hfl", F.lit(BOUNDS[0]), F.lit(BOUNDS[1]), "maximum"), ["x", "y"], {"value": "value"})
+
+
+@query("columns_zero_isotherm", ORACLE["zero_isotherm_extrapolated"])
+def _columns_zero(spark, sf_dir):
+    cold = fx.columns(spark, sf_dir).withColumn("t", F.transform("t", lambda t: t - 20.0))
+    return _rounded(columns.zero_isotherm(cold, "t", "hfl", True), ["x", "y"], {"value": "value"})
+
+
 # --- members and times ------------------------------------------------------------------------
 
 MEMBERS = f"""{CUBE}, two as (select x, y, k, eps::int as eps, lead_s::bigint as lead_s, p, hfl, t + eps * 10 + lead_s / 3600.0::double as t from cube, (values (0), (1)) e(eps), (values (0), (3600)) l(lead_s))"""
@@ -393,10 +419,14 @@ def _fill_undef(spark, sf_dir):
     return _rounded(lateral.fill_undef(fx.surface(spark, sf_dir), "gap", 2, 0.16), ["x", "y"], {"value": "value"})
 
 
-@query("kernel_weights", """select dx::int as dx, dy::int as dy, round(case when sqrt(dx * dx + dy * dy) <= 2 then exp(-sqrt(dx * dx + dy * dy)) else 0 end, 9) as w
-from range(-2, 3) a(dx), range(-2, 3) b(dy)""")
+@query("kernel_weights", f"{_sql_stencil(2, 'exp', 'hsurf')} select x, y, n::bigint as n, round(w, 9) as w from near")
 def _kernel(spark, sf_dir):
-    return spark.createDataFrame(lateral.kernel_weights(5, "exp", "disk"), "dx int, dy int, w double").withColumn("w", F.round("w", 9))
+    """What a kernel weighs around each point of the field."""
+    kernel = spark.createDataFrame([w for w in lateral.kernel_weights(5, "exp", "disk") if w[2] > 0], "dx int, dy int, w double")
+    field = fx.surface(spark, sf_dir).select("x", "y")
+    around = field.crossJoin(F.broadcast(kernel)).select("x", "y", "w", (col("x") + col("dx")).alias("nx"), (col("y") + col("dy")).alias("ny"))  # 13 weights
+    inside = around.join(field.select(col("x").alias("nx"), col("y").alias("ny")), ["nx", "ny"])
+    return inside.groupBy("x", "y").agg(F.count("*").alias("n"), F.round(F.sum("w"), 9).alias("w"))
 
 
 # --- grids ------------------------------------------------------------------------------------
@@ -564,6 +594,81 @@ def _slabs(spark, sf_dir):
     return _rounded(slabs.from_slabs(slabs.to_slabs(field, "t")), ["x", "y", "k"], {"value": "value"})
 
 
+def _packed(values: str, by: str, bits: int, more: str) -> str:
+    """SQL of ``values`` as a slab of so many bits gives them back."""
+    step = f"((max(v) over (partition by {by}) - min(v) over (partition by {by})) / {2 ** bits - 1}.0::double)"
+    return f"select {more}, case when step > 0 then low + floor((v - low) / step + 0.5::double) * step else v end as v from (select *, min(v) over (partition by {by}) as low, {step} as step from ({values}))"
+
+
+@query("pressure_round_trip", f"""{CUBE}{NEAR}, goal as (select unnest([30000::double, 85000::double]) as target),
+raw as (select x, y, target, arg_min(f1 + (target - p1) / (p2 - p1) * (f2 - f1), k) filter (p2 > target and p1 <= target) as v from near, goal group by all)
+select x, y, target, round(v, 6) as value from ({_packed('select * from raw', 'target', 24, 'x, y, target')}) where target = 85000""")
+def _pressure_round_trip(spark, sf_dir):
+    """Interpolated to pressure levels, written to files of messages, and one level asked for again."""
+    cube = fx.full_levels(spark, sf_dir)
+    t, p = (Field(cube.select("x", "y", "k", col(n).alias("value")), FieldMeta(name, units)) for n, name, units in (("t", "T", "K"), ("p", "P", "Pa")))
+    path = scratch(spark, "messages")
+    gridmsg.write(slabs.to_slabs(checked.interpolate_k2p(t, p, [300.0, 850.0], "linear_in_p", "hPa"), bits=24), path)
+    out = slabs.load_single(slabs.DataSource(gridmsg.read(spark, path)), {"param": "T", "levtype": "pl", "levelist": 850})
+    return _rounded(out.df, ["x", "y", "target"], {"value": "value"})
+
+
+@query("load_duplicates", f"""with r as (select l_linenumber::int as k, (l_partkey % 20)::int as y, (l_suppkey % 20)::int as x, (l_orderkey % 5)::int as written, l_quantity::double as q from lineitem),
+s as (select k, y, x, written, avg(q) as v from r group by all), last as (select k, max(written) as written from s group by k)
+select k, y, x, round(v, 6) as value from ({_packed('select s.* from s join last using (k, written)', 'k', 32, 'k, y, x')})""")
+def _load_duplicates(spark, sf_dir):
+    """Slabs of a level written five times: the last counts."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        col("l_linenumber").cast("int").alias("k"), (col("l_partkey") % 20).cast("int").alias("y"), (col("l_suppkey") % 20).cast("int").alias("x"), (col("l_orderkey") % 5).cast("int").alias("eps"), "l_quantity")
+    each = rows.groupBy("eps", "k", "y", "x").agg(F.avg(col("l_quantity").cast("double")).alias("value"))
+    table = slabs.to_slabs(Field(each, FieldMeta("Q")), bits=32).withColumn("written", col("eps")).withColumn("eps", F.lit(None).cast("int"))
+    out = slabs.load(table, "Q", order="written")["Q"]
+    return _rounded(out.df, ["k", "y", "x"], {"value": "value"})
+
+
+def _sql_geographic(rows: str, more: str) -> str:
+    """Longitude (-180 to 180) and latitude of rotated points ``rx, ry`` in degrees."""
+    return f"""select {more}, degrees(asin({COS0!r}::double * cos(b) * cos(l) + {SIN0!r}::double * sin(b))) as lat,
+ degrees(atan2({math.sin(LON0)!r}::double * q - {math.cos(LON0)!r}::double * side, {math.cos(LON0)!r}::double * q + {math.sin(LON0)!r}::double * side)) as lon
+ from (select *, {COS0!r}::double * sin(b) - {SIN0!r}::double * cos(l) * cos(b) as q, sin(l) * cos(b) as side from (select *, radians(rx) as l, radians(ry) as b from ({rows})))"""
+
+
+@query("regrid_job", f"""{CUBE}, n as (select max(x) + 1 as nx, max(y) + 1 as ny from surf),
+ends as (select nx, ny, -1.0::double - 0.005::double as x0, -1.0::double - 0.005::double as y0, -1.0::double + (nx - 0.5::double) * {fx.STEP}::double as x1, -1.0::double + (ny - 0.5::double) * {fx.STEP}::double as y1 from n),
+ring as (select nx, ny, x0 + (x1 - x0) * i / 20.0::double as rx, case when s = 0 then y0 else y1 end as ry from ends, range(21) a(i), range(2) b(s)
+  union all select nx, ny, case when s = 0 then x0 else x1 end as rx, y0 + (y1 - y0) * i / 20.0::double as ry from ends, range(21) a(i), range(2) b(s)),
+box as (select any_value(nx) as nx, any_value(ny) as ny, min(lon) as w, max(lon) as e, min(lat) as s, max(lat) as n from ({_sql_geographic('select * from ring', 'nx, ny')})),
+step as (select *, sqrt((e - w) * (e - w) + (n - s) * (n - s)) / sqrt(nx * nx + ny * ny) as d from box),
+size as (select *, greatest(1, round((e - w) / d))::int as gx, greatest(1, round((n - s) / d))::int as gy from step),
+goal as (select (i % gx)::int as x, (i // gx)::int as y, nx, ny, radians(round(w + d / 2 + (i % gx) * d, 6)) - {LON0!r}::double as dl, radians(round(s + d / 2 + (i // gx) * d, 6)) as b from size, range(10000000) r(i) where i < gx * gy),
+back as (select x, y, nx, ny, (degrees(atan2(-cos(b) * sin(dl), {COS0!r}::double * sin(b) - {SIN0!r}::double * cos(b) * cos(dl))) + 1) / {fx.STEP}::double as i,
+  (degrees(asin({SIN0!r}::double * sin(b) + {COS0!r}::double * cos(b) * cos(dl))) + 1) / {fx.STEP}::double as j from goal),
+near as (select x, y, case when round(i, 9) between 0 and nx - 1 and round(j, 9) between 0 and ny - 1 then floor(round(i, 9) + 0.5)::int end as sx, floor(round(j, 9) + 0.5)::int as sy from back)
+select near.x, near.y, round(h.hsurf, 2) as value from near left join surf h on h.x = sx and h.y = sy""")
+def _regrid_job(spark, sf_dir):
+    """A rotated field written as slabs, through the job, and its output loaded."""
+    field = fx.surface(spark, sf_dir).select("x", "y", col("hsurf").alias("value"))
+    rows = field.agg(F.max("y")).first()[0]  # one number
+    grid = gis.RegularGrid(20, (rows or 0) + 1, -1.0, -1.0, fx.STEP, fx.STEP, fx.POLE)
+    source, goal = scratch(spark, "slabs"), scratch(spark, "regridded")
+    slabs.save([Field(field, FieldMeta("HSURF", "m", "surface").on_grid(grid))], source, bits=32)
+    regrid(spark, [source], goal, "HSURF")
+    out = slabs.load_single(slabs.DataSource.of_files(spark, [goal]), "HSURF")
+    return _rounded(out.df, ["x", "y"], {"value": "value"}, 2)
+
+
+@query("stream_complete_runs", None)
+def _stream_runs(spark, sf_dir):
+    """The same runs as ``complete_runs``, by the gate over a stream of the table."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").where("event_type = 'error'")
+    assets = events.select(F.date_trunc("day", "ts").cast("timestamp").alias("ref_time"), F.hour("ts").alias("lead_h"))
+    out, check = scratch(spark, "runs"), scratch(spark, "gate")
+    done = streams.complete_runs(assets, [0, 6, 12, 18]).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema("ref_time timestamp").parquet(out).select(F.date_format("ref_time", "yyyy-MM-dd").alias("day"))
+
+
 @query("request_interval", """select strftime(d, '%Y-%m-%d') as day, count(*)::bigint as n from (select date_trunc('day', ts) as d from events) where d between timestamp '2024-01-05' and timestamp '2024-01-07' group by d""")
 def _interval(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_trunc("day", "ts").cast("timestamp").alias("ref_time"))
@@ -592,6 +697,9 @@ def _complete(spark, sf_dir):
     return runs.complete_runs(fx.assets(spark, sf_dir), [0, 6, 12, 18]).select(F.date_format("ref_time", "yyyy-MM-dd").alias("day"))
 
 
+ORACLE["stream_complete_runs"] = ORACLE["complete_runs"]
+
+
 @query("latest_complete_run", f"{RUNS} select strftime(max(d), '%Y-%m-%d') as day from done")
 def _latest(spark, sf_dir):
     return runs.latest_complete_run(fx.assets(spark, sf_dir), [0, 6, 12, 18]).select(F.date_format("ref_time", "yyyy-MM-dd").alias("day"))
@@ -603,10 +711,19 @@ def _filter(spark, sf_dir):
     return _rounded(runs.Request(param="W", levelist=[10, 20, 64]).read(table), ["x", "y", "k"], {"value": "e"})
 
 
-@query("level_expansion", "select 'COSMO-2E' as model, k::int as k from range(1, 62) r(k)")
+MODELS, ASKED = ("COSMO-1E", "COSMO-2E", "ICON-CH1-EPS", "OTHER"), ("U", "W", "HHL", "T", "NONE")
+
+
+@query("level_expansion", f"""with r as (select {list(MODELS)!r}[1 + p_partkey % 4] as model, {list(ASKED)!r}[1 + p_partkey % 5] as param from part),
+known as (select r.*, id as param_id, n + stag as top from r join (values ('U', 500028, 0), ('W', 500032, 1), ('HHL', 500008, 1), ('T', 500014, 0)) p(param, id, stag) using (param)
+  join (values ('COSMO-1E', 80), ('COSMO-2E', 60), ('ICON-CH1-EPS', 80)) m(model, n) using (model))
+select model, param, param_id::int as param_id, k::int as k, count(*)::bigint as n from known, range(1, 82) s(k) where k <= top group by all""")
 def _levels(spark, sf_dir):
-    levels = F.array(*map(F.lit, runs.model_levels("COSMO-2E", staggered=True)))
-    return spark.range(1).select(F.lit("COSMO-2E").alias("model"), F.explode(levels).alias("k"))
+    """A request for each row of a table."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (col("p_partkey") % n).cast("int"))
+    asked = part.select(pick(MODELS, 4).alias("model"), pick(ASKED, 5).alias("param"))
+    return runs.expand_levels(asked).groupBy("model", "param", "param_id", "k").agg(F.count("*").alias("n"))
 
 
 @query("asset_keys", """select strftime(timestamp '2024-01-01' + to_hours((event_id % 600)::int), '%Y-%m-%d %H:%M') as ref_time, (event_id % 121)::int as lead_h, count(*)::bigint as n from events group by all""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -24,6 +26,24 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", wareh
     return SparkSession.builder.config(map=conf).getOrCreate()
 
 
+_local: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    A session on one machine that has none, as in tests, gets a temporary folder; on a cluster
+    without it this is an error, for no machine's own folder is seen by the others.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        found = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="isobar-"))
+    return f"{found.rstrip('/')}/isobar/{name}-{uuid.uuid4().hex}"
+
+
 @contextmanager
 def settings(spark: SparkSession, **values) -> Iterator[None]:
     """Set Spark SQL settings inside a ``with`` block; ``_`` in a name stands for ``.``.

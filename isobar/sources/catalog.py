@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .parameters import PARAMETERS, parameter
+from .parameters import PARAMETERS, dimension, parameter
 
 #: Full model levels; half levels are one more. Fixed values.
 LEVELS = {"COSMO-1E": 80, "COSMO-2E": 60, "ICON-CH1-EPS": 80, "ICON-CH2-EPS": 80, "KENDA-CH1": 80}
@@ -179,6 +179,17 @@ def model_levels(model: str, staggered: bool = False) -> list[int]:
     return list(range(1, LEVELS[model] + 1 + staggered))
 
 
+def expand_levels(requests: DataFrame) -> DataFrame:
+    """Requests for all model levels, a row for each level: ``requests(model, param, ...)`` joined to
+    the catalogue of parameters and to the models' numbers of levels, with ``param_id`` and ``k``. A
+    request whose parameter or model is not known has no row."""
+    spark = requests.sparkSession
+    models = spark.createDataFrame(list(LEVELS.items()), "model string, n_levels int")
+    known = requests.join(F.broadcast(dimension(spark)), "param").join(F.broadcast(models), "model")  # tables of fixed values
+    levels = F.sequence(F.lit(1), F.col("n_levels") + F.col("half_levels").cast("int"))
+    return known.select(*requests.columns, "param_id", F.explode(levels).alias("k"))
+
+
 def complete_runs(assets: DataFrame, required: list[int]) -> DataFrame:
     """``ref_time`` of the runs of ``assets(ref_time, lead_h)`` that have all required lead times."""
     have = assets.where(F.col("lead_h").isin(required)).groupBy("ref_time").agg(F.count_distinct("lead_h").alias("n"))

@@ -44,6 +44,16 @@ def full_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fields(half_levels(spark, sf_dir)).where("hfl is not null")
 
 
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube as one row for each column: ``x, y`` and the arrays ``hhl`` (half levels), ``hfl, t, p``
+    (full levels), from the top."""
+    rows = _table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    at = rows.select((F.col("vec_id") % 20).cast("int").alias("x"), F.floor(F.col("vec_id") / 20).cast("int").alias("y"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    at = at.withColumn("hhl", F.transform("e", lambda e, i: 20155 - 310 * (i + 1) + 5 * e))
+    at = at.withColumn("hfl", F.zip_with(F.slice("hhl", 1, 63), F.slice("hhl", 2, 63), lambda a, b: 0.5 * (a + b)))
+    return at.select("x", "y", "hhl", "hfl", F.zip_with("hfl", F.slice("e", 1, 63), lambda h, e: 288.15 - 0.0065 * h + 10 * e).alias("t"), F.transform("hfl", lambda h: 100000 * F.exp(-h / 8000)).alias("p"))
+
+
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``x, y, hsurf, t, ps, gap``; ``gap`` is undefined for every seventh column."""
     h = half_levels(spark, sf_dir).where("k = 64")
