@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored, text_bytes
 
-BLOCK, PART, BATCH = 8 << 20, 2 << 20, 50_000
+BLOCK, PART, BATCH = 16 << 20, 2 << 20, 50_000
 LONGEST = 5
 #: Ends of pieces; the tab separates words as the space does. Fixed values.
 ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n\n\n\n\n\n\n\n\n\n ")
 #: Blocks that one partition may have, as bits of a block's number.
 BLOCKS_BITS = 8
-LEVEL_ONE = "block long, lang string, word string, place long, n long, body binary"
-LEVEL = "block long, a long, b long, place long, n long, body binary"
+#: Rows of a place in a block, numbered ``here`` (the block's number in the high half), and of a block.
+LEVEL_ONE = "lang string, word string, here long, n int, block long, body binary"
+LEVEL = "a long, b long, here long, n int, block long, body binary"
+ZSTD = pa.Codec("zstd")
 
 
 class _Words(dict):
@@ -61,10 +63,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raise RuntimeError("a partition has too many blocks")
         numbers = np.concatenate(arrays)
         n = np.bincount(numbers[numbers >= 0], minlength=len(shared))
-        out = _rows(first + made, numbers, lang=pa.array([w[0] for w in shared], pa.string()), word=pa.array([w[1] for w in shared], pa.binary()).cast(pa.string()),
-                    place=pa.array(np.arange(len(shared))), n=pa.array(n))
+        out = _rows(first + made, numbers, n, lang=pa.array([w[0] for w in shared], pa.string()), word=pa.array([w[1] for w in shared], pa.binary()).cast(pa.string()))
         words, shared, arrays, size, made = {}, [], [], 0, made + 1
-        yield from out.to_batches(BATCH)
+        yield from out
 
     def take(lang: str, texts: list[bytes]) -> None:
         own = words.get(lang)
@@ -93,21 +94,32 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block()
 
 
-def _rows(block: int, body: np.ndarray, **columns: pa.Array) -> pa.Table:
+def _rows(block: int, body: np.ndarray, n: np.ndarray, **columns: pa.Array) -> list[pa.RecordBatch]:
     """A row for each place of a block, with these columns, and one with its array."""
-    m = len(next(iter(columns.values())))
-    columns = {"block": pa.array(np.full(m + 1, block)), **{c: pa.concat_arrays([x, pa.nulls(1, x.type)]) for c, x in columns.items()}}
-    return pa.table(columns | {"body": pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([body.tobytes()], pa.binary())])})
+    m = len(n)
+    columns |= {"here": pa.array(np.arange(block << 32, (block << 32) + m)), "n": pa.array(n.astype(np.int32))}
+    columns = {c: pa.concat_arrays([x, pa.nulls(1, x.type)]) for c, x in columns.items()}
+    packed = len(body).to_bytes(8, "little") + ZSTD.compress(body.tobytes(), asbytes=True)
+    ends = {"block": [block], "body": [packed]}
+    for name, kind in (("block", pa.int64()), ("body", pa.binary())):
+        columns[name] = pa.concat_arrays([pa.nulls(m, kind), pa.array(ends[name], kind)])
+    return pa.table(columns).to_batches(BATCH)
+
+
+def _array(body: pa.Scalar) -> np.ndarray:
+    raw = body.as_buffer()
+    size = int.from_bytes(raw[:8].to_pybytes(), "little")
+    return np.frombuffer(ZSTD.decompress(raw[8:], 4 * size), np.int32)
 
 
 def _paired(left: pa.Table, right: pa.Table, dense: bool) -> pa.Table:
     """Of one block, its array and the names of its frequent places: the pairs of adjacent names with
     their counts, and the array of their places. A ``dense`` array has a place for each word, others
     have the words at which something begins, then its places."""
-    body = np.frombuffer(left["body"][0].as_buffer(), np.int32)
+    body = _array(left["body"][0])
     at = np.flatnonzero(body >= 0).astype(np.int32) if dense else body[: len(body) // 2]
     own = body[at] if dense else body[len(body) // 2:]
-    place, name = right["place"].to_numpy(), right["name"].to_numpy()
+    place, name = right["here"].to_numpy() & 0xFFFFFFFF, right["name"].to_numpy()
     known = np.full(max(int(own.max(initial=-1)), int(place.max(initial=-1))) + 1, -1, np.int32)
     known[place] = np.arange(len(place))
     own = known[own]
@@ -117,20 +129,18 @@ def _paired(left: pa.Table, right: pa.Table, dense: bool) -> pa.Table:
     new = np.concatenate((at[next_to], where.astype(np.int32)))
     del at, own, next_to, where
     wide = max(1, len(place))
-    out = _rows(left["block"][0].as_py(), new, a=pa.array(name[pairs // wide]), b=pa.array(name[pairs % wide]), place=pa.array(np.arange(len(pairs))), n=pa.array(n))
-    return pa.Table.from_batches(out.to_batches(BATCH))
+    return pa.Table.from_batches(_rows(left["block"][0].as_py(), new, n, a=pa.array(name[pairs // wide]), b=pa.array(name[pairs % wide])))
 
 
 def _pairing(dense: bool):
-    none = pa.schema([("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("body", pa.binary())]).empty_table()
+    none = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("here", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("body", pa.binary())]).empty_table()
     return lambda left, right: _paired(left, right, dense) if left.num_rows else none
 
 
 def _frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
     """Rows of the frequent, with their frequency ``f`` and ``name``: the first place that has them."""
-    same, here = Window.partitionBy(*by), F.shiftleft("block", 32) + F.col("place")
-    named = rows.where("body is null").withColumn("here", here)
-    named = named.select("block", "place", "here", *by, F.sum("n").over(same).alias("f"), F.min("here").over(same).alias("name"))
+    same = Window.partitionBy(*by)
+    named = rows.where("body is null").select("here", *by, F.sum("n").over(same).alias("f"), F.min("here").over(same).alias("name"))
     return named.where(F.col("f") >= least)
 
 
@@ -150,7 +160,7 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 2000, covered: int =
     total = stored(level.where("body is null").groupBy("lang").agg(F.sum("n").alias("total")), "words")
     hits = [stored(_frequent(level, ["lang", "word"], least), "hits1")]
     for k in range(2, LONGEST + 1):
-        bodies, names = level.where("body is not null").select("block", "body"), hits[-1].select("block", "place", "name")
+        bodies, names = level.where("body is not null").select("block", "body"), hits[-1].select(F.shiftright("here", 32).alias("block"), "here", "name")
         following = stored(bodies.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairing(k == 2), LEVEL), f"phrases{k}")
         discard(level)
         level = following
