@@ -20,7 +20,8 @@ class Request:
 
     ``param`` may also be names separated by commas; ``ref_time`` may be a time (naive ones are
     UTC), ``latest``, or an interval ``from/to`` in ISO 8601 with ``..`` for an open end; ``model``
-    turns a request for model levels without ``levelist`` into one for all its levels.
+    turns a request for model levels without ``levelist`` into one for all its levels; ``box`` (west,
+    south, east, north in degrees) leaves the slabs whose bounds touch it.
     """
 
     param: str | list | None = None
@@ -33,8 +34,11 @@ class Request:
     stream: str | None = None
     type: str | None = None
     expver: str | None = None
+    box: tuple[float, float, float, float] | None = None
 
     def __post_init__(self):
+        if self.box is not None and not (len(self.box) == 4 and -90 <= self.box[1] <= self.box[3] <= 90 and all(-180 <= v <= 180 for v in self.box[::2])):
+            raise ValueError(f"no box of west, south, east, north: {self.box}")
         if isinstance(self.param, str) and "," in self.param:
             object.__setattr__(self, "param", [p.strip() for p in self.param.split(",")])
         if self.levtype not in (None, *LEVEL_TYPES):
@@ -80,6 +84,11 @@ class Request:
         if self.ref_time is not None and self.ref_time != "latest":
             low, high = time_bounds(self.ref_time)
             out = out & (F.lit(True) if low is None else F.col("ref_time") >= F.lit(low)) & (F.lit(True) if high is None else F.col("ref_time") <= F.lit(high))
+        if self.box is not None:
+            west, south, east, north = self.box
+            out = out & (F.col("south") <= north) & (F.col("north") >= south)
+            across = (F.col("west") <= east) & (F.col("east") >= west) if west <= east else (F.col("east") >= west) | (F.col("west") <= east)
+            out = out & across
         return out
 
     def read(self, table: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from .files import StagedWriter, Written
 #: Marks of messages and of files. Fixed values.
 BEGIN, END, INDEX = b"GMSG", b"7777", b"GIDX"
 HEAD, TAIL = struct.Struct("<4sIQ"), struct.Struct("<Q4s")
-KEYS = ("param", "eps", "ref_time", "lead_s", "k", "target", "levtype", "begin_min", "end_min", "header", "low", "step")
+KEYS = ("param", "eps", "ref_time", "lead_s", "k", "target", "tile", "levtype", "begin_min", "end_min", "west", "south", "east", "north", "header", "low", "step")
 #: Bytes of files that a partition has, as Spark's own sources do by default.
 SPLIT = 128 << 20
 SUFFIX = ".gmsg"
@@ -48,7 +48,8 @@ SUFFIX = ".gmsg"
 def schema(places: Sequence[str] = ("y", "x")) -> str:
     """Of slabs on a grid, or with ``("cell",)`` on cells."""
     points = ", ".join(f"{p}: {'bigint' if p == 'cell' else 'int'}" for p in places)
-    return ("param string, eps int, ref_time timestamp, lead_s long, k int, target double, levtype string, begin_min double, end_min double, header string, low double, step double, "
+    return ("param string, eps int, ref_time timestamp, lead_s long, k int, target double, tile long, levtype string, begin_min double, end_min double, "
+            "west double, south double, east double, north double, header string, low double, step double, "
             f"points array<struct<{points}, n: bigint>>")
 
 

@@ -26,12 +26,17 @@ from . import gridmsg
 from .catalog import VCOORD_TYPES, Request
 
 #: Keys of a slab and their types.
-KEYS = {"eps": "int", "ref_time": "timestamp", "lead_s": "long", "k": "int", "target": "double"}
+KEYS = {"eps": "int", "ref_time": "timestamp", "lead_s": "long", "k": "int", "target": "double", "tile": "long"}
+#: Bounds of a slab's points in degrees, longitudes from -180.
+BOUNDS = ("west", "south", "east", "north")
+TILE_BITS = 24
 
 
-def to_slabs(field: Field, value: str = "value", bits: int = 16) -> DataFrame:
+def to_slabs(field: Field, value: str = "value", bits: int = 16, tile: tuple[int, int] | None = None) -> DataFrame:
     """Slabs of one field. Points are packed with their place; undefined ones have no number.
 
+    ``tile`` (rows, columns) cuts a slab into rectangles of so many points, so that a request for a box
+    reads what lies there. Bounds are those of the points on grids in degrees, else the whole globe.
     NotImplementedError for a field of several time ranges.
     """
     if not 1 <= bits <= 48:
@@ -40,14 +45,22 @@ def to_slabs(field: Field, value: str = "value", bits: int = 16) -> DataFrame:
         raise NotImplementedError("several time ranges")
     df, keys = field.df, [d for d in dims(field.df) if d in KEYS]
     places = [d for d in dims(df) if d not in KEYS]
+    if tile:
+        df, keys = df.withColumn("tile", F.shiftleft(F.floor(F.col("y") / tile[0]), TILE_BITS) + F.floor(F.col("x") / tile[1])), [*keys, "tile"]
     points = F.struct(*places, F.col(value).cast("double").alias("v"))
-    slabs = df.groupBy(*keys).agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.sort_array(F.collect_list(points)).alias("points"))
+    lon, lat = (F.lit(None).cast("double"),) * 2
+    if field.meta.keys.get("gridType") in ("rotated_ll", "regular_ll"):
+        grid = field.meta.grid
+        lon, lat = grid.system.to_geographic(grid.x0 + F.col("x") * grid.dx, grid.y0 + F.col("y") * grid.dy)
+        lon = F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
+    ends = [F.coalesce(f(c), F.lit(whole)).alias(name) for name, f, c, whole in zip(BOUNDS, (F.min, F.min, F.max, F.max), (lon, lat, lon, lat), (-180.0, -90.0, 180.0, 90.0))]
+    slabs = df.groupBy(*keys).agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.sort_array(F.collect_list(points)).alias("points"), *ends)
     step = F.coalesce((F.col("high") - F.col("low")) / (2.0 ** bits - 1), F.lit(0.0))
     packed = F.transform("points", lambda p: F.struct(*[p[d].alias(d) for d in places], F.when(F.col("step") > 0, F.round((p["v"] - F.col("low")) / F.col("step"))).when(
         p["v"].isNotNull(), 0).cast("long").alias("n")))
     every = [(F.col(k) if k in keys else F.lit(None)).cast(kind).alias(k) for k, kind in KEYS.items()]
     kind = VCOORD_TYPES.get(field.meta.vcoord_type, field.meta.vcoord_type)
-    return slabs.withColumn("step", step).select(F.lit(field.meta.name).alias("param"), *every, F.lit(kind).alias("levtype"), *_times(field, keys), F.lit(header(field.meta)).alias("header"), "low", "step", packed.alias("points"))
+    return slabs.withColumn("step", step).select(F.lit(field.meta.name).alias("param"), *every, F.lit(kind).alias("levtype"), *_times(field, keys), *BOUNDS, F.lit(header(field.meta)).alias("header"), "low", "step", packed.alias("points"))
 
 
 def header(meta: FieldMeta) -> str:
@@ -64,16 +77,19 @@ def _times(field: Field, keys: list[str]) -> list[Column]:
     return [(F.col("lead_s") / 60 - length).alias("begin_min"), (F.col("lead_s") / 60).alias("end_min")]
 
 
-def save(fields: Sequence[Field], path: str, value: str = "value", bits: int = 16) -> None:
-    """Write fields that have the same horizontal dimensions."""
-    table = reduce(DataFrame.unionByName, [to_slabs(f, value, bits) for f in fields])
+def save(fields: Sequence[Field], path: str, value: str = "value", bits: int = 16, tile: tuple[int, int] | None = None) -> None:
+    """Write fields that have the same horizontal dimensions. Tiles of one place lie together, so that
+    the bounds of files and row groups tell which to read."""
+    table = reduce(DataFrame.unionByName, [to_slabs(f, value, bits, tile) for f in fields])
+    if tile:
+        table = table.repartitionByRange("param", "tile").sortWithinPartitions("param", "tile")
     table.write.partitionBy("param").parquet(path)
 
 
 def from_slabs(slabs: DataFrame) -> DataFrame:
     """A row for each point, with ``value``, and the keys that slabs have."""
     places = [f.name for f in slabs.schema["points"].dataType.elementType.fields if f.name != "n"]
-    keys = [k for k in KEYS if k in slabs.columns]
+    keys = [k for k in KEYS if k in slabs.columns and k != "tile"]
     rows = slabs.select(*keys, "low", "step", F.explode("points").alias("p"))
     return rows.select(*keys, *[f"p.{d}" for d in places], (F.col("low") + F.col("p.n") * F.col("step")).alias("value"))
 
@@ -116,12 +132,24 @@ def load(source: DataSource | DataFrame, request: Request | dict | str | tuple,
             require_dense(own, have)
         meta = FieldMeta(**json.loads(r.h[0]))
         field = Field(from_slabs(own).drop(*[k for k in keys if k not in have]), meta)
+        box = source.request(request).box if isinstance(source, DataSource) else None
+        field = inside(field, box, cells) if box else field
         out[r.param] = located(field, cells) if coordinates else field
     if not out:
         raise RuntimeError("no values")
     return out
 
 
+def inside(field: Field, box: tuple[float, float, float, float], cells: DataFrame | None = None) -> Field:
+    """The points in a box of degrees (west, south, east, north), its sides included. A box whose west
+    is east of its east goes over the date line."""
+    west, south, east, north = box
+    own = located(field, cells).df
+    lon = F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0
+    across = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
+    return Field(own.where(across & F.col("lat").between(south, north)).drop("lon", "lat"), field.meta)
+
+
 def located(field: Field, cells: DataFrame | None = None) -> Field:
     """The field with ``lon`` and ``lat`` at its points: of unstructured grids by identifier, from
     ``cells(grid_id, cell, clon, clat)``, of others from the header."""

@@ -91,6 +91,28 @@ def test_only_matching_messages_are_read(spark, tmp_path, split):
         gridmsg.read(spark, path, split=split).collect()
 
 
+def test_a_box_reads_the_tiles_that_it_touches(spark, tmp_path):
+    """Points in a box from messages and from Parquet, and nothing read of tiles elsewhere."""
+    whole, path = field(spark), str(tmp_path / "m")
+    table = slabs.to_slabs(whole, bits=32, tile=(2, 3))
+    points = lambda t: rows(slabs.from_slabs(t).withColumn("value", F.round("value", 6)))
+    assert table.count() == 2 * 2 * 3 and points(table) == points(slabs.to_slabs(whole, bits=32))
+    gridmsg.write(table.coalesce(2), path)
+    own = slabs.located(whole).df.where("x = 4 and y = 0 and k = 1").first()
+    box = (own.lon - 0.01, own.lat - 0.01, own.lon + 0.01, own.lat + 0.01)
+    touched = [(r.k, r.tile) for r in slabs.DataSource(table).retrieve(catalog.Request("T", box=box)).select("k", "tile").collect()]
+    assert sorted(touched) == [(1, 1), (2, 1)] and spoil(path, lambda m: m["tile"] == 1) == 2
+    got = slabs.load_single(slabs.DataSource(gridmsg.read(spark, path)), {"param": "T", "box": box}).df
+    assert [(r.k, r.y, r.x) for r in got.orderBy("k").collect()] == [(1, 0, 4), (2, 0, 4)]
+    slabs.save([whole], str(tmp_path / "p"), bits=32, tile=(2, 3))
+    again = slabs.load_single(slabs.DataSource.of_files(spark, [str(tmp_path / "p")]), {"param": "T", "box": box}).df
+    assert rows(again.select("k", "y", "x")) == rows(got.select("k", "y", "x"))
+    wide = slabs.load_single(slabs.DataSource(table), {"param": "T", "box": (own.lon - 0.01, -90, own.lon - 0.02, 90)}).df  # over the date line, all but a strip
+    assert wide.count() == 60
+    with pytest.raises(ValueError):
+        catalog.Request("T", box=(0, 5, 1, 4))
+
+
 def test_files_by_name_and_failed_jobs(spark, tmp_path):
     path = str(tmp_path / "m")
     named = table(spark).withColumn("file", F.concat(F.lit("run/m"), F.col("eps"), F.lit(".gmsg")))
