@@ -199,3 +199,24 @@ def bulk_richardson(theta_v: Field, u: Field, v: Field, height: Field, surface:
             raise ValueError("the wind is staggered")
     both = align(_on_full_levels(theta_v, u, v, height), surface.df.select(*dims(surface.df), F.col("value").alias("_4")))
     return theta_v.derive(dynamics.bulk_richardson(both, "_0", "_1", "_2", "_3", "_4").select(*dims(both), "value"), name="BRN", units="1")
+
+
+def remap_to_grid(field: Field, goal: str, weights: DataFrame, grids: DataFrame) -> Field:
+    """A field on cells on one of the regular grids that weights have been made for.
+
+    ``weights(grid_id, goal, dst, slot, cell, w, found)`` with ``dst`` = y * nx + x, and ``grids(grid_id,
+    goal, nx, ny, xmin, ymin, xmax, ymax, pole_lon, pole_lat)``, poles null for geographic grids, by the
+    identifier of the field's own grid. ValueError for other fields, KeyError without such a grid.
+    """
+    if field.meta.keys.get("gridType") != "unstructured_grid":
+        raise ValueError("only unstructured grids are remapped by cells")
+    own = (F.col("grid_id") == field.meta.grid_id) & (F.col("goal") == goal)
+    g = grids.where(own).first()  # one row
+    if g is None:
+        raise KeyError(f"no grid {goal} for {field.meta.grid_id}")
+    steps = [(high - low) / (n - 1) if n > 1 else 1.0 for low, high, n in ((g.xmin, g.xmax, g.nx), (g.ymin, g.ymax, g.ny))]
+    target = RegularGrid(g.nx, g.ny, g.xmin, g.ymin, *steps, None if g.pole_lon is None else (g.pole_lon, g.pole_lat))
+    done = gis.remap(field.df, "value", weights.where(own).drop("grid_id", "goal"))
+    y, x = F.floor(F.col("dst") / g.nx).cast("int"), (F.col("dst") % g.nx).cast("int")
+    rest = [d for d in dims(field.df) if d != "cell"]
+    return Field(done.select(*rest, y.alias("y"), x.alias("x"), "value"), field.meta.on_grid(target, vref=field.meta.vref))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobar import constants as c
@@ -83,6 +83,33 @@ def potential_vorticity(df: DataFrame, u: str, v: str, w: str, theta: str, rho:
     return ready.select(*dims(df), (pv / F.col("at_rho")).alias(out))
 
 
+def gradient(df: DataFrame, dim: str, column: str) -> Column:
+    """Change by step along ``dim``: half the difference of the neighbours, at the ends that to the one."""
+    w = along(df, dim)
+    before, after = F.lag(column).over(w), F.lead(column).over(w)
+    first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+    return F.when(first, after - F.col(column)).when(last, F.col(column) - before).otherwise(0.5 * (after - before))
+
+
+def curl_alt(df: DataFrame, u: str, v: str, w: str, hhl: str, rlat: str, dlon: float, dlat: float) -> DataFrame:
+    """:func:`curl` written out from its definition, one derivative at a time; inside the grid it gives
+    the same, at its sides one-sided derivatives. It is for checking and takes a window for each."""
+    k = along(df, "k")
+    rows = df.select(*dims(df), F.col(u).alias("__u"), F.col(v).alias("__v"), F.col(rlat).alias("__lat"), F.col(hhl).alias("__h"),
+                     (0.5 * (F.col(w) + F.lead(w).over(k))).alias("__w"), (F.lead(w).over(k) - F.col(w)).alias("__w_k"))
+    rows = metric_terms(rows, "__h", dlon, dlat)
+    for name, dim, step in (("u", "y", dlat), ("u", "k", None), ("v", "x", dlon), ("v", "k", None), ("w", "x", dlon), ("w", "y", dlat)):
+        change = gradient(rows, dim, f"__{name}")
+        rows = rows.withColumn(f"__{name}_{dim}", change / math.radians(step) if step else change)
+    f = lambda name: F.col(f"__{name}")
+    r, cr = 1 / c.RADIUS, 1 / (c.RADIUS * F.cos("__lat"))
+    east, north, up = F.col("dzeta_dlam"), F.col("dzeta_dphi"), F.col("sqrtg")
+    one = cr * (r * (f("w_y") + north * f("w_k")) + up * f("v_k") - r * f("v"))
+    two = r * (r * f("u") - up * f("u_k") - cr * (f("w_x") + east * f("w_k")))
+    three = cr * (f("v_x") + east * f("v_k")) - r * (f("u_y") + north * f("u_k")) + r * F.tan("__lat") * f("u")
+    return rows.select(*dims(df), one.alias("curl_1"), two.alias("curl_2"), three.alias("curl_3"))
+
+
 def bulk_richardson(df: DataFrame, theta_v: str, u: str, v: str, height: str, surface: str, out: str = "value") -> DataFrame:
     """Bulk Richardson number from the ground to each full level."""
     w = along(df, "k")

@@ -195,6 +195,16 @@ def _curl(spark, sf_dir):
     return _rounded(dynamics.curl(cube, "u", "v", "w", "hhl", "rlat", fx.STEP, fx.STEP), ["x", "y", "k"], {f"curl_{i}": f"curl_{i}" for i in (1, 2, 3)}, 9)
 
 
+@query("curl_alt", f"{CUBE}{CURL} select x, y, k, round(c1, 9) as curl_1, round(c2, 9) as curl_2, round(c3, 9) as curl_3 from curls where x between 1 and 18 and y between 1 and (select max(y) from surf) - 1")
+def _curl_alt(spark, sf_dir):
+    """The other formulation agrees with the curl at all points that have neighbours."""
+    cube = _with_latitudes(spark, sf_dir)
+    out = dynamics.curl_alt(cube, "u", "v", "w", "hhl", "rlat", fx.STEP, fx.STEP)
+    last = fx.surface(spark, sf_dir).agg(F.max("y").alias("last"))  # one row
+    inside = out.crossJoin(F.broadcast(last)).where("x between 1 and 18 and y between 1 and last - 1")
+    return _rounded(inside, ["x", "y", "k"], {f"curl_{i}": f"curl_{i}" for i in (1, 2, 3)}, 9)
+
+
 @query("pot_vortic", f"""{CUBE}{CURL} select x, y, k, round(1e6 * (l_th * c1 + p_th * (c2 + 2 * {c.OMEGA!r}::double * cos(lat) / {c.RADIUS}::double)
   - s_th * (c3 + 2 * {c.OMEGA!r}::double * sin(lat))) / rho, 6) as value from curls""")
 def _pot_vortic(spark, sf_dir):
@@ -542,6 +552,22 @@ def _remap(spark, sf_dir):
     return _rounded(gis.remap(fx.cells(spark, sf_dir).select("cell", "value"), "value", _weights(spark, sf_dir)), ["dst"], {"value": "value"})
 
 
+@query("remap_named_grid", f"""{WEIGHTS}, k as (select greatest(1, floor(sqrt(count(*)))::int) as k from cells),
+done as (select dst, case when dst <> 0 then greatest(min(value), least(max(value), sum(w * value))) end as v from wt join cells using (cell) group by dst)
+select (dst // k)::int as y, (dst % k)::int as x, round(6 + (dst % k) * (4.0::double / greatest(k - 1, 1)), 6) as lon, round(44 + (dst // k) * (3.0::double / greatest(k - 1, 1)), 6) as lat, round(v, 6) as value
+ from done, k where dst < k * k""")
+def _remap_named(spark, sf_dir):
+    """Weights and grid by the identifier of the field's own grid; the points by the new header."""
+    n = fx.cells(spark, sf_dir).count()
+    k = max(1, math.isqrt(n))
+    grids = spark.createDataFrame([("g", "geolatlon", k, k, 6.0, 44.0, 10.0, 47.0, None, None), ("g", "rotlatlon", k, k, -1.0, -1.0, 1.0, 1.0, 190.0, 43.0)],
+                                  "grid_id string, goal string, nx int, ny int, xmin double, ymin double, xmax double, ymax double, pole_lon double, pole_lat double")
+    weights = _weights(spark, sf_dir).where(col("dst") < k * k).withColumns({"grid_id": F.lit("g"), "goal": F.lit("geolatlon")})
+    field = Field(fx.cells(spark, sf_dir).select("cell", "value"), FieldMeta("T", grid_id="g", keys={"gridType": "unstructured_grid"}))
+    out = slabs.located(checked.remap_to_grid(field, "geolatlon", weights, grids))
+    return _rounded(out.df, ["y", "x"], {"lon": "lon", "lat": "lat", "value": "value"})
+
+
 @query("remap_members", f"""{WEIGHTS}, m as (select cell, eps::int as eps, lead_s::bigint as lead_s, value + eps * 10 + lead_s / 3600.0::double as value from cells, (values (0), (1)) e(eps), (values (0), (3600)) l(lead_s)
   where not (eps = 1 and cell % 50 = 7)),
 s as (select eps, lead_s, dst, count(*) as n, sum(w * value) as s, min(value) as low, max(value) as high from wt join m using (cell) group by all),

@@ -177,8 +177,6 @@ def test_projections_and_headers(spark):
     assert df.limit(1).select(x.alias("x"), y.alias("y")).first() == (500000.0, 0.0)
     with pytest.raises(ValueError):
         projections.central_meridian(61)
-    with pytest.raises(NotImplementedError):
-        projections.System("boaga-west").to_geographic(F.lit(1), F.lit(1))
     grid = gis.RegularGrid.parse("utm32n,400000,5100000,500000,5200000,1000,2000")
     assert (grid.header()["gridDefinitionTemplateNumber"], grid.header()["Dj"], grid.header()["X2"]) == (12, 200000, 50000000)
     assert gis.RegularGrid.parse("swiss,0,0,1,1,1,1").header()["sourceOfGridDefinition"] == 255 and grid.transform[2] == 399500.0
@@ -394,3 +392,53 @@ def test_checked_columns(spark):
                 lambda: checked.minmax_k(out, h, 0.0, 1.0, "maximum"), lambda: checked.bulk_richardson(t, u, u, h, h)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_italian_grids(spark):
+    """There and back, the projection against the length of the meridian, the datum against a matrix."""
+    df = spark.createDataFrame([(7.6, 45.0), (9.0, 42.0), (12.45, 41.92), (16.8, 41.1)], "lon double, lat double")
+    for zone in ("boaga-west", "boaga-east"):
+        x, y = projections.System(zone).from_geographic(F.col("lon"), F.col("lat"))
+        lon, lat = projections.System(zone).to_geographic(x, y)
+        for r in df.select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
+            assert r.a == pytest.approx(r.lon, abs=3e-8) and r.b == pytest.approx(r.lat, abs=3e-8)
+    own = projections.BOAGA["boaga-west"]
+    x, y = own.from_geographic(F.lit(9.0), F.lit(42.0))
+    e2 = projections.HAYFORD_FLATTENING * (2 - projections.HAYFORD_FLATTENING)
+    at = np.linspace(0, math.radians(42), 200001)
+    length = np.trapezoid(projections.HAYFORD_AXIS * (1 - e2) / (1 - e2 * np.sin(at) ** 2) ** 1.5, at) * 0.9996
+    got = df.limit(1).select(x.alias("x"), y.alias("y")).first()
+    assert got.x == pytest.approx(1500000.0, abs=1e-6) and got.y == pytest.approx(length, abs=1e-3)
+    dx, dy, dz, rx, ry, rz, ppm = projections.MONTE_MARIO
+    rx, ry, rz = (math.radians(v / 3600) for v in (rx, ry, rz))
+    want = np.array([dx, dy, dz]) + (1 + ppm * 1e-6) * np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]]) @ np.array([4.6e6, 1.0e6, 4.2e6])
+    point = [F.lit(v) for v in (4.6e6, 1.0e6, 4.2e6)]
+    there = projections._turned(*point, projections.MONTE_MARIO, False)
+    assert list(df.limit(1).select(*[c.alias(n) for n, c in zip("abc", there)]).first()) == pytest.approx(want.tolist(), abs=1e-6)
+    back = projections._turned(*[F.lit(float(v)) for v in want], projections.MONTE_MARIO, True)
+    assert list(df.limit(1).select(*[c.alias(n) for n, c in zip("abc", back)]).first()) == pytest.approx([4.6e6, 1.0e6, 4.2e6], abs=1e-6)
+
+
+def test_weights_are_made_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    cells = spark.createDataFrame([(i, 7 + float(a), 45 + float(b)) for i, (a, b) in enumerate(rng.random((60, 2)))], "cell long, lon double, lat double")
+    values = cells.select("cell", (F.col("lon") * 2).alias("f"))
+    target, store = gis.RegularGrid(5, 4, 7.2, 45.2, 0.1, 0.1), str(tmp_path / "weights")
+    first = {(r.y, r.x): r.value for r in triangles.iconremap(values, "f", cells, target, store=store).collect()}
+    monkeypatch.setattr(triangles, "barycentric_weights", None)  # not called again
+    again = triangles.iconremap(values, "f", cells.repartition(3), target, store=store)
+    assert {(r.y, r.x): r.value for r in again.collect()} == first and any(v is not None for v in first.values())
+    key = triangles.weights_key(cells, target)
+    assert key != triangles.weights_key(cells.where("cell > 0"), target) and key != triangles.weights_key(cells, gis.RegularGrid(5, 4, 7.2, 45.2, 0.1, 0.2))
+
+
+def test_remap_to_a_named_grid(spark):
+    field_of_cells = Field(spark.createDataFrame([(0, 1.0), (1, 3.0)], "cell int, value double"), FieldMeta("T", grid_id="g", keys={"gridType": "unstructured_grid"}))
+    weights = spark.createDataFrame([("g", "rotlatlon", d, 0, d % 2, 1.0, True) for d in range(6)], "grid_id string, goal string, dst int, slot int, cell int, w double, found boolean")
+    grids = spark.createDataFrame([("g", "rotlatlon", 3, 2, -1.0, -1.0, 1.0, 1.0, 190.0, 43.0)], "grid_id string, goal string, nx int, ny int, xmin double, ymin double, xmax double, ymax double, pole_lon double, pole_lat double")
+    out = checked.remap_to_grid(field_of_cells, "rotlatlon", weights, grids)
+    assert {(r.y, r.x): r.value for r in out.df.collect()} == {(d // 3, d % 3): 1.0 + 2 * (d % 2) for d in range(6)} and out.meta.grid.pole == (190.0, 43.0) and out.meta.grid.dy == 2.0
+    with pytest.raises(KeyError):
+        checked.remap_to_grid(field_of_cells, "geolatlon", weights, grids)
+    with pytest.raises(ValueError):
+        checked.remap_to_grid(field(spark), "rotlatlon", weights, grids)
