@@ -30,12 +30,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there,
-    so a lost executor costs a re-read and nothing is computed twice."""
+    so a lost executor costs a re-read and nothing is computed twice. ``by`` is a column, the last of
+    ``df``, of few values whose rows get folders of their own."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/isobar/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.isobar_path = path
     return out
@@ -43,7 +45,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored`."""
-    spark, path = df.sparkSession, df.isobar_path
+    delete(df.sparkSession, df.isobar_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -11,8 +11,9 @@ suffixes that occur more than once and whether their surroundings differ; then i
 and while two levels have the same size they merge into one of twice that. Levels are tables
 bucketed and sorted by the leading bytes, so scans and merges read them in order without a shuffle.
 
-The texts are cut into suffixes once; a batch is a share of the files these are written to, and
-there are as many batches as the number of files has binary digits, and one more.
+The texts are cut into suffixes once and written in ``SHARES`` shares, dealt by a hash of their places;
+a batch is some of the shares. There are four batches, and one more each time that the suffixes are four
+times as many as ``FEW``, so that jobs grow with the logarithm of the text.
 
 Suffixes that the scans found are looked up by a join. One whose whole surroundings occur twice has
 all its windows removed. Where the same suffix has different surroundings, one text of each is
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, flat_bytes, kept, mix, stored
+from .common import delete, discard, flat_bytes, kept, mix, scratch_dir, stored
 
 WINDOW, GRAM = 200, 40
 CHUNK, PLACE = 1 << 19, np.uint64((1 << 20) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 HEAVY = 4000
+SHARES, FEW = 16, 1 << 16
 
 
 @lru_cache(1)
@@ -184,11 +186,16 @@ class SuffixIndex:
     def _level(self, size: int, rows: DataFrame) -> DataFrame:
         name = f"isobar_suffixes_{uuid.uuid4().hex}"
         self.levels.append((size, name))
-        rows.write.option("compression", "zstd").bucketBy(self.buckets, "suffix").sortBy("suffix").saveAsTable(name)
+        rows.write.option("compression", "zstd").option("path", self._path(name)).bucketBy(self.buckets, "suffix").sortBy("suffix").saveAsTable(name)
         return self.spark.table(name)
 
+    def _path(self, name: str) -> str:
+        """In the folder that all machines share, wherever the warehouse is."""
+        return f"{scratch_dir(self.spark)}/isobar/{name}"
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"drop table if exists {name}")
+        delete(self.spark, self._path(name))
 
     def _merge_equal(self) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -218,18 +225,24 @@ class SuffixIndex:
         return hits
 
 
-def _shares(rows: DataFrame) -> list[DataFrame]:
-    """Batches of a stored table, each a share of its files."""
-    files = sorted(rows.inputFiles())
-    count = min(len(files), len(files).bit_length() + 1)
-    return [rows.sparkSession.read.schema(rows.schema).parquet(*files[k::count]) for k in range(count)]
+def shared_out(rows: DataFrame) -> DataFrame:
+    """:func:`suffixes`, written in shares."""
+    return stored(rows.withColumn("share", F.pmod(F.xxhash64("id", "rk", "first"), F.lit(SHARES)).cast("int")), "suffixes", "share")
+
+
+def batches(rows: DataFrame) -> list[DataFrame]:
+    """Batches of a table of :func:`shared_out`; each reads the folders of its shares alone."""
+    n, count = rows.count(), 4
+    while count < SHARES and n >= FEW << 2 * (count - 3):
+        count += 1
+    return [rows.where(F.col("share").isin(list(range(k, SHARES, count)))) for k in range(count)]
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """``(key, mixed)`` of the suffixes in a stored table of :func:`suffixes` that occur more than
-    once, by an index that takes in one share of the files after the other."""
+    """``(key, mixed)`` of the suffixes in a table of :func:`shared_out` that occur more than once, by
+    an index that takes in one batch after the other."""
     with SuffixIndex(rows.sparkSession) as index:
-        found = [index.add(share) for share in _shares(rows)]
+        found = [index.add(batch) for batch in batches(rows)]
         out = stored(reduce(DataFrame.unionByName, found).groupBy("key").agg(F.max("mixed").alias("mixed")), "recurring")
     for hits in found:
         discard(hits)
@@ -340,7 +353,7 @@ def _heavy(surroundings: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``id, rk, spans``: byte ranges of ``docs(id, rk, text)`` covered by a 200-byte string that
     also starts elsewhere, as (start, end), perhaps overlapping. Texts without any are absent."""
-    rows = stored(suffixes(docs), "suffixes")
+    rows = shared_out(suffixes(docs))
     hits = recurring(rows)
     found = stored(rows.select("id", "rk", "first", "windows", _key(), "seg").join(hits, "key"), "found")
     discard(rows)

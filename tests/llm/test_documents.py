@@ -202,14 +202,25 @@ def test_levels_are_sorted_suffixes(spark):
     assert {bytes(r.suffix): r.n for r in got} == every
 
 
-def test_many_batches_lose_nothing(spark, real):
-    """As many files as give several merges, and the plain result on them."""
+def test_many_batches_lose_nothing(spark, real, monkeypatch):
+    """Enough batches for merges of merged levels, and the plain result on them."""
     rows, df = real
-    spread = df.repartition(16)
-    assert len(substrings._shares(substrings.stored(spread.select("doc_id"), "spread"))) == 6
+    monkeypatch.setattr(substrings, "FEW", 5)
+    taken = []
+    add = substrings.SuffixIndex.add
+    monkeypatch.setattr(substrings.SuffixIndex, "add", lambda self, batch: (taken.append(self), add(self, batch))[1])
     want = brute.without_repeats([t for _, t, _ in rows])
-    got = Counter(tuple(r) for r in substrings.remove_repeats(spread, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect())
-    assert got == Counter((i, *w[:4]) for (i, _, _), w in zip(rows, want))
+    got = Counter(tuple(r) for r in substrings.remove_repeats(df, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect())
+    assert got == Counter((i, *w[:4]) for (i, _, _), w in zip(rows, want)) and len(taken) >= 8 and taken[0].merges >= 7
+
+
+def test_the_query_has_batches_and_merges(spark, monkeypatch):
+    """At sf0.01 the index takes in four batches and merges three times, levels that were merged too."""
+    taken = []
+    add = substrings.SuffixIndex.add
+    monkeypatch.setattr(substrings.SuffixIndex, "add", lambda self, batch: (taken.append(self), add(self, batch))[1])
+    assert substrings.op2_suffix_dedup(spark, "/root/testdata/sf0.01").count() == 1000
+    assert len(taken) == 4 and taken[0].merges == 3
 
 
 def test_simhash(edges, real):
