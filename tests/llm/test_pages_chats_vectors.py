@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from isobar.llm import chat, embeddings, htmltext, packing, quality, urls, warc
+from isobar.llm import chat, common, embeddings, htmltext, packing, quality, urls, warc
 
 from . import brute
 from .test_documents import check_packing
@@ -326,3 +326,34 @@ def test_pipeline_stages_keep_columns(spark, sf_dir):
     odd = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, sf_dir).columns == docs.columns, name
+
+
+@pytest.mark.parametrize("with_chars", [True, False])
+def test_pipeline_with_clashes_nulls_and_repeats(spark, sf_dir, tmp_path, with_chars):
+    """Names that operators use themselves, null ids, texts and languages, rows twice, no ``n_chars``:
+    every stage keeps the columns and their values, the last one packs every row that is left."""
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    shared = "a passage of some length which two clean documents have in common word for word and letter for letter so that it has to go from both of them in the third stage of this " * 2
+    more = spark.createDataFrame([(None, f"The first one begins by itself here. {shared} And it ends.", "en"), (7001, f"Another one begins in its own way there. {shared} It goes on for a while.", None), (7002, None, None), (7003, "", "en")],
+                                 "doc_id long, text string, lang string").withColumns({"source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    docs = own.unionByName(more).unionByName(own.limit(5))
+    clashes = {"kept": F.lit("yes"), "n_bytes": F.concat(F.lit("b"), F.col("doc_id").cast("string")), "n_removed": F.lit(1.5), "n_spans": F.lit(None).cast("int"), "row": F.lit("r"), "doc": F.lit(3), "fp": F.lit("x"),
+               "id": F.lit("i"), "key": F.lit("k"), "component_id": F.lit(-1), "spans": F.lit("s"), "share": F.lit(9), "good": F.lit(True)}
+    docs = docs.withColumns(clashes)
+    docs = docs if with_chars else docs.drop("n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.stored(stage(spark, before, str(tmp_path)), "clashes")
+        assert after.dtypes == before.dtypes, name
+        rest = [c for c in before.columns if c not in ("text", "n_chars")]
+        left = Counter(tuple(r) for r in after.select(rest).collect())
+        assert left and not left - Counter(tuple(r) for r in before.select(rest).collect()), name
+        if name == "suffix-array dedup":
+            rows = before.select("doc_id", "text").collect()
+            want = Counter((r.doc_id, r.text and w[4].decode("utf-8", "ignore")) for r, w in zip(rows, brute.without_repeats([r.text for r in rows])))
+            assert Counter((r.doc_id, r.text) for r in after.select("doc_id", "text").collect()) == want
+            assert not with_chars or after.where("n_chars <> length(text)").count() == 0
+        before = after
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(r.doc_id for r in before.select("doc_id").collect())
