@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from isobar.field import Field, align, dims
 from isobar.functions import atmo
 from isobar.grid import RegularGrid
+from isobar.metadata import level_coefficients
 
 from . import dynamics, gis, stagger, timeops, vertical
 from .projections import rotate_vector, rotated_to_geographic
@@ -35,7 +36,8 @@ def destagger(field: Field, dim: str, value: str = "value") -> Field:
         raise ValueError(f"unknown dimension {dim}")
     if field.meta.origin_z != -0.5:
         raise ValueError(f"{field.meta.name} is not on half levels")
-    return field.derive(stagger.destagger(field.df, "k", [value]), origin_z=0.0)
+    layers = {"typeOfLevel": "generalVerticalLayer"} if field.meta.keys.get("typeOfLevel") == "generalVertical" else {}
+    return field.derive(stagger.destagger(field.df, "k", [value]), origin_z=0.0, **layers)
 
 
 def _wind(u: Field, v: Field) -> DataFrame:
@@ -51,7 +53,7 @@ def to_geographic_axes(u: Field, v: Field) -> tuple[Field, Field]:
     at = _wind(u, v)
     lon, lat = rotated_to_geographic(grid.x0 + F.col("x") * grid.dx, grid.y0 + F.col("y") * grid.dy, pole)
     ug, vg = rotate_vector(F.col("_u"), F.col("_v"), lon, lat, pole)
-    return tuple(f.derive(at.select(*dims(f.df), e.alias("value")), vref="geo") for f, e in ((u, ug), (v, vg)))
+    return tuple(f.derive(at.select(*dims(f.df), e.alias("value")), vref="geo", uvRelativeToGrid=0) for f, e in ((u, ug), (v, vg)))
 
 
 def wind_direction(u: Field, v: Field) -> Field:
@@ -201,6 +203,64 @@ def bulk_richardson(theta_v: Field, u: Field, v: Field, height: Field, surface:
     return theta_v.derive(dynamics.bulk_richardson(both, "_0", "_1", "_2", "_3", "_4").select(*dims(both), "value"), name="BRN", units="1")
 
 
+def _cube(full: dict[str, Field], half: dict[str, Field]) -> DataFrame:
+    """Fields on full and on half levels side by side, a row for each half level. ValueError unless they
+    are on the levels said, on mass points of one grid, and share their dimensions."""
+    first = next(iter(half.values()))
+    for fields, z in ((full, 0.0), (half, -0.5)):
+        for f in fields.values():
+            if f.meta.vcoord_type != "model_level" or f.meta.origin_z != z:
+                raise ValueError(f"{f.meta.name} is not on {'full' if z == 0 else 'half'} model levels")
+            if f.meta.is_staggered_horizontal:
+                raise ValueError(f"{f.meta.name} is staggered")
+            if dims(f.df) != dims(first.df):
+                raise ValueError("the fields differ in their dimensions")
+    column = lambda n, f: f.df.select(*dims(f.df), F.col("value").alias(f"_{n}"))
+    below = reduce(align, [column(n, f) for n, f in half.items()])
+    return reduce(lambda a, b: a.join(b, dims(first.df), "left"), [column(n, f) for n, f in full.items()], below)
+
+
+def _with_latitudes(df: DataFrame, grid: RegularGrid) -> DataFrame:
+    """``_rlat`` along the grid's own axis and ``_lat`` on the globe, in radians."""
+    gx, gy = grid.x0 + F.col("x") * grid.dx, grid.y0 + F.col("y") * grid.dy
+    return df.withColumns({"_rlat": F.radians(gy), "_lat": F.radians(grid.system.to_geographic(gx, gy)[1])})
+
+
+def curl(u: Field, v: Field, w: Field, hhl: Field) -> dict[str, Field]:
+    """:func:`dynamics.curl` on the grid of ``u``: fields ``curl_1``, ``curl_2`` and ``curl_3`` on full
+    levels. ValueError for wind that is staggered or along geographic axes."""
+    if "geo" in (u.meta.vref, v.meta.vref):
+        raise ValueError("the wind is along geographic axes")
+    grid = u.meta.grid
+    df = dynamics.curl(_with_latitudes(_cube({"u": u, "v": v}, {"w": w, "h": hhl}), grid), "_u", "_v", "_w", "_h", "_rlat", grid.dx, grid.dy)
+    names = ("curl_1", "curl_2", "curl_3")
+    return {n: u.derive(df.select(*dims(df), F.col(n).alias("value")), name=n.upper(), units="s-1") for n in names}
+
+
+def potential_vorticity(u: Field, v: Field, w: Field, theta: Field, rho: Field, hhl: Field) -> Field:
+    """:func:`dynamics.potential_vorticity` with the checks of :func:`curl`."""
+    if "geo" in (u.meta.vref, v.meta.vref):
+        raise ValueError("the wind is along geographic axes")
+    grid = u.meta.grid
+    cube = _with_latitudes(_cube({"u": u, "v": v, "th": theta, "rho": rho}, {"w": w, "h": hhl}), grid)
+    df = dynamics.potential_vorticity(cube, "_u", "_v", "_w", "_th", "_rho", "_h", "_rlat", "_lat", grid.dx, grid.dy)
+    return theta.derive(df.select(*dims(df), "value"), name="POT_VORTIC", units="K m2 kg-1 s-1")
+
+
+def omega_slope(etadot: Field, ps: Field) -> Field:
+    """:func:`dynamics.omega_slope`, with the level coefficients of the header's ``pv``. ValueError for
+    fields that are not on half levels or whose header has no coefficients."""
+    if etadot.meta.vcoord_type != "model_level" or etadot.meta.origin_z != -0.5:
+        raise ValueError(f"{etadot.meta.name} is not on half model levels")
+    found = level_coefficients(etadot.meta.keys)
+    if found is None:
+        raise ValueError("the header has no level coefficients")
+    ak, bk = (F.get(F.array(*[F.lit(float(x)) for x in own]), F.col("k") - 1) for own in found)
+    both = align(etadot.df, ps.df.select(*dims(ps.df), F.col("value").alias("_ps"))).withColumns({"_ak": ak, "_bk": bk})
+    df = dynamics.omega_slope(both, "value", "_ps", "_ak", "_bk", "_out")
+    return etadot.derive(df.select(*dims(etadot.df), F.col("_out").alias("value")), name="OMEGA", units="Pa s-1", origin_z=0.0)
+
+
 def remap_to_grid(field: Field, goal: str, weights: DataFrame, grids: DataFrame) -> Field:
     """A field on cells on one of the regular grids that weights have been made for.
 

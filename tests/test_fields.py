@@ -442,3 +442,40 @@ def test_remap_to_a_named_grid(spark):
         checked.remap_to_grid(field_of_cells, "geolatlon", weights, grids)
     with pytest.raises(ValueError):
         checked.remap_to_grid(field(spark), "rotlatlon", weights, grids)
+
+
+def test_checked_dynamics(spark):
+    """The same numbers as the bare operators on a cube, and errors for fields that do not fit."""
+    rng = np.random.default_rng(6)
+    noise = {n: rng.normal(size=(4, 5, 6)) for n in ("u", "v", "w", "th", "rho", "etadot")}
+
+    def cube(name, half, value):
+        rows = [(k, y, x, float(value(k, y, x))) for k in range(1, 5 if half else 4) for y in range(5) for x in range(6)]
+        return Field(spark.createDataFrame(rows, "k int, y int, x int, value double"), FieldMeta(name, keys=KEYS, origin_x=0.0, origin_y=0.0, origin_z=-0.5 if half else 0.0))
+
+    of = lambda n: lambda k, y, x: noise[n][k - 1, y, x]
+    u, v, th, rho = (cube(n, False, of(n.lower())) for n in ("U", "V", "TH", "RHO"))
+    w, hhl = cube("W", True, of("w")), cube("HHL", True, lambda k, y, x: 5000 - 1000 * k + 10 * x + 7 * y)
+    wide = hhl.df.withColumnRenamed("value", "h").join(w.df.withColumnRenamed("value", "w"), ["k", "y", "x"])
+    for name, f in (("u", u), ("v", v)):
+        wide = wide.join(f.df.withColumnRenamed("value", name), ["k", "y", "x"], "left")
+    bare = dynamics.curl(wide.withColumn("rlat", F.radians(-1.0 + F.col("y") * 0.1)), "u", "v", "w", "h", "rlat", 0.1, 0.1)
+    want = {(r.k, r.y, r.x): (r.curl_1, r.curl_2, r.curl_3) for r in bare.collect()}
+    for i, (name, f) in enumerate(checked.curl(u, v, w, hhl).items()):
+        got = {(r.k, r.y, r.x): r.value for r in f.df.collect()}
+        assert got.keys() == want.keys() and f.meta.name == name.upper()
+        assert all(got[p] is None if want[p][i] is None else got[p] == pytest.approx(want[p][i], rel=1e-9) for p in want)
+    assert checked.potential_vorticity(u, v, w, th, rho, hhl).df.where("value is not null").count() == 3 * 3 * 4
+    etadot = cube("ETADOT", True, of("etadot"))
+    etadot = etadot.derive(etadot.df, pv=[20000.0, 15000.0, 7000.0, 0.0, 0.0, 0.1, 0.5, 1.0])
+    ps = Field(u.df.where("k = 1").select("y", "x", F.lit(1e5).alias("value")), FieldMeta("PS", vcoord_type="surface"))
+    omega = checked.omega_slope(etadot, ps)
+    first = {(r.y, r.x): r.value for r in omega.df.where("k = 1").collect()}
+    assert omega.df.count() == 90 and first[0, 0] == pytest.approx(2 * noise["etadot"][0, 0, 0] * 1e5 * (-5000 / 1e5 + 0.1) / (-5000 / dynamics.c.P_REF + 0.1))
+    geo = u.derive(u.df, vref="geo")
+    for bad in (lambda: checked.curl(geo, v, w, hhl), lambda: checked.curl(u, v, u, hhl), lambda: checked.curl(w, v, w, hhl), lambda: checked.potential_vorticity(u, geo, w, th, rho, hhl),
+                lambda: checked.curl(u.derive(u.df, origin_x=0.5), v, w, hhl), lambda: checked.omega_slope(w, ps), lambda: checked.omega_slope(u, ps)):
+        with pytest.raises(ValueError):
+            bad()
+    level = checked.destagger(w.derive(w.df, typeOfLevel="generalVertical"), "k")
+    assert level.meta.keys["typeOfLevel"] == "generalVerticalLayer" and checked.to_geographic_axes(u, v)[0].meta.keys["uvRelativeToGrid"] == 0
