@@ -479,3 +479,36 @@ def test_checked_dynamics(spark):
             bad()
     level = checked.destagger(w.derive(w.df, typeOfLevel="generalVertical"), "k")
     assert level.meta.keys["typeOfLevel"] == "generalVerticalLayer" and checked.to_geographic_axes(u, v)[0].meta.keys["uvRelativeToGrid"] == 0
+
+
+def test_barycentric_remap_of_a_curved_field(spark):
+    """Against the triangle that a search of all triples finds: it holds the point and its circle no other cell."""
+    rng = np.random.default_rng(8)
+    n = 24
+    cells = spark.createDataFrame([(i, 7 + 2 * float(a), 45 + float(b)) for i, (a, b) in enumerate(rng.random((n, 2)))], "cell long, lon double, lat double")
+    px, py = triangles.PLANE.from_geographic(F.col("lon"), F.col("lat"))
+    at = np.array([(r.px, r.py) for r in cells.select("cell", px.alias("px"), py.alias("py")).orderBy("cell").collect()])
+    f = np.sin(at[:, 0] / 2e4) + (at[:, 1] / 5e4) ** 2
+    values = spark.createDataFrame([(i, float(v)) for i, v in enumerate(f)], "cell long, f double")
+    target = gis.RegularGrid(8, 6, 7.2, 45.1, 0.22, 0.15)
+    qx, qy = triangles.PLANE.from_geographic(F.col("gx"), F.col("gy"))
+    goal = {(r.y, r.x): np.array([r.qx, r.qy]) for r in target.points(spark).select("y", "x", qx.alias("qx"), qy.alias("qy")).collect()}
+
+    def brute(q):
+        for i in range(n):
+            for j in range(i):
+                for k in range(j):
+                    a, b, c = at[i], at[j], at[k]
+                    m = np.array([[a[0], b[0], c[0]], [a[1], b[1], c[1]], [1, 1, 1]])
+                    w = np.linalg.solve(m, np.array([q[0], q[1], 1]))
+                    if (w >= 0).all():
+                        centre = np.linalg.solve(2 * np.array([b - a, c - a]), np.array([b @ b - a @ a, c @ c - a @ a]))
+                        r = np.hypot(*(a - centre))
+                        if sum(np.hypot(*(p - centre)) < r * (1 - 1e-9) for p in at) == 0:
+                            return float(w @ f[[i, j, k]])
+        return None
+
+    got = {(r.y, r.x): r.value for r in triangles.iconremap(values, "f", cells, target).collect()}
+    want = {p: brute(q) for p, q in goal.items()}
+    assert sum(v is not None for v in want.values()) > 20
+    assert all(got[p] is None if v is None else got[p] == pytest.approx(v, abs=1e-9) for p, v in want.items())
