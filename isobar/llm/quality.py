@@ -7,9 +7,11 @@ space and line ends: with finer symbols rare strings look likely to a model of t
 ``BLOCK`` bytes where they lie; each block gives the sorted hashes of its 4-grams with their counts,
 so what is gathered grows with the text, while the model of a Latin text has 32**4 entries at most.
 Spark sums the counts and estimates all orders by group-bys, windows and joins. The model is stored
-in shards by ranges of the hash, as many as the text is large, each two arrays: sorted hashes and
-log probabilities. A block asks each shard for its own 4-grams, and its texts are scored with
-the answers; no task or driver holds the whole model. The texts scored are those counted, so each
+in shards by ranges of the hash, one for each ``SHARD`` entries, each two arrays: sorted hashes and
+log probabilities. A block asks the shards for its own 4-grams, ``ASKING`` blocks a copy of each, and
+its texts are scored with the answers; no task or driver holds the whole of a large model, and the
+rows that go around are as many as blocks and shards of the model, not their number times the text's.
+The texts scored are those counted, so each
 4-gram is found and none needs a back-off weight of its own.
 
 A document's perplexity is compared with a band of its own language: the median of all
@@ -38,6 +40,8 @@ CLASSES = 1 << BITS
 LANGUAGES, OTHER = 1000, "other"
 LINE, BLANK, SYMBOL, STOP, DIGIT, FOREIGN = 10, 32, 35, 46, 48, 64
 BLOCK, LEVEL = 32 << 20, 9
+#: Entries of a shard of the model, and blocks that ask one copy of it.
+SHARD, ASKING = 1 << 20, 32
 #: Odd multiplier and its inverse modulo 2**64: the hash of an n-gram is one to one.
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -136,20 +140,16 @@ def _keys(body: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> tuple[np.n
     return g | np.repeat(langs.astype(np.uint64), sizes) << np.uint64(BITS * ORDER), sizes
 
 
-def blocks(docs: DataFrame, groups: tuple[str, ...], shards: int) -> DataFrame:
+def blocks(docs: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """Blocks of ``docs(_id, lang, text)``: rows ``(block, body)`` with some of its texts (an Arrow
-    stream), and rows ``(block, shard, hashes, counts)`` with its 4-grams in a range of the hash."""
+    stream), and a row ``(block, hashes, counts)`` with its 4-grams, hashes ascending."""
 
     def sent(block: int, seen: list) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([x[0] for x in seen])
         by = np.argsort(h)
         h, n = h[by], np.concatenate([x[1] for x in seen])[by]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        h, n = h[first], np.add.reduceat(n, first).astype(np.uint32)
-        shard = _shard(h, shards)
-        for k in np.unique(shard).tolist():
-            a, b = np.searchsorted(shard, [k, k + 1])
-            yield _record(block, None, k, h[a:b].tobytes(), n[a:b].tobytes())
+        yield _record(block, None, h[first].tobytes(), np.add.reduceat(n, first).astype(np.uint32).tobytes())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
@@ -163,7 +163,7 @@ def blocks(docs: DataFrame, groups: tuple[str, ...], shards: int) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema, options=packing) as out:
                     out.write_batch(b.slice(first, after - first))
-                yield _record(block, sink.getvalue().to_pybytes(), None, None, None)
+                yield _record(block, sink.getvalue().to_pybytes(), None, None)
                 size += len(body)
                 if size >= BLOCK:
                     yield from sent(block, seen)
@@ -171,13 +171,28 @@ def blocks(docs: DataFrame, groups: tuple[str, ...], shards: int) -> DataFrame:
         if seen:
             yield from sent(block, seen)
 
-    return docs.mapInArrow(of, "block long, body binary, shard long, hashes binary, counts binary")
+    return docs.mapInArrow(of, "block long, body binary, hashes binary, counts binary")
 
 
-def _record(block, body, shard, hashes, counts) -> pa.RecordBatch:
-    columns = [pa.array([block], pa.int64()), pa.array([body], pa.binary()), pa.array([shard], pa.int64()),
-               pa.array([hashes], pa.binary()), pa.array([counts], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "body", "shard", "hashes", "counts"])
+def _record(block, body, hashes, counts) -> pa.RecordBatch:
+    columns = [pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (body, hashes, counts)]]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "body", "hashes", "counts"])
+
+
+def questions(parts: DataFrame, shards: int, copies: int) -> DataFrame:
+    """``(block, shard, copy, hashes)``: the 4-grams of ``parts(block, hashes)`` by the shard that has
+    them, and which copy of it the block asks."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, hashes in zip(b.column(0).to_pylist(), b.column(1)):
+                h = np.frombuffer(hashes.as_py(), np.uint64)
+                shard = _shard(h, shards)
+                for k in np.unique(shard).tolist():
+                    low, high = np.searchsorted(shard, [k, k + 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int64()), pa.array([h[low:high].tobytes()], pa.binary())], names=["block", "shard", "hashes"])
+
+    asked = parts.mapInArrow(of, "block long, shard long, hashes binary")
+    return asked.withColumn("copy", F.pmod(F.xxhash64("block"), F.lit(copies)))
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -265,16 +280,17 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def scored(docs: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """``(_id, lang, measures, log_perplexity)`` of ``docs(_id, lang, text)``, one row for each."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + size // BLOCK
-    parts = stored(blocks(docs, groups, shards), "blocks")
-    asked = parts.where("shard is not null").select("block", "shard", "hashes", "counts")
-    estimates, used = kneser_ney(stored(gram_counts(asked), "grams"))
+    parts = stored(blocks(docs, groups), "blocks")
+    counted = parts.where("hashes is not null").select("block", "hashes", "counts")
+    counts = stored(gram_counts(counted), "grams")
+    shards, copies = 1 + counts.count() // SHARD, 1 + counted.count() // ASKING
+    estimates, used = kneser_ney(counts)
     model = stored(sorted_arrays(estimates, shards), "model")
     for table in used:
         discard(table)
-    answers = asked.select("block", "shard", "hashes").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(
-        _answers, "block long, shard long, logp binary")
+    copied = model.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    asked = questions(counted.select("block", "hashes"), shards, copies)
+    answers = asked.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(_answers, "block long, shard long, logp binary")
     schema = T.StructType([docs.schema["_id"], T.StructField("lang", T.StringType())]
                           + [T.StructField(c, T.LongType()) for c in MEASURES] + [T.StructField("log_perplexity", T.DoubleType())])
 

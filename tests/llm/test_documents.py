@@ -337,6 +337,16 @@ def test_ascii_texts_are_cut_alike():
     assert cut("I'm é 12") == every("I'm é 12") and bpe.cutter(r"\p{Lu}+")("AB c") == ["AB"]
 
 
+def test_model_in_shards_and_copies(spark, real, monkeypatch):
+    """Many small shards and copies give the scores of one."""
+    _, df = real
+    rows = lambda: {r.doc_id: r.log_perplexity for r in quality.quality(df.repartition(6)).collect()}
+    one = rows()
+    monkeypatch.setattr(quality, "SHARD", 1000)
+    monkeypatch.setattr(quality, "ASKING", 2)
+    assert rows() == pytest.approx(one, abs=1e-6, nan_ok=True)
+
+
 def test_every_token_encodes_to_itself():
     """What taking equal ranks for equal pairs rests on."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
