@@ -2,14 +2,15 @@
 
 Texts become blocks of word numbers, one array for a language's texts in a block. A phrase of k words
 is a pair of phrases of k - 1 words that overlap in all but two: level by level, each block counts the
-pairs of adjacent frequent names it has, one shuffle by pair sums the counts of all blocks and gives a
-pair that is frequent its name, and the names go back to the blocks by block, where they take the place
-of the pairs for the next level. A pair's name also says what it was made from: following the left or
+pairs of adjacent frequent names it has, one shuffle sums the counts of all blocks and gives a pair that
+is frequent its name, and the names go back to the blocks by block, where they take the place of the
+pairs for the next level. Pairs go packed: a block sends each shard, a range of the pairs' hashes, one
+row with its pairs, and there is a shard for each ``SHARD`` words. A pair's name also says what it was made from: following the left or
 the right half down gives the frequencies of all beginnings and ends of a phrase, for its cuts, and the
 pairs made from a phrase are the longer ones that hold it.
 
-A block has about ``BLOCK`` bytes of text, so the work of a task is bounded; the rows of a pair are as
-many as blocks have it, however often it occurs.
+A block has about ``BLOCK`` bytes of text, so the work of a task is bounded; of a pair a shard gets one
+count from each block that has it, however often it occurs.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored, text_bytes
+from .common import discard, mix, stored, text_bytes
 
 BLOCK, PART, BATCH = 16 << 20, 2 << 20, 50_000
+SHARD = 1 << 22
 LONGEST = 5
 #: Ends of pieces; the tab separates words as the space does. Fixed values.
 ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n\n\n\n\n\n\n\n\n\n ")
@@ -32,7 +34,9 @@ ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n\n\n\n\n\n\n\n\n\n ")
 BLOCKS_BITS = 8
 #: Rows of a place in a block, numbered ``here`` (the block's number in the high half), and of a block.
 LEVEL_ONE = "lang string, word string, here long, n int, block long, body binary"
-LEVEL = "a long, b long, here long, n int, block long, body binary"
+#: Rows of the pairs that a block sends to a shard, and of a block.
+LEVEL = "shard long, block long, pairs binary, body binary"
+HITS = "here long, a long, b long, f long, name long"
 ZSTD = pa.Codec("zstd")
 
 
@@ -94,29 +98,32 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block()
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    raw = b"".join(x.tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(cell: pa.Scalar) -> pa.Buffer:
+    raw = cell.as_buffer()
+    return ZSTD.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"))
+
+
 def _rows(block: int, body: np.ndarray, n: np.ndarray, **columns: pa.Array) -> list[pa.RecordBatch]:
-    """A row for each place of a block, with these columns, and one with its array."""
+    """A row for each word of a block, with these columns, and one with its array."""
     m = len(n)
     columns |= {"here": pa.array(np.arange(block << 32, (block << 32) + m)), "n": pa.array(n.astype(np.int32))}
     columns = {c: pa.concat_arrays([x, pa.nulls(1, x.type)]) for c, x in columns.items()}
-    packed = len(body).to_bytes(8, "little") + ZSTD.compress(body.tobytes(), asbytes=True)
-    ends = {"block": [block], "body": [packed]}
+    ends = {"block": [block], "body": [_packed(body)]}
     for name, kind in (("block", pa.int64()), ("body", pa.binary())):
         columns[name] = pa.concat_arrays([pa.nulls(m, kind), pa.array(ends[name], kind)])
     return pa.table(columns).to_batches(BATCH)
 
 
-def _array(body: pa.Scalar) -> np.ndarray:
-    raw = body.as_buffer()
-    size = int.from_bytes(raw[:8].to_pybytes(), "little")
-    return np.frombuffer(ZSTD.decompress(raw[8:], 4 * size), np.int32)
-
-
-def _paired(left: pa.Table, right: pa.Table, dense: bool) -> pa.Table:
+def _paired(left: pa.Table, right: pa.Table, dense: bool, shards: int) -> pa.Table:
     """Of one block, its array and the names of its frequent places: the pairs of adjacent names with
-    their counts, and the array of their places. A ``dense`` array has a place for each word, others
+    their counts, a row for each shard, and the array of their places. A ``dense`` array has a place for each word, others
     have the words at which something begins, then its places."""
-    body = _array(left["body"][0])
+    body = np.frombuffer(_unpacked(left["body"][0]), np.int32)
     at = np.flatnonzero(body >= 0).astype(np.int32) if dense else body[: len(body) // 2]
     own = body[at] if dense else body[len(body) // 2:]
     place, name = right["here"].to_numpy() & 0xFFFFFFFF, right["name"].to_numpy()
@@ -128,19 +135,53 @@ def _paired(left: pa.Table, right: pa.Table, dense: bool) -> pa.Table:
     pairs, where, n = np.unique(own[next_to].astype(np.int64) * len(place) + own[next_to + 1], return_inverse=True, return_counts=True)
     new = np.concatenate((at[next_to], where.astype(np.int32)))
     del at, own, next_to, where
-    wide = max(1, len(place))
-    return pa.Table.from_batches(_rows(left["block"][0].as_py(), new, n, a=pa.array(name[pairs // wide]), b=pa.array(name[pairs % wide])))
-
-
-def _pairing(dense: bool):
-    none = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("here", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("body", pa.binary())]).empty_table()
-    return lambda left, right: _paired(left, right, dense) if left.num_rows else none
-
-
-def _frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Rows of the frequent, with their frequency ``f`` and ``name``: the first place that has them."""
-    same = Window.partitionBy(*by)
-    named = rows.where("body is null").select("here", *by, F.sum("n").over(same).alias("f"), F.min("here").over(same).alias("name"))
+    wide, block = max(1, len(place)), left["block"][0].as_py()
+    a, b = name[pairs // wide], name[pairs % wide]
+    hashed = mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(b.astype(np.uint64)))
+    shard = ((hashed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    out: list[tuple] = []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[k]: cuts[k + 1]]
+        out.append((k, block, _packed(a[own], b[own], np.diff(own.astype(np.int32), prepend=np.int32(0)), n[own].astype(np.int32)), None))
+    out.append((None, block, None, _packed(new)))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "block", "pairs", "body"])
+
+
+def _pairing(dense: bool, shards: int):
+    none = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("pairs", pa.binary()), ("body", pa.binary())]).empty_table()
+    return lambda left, right: _paired(left, right, dense, shards) if left.num_rows else none
+
+
+def _summing(least: int):
+    def of(table: pa.Table) -> pa.Table:
+        """Of one shard, the pairs of all blocks: those that are frequent."""
+        parts = []
+        for block, cell in zip(table["block"].to_pylist(), table["pairs"]):
+            raw = _unpacked(cell)
+            m = raw.size // 24
+            a, b = np.frombuffer(raw, np.int64, m), np.frombuffer(raw, np.int64, m, 8 * m)
+            place, n = np.frombuffer(raw, np.int32, m, 16 * m), np.frombuffer(raw, np.int32, m, 20 * m)
+            parts.append((a, b, n, (block << 32) + np.cumsum(place, dtype=np.int64)))
+        a, b, n, here = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((b, a))
+        a, b, n, here = a[order], b[order], n[order].astype(np.int64), here[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        f, name = np.add.reduceat(n, first), np.minimum.reduceat(here, first)
+        sizes = np.diff(np.append(first, len(a)))
+        f, name = np.repeat(f, sizes), np.repeat(name, sizes)
+        good = f >= least
+        return pa.Table.from_batches(pa.table([x[good] for x in (here, a, b, f, name)], names=["here", "a", "b", "f", "name"]).to_batches(BATCH),
+                                     pa.schema([(c, pa.int64()) for c in ("here", "a", "b", "f", "name")]))
+    return of
+
+
+def _frequent(rows: DataFrame, least: int) -> DataFrame:
+    """Rows of the frequent words, with their frequency ``f`` and ``name``: the first place that has them."""
+    same = Window.partitionBy("lang", "word")
+    named = rows.where("body is null").select("here", "lang", "word", F.sum("n").over(same).alias("f"), F.min("here").over(same).alias("name"))
     return named.where(F.col("f") >= least)
 
 
@@ -158,13 +199,15 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 2000, covered: int =
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     level = stored(source.mapInArrow(_numbered, LEVEL_ONE), "phrases1")
     total = stored(level.where("body is null").groupBy("lang").agg(F.sum("n").alias("total")), "words")
-    hits = [stored(_frequent(level, ["lang", "word"], least), "hits1")]
+    hits = [stored(_frequent(level, least), "hits1")]
+    shards = 1 + (total.agg(F.sum("total")).first()[0] or 0) // SHARD
     for k in range(2, LONGEST + 1):
         bodies, names = level.where("body is not null").select("block", "body"), hits[-1].select(F.shiftright("here", 32).alias("block"), "here", "name")
-        following = stored(bodies.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairing(k == 2), LEVEL), f"phrases{k}")
+        following = stored(bodies.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairing(k == 2, shards), LEVEL), f"phrases{k}")
         discard(level)
         level = following
-        hits.append(stored(_frequent(level, ["a", "b"], least), f"hits{k}"))
+        pairs = level.where("pairs is not null").select("shard", "block", "pairs")
+        hits.append(stored(pairs.groupBy("shard").applyInArrow(_summing(least), HITS), f"hits{k}"))
     discard(level)
     out = stored(_first(_scored(hits, total, covered), most), "phrases")
     for df in (total, *hits):
