@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from isobar import __main__ as job
 from isobar.field import Field, FieldMeta
 from isobar.metadata import UnitOfTime, code_flags, flags_at, level_coefficients, origin, with_origins
-from isobar.operators import checked, dynamics, gis, projections, stagger, triangles
+from isobar.operators import checked, columns, dynamics, gis, projections, stagger, triangles, vertical
 from isobar.sources import catalog, gridmsg, parameters, slabs
 from isobar.streaming import runs
 
@@ -512,3 +512,25 @@ def test_barycentric_remap_of_a_curved_field(spark):
     want = {p: brute(q) for p, q in goal.items()}
     assert sum(v is not None for v in want.values()) > 20
     assert all(got[p] is None if v is None else got[p] == pytest.approx(v, abs=1e-9) for p, v in want.items())
+
+
+def test_columns_give_the_rows_of_levels_without_a_shuffle(spark):
+    """Column arrays from long rows: the same values as the long operators; on arrays no exchange."""
+    rng = np.random.default_rng(9)
+    rows = [(e, y, x, k, float(20000 * k + 900 * rng.random()), float(rng.normal(270, 15)), 9000.0 - 1500 * k - 10 * rng.random()) for e in (0, 1) for y in range(2) for x in range(3) for k in range(1, 6)]
+    rows.append((0, 9, 9, 1, 20000.0, 280.0, 5000.0))  # a column of one level
+    df = spark.createDataFrame(rows, "eps int, y int, x int, k int, p double, t double, h double")
+    wide = spark.createDataFrame(columns.to_columns(df, "p", "t", "h").collect(), columns.to_columns(df, "p", "t", "h").schema)
+    assert columns.to_levels(wide, "p", "t", "h").count() == len(rows)
+    pairs = [(vertical.interpolate_k2p(df, "t", "p", [300.0, 500.0, 1100.0], m, "hPa"), columns.interpolate_k2p(wide, "t", "p", [300.0, 500.0, 1100.0], m, "hPa")) for m in ("linear_in_p", "linear_in_lnp", "nearest_sfc")]
+    pairs += [(vertical.zero_isotherm(df, "t", "h", e), columns.zero_isotherm(wide, "t", "h", e)) for e in (False, True)]
+    bounds = df.withColumns({"b": F.lit(2000.0), "u": F.lit(6000.0)})
+    pairs += [(vertical.minmax_k(bounds, "t", "h", "b", "u", o), columns.minmax_k(wide, "t", "h", F.lit(2000.0), F.lit(6000.0), o)) for o in ("minimum", "maximum")]
+    for long, short in pairs:
+        assert "Exchange" not in short._jdf.queryExecution().executedPlan().toString()
+        key = lambda r: tuple(v for v, c in zip(r, long.columns) if c != "value")
+        want = {key(r): r.value for r in long.collect()}
+        got = {key(r): r.value for r in short.select(long.columns).collect()}
+        assert got.keys() == want.keys() and all(got[k] == (None if v is None else pytest.approx(v, rel=1e-12)) for k, v in want.items())
+    with pytest.raises(RuntimeError):
+        columns.interpolate_k2p(wide, "t", "p", [1.0], "other")
