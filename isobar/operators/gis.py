@@ -87,9 +87,9 @@ def remap(df: DataFrame, column: str, weights: DataFrame, out: str = "value") ->
     its cells is undefined or missing. Results stay within the stencil's values.
     """
     rest = [d for d in dims(df) if d != "cell"]
-    values = df.select(*rest, "cell", F.col(column).alias("_v")).where("_v is not null")
+    values = df.select(*rest, "cell", F.col(column).alias("_v"))  # a filter by _v would compute the column twice
     sums = weights.join(values, "cell").groupBy(*rest, "dst").agg(
-        F.sum(F.col("w") * F.col("_v")).alias("_s"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_have"))
+        F.sum(F.col("w") * F.col("_v")).alias("_s"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("_v").alias("_have"))
     targets = weights.groupBy("dst").agg(F.count("*").alias("_need"), F.bool_and("found").alias("_found"))
     if rest:  # members, times and levels, never points
         targets = targets.crossJoin(F.broadcast(df.select(*rest).distinct()))

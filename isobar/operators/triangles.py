@@ -1,8 +1,8 @@
 """Barycentric remapping from scattered cells to a regular grid.
 
 Both point sets are projected to UTM 32N and dealt to square tiles; a tile gets the cells in a
-margin as wide as itself too, so each cell goes to nine tiles at most. In a tile every target looks
-for the Delaunay triangle around it. If its circumcircle lies in what the tile has seen, no cell
+margin as wide as itself too, so each cell goes to nine tiles at most. In a tile all targets together
+look for the Delaunay triangles around them. If its circumcircle lies in what the tile has seen, no cell
 elsewhere can be inside, and the triangle is one of the whole set. Targets without one, where cells
 are sparse, try again with tiles twice as wide. Targets outside the convex hull of all cells are
 not found; the hull is reduced in the tasks first.
@@ -25,6 +25,8 @@ from .projections import System
 
 PLANE = System("utm32n")
 WEIGHTS = "dst long, cell_0 long, cell_1 long, cell_2 long, w_0 double, w_1 double, w_2 double"
+#: Points times cells that are compared at once, and how many times the cells' distance a tile is wide.
+CHUNK, WIDE = 1 << 20, 4.0
 
 
 def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,45 +62,58 @@ def _hull(points: DataFrame) -> np.ndarray:
 
 
 def _inside(hull: np.ndarray):
-    """Condition that the point ``px, py`` lies in the hull, its edges included."""
-    out = F.lit(len(hull) > 2)
-    for (ax, ay), (bx, by) in zip(hull.tolist(), np.roll(hull, -1, axis=0).tolist()):
-        out = out & ((bx - ax) * (F.col("py") - ay) - (by - ay) * (F.col("px") - ax) >= -1e-6)
-    return out
-
-
-def delaunay_at(cells: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Corners, weights and circumradius of the Delaunay triangle of ``cells`` around ``q``, None
-    outside their hull.
-
-    Lifted to a paraboloid, that triangle is the lowest one above ``q``: the least sum of weights
-    times heights whose weighted points give ``q``, a linear programme in two dimensions. It is
-    solved by simplex steps from three far corners that stand for no cell.
+    """A function of ``px, py``: whether that point lies in the hull, its edges included. It is one
+    search among the corners, while a condition in columns would grow with them."""
+    top = int(np.lexsort((hull[:, 1], hull[:, 0]))[-1]) if len(hull) > 2 else 0
+    low, high = hull[: top + 1], np.concatenate((hull[top:], hull[:1]))[::-1]
+    low, high = low[: len(low) - int(top > 0 and low[-1, 0] == low[-2, 0])], high[int(top > 0 and high[0, 0] == high[1, 0]):]
+
+    def of(px: pd.Series, py: pd.Series) -> pd.Series:
+        if not top:
+            return pd.Series(np.zeros(len(px), bool))
+        x, y, off = px.to_numpy(np.float64), py.to_numpy(np.float64), 1e-6
+        return pd.Series((x >= hull[0, 0] - off) & (x <= hull[top, 0] + off) & (y >= np.interp(x, *low.T) - off) & (y <= np.interp(x, *high.T) + off))
+    return F.pandas_udf(of, "boolean")
+
+
+def delaunay_around(cells: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the points ``q``: whether it lies in the hull of ``cells`` and, if so, corners,
+    weights and circumcircle (x, y, radius) of the Delaunay triangle around it.
+
+    Lifted to a paraboloid, that triangle is the lowest one above a point: the least sum of weights
+    times heights whose weighted points give it, a linear programme in two dimensions. It is solved by
+    simplex steps from three far corners that stand for no cell, of all points at once.
     """
-    p = cells - q
-    scale = np.sqrt((p ** 2).sum(1).max()) or 1.0
+    origin, n = (cells.min(0) + cells.max(0)) / 2, len(cells)
+    scale = np.sqrt(max(((cells - origin) ** 2).sum(1).max(), ((q - origin) ** 2).sum(1).max(initial=0.0))) or 1.0
     far = 8.0 * np.array([[0.0, 1.0], [-0.87, -0.5], [0.87, -0.5]])
-    p = np.concatenate((p / scale, far))
-    z = np.concatenate(((p[:-3] ** 2).sum(1), np.full(3, 1e7)))
-    base = np.arange(len(p) - 3, len(p))
-    for _ in range(200):
-        m = np.column_stack((p[base], np.ones(3)))
-        turn = np.linalg.inv(m)
-        gap = z - np.column_stack((p, np.ones(len(p)))) @ (turn @ z[base])
-        j = int(gap.argmin())
-        w = turn[2]
-        if gap[j] >= -1e-10 * (1e7 if base.max() >= len(p) - 3 else 1.0):
+    p = np.concatenate(((cells - origin) / scale, far))
+    z = np.concatenate(((p[:n] ** 2).sum(1), np.full(3, 1e7)))
+    p = np.column_stack((p, np.ones(n + 3)))
+    goal = np.column_stack(((q - origin) / scale, np.ones(len(q))))
+    base = np.tile(np.arange(n, n + 3), (len(q), 1))
+    weights = np.zeros((len(q), 3))
+    left = np.arange(len(q))
+    for step in range(200):
+        own = base[left]
+        turn = np.linalg.inv(p[own])
+        gap = z - np.einsum("qij,qj->qi", turn, z[own]) @ p.T
+        j = gap.argmin(1)
+        w = weights[left] = np.einsum("qi,qij->qj", goal[left], turn)
+        more = gap[np.arange(len(left)), j] < -1e-10 * np.where(own.max(1) >= n, 1e7, 1.0)
+        left, j, w, turn = left[more], j[more], w[more], turn[more]
+        if step == 199 or not len(left):
             break
-        mu = np.append(p[j], 1.0) @ turn
+        mu = np.einsum("qi,qij->qj", p[j], turn)
         ratio = np.where(mu > 1e-12, w / np.where(mu > 1e-12, mu, 1.0), np.inf)
-        base[int(ratio.argmin())] = j
-    if base.max() >= len(p) - 3:
-        return None
-    a, b, c = p[base]
+        base[left, ratio.argmin(1)] = j
+    found = base.max(1) < n
+    base, weights = base[found], weights[found]
+    a, b, c = (cells[base[:, k]] for k in range(3))
     area = _cross(b - a, c - a)
-    norm = ((b - a) ** 2).sum(), ((c - a) ** 2).sum()
-    centre = a + np.array([(c - a)[1] * norm[0] - (b - a)[1] * norm[1], (b - a)[0] * norm[1] - (c - a)[0] * norm[0]]) / (2 * area)
-    return base, np.clip(w, 0, 1), np.concatenate((centre * scale + q, [np.sqrt(((a - centre) ** 2).sum()) * scale]))
+    norm = ((b - a) ** 2).sum(1), ((c - a) ** 2).sum(1)
+    centre = a + np.column_stack(((c - a)[:, 1] * norm[0] - (b - a)[:, 1] * norm[1], (b - a)[:, 0] * norm[1] - (c - a)[:, 0] * norm[0])) / (2 * area)[:, None]
+    return found, base, np.clip(weights, 0, 1), np.column_stack((centre, np.sqrt(((a - centre) ** 2).sum(1))))
 
 
 def _tiles(size: float, low: np.ndarray, high: np.ndarray):
@@ -108,14 +123,15 @@ def _tiles(size: float, low: np.ndarray, high: np.ndarray):
         points, ids = own[["px", "py"]].to_numpy(), own["cell"].to_numpy()
         begin = np.maximum((np.array(key) - 1) * size, low)
         end = np.minimum((np.array(key) + 2) * size, high)
+        dst, q = goal["dst"].to_numpy(np.int64), goal[["px", "py"]].to_numpy()
         rows = []
-        for dst, q in zip(goal["dst"].to_numpy(), goal[["px", "py"]].to_numpy()) if len(points) > 2 else ():
-            found = delaunay_at(points, q)
-            if found:
-                corners, w, (x, y, r) = found
-                if (np.maximum((x - r, y - r), low) >= begin).all() and (np.minimum((x + r, y + r), high) <= end).all():
-                    rows.append((int(dst), *(int(ids[c]) for c in corners), *w.tolist()))
-        return pd.DataFrame(rows, columns=["dst", "cell_0", "cell_1", "cell_2", "w_0", "w_1", "w_2"])
+        step = max(1, CHUNK // (len(points) + 3))
+        for at in range(0, len(q), step) if len(points) > 2 else ():
+            found, corners, w, circle = delaunay_around(points, q[at: at + step])
+            centre, r = circle[:, :2], circle[:, 2:]
+            known = ((np.maximum(centre - r, low) >= begin) & (np.minimum(centre + r, high) <= end)).all(1)
+            rows.append(pd.DataFrame({"dst": dst[at: at + step][found][known]} | {f"cell_{k}": ids[corners[known, k]] for k in range(3)} | {f"w_{k}": w[known, k] for k in range(3)}))
+        return pd.concat(rows) if rows else pd.DataFrame({c.split()[0]: [] for c in WEIGHTS.split(", ")})
     return of
 
 
@@ -128,12 +144,13 @@ def barycentric_weights(cells: DataFrame, target: RegularGrid) -> DataFrame:
     px, py = PLANE.from_geographic(F.col("lon"), F.col("lat"))
     source = cells.where("lon is not null and lat is not null").select("cell", px.alias("px"), py.alias("py")).groupBy("px", "py").agg(F.min("cell").alias("cell")).cache()
     tx, ty = PLANE.from_geographic(*target.system.to_geographic(F.col("gx"), F.col("gy")))
-    every = target.points(cells.sparkSession).select((F.col("y").cast("long") * target.nx + F.col("x")).alias("dst"), tx.alias("px"), ty.alias("py")).cache()
+    every = target.points(cells.sparkSession).select((F.col("y").cast("long") * target.nx + F.col("x")).alias("dst"), tx.alias("px"), ty.alias("py"))
+    every = every.withColumn("inside", _inside(_hull(source))("px", "py")).cache()
     box = source.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count("*")).first()
-    left = every.where(_inside(_hull(source)))
+    left = every.where("inside").drop("inside")
     found = None
     if box[4] > 2:
-        size = max(1.0, 2.0 * ((box[1] - box[0]) * (box[3] - box[2]) / box[4]) ** 0.5)
+        size = max(1.0, WIDE * ((box[1] - box[0]) * (box[3] - box[2]) / box[4]) ** 0.5)
         reach = max(box[1] - box[0], box[3] - box[2])
         while True:  # until a tile has seen everything
             tile = lambda c, size=size: F.floor(F.col(c) / size)

@@ -6,6 +6,7 @@ import os
 from datetime import datetime, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -514,6 +515,35 @@ def test_barycentric_remap_of_a_curved_field(spark):
     assert all(got[p] is None if v is None else got[p] == pytest.approx(v, abs=1e-9) for p, v in want.items())
 
 
+def test_targets_of_a_tile_are_searched_together(monkeypatch):
+    """Steps go by tile and not by target, and chunks of targets change nothing."""
+    rng = np.random.default_rng(12)
+    points, q = rng.random((60, 2)) * 3000, 1000 + 1000 * rng.random((400, 2))
+    own = pd.DataFrame({"cell": np.arange(60), "dst": None, "px": points[:, 0], "py": points[:, 1]})
+    pdf = pd.concat((own, pd.DataFrame({"cell": None, "dst": np.arange(400), "px": q[:, 0], "py": q[:, 1]})))
+    steps, inverse = [], np.linalg.inv
+    monkeypatch.setattr(np.linalg, "inv", lambda m: steps.append(len(m)) or inverse(m))
+    of = triangles._tiles(1000.0, points.min(0), points.max(0))
+    found = of((1, 1), pdf)
+    assert len(steps) < 100 < len(found) == found["dst"].nunique()
+    monkeypatch.setattr(triangles, "CHUNK", 1000)
+    pd.testing.assert_frame_equal(of((1, 1), pdf).reset_index(drop=True), found.reset_index(drop=True))
+    for r in found.itertuples():
+        at, w = points[[r.cell_0, r.cell_1, r.cell_2]], np.array([r.w_0, r.w_1, r.w_2])
+        assert w @ at == pytest.approx(q[r.dst], abs=1e-6)
+        centre = np.linalg.solve(2 * (at[1:] - at[0]), (at[1:] ** 2).sum(1) - (at[0] ** 2).sum())
+        assert (np.hypot(*(points - centre).T) >= np.hypot(*(at[0] - centre)) * (1 - 1e-9)).all()
+
+
+def test_points_in_a_hull():
+    rng = np.random.default_rng(13)
+    for points in (rng.random((50, 2)), np.array([[0, 0], [0, 1], [1, 0], [1, 1.0]]), np.array([[0, 0], [1, 2], [1, -2.0]]), np.array([[0, 0], [1, 1], [2, 2.0]])):
+        hull = triangles.hull_of(points)
+        q = np.concatenate((rng.random((300, 2)) * 1.4 - 0.2, points))
+        want = len(hull) > 2 and np.array([all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= -1e-9 for (ax, ay), (bx, by) in zip(hull, np.roll(hull, -1, axis=0))) for x, y in q])
+        assert (triangles._inside(hull).func(pd.Series(q[:, 0]), pd.Series(q[:, 1])).to_numpy() == want).all()
+
+
 def test_columns_give_the_rows_of_levels_without_a_shuffle(spark):
     """Column arrays from long rows: the same values as the long operators; on arrays no exchange."""
     rng = np.random.default_rng(9)
