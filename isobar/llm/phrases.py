@@ -4,10 +4,13 @@ Texts become blocks of word numbers, one array for a language's texts in a block
 is a pair of phrases of k - 1 words that overlap in all but two: level by level, each block counts the
 pairs of adjacent frequent names it has, one shuffle sums the counts of all blocks and gives a pair that
 is frequent its name, and the names go back to the blocks by block, where they take the place of the
-pairs for the next level. Pairs go packed: a block sends each shard, a range of the pairs' hashes, one
-row with its pairs, and there is a shard for each ``SHARD`` words. A pair's name also says what it was made from: following the left or
-the right half down gives the frequencies of all beginnings and ends of a phrase, for its cuts, and the
-pairs made from a phrase are the longer ones that hold it.
+pairs for the next level. All of it goes packed: a block sends each shard, a range of the words' or
+pairs' hashes, one row with what it has of it in order, pairs as steps between numbers that stand for
+them one to one; the shard answers with one row that says which of these are frequent and their ranks
+among the shard's, which are names. A frequent word or pair itself is one row, whatever blocks have it.
+There is a shard for each ``SHARD`` bytes of text. A pair's name also says what it was made from:
+following the left or the right half down gives the frequencies of all beginnings and ends of a phrase,
+for its cuts, and the pairs made from a phrase are the longer ones that hold it.
 
 A block has about ``BLOCK`` bytes of text, so the work of a task is bounded; of a pair a shard gets one
 count from each block that has it, however often it occurs.
@@ -16,28 +19,97 @@ count from each block that has it, however often it occurs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mix, stored, text_bytes
+from .common import BASE, discard, flat_bytes, mix, stored, text_bytes
 
 BLOCK, PART, BATCH = 16 << 20, 2 << 20, 50_000
-SHARD = 1 << 22
+SHARD = 32 << 20
 LONGEST = 5
 #: Ends of pieces; the tab separates words as the space does. Fixed values.
 ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n\n\n\n\n\n\n\n\n\n ")
 #: Blocks that one partition may have, as bits of a block's number.
 BLOCKS_BITS = 8
-#: Rows of a place in a block, numbered ``here`` (the block's number in the high half), and of a block.
-LEVEL_ONE = "lang string, word string, here long, n int, block long, body binary"
-#: Rows of the pairs that a block sends to a shard, and of a block.
-LEVEL = "shard long, block long, pairs binary, body binary"
-HITS = "here long, a long, b long, f long, name long"
+#: Rows of what a block sends to a shard, of a block, and of its words by language.
+LEVEL_ONE = "shard long, items binary, body binary, lang string, n long, block long"
+LEVEL = "shard long, block long, items binary, body binary"
+#: Rows of the frequent words or pairs of a shard, and of its answers to blocks.
+WORDS = "name long, lang string, word string, f long, shard long, block long, reply binary"
+PAIRS = "name long, a long, b long, f long, shard long, block long, reply binary"
 ZSTD = pa.Codec("zstd")
+RAW = 9
+
+
+def _packed(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays of numbers from 0 on, each byte of them apart, as many bytes as the largest has; bytes as they are."""
+    heads, parts = [], []
+    for x in arrays:
+        if isinstance(x, bytes):
+            heads += [len(x), RAW]
+            parts.append(x)
+            continue
+        wide = (int(x.max(initial=0)).bit_length() + 7) // 8
+        planes = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(len(x), 8)
+        heads += [len(x), wide]
+        parts += [planes[:, k].tobytes() for k in range(wide)]
+    raw = b"".join((np.array([len(arrays), *heads], "<i8").tobytes(), *parts))
+    return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(cell: pa.Scalar) -> list[np.ndarray]:
+    cell = cell.as_buffer()
+    raw = np.frombuffer(ZSTD.decompress(cell[8:], int.from_bytes(cell[:8].to_pybytes(), "little")), np.uint8)
+    n = int(raw[:8].view("<i8")[0])
+    heads, at, out = raw[8: 8 + 16 * n].view("<i8").tolist(), 8 + 16 * n, []
+    for m, wide in zip(heads[::2], heads[1::2]):
+        if wide == RAW:
+            out.append(raw[at: at + m])
+            at += m
+            continue
+        planes = np.zeros((m, 8 if wide > 4 else 4), np.uint8)
+        for k in range(wide):
+            planes[:, k] = raw[at: at + m]
+            at += m
+        out.append(planes.reshape(-1).view("<i8" if wide > 4 else "<u4").astype(np.int64))
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+class _Mixed:
+    """Pairs of numbers below ``names`` one to one as numbers of so many bits, dealt evenly to shards."""
+
+    def __init__(self, names: int, shards: int):
+        self.names, self.shards, self.bits = names, shards, max(2, 2 * max(1, names - 1).bit_length())
+        if self.bits > 62:
+            raise RuntimeError("too many frequent phrases")
+        self.mask, self.half = np.uint64((1 << self.bits) - 1), np.uint64((self.bits + 1) // 2)
+        self.back = np.uint64(pow(BASE, -1, 1 << 64))
+
+    def mixed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a.astype(np.uint64) * np.uint64(self.names) + b.astype(np.uint64)
+        for _ in range(2):
+            x = x * np.uint64(BASE) & self.mask
+            x ^= x >> self.half
+        return x
+
+    def pairs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for _ in range(2):
+            x = (x ^ x >> self.half) * self.back & self.mask
+        return (x // np.uint64(self.names)).astype(np.int64), (x % np.uint64(self.names)).astype(np.int64)
+
+    def shard(self, x: np.ndarray) -> np.ndarray:
+        few = min(self.bits, 32)
+        return (x >> np.uint64(self.bits - few)) * np.uint64(self.shards) >> np.uint64(few)
 
 
 class _Words(dict):
@@ -53,7 +125,7 @@ class _Words(dict):
         return place
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch], shards: int = 1) -> Iterator[pa.RecordBatch]:
     """Blocks of word numbers, -1 between pieces, and the words of each block."""
     first, made = TaskContext.get().partitionId() << BLOCKS_BITS, 0
     words: dict[str, _Words] = {}
@@ -66,10 +138,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if made >> BLOCKS_BITS:
             raise RuntimeError("a partition has too many blocks")
         numbers = np.concatenate(arrays)
-        n = np.bincount(numbers[numbers >= 0], minlength=len(shared))
-        out = _rows(first + made, numbers, n, lang=pa.array([w[0] for w in shared], pa.string()), word=pa.array([w[1] for w in shared], pa.binary()).cast(pa.string()))
+        out = _rows(first + made, numbers, shared, shards)
         words, shared, arrays, size, made = {}, [], [], 0, made + 1
-        yield from out
+        yield out
 
     def take(lang: str, texts: list[bytes]) -> None:
         own = words.get(lang)
@@ -98,93 +169,138 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block()
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(x.tobytes() for x in arrays)
-    return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
-
-
-def _unpacked(cell: pa.Scalar) -> pa.Buffer:
-    raw = cell.as_buffer()
-    return ZSTD.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"))
-
-
-def _rows(block: int, body: np.ndarray, n: np.ndarray, **columns: pa.Array) -> list[pa.RecordBatch]:
-    """A row for each word of a block, with these columns, and one with its array."""
-    m = len(n)
-    columns |= {"here": pa.array(np.arange(block << 32, (block << 32) + m)), "n": pa.array(n.astype(np.int32))}
-    columns = {c: pa.concat_arrays([x, pa.nulls(1, x.type)]) for c, x in columns.items()}
-    ends = {"block": [block], "body": [_packed(body)]}
-    for name, kind in (("block", pa.int64()), ("body", pa.binary())):
-        columns[name] = pa.concat_arrays([pa.nulls(m, kind), pa.array(ends[name], kind)])
-    return pa.table(columns).to_batches(BATCH)
-
-
-def _paired(left: pa.Table, right: pa.Table, dense: bool, shards: int) -> pa.Table:
-    """Of one block, its array and the names of its frequent places: the pairs of adjacent names with
-    their counts, a row for each shard, and the array of their places. A ``dense`` array has a place for each word, others
-    have the words at which something begins, then its places."""
-    body = np.frombuffer(_unpacked(left["body"][0]), np.int32)
-    at = np.flatnonzero(body >= 0).astype(np.int32) if dense else body[: len(body) // 2]
-    own = body[at] if dense else body[len(body) // 2:]
-    place, name = right["here"].to_numpy() & 0xFFFFFFFF, right["name"].to_numpy()
-    known = np.full(max(int(own.max(initial=-1)), int(place.max(initial=-1))) + 1, -1, np.int32)
-    known[place] = np.arange(len(place))
+def _rows(block: int, body: np.ndarray, shared: list, shards: int) -> pa.RecordBatch:
+    """The words of a block by shard, in the order of word and language, its words by language, and
+    its array: how many words each shard has, then their numbers from 1 on, 0 between pieces."""
+    langs = sorted({lang for lang, _ in shared})
+    place = {lang: i for i, lang in enumerate(langs)}
+    starts = [crc32(lang.encode("utf-8", "surrogatepass")) for lang in langs]
+    lang = np.fromiter((place[key] for key, _ in shared), np.int64, len(shared))
+    hashed = mix(np.fromiter((crc32(word, starts[place[key]]) for key, word in shared), np.uint64, len(shared)))
+    shard = ((hashed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    table = pa.table([pa.array(shard), pa.array([w for _, w in shared], pa.large_binary()), pa.array(lang)], names=["shard", "word", "lang"])
+    order = pc.sort_indices(table, [("shard", "ascending"), ("word", "ascending"), ("lang", "ascending")]).to_numpy()
+    number = np.zeros(len(shared) + 1, np.int64)
+    number[order] = np.arange(1, len(shared) + 1)
+    body = number[body]  # the last one stands for -1
+    n = np.bincount(body, minlength=len(shared) + 1)[1:]
+    lang, cuts, word = lang[order], np.searchsorted(shard[order], np.arange(shards + 1)), table["word"].combine_chunks().take(pa.array(order))
+    data, ends = flat_bytes(word)
+    items = []
+    for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if j > i:
+            own, index = np.unique(lang[i:j], return_inverse=True)
+            names = [langs[x].encode("utf-8", "surrogatepass") for x in own.tolist()]
+            items.append((k, _packed(n[i:j], index, np.diff(ends[i: j + 1]), data[ends[i]: ends[j]].tobytes(), np.array([len(x) for x in names]), b"".join(names))))
+    sums = np.bincount(lang, n, len(langs)).astype(np.int64).tolist()
+    rows = [(k, x, None, None, None, block) for k, x in items] + [(None, None, None, x, m, None) for x, m in zip(langs, sums)]
+    rows.append((None, None, _packed(np.diff(cuts), body), None, None, block))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()))],
+                                      names=["shard", "items", "body", "lang", "n", "block"])
+
+
+def _numbering(shards: int):
+    return lambda batches: _numbered(batches, shards)
+
+
+def _paired(left: pa.Table, right: pa.Table, dense: bool, names: int, shards: int) -> pa.Table:
+    """Of one block, its array and the answers about its words or pairs: the pairs of adjacent frequent
+    ones with their counts, a row for each shard, and the array of their places. A ``dense`` array has
+    a place for each word, others have the words at which something begins, then its places."""
+    sizes, *body = _unpacked(left["body"][0])
+    begins = np.cumsum(sizes) - sizes
+    if dense:
+        at = np.flatnonzero(body[0])
+        own = body[0][at] - 1
+    else:
+        at, own = np.cumsum(body[0]), body[1]
+    known = np.full(int(sizes.sum()), -1, np.int64)
+    for shard, cell in zip(right["shard"].to_pylist(), right["reply"]):
+        place, rank = map(np.cumsum, _unpacked(cell))
+        known[begins[shard] + place] = rank * shards + shard
     own = known[own]
     at, own = at[own >= 0], own[own >= 0]
     next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
-    pairs, where, n = np.unique(own[next_to].astype(np.int64) * len(place) + own[next_to + 1], return_inverse=True, return_counts=True)
-    new = np.concatenate((at[next_to], where.astype(np.int32)))
-    del at, own, next_to, where
-    wide, block = max(1, len(place)), left["block"][0].as_py()
-    a, b = name[pairs // wide], name[pairs % wide]
-    hashed = mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(b.astype(np.uint64)))
-    shard = ((hashed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    out: list[tuple] = []
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        own = order[cuts[k]: cuts[k + 1]]
-        out.append((k, block, _packed(a[own], b[own], np.diff(own.astype(np.int32), prepend=np.int32(0)), n[own].astype(np.int32)), None))
-    out.append((None, block, None, _packed(new)))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "block", "pairs", "body"])
-
-
-def _pairing(dense: bool, shards: int):
-    none = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("pairs", pa.binary()), ("body", pa.binary())]).empty_table()
-    return lambda left, right: _paired(left, right, dense, shards) if left.num_rows else none
+    mixed = _Mixed(names, shards)
+    pairs, where, n = np.unique(mixed.mixed(own[next_to], own[next_to + 1]), return_inverse=True, return_counts=True)
+    cuts = np.searchsorted(mixed.shard(pairs), np.arange(shards + 1))  # pairs in order are shards in order
+    block = left["block"][0].as_py()
+    out: list[tuple] = [(k, block, _packed(_steps(pairs[i:j]), n[i:j]), None) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
+    out.append((None, block, None, _packed(np.diff(cuts), _steps(at[next_to]), where)))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "block", "items", "body"])
+
+
+def _pairing(dense: bool, names: int, shards: int):
+    none = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("items", pa.binary()), ("body", pa.binary())]).empty_table()
+    return lambda left, right: _paired(left, right, dense, names, shards) if left.num_rows else none
+
+
+def _answered(table: pa.Table, index: np.ndarray, n: np.ndarray, sizes: list[int], least: int, shards: int, columns) -> pa.Table:
+    """Of one shard: rows of what is frequent, with ``columns`` of their places among the distinct ones,
+    and for each block which of its own are frequent and their ranks. ``index`` has the place of each
+    item, block after block."""
+    shard = table["shard"][0].as_py()
+    f = np.bincount(index, n).astype(np.int64)  # sums below 2^53 are exact
+    good = np.flatnonzero(f >= least)
+    rank = np.full(len(f), -1, np.int64)
+    rank[good] = np.arange(len(good))
+    replies, blocks, begin = [], [], 0
+    for block, m in zip(table["block"].to_pylist(), sizes):
+        own = rank[index[begin: begin + m]]
+        begin += m
+        place = np.flatnonzero(own >= 0)
+        if len(place):
+            replies.append(_packed(_steps(place), _steps(own[place])))
+            blocks.append(block)
+    few = columns(good)
+    top = pa.table({"name": pa.array(np.arange(len(good)) * shards + shard)} | few | {"f": pa.array(f[good])} | {"shard": pa.nulls(len(good), pa.int64()), "block": pa.nulls(len(good), pa.int64()), "reply": pa.nulls(len(good), pa.binary())})
+    m = len(blocks)
+    rest = pa.table({c: pa.nulls(m, top.schema.field(c).type) for c in ("name", *few, "f")} | {"shard": pa.array([shard] * m, pa.int64()), "block": pa.array(blocks, pa.int64()), "reply": pa.array(replies, pa.binary())})
+    return pa.Table.from_batches(pa.concat_tables([top, rest]).to_batches(BATCH), top.schema)
+
+
+def _words(least: int, shards: int):
+    def of(table: pa.Table) -> pa.Table:
+        """Of one shard, the words of all blocks: those that are frequent."""
+        cells = [_unpacked(cell) for cell in table["items"]]
+        named = []
+        for *_, lengths, body in cells:
+            ends, body = np.cumsum(lengths).tolist(), body.tobytes()
+            named.append([body[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *ends], ends)])
+        langs = sorted(set().union(*named))
+        place = {lang: i for i, lang in enumerate(langs)}
+        lang = np.concatenate([np.array([place[x] for x in own], np.int64)[c[1]] for own, c in zip(named, cells)])
+        n, lengths, data = (np.concatenate([c[k] for c in cells]) for k in (0, 2, 3))
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
+        words = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pairs, index = np.unique(rank[words.indices.to_numpy()] * len(langs) + lang, return_inverse=True)
+
+        def columns(good: np.ndarray) -> dict:
+            word = words.dictionary.take(pa.array(order[pairs[good] // len(langs)])).cast(pa.binary()).cast(pa.string())
+            return {"lang": pa.array(langs, pa.string()).take(pa.array(pairs[good] % len(langs))), "word": word}
+        return _answered(table, index, n, [len(c[0]) for c in cells], least, shards, columns)
+    return of
 
 
-def _summing(least: int):
+def _summing(least: int, names: int, shards: int):
     def of(table: pa.Table) -> pa.Table:
         """Of one shard, the pairs of all blocks: those that are frequent."""
-        parts = []
-        for block, cell in zip(table["block"].to_pylist(), table["pairs"]):
-            raw = _unpacked(cell)
-            m = raw.size // 24
-            a, b = np.frombuffer(raw, np.int64, m), np.frombuffer(raw, np.int64, m, 8 * m)
-            place, n = np.frombuffer(raw, np.int32, m, 16 * m), np.frombuffer(raw, np.int32, m, 20 * m)
-            parts.append((a, b, n, (block << 32) + np.cumsum(place, dtype=np.int64)))
-        a, b, n, here = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.lexsort((b, a))
-        a, b, n, here = a[order], b[order], n[order].astype(np.int64), here[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        f, name = np.add.reduceat(n, first), np.minimum.reduceat(here, first)
-        sizes = np.diff(np.append(first, len(a)))
-        f, name = np.repeat(f, sizes), np.repeat(name, sizes)
-        good = f >= least
-        return pa.Table.from_batches(pa.table([x[good] for x in (here, a, b, f, name)], names=["here", "a", "b", "f", "name"]).to_batches(BATCH),
-                                     pa.schema([(c, pa.int64()) for c in ("here", "a", "b", "f", "name")]))
+        cells = [_unpacked(cell) for cell in table["items"]]
+        sizes = [len(c[0]) for c in cells]
+        pairs, n = np.concatenate([np.cumsum(c[0]) for c in cells]), np.concatenate([c[1] for c in cells])
+        del cells
+        pairs, index = np.unique(pairs, return_inverse=True)
+
+        def columns(good: np.ndarray) -> dict:
+            a, b = _Mixed(names, shards).pairs(pairs[good].astype(np.uint64))
+            return {"a": pa.array(a), "b": pa.array(b)}
+        return _answered(table, index, n, sizes, least, shards, columns)
     return of
 
 
-def _frequent(rows: DataFrame, least: int) -> DataFrame:
-    """Rows of the frequent words, with their frequency ``f`` and ``name``: the first place that has them."""
-    same = Window.partitionBy("lang", "word")
-    named = rows.where("body is null").select("here", "lang", "word", F.sum("n").over(same).alias("f"), F.min("here").over(same).alias("name"))
-    return named.where(F.col("f") >= least)
-
-
 def phrases(docs: DataFrame, least: int = 100, most: int = 2000, covered: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's ``most`` first phrases.
 
@@ -197,17 +313,18 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 2000, covered: int =
     count as often as they occur; other columns are ignored. Empty in, empty out.
     """
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    level = stored(source.mapInArrow(_numbered, LEVEL_ONE), "phrases1")
-    total = stored(level.where("body is null").groupBy("lang").agg(F.sum("n").alias("total")), "words")
-    hits = [stored(_frequent(level, least), "hits1")]
-    shards = 1 + (total.agg(F.sum("total")).first()[0] or 0) // SHARD
+    shards = 1 + (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD
+    level = stored(source.mapInArrow(_numbering(shards), LEVEL_ONE), "phrases1")
+    total = stored(level.where("n is not null").groupBy("lang").agg(F.sum("n").alias("total")), "words")
+    items = lambda: level.where("items is not null").select("shard", "block", "items").groupBy("shard")
+    hits = [stored(items().applyInArrow(_words(least, shards), WORDS), "hits1")]
     for k in range(2, LONGEST + 1):
-        bodies, names = level.where("body is not null").select("block", "body"), hits[-1].select(F.shiftright("here", 32).alias("block"), "here", "name")
-        following = stored(bodies.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairing(k == 2, shards), LEVEL), f"phrases{k}")
+        names = 1 + (hits[-1].agg(F.max("name")).first()[0] or 0)
+        bodies, replies = level.where("body is not null").select("block", "body"), hits[-1].where("reply is not null").select("shard", "block", "reply")
+        following = stored(bodies.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_pairing(k == 2, names, shards), LEVEL), f"phrases{k}")
         discard(level)
         level = following
-        pairs = level.where("pairs is not null").select("shard", "block", "pairs")
-        hits.append(stored(pairs.groupBy("shard").applyInArrow(_summing(least), HITS), f"hits{k}"))
+        hits.append(stored(items().applyInArrow(_summing(least, names, shards), PAIRS), f"hits{k}"))
     discard(level)
     out = stored(_first(_scored(hits, total, covered), most), "phrases")
     for df in (total, *hits):
@@ -216,9 +333,8 @@ def phrases(docs: DataFrame, least: int = 100, most: int = 2000, covered: int =
 
 
 def _scored(hits: list[DataFrame], total: DataFrame, covered: int) -> DataFrame:
-    """Phrases that no longer one covers, with their lowest cut. ``hits`` has a row for each block;
-    the row of a name's own place stands for it."""
-    tables = [h.where("here = name") for h in hits]
+    """Phrases that no longer one covers, with their lowest cut."""
+    tables = [h.where("name is not null") for h in hits]
     known = tables[0].select("name", "lang", F.array("word").alias("words"), F.array("f").alias("begins"), F.array("f").alias("ends"))
     out = []
     for k, table in enumerate(tables[1:], 2):

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from isobar.llm import alignment, phrases, sharding
@@ -79,6 +80,40 @@ def test_phrase_blocks_are_bounded(monkeypatch):
     assert sum(n for b in blocks for n in b["n"].to_pylist() if n) == 150
 
 
+def test_rows_do_not_grow_with_blocks(spark, monkeypatch):
+    """What many blocks share is one row, and each block gets one answer of each shard."""
+    made, stored = Counter(), phrases.stored
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        made[name] = out.count()
+        return out
+    monkeypatch.setattr(phrases, "stored", counted)
+    monkeypatch.setattr(phrases, "SHARD", 1 << 12)
+    text = " ".join(f"w{i}" for i in range(400))
+    got = phrases.phrases(spark.createDataFrame([("en", text)] * 32, "lang string, text string").repartition(16), 20)
+    shards, blocks = 1 + 32 * len(text) // (1 << 12), 16
+    assert got.count() == 396 and all(made[f"hits{k}"] <= 400 + shards * blocks < 400 * 10 for k in range(1, 6))
+    assert all(made[f"phrases{k}"] <= blocks * (shards + 2) < 400 * 10 for k in range(1, 6))
+
+
+def test_packed_numbers_and_pairs():
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(0, 1 << b, n) for b, n in ((1, 9), (8, 300), (31, 0), (33, 70), (62, 5))] + [np.zeros(4, np.int64)]
+    back = phrases._unpacked(pa.scalar(phrases._packed(*arrays, b"raw \xff", arrays[1].astype(np.int32))))
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(arrays, back)) and back[6].tobytes() == b"raw \xff" and (back[7] == arrays[1]).all()
+    for names, shards in ((1, 1), (2, 3), (50, 7), (1000, 1), ((1 << 31) - 1, 900)):
+        a, b = (np.unique(x) if names < 100 else x for x in rng.integers(0, names, (2, 4000)))
+        a, b = (x.ravel() for x in np.meshgrid(a, b)) if names < 100 else (a, b)
+        mixed = phrases._Mixed(names, shards)
+        x = mixed.mixed(a, b)
+        assert len(np.unique(x)) == len(set(zip(a.tolist(), b.tolist()))) and (np.diff(mixed.shard(np.sort(x)).astype(np.int64)) >= 0).all()
+        assert all((u == v).all() for u, v in zip(mixed.pairs(x), (a, b))) and int(mixed.shard(x).max()) < shards
+        if names >= 1000:
+            assert np.bincount(mixed.shard(x).astype(np.int64), minlength=shards).max() < 4000 / shards * 4 + 12
+    with pytest.raises(RuntimeError):
+        phrases._Mixed(1 << 32, 1)
+
+
 def test_scores_beyond_64_bits(spark):
     """Frequencies of 10^9 in 10^13 words: 1000 a n has 25 digits."""
     a, n = 10**9 + 7, 10**13 + 1
