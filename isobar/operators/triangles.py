@@ -130,7 +130,7 @@ def _tiles(size: float, low: np.ndarray, high: np.ndarray):
             found, corners, w, circle = delaunay_around(points, q[at: at + step])
             centre, r = circle[:, :2], circle[:, 2:]
             known = ((np.maximum(centre - r, low) >= begin) & (np.minimum(centre + r, high) <= end)).all(1)
-            rows.append(pd.DataFrame({"dst": dst[at: at + step][found][known]} | {f"cell_{k}": ids[corners[known, k]] for k in range(3)} | {f"w_{k}": w[known, k] for k in range(3)}))
+            rows.append(pd.DataFrame({"dst": dst[at: at + step][found][known]} | {f"cell_{k}": ids[corners[known, k]].astype(np.int64) for k in range(3)} | {f"w_{k}": w[known, k] for k in range(3)}))
         return pd.concat(rows) if rows else pd.DataFrame({c.split()[0]: [] for c in WEIGHTS.split(", ")})
     return of
 
